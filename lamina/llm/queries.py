@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import digest_index
+from lamina.llm import digest_index, mixing
 from lamina.session import ship, table
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each of all `documents`."""
+    return mixing.mix_sources(table(ship(spark), sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all `documents`; the largest id of equal texts stays."""
     return digest_index.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
 }
 
