@@ -47,8 +47,10 @@ class DigestIndex:
         """Append the digests of `batch` (doc_id, digest) that the index lacks. Within the batch the largest id wins;
         between batches the earlier batch wins."""
         groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        # Written first: the optimizer would move the anti-join below the aggregation, where a hot digest is many rows.
+        groups = materialize(groups, "batch-digests")
         fresh = groups.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        fresh = materialize(fresh.withColumn("batch", F.lit(batch_no).cast("long")), "fresh-digests")
+        fresh = fresh.withColumn("batch", F.lit(batch_no).cast("long"))
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
