@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import digest_index, mixing
+from lamina.llm import digest_index, mixing, near_dup
 from lamina.session import ship, table
 
 
@@ -19,9 +19,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all `documents` at similarity 0.85 of 5-word shingles."""
+    return near_dup.near_duplicates(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLE_SQL = {
