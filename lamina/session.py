@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bounds what a Python worker holds of a table of long texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` below `sf_dir`; the path may use any scheme that Spark can read."""
@@ -34,6 +37,8 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     return spark
 
 
