@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lamina.llm import digest_index, mixing, near_dup
+from lamina.llm import bpe, digest_index, mixing, near_dup
 from lamina.session import ship, table
 
 
@@ -19,6 +19,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The text of a public tokenizer's file, read on the driver."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all `documents` by segment-tree BPE, and their decoding, as digests."""
+    return bpe.encode_decode(table(ship(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all `documents` at similarity 0.85 of 5-word shingles."""
     return near_dup.near_duplicates(table(ship(spark), sf_dir, "documents"))
@@ -27,6 +38,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_bpe": op5_bpe,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
