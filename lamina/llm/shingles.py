@@ -8,7 +8,7 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in groups of about so many bytes, which bounds memory to some tens of bytes for each.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -97,7 +97,7 @@ class MinHasher:
         self.a = rng.integers(0, 1 << 31, (size, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 1 << 32, (size, 1), dtype=np.uint32)
 
-    def __call__(self, s: np.ndarray, step: int = 4096) -> np.ndarray:
+    def __call__(self, s: np.ndarray, step: int = 1024) -> np.ndarray:
         best = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         for i in range(0, len(low), step):
