@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, mixing, near_dup
+from lamina.llm import bpe, digest_index, mixing, near_dup, token_pack
 from lamina.session import ship, table
 
 
@@ -30,6 +30,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(ship(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` as bit-packed token ids in doc_id order, described from the files as read back."""
+    return token_pack.pack_documents(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all `documents` at similarity 0.85 of 5-word shingles."""
     return near_dup.near_duplicates(table(ship(spark), sf_dir, "documents"))
@@ -39,6 +44,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bpe": op5_bpe,
+    "op7_token_pack": op7_token_pack,
     "op8_near_duplicates": op8_near_duplicates,
 }
 
