@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, mixing, near_dup, token_pack
+from lamina.llm import bpe, digest_index, lang_id, mixing, near_dup, token_pack
 from lamina.session import ship, table
 
 
@@ -19,6 +19,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all `documents`, learned from those that aren't held out."""
+    return lang_id.language_id(table(ship(spark), sf_dir, "documents"))
+
+
 def tokenizer_file(name: str) -> str:
     """The text of a public tokenizer's file, read on the driver."""
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
@@ -43,6 +48,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op7_token_pack": op7_token_pack,
     "op8_near_duplicates": op8_near_duplicates,
