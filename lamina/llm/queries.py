@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, lang_id, mixing, near_dup, token_pack
+from lamina.llm import bpe, digest_index, lang_id, mixing, near_dup, quality_fm, token_pack
 from lamina.session import ship, table
 
 
@@ -45,6 +45,12 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(ship(spark), sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all `documents`, learned from the labels that aren't held out."""
+    docs = table(ship(spark), sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
@@ -52,6 +58,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op7_token_pack": op7_token_pack,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL = {
