@@ -8,11 +8,14 @@ Steps, all over whole texts:
    centre. Every member is compared with the centre: linear in the members, whatever the size of a bucket.
 3. A comparison looks at a batch of signature positions at a time and stops as soon as the posterior probability (uniform
    prior) of a similarity at the threshold or above falls below `miss`. Survivors are confirmed on their full sets.
-4. Confirmed links give components. Members of one bucket that are still in different components, and haven't met yet, are
-   compared pairwise: those outside the bucket's largest component against all, in square blocks of signatures, so a task
-   holds a bounded number of rows however large the bucket is. A pair is looked at in the first band it shares only.
-   Nothing is capped: what step 2 leaves open is settled here, and what it has joined costs nothing more.
-5. Survivors of 4 are confirmed as well; the links of both rounds give the final components.
+4. Confirmed links give components. In each bucket that still holds several, the members outside its largest component are
+   compared with `CENTRES` of that component's members, drawn by hash: again linear in the members. This is done `ROUNDS`
+   times, so in a large group of near copies nearly all that belong together are joined.
+5. What is still open is settled pair by pair: members outside the bucket's largest component against all that are in another
+   component, in square blocks of signatures and sets, so a task holds a bounded number of rows however large the bucket is.
+   A pair is looked at in the first band it shares only, and survivors of its signatures are confirmed in place, so only
+   links leave a block, fewer than it has rows. Nothing is capped, and what has been joined costs nothing more.
+6. All links together give the final components.
 
 The chance to lose a link at similarity s is that of sharing no band, (1 - s**rows) ** bands (4e-7 at 0.85 by default), plus
 that of being pruned (about `miss` for each batch).
@@ -39,7 +42,9 @@ from lamina.session import materialize
 WIDTH, PERCENT = 5, 85
 BANDS, ROWS, SIGNATURE, BATCH = 20, 4, 128, 16
 MISS = 1e-6
-#: Rows of a side of a block in step 4.
+#: Members of a component that others are compared with in step 4, and how often.
+CENTRES, ROUNDS = 8, 1
+#: Rows of a side of a block in step 5.
 BLOCK = 512
 #: Ids of documents to be read again are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -132,7 +137,8 @@ def _confirmed(percent: int):
 
 
 def _blocks(percent: int):
-    """Compare the rows of one block of step 4: `minor` ones against all, unless their components are equal."""
+    """Compare the rows of one block of step 5, `minor` ones against all, unless something has joined them already; of the
+    links found, those that join anything in the block are returned."""
     limits = least_matches(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,8 +152,17 @@ def _blocks(percent: int):
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, SIGNATURE)
         bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
         centre = int(rows["centre"].iloc[0])
-        found_a, found_b = [], []
-        for i, c, s, own in zip(minor["id"], minor["comp"], minor["sig"], minor["bands"], strict=True):
+        sets = rows["set"].tolist()
+        links: list[tuple[int, int]] = []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for i, c, s, own, own_set in zip(minor["id"].tolist(), minor["comp"], minor["sig"], minor["bands"], minor["set"], strict=True):
             if i == centre:
                 continue
             # Between two minor rows the smaller id asks; rows of the largest component are asked by every minor row.
@@ -160,9 +175,12 @@ def _blocks(percent: int):
             at = at[first == key]
             mine = np.frombuffer(s, np.uint32)
             at = at[survivors(sig[at], np.broadcast_to(mine, (len(at), SIGNATURE)), limits)]
-            found_a += np.minimum(ids[at], i).tolist()
-            found_b += np.maximum(ids[at], i).tolist()
-        return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
+            words = np.frombuffer(own_set, np.uint64)
+            for j in at.tolist():
+                if root(i) != root(int(ids[j])) and jaccard_at_least(words, np.frombuffer(sets[j], np.uint64), percent)[0]:
+                    links.append((min(i, int(ids[j])), max(i, int(ids[j]))))
+                    parent[root(i)] = root(int(ids[j]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -200,17 +218,33 @@ def _prune(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets, made again from the texts of the documents concerned only, are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    small = ids.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(_sets, "id long, set binary"), "pair-sets")
+    """The pairs whose full sets are similar enough."""
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the documents named, made again from their texts."""
+    ids = materialize(ids.distinct(), "pair-ids")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    small = ids.count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
+    return materialize(texts.mapInArrow(_sets, "id long, set binary"), "pair-sets")
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with comp, the bucket's rows, those of its largest component
+    (`most`) and whether the member is outside that (`minor`)."""
+    wide = members.where("n > 2").join(label, "id", "left").select("key", "id", "centre", F.coalesce("comp", "id").alias("comp"))
+    counts = wide.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    major = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("major"), F.sum("m").alias("rows"), F.max("m").alias("most"))
+    # Written, so that both sides of the join are plain exchanges and a hot bucket is split between tasks.
+    open_ = wide.join(materialize(major.where("rows > most"), "near-major"), "key").withColumn("minor", F.col("comp") != F.col("major"))
+    return materialize(open_, "near-open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Classes of `docs` (doc_id, text) under links of similarity `percent` / 100 or more.
 
@@ -231,21 +265,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(_confirm(materialize(_prune(star, sigs, percent), "near-pairs"), docs, percent), "near-links")
     label = components(links)
 
-    wide = members.where("n > 2").join(label, "id", "left").select("key", "id", "centre", F.coalesce("comp", "id").alias("comp"))
-    counts = wide.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    major = counts.groupBy("key").agg(
-        F.max_by("comp", F.struct("m", -F.col("comp"))).alias("major"), F.sum("m").alias("rows"), F.max("m").alias("most")
-    ).where("rows > most")
-    open_ = wide.join(major, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    for _ in range(ROUNDS):
+        open_ = _open(members, label)
+        drawn = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)]
+        centres = open_.where("NOT minor").groupBy("key").agg(*drawn)
+        centres = materialize(centres, "near-centres").select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+        pairs = open_.where("minor AND id <> centre").join(centres, "key").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+        pairs = materialize(_prune(pairs.distinct().join(links, ["a", "b"], "left_anti"), sigs, percent), "near-pairs")
+        more = materialize(_confirm(pairs, docs, percent), "near-links")
+        if not more.limit(1).count():
+            break
+        links = materialize(links.union(more), "near-links")
+        label = components(links)
+
+    open_ = _open(members, label)
     blocks = (
         open_.withColumn("na", F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("rows") / BLOCK).cast("int"))
         .withColumn("h", F.xxhash64("id"))
     )
     as_row = blocks.select("key", "id", "centre", "comp", "minor", F.lit(False).alias("as_minor"), F.explode(F.expr("sequence(0, na - 1)")).alias("x"), F.expr("cast(pmod(h, nb) as int)").alias("y"))
     as_minor = blocks.where("minor").select("key", "id", "centre", "comp", "minor", F.lit(True).alias("as_minor"), F.expr("cast(pmod(h, na) as int)").alias("x"), F.explode(F.expr("sequence(0, nb - 1)")).alias("y"))
-    work = as_row.union(as_minor).join(sigs, "id")
-    more = work.groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long")
-    links2 = materialize(_confirm(materialize(more, "near-pairs"), docs, percent), "near-links")
+    work = as_row.union(as_minor).join(sigs.join(_sets_of(open_.select("id"), docs), "id"), "id")
+    links2 = materialize(work.groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long"), "near-links")
     label = components(links.union(links2)) if links2.limit(1).count() else label
 
     classes = reps.join(label, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
