@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, lang_id, mixing, near_dup, quality_fm, token_pack
+from lamina.llm import bpe, digest_index, flac, lang_id, mixing, near_dup, quality_fm, token_pack
 from lamina.session import ship, table
 
 
@@ -35,6 +35,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(ship(spark), sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` stored as FLAC media, read back, verified and described."""
+    return flac.describe(flac.store(table(ship(spark), sf_dir, "documents")))
+
+
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` as bit-packed token ids in doc_id order, described from the files as read back."""
     return token_pack.pack_documents(table(ship(spark), sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
+    "op6_flac": op6_flac,
     "op7_token_pack": op7_token_pack,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
