@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, flac, lang_id, mixing, near_dup, quality_fm, token_pack
+from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, token_pack
 from lamina.session import ship, table
 
 
@@ -56,6 +56,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all `pages`."""
+    return main_text.extract(table(ship(spark), sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
@@ -65,6 +70,7 @@ QUERIES = {
     "op7_token_pack": op7_token_pack,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE_SQL = {
