@@ -43,8 +43,8 @@ MAGIC = b"LAMTOK01"
 BLOCK_TOKENS = 4096
 #: Tokens after which an image ends (it may run over by one document).
 IMAGE_TOKENS = 1 << 18
-#: Pieces of text, and words, remembered by a worker; a memory is emptied when full.
-REMEMBERED = 400_000
+#: Pieces of text, and words in others, remembered by a worker; a memory is emptied when full.
+REMEMBERED, REMEMBERED_WORDS = 600_000, 150_000
 LONG_PIECE = 64
 
 #: Stands for a null doc_id in an image.
@@ -133,26 +133,17 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s"
 
 
-class _Pieces(dict):
-    """Ids of pieces that follow a space, made when first asked for; long ones aren't kept."""
+class _Memory(dict):
+    """Ids of what is looked up, made when first asked for; long keys aren't kept."""
 
-    def __init__(self, encoder: CachedEncoder):
+    def __init__(self, make):
         super().__init__()
-        self.encoder = encoder
+        self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(" " + piece)
-        if len(piece) <= LONG_PIECE:
-            self[piece] = ids
-        return ids
-
-
-class _Words(_Pieces):
-    def __missing__(self, word: str) -> bytes:
-        signs = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else self.encoder.signs(word)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.encoder.model.tokenize(signs)])
-        if len(word) <= LONG_PIECE:
-            self[word] = ids
+    def __missing__(self, key: str) -> bytes:
+        ids, keep = self.make(key)
+        if keep and len(key) <= LONG_PIECE:
+            self[key] = ids
         return ids
 
 
@@ -175,35 +166,46 @@ class CachedEncoder:
         self.model = self.tokenizer.model
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.cut, self.cut_ascii = regex.compile(_PATTERN).findall, re.compile(_ASCII).findall
-        self.pieces, self.words = _Pieces(self), _Words(self)
-
-    def signs(self, word: str) -> str:
-        """The characters that stand for a word's bytes in the vocabulary."""
-        return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-
-    def piece(self, p: str) -> bytes:
-        word = p[1:] if p[:1] == " " else p
-        if word.isalpha():
-            return self.words[p]
-        if word[-1:] in ".,;:!?" and word[:-1].isalpha():
-            return self.words[p[:-1]] + self.words[p[-1]]
-        return b"".join(map(self.words.__getitem__, (self.cut_ascii if p.isascii() else self.cut)(p)))
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = _Memory(lambda w: (self.word(w), True))
+        self.pieces = _Memory(self.after_space)
+
+    def word(self, word: str) -> bytes:
+        """Ids of what the pattern has cut out."""
+        if word.isascii() and word.isprintable():
+            signs = word.replace(" ", "\u0120")
+        else:
+            signs = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return b"".join([self.four[t.id] for t in self.model.tokenize(signs)])
+
+    def after_space(self, piece: str) -> tuple[bytes, bool]:
+        """Ids of a piece that a space stands before, and whether they are worth keeping."""
+        if piece.isalpha():
+            return self.word(" " + piece), True
+        if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.words[piece[-1]], False
+        return self.cut_up(" " + piece), True
+
+    def cut_up(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, (self.cut_ascii if text.isascii() else self.cut)(text)))
 
     def simple(self, text: str) -> bool:
         """Whether spaces and line ends stand alone and inside, no other white space and no special token's opening occurs."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n" in text and ("\n\n" in text or "\n " in text or " \n" in text):
+            return False
         other = self._OTHER[:8] if text.isascii() else self._OTHER
-        return not ("<|" in text or any(c in text for c in other)) and len(text.split()) == 1 + text.count(" ") + text.count("\n")
+        return not ("<|" in text or any(c in text for c in other))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for memory in (self.pieces, self.words):
-            if len(memory) > REMEMBERED:
+        for memory, most in ((self.pieces, REMEMBERED), (self.words, REMEMBERED_WORDS)):
+            if len(memory) > most:
                 memory.clear()
         out: list = [None] * len(texts)
         get, whole = self.pieces.__getitem__, []
         for i, t in enumerate(texts):
             if self.simple(t):
                 first, *rest = t.split(" ")
-                out[i] = self.piece(first) + b"".join(map(get, rest))
+                out[i] = self.cut_up(first) + b"".join(map(get, rest))
             else:
                 whole.append(i)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
