@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, token_pack
+from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, revisit, token_pack
 from lamina.session import ship, table
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revisits of a capture log over all `pages`, resolved; one row per record."""
+    out = revisit.resolve(revisit.captures(table(spark, sf_dir, "pages")))
+    return out.withColumn("headers", revisit.header_text("headers"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each of all `documents`."""
     return mixing.mix_sources(table(ship(spark), sf_dir, "documents"))
@@ -62,6 +68,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_revisits": op1_revisits,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
@@ -74,6 +81,41 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_revisits": r"""
+        WITH p AS (
+            SELECT page_id, url, md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS size, 1700000000 + (page_id % 97) * 3600 AS hour,
+                   CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 97) END AS lm FROM pages),
+        r AS (
+            SELECT page_id * 2 AS record_id, url AS uri, hour AS ts, true AS is_full, '"' || digest || '"' AS etag, lm, digest, size FROM p WHERE page_id % 11 <> 0
+            UNION ALL
+            SELECT page_id * 2 + 1, regexp_replace(url, '^https?://', 'HTTPS://WWW.') || '#again', hour + 60 * (1 + page_id % 5), false,
+                   CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 7 > 2 THEN 'W/"' || digest || '"' END, lm, NULL, 0 FROM p),
+        s AS (SELECT *, regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM r),
+        k AS (
+            SELECT *, nullif(
+                regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\d*\.', '')
+                || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+                || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END, '') AS url_key
+            FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                  lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|sid|sessionid|jsessionid|phpsessid)(=|$)'))) AS q FROM s)),
+        f AS (SELECT * FROM k WHERE is_full),
+        j AS (
+            SELECT k.*, b.record_id AS b_id, b.etag AS b_etag, b.lm AS b_lm, b.digest AS b_digest, b.size AS b_size, b.ts AS b_ts,
+                   row_number() OVER (PARTITION BY k.record_id ORDER BY b.ts DESC, b.record_id DESC) AS n
+            FROM k LEFT JOIN f AS b ON NOT k.is_full AND b.url_key = k.url_key AND b.ts < k.ts),
+        o AS (
+            SELECT *, CASE WHEN is_full THEN 'full' WHEN b_id IS NULL THEN 'no_base'
+                WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = b_etag THEN 'resolved' ELSE 'mismatch' END
+                WHEN lm IS NOT NULL AND b_lm IS NOT NULL THEN CASE WHEN lm = b_lm THEN 'resolved' ELSE 'mismatch' END
+                ELSE 'unchecked' END AS outcome FROM j WHERE n = 1)
+        SELECT record_id, url_key, ts, outcome,
+               CASE WHEN is_full THEN record_id WHEN outcome IN ('resolved', 'unchecked') THEN b_id END AS base_id,
+               CASE WHEN is_full THEN digest WHEN outcome IN ('resolved', 'unchecked') THEN b_digest END AS digest,
+               CASE WHEN is_full THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || etag
+                    WHEN outcome IN ('resolved', 'unchecked') THEN 'cache-control: max-age=90' || chr(10) || 'content-length: ' || b_size || chr(10) || 'content-type: text/html' || chr(10)
+                         || 'date: ' || ts || chr(10) || 'etag: ' || coalesce(etag, b_etag)
+                    ELSE 'cache-control: max-age=90' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || CASE WHEN etag IS NULL THEN '' ELSE chr(10) || 'etag: ' || etag END END AS headers
+        FROM o""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
