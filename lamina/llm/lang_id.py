@@ -112,6 +112,19 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *keep: str)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, accepted boolean")
 
 
+def accepted_rows(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text isn't rejected."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(dictionaries), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(shared.value)
+        for batch in batches:
+            found = [classify(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([k != UNKNOWN and m >= MIN_MARGIN for k, m in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """Learn from `docs` (doc_id, text, lang) and classify all of it: doc_id, held_out, lang_pred, score, accepted."""
     return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")

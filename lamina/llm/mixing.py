@@ -175,3 +175,12 @@ def mix_sources(
     taken = laid.groupBy("src", "shard").applyInPandas(_take, "doc_id long, src int, size long, taken long")
     named = F.broadcast(plan.withColumnRenamed("src", "source"))
     return taken.join(named, taken["src"] == named["source_no"]).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_text(text, size, taken) -> F.Column:
+    """The words that the mix takes of a text: whole copies, then its first words, each part after a line end."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    copies, rest = F.floor(taken / size).cast("int"), (taken % size).cast("int")
+    whole = F.when(copies > 0, F.array_join(F.array_repeat(text, copies), "\n"))
+    part = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest), " "))
+    return F.concat_ws("\n", whole, part)

@@ -43,8 +43,8 @@ MAGIC = b"LAMTOK01"
 BLOCK_TOKENS = 4096
 #: Tokens after which an image ends (it may run over by one document).
 IMAGE_TOKENS = 1 << 18
-#: Pieces of text, and words in others, remembered by a worker; a memory is emptied when full.
-REMEMBERED, REMEMBERED_WORDS = 600_000, 150_000
+#: Words of letters, and of other pieces, that a task remembers; a memory is emptied when full.
+REMEMBERED, REMEMBERED_WORDS = 500_000, 100_000
 LONG_PIECE = 64
 
 #: Stands for a null doc_id in an image.
@@ -133,20 +133,44 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s"
 
 
-class _Memory(dict):
-    """Ids of what is looked up, made when first asked for; long keys aren't kept."""
+class _Words(dict):
+    """Ids of what the pattern cuts out, made when first asked for; long keys aren't kept."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key: str) -> bytes:
-        ids, keep = self.make(key)
-        if keep and len(key) <= LONG_PIECE:
+        ids = self.make(key)
+        if len(key) <= LONG_PIECE:
             self[key] = ids
         return ids
 
 
+class _Pieces(dict):
+    """Ids of pieces that a space stands before. Only those of letters are kept: a mark after them is a token of its own."""
+
+    def __init__(self, encoder: CachedEncoder):
+        super().__init__()
+        self.encoder = encoder
+        self.marks = {c: encoder.word(c) for c in ".,;:!?"}
+
+    def __missing__(self, key: str) -> bytes:
+        mark = self.marks.get(key[-1:])
+        if mark is not None:
+            ids = self.get(key[:-1])
+            if ids is not None:
+                return ids + mark
+            if key[:-1].isalpha():
+                return self[key[:-1]] + mark
+        elif key.isalpha():
+            ids = self.encoder.word(" " + key)
+            if len(key) <= LONG_PIECE:
+                self[key] = ids
+            return ids
+        return self.encoder.junk[key]
+
+
 class CachedEncoder:
     """The `tokenizers` library over whole texts, with its BPE model asked once for each word that is remembered.
 
@@ -155,9 +179,6 @@ class CachedEncoder:
     line ends, or with a special token's opening, is given to the library as a whole.
     """
 
-    # White space other than space and line end.
-    _OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
     def __init__(self, spec: str):
         import regex
         from tokenizers import Tokenizer
@@ -167,8 +188,12 @@ class CachedEncoder:
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.cut, self.cut_ascii = regex.compile(_PATTERN).findall, re.compile(_ASCII).findall
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words = _Memory(lambda w: (self.word(w), True))
-        self.pieces = _Memory(self.after_space)
+        self.words, self.pieces = _Words(self.word), _Pieces(self)
+        self.junk = _Words(lambda piece: self.cut_up(" " + piece))
+
+    def forget(self) -> None:
+        for memory in (self.pieces, self.words, self.junk):
+            memory.clear()
 
     def word(self, word: str) -> bytes:
         """Ids of what the pattern has cut out."""
@@ -178,14 +203,6 @@ class CachedEncoder:
             signs = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
         return b"".join([self.four[t.id] for t in self.model.tokenize(signs)])
 
-    def after_space(self, piece: str) -> tuple[bytes, bool]:
-        """Ids of a piece that a space stands before, and whether they are worth keeping."""
-        if piece.isalpha():
-            return self.word(" " + piece), True
-        if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self.words[piece[-1]], False
-        return self.cut_up(" " + piece), True
-
     def cut_up(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, (self.cut_ascii if text.isascii() else self.cut)(text)))
 
@@ -193,11 +210,11 @@ class CachedEncoder:
         """Whether spaces and line ends stand alone and inside, no other white space and no special token's opening occurs."""
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n" in text and ("\n\n" in text or "\n " in text or " \n" in text):
             return False
-        other = self._OTHER[:8] if text.isascii() else self._OTHER
-        return not ("<|" in text or any(c in text for c in other))
+        # Printable characters include no white space but the space.
+        return "<|" not in text and text.replace("\n", " ").isprintable()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for memory, most in ((self.pieces, REMEMBERED), (self.words, REMEMBERED_WORDS)):
+        for memory, most in ((self.pieces, REMEMBERED), (self.words, REMEMBERED_WORDS), (self.junk, REMEMBERED_WORDS)):
             if len(memory) > most:
                 memory.clear()
         out: list = [None] * len(texts)
@@ -254,6 +271,7 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
                     ids_of, held, count, seq = [], [], 0, seq + 1
         if ids_of:
             yield row()
+        encode.forget()  # an idle worker holds nothing
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
