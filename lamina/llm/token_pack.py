@@ -25,6 +25,7 @@ gives no image; extra columns pass by.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -46,6 +47,7 @@ IMAGE_TOKENS = 1 << 18
 #: Words of letters, and of other pieces, that a task remembers; a memory is emptied when full.
 REMEMBERED, REMEMBERED_WORDS = 500_000, 100_000
 LONG_PIECE = 64
+TASK_BYTES = 48 << 20
 
 #: Stands for a null doc_id in an image.
 NULL_ID = -(1 << 63)
@@ -237,7 +239,8 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
     """Encode `docs` (doc_id, text) in ascending doc_id order and write images to the table at `path`.
 
     Rows: part, seq (together in document order), first_doc, documents, tokens, image. Texts are range-partitioned by id
-    before they are encoded, so sampling for the ranges runs no Python and each text is encoded once.
+    before they are encoded, so sampling for the ranges runs no Python and each text is encoded once. A task gets about
+    `TASK_BYTES` of text, more only where the session's shuffle partitions are too few: the longer it is, the more words it knows.
     """
     spark = docs.sparkSession
     shared, width = spark.sparkContext.broadcast(spec), bits_for(vocabulary)
@@ -273,7 +276,9 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
             yield row()
         encode.forget()  # an idle worker holds nothing
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0
+    tasks = max(1, min(partitions(spark), math.ceil(docs.count() * size / TASK_BYTES)))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
 
 
