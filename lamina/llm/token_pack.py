@@ -19,12 +19,13 @@ Spark's writer and its commit protocol reach any store and survive lost or repea
 plain file that holds the same bytes (`export`).
 
 Defined edge cases: a null text is the empty text, which is the end id alone; rows with a null doc_id come first, in no
-promised order among each other; repeated rows are written as often as they stand there, ordered by text; an empty table
+promised order among each other, as do rows that repeat a doc_id, at its place; an empty table
 gives no image; extra columns pass by.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import os
 import re
@@ -48,6 +49,8 @@ IMAGE_TOKENS = 1 << 18
 REMEMBERED, REMEMBERED_WORDS = 500_000, 100_000
 LONG_PIECE = 64
 TASK_BYTES = 48 << 20
+#: Runs of ascending ids that the driver looks at.
+MAX_RUNS = 100_000
 
 #: Stands for a null doc_id in an image.
 NULL_ID = -(1 << 63)
@@ -235,12 +238,48 @@ class CachedEncoder:
 _loaded: dict[int, CachedEncoder] = {}
 
 
+def ascending_runs(docs: DataFrame) -> list[tuple[int, int]] | None:
+    """First and last id of the ascending runs in which tasks read the ids, in order; None if runs overlap, an id is null, or
+    there are more than `MAX_RUNS`, or than 4 for each task (each run begins an image)."""
+    most = min(MAX_RUNS, 4 * docs.rdd.getNumPartitions())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[int] = []
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            ids = batch.column(0).fill_null(NULL_ID).to_numpy()
+            if not len(ids):
+                continue
+            cut = np.flatnonzero(ids[1:] < ids[:-1]) + 1
+            first, last = ids[np.concatenate(([0], cut))].tolist(), ids[np.concatenate((cut - 1, [len(ids) - 1]))].tolist()
+            if open_ and first[0] >= open_[1]:
+                first[0] = open_[0]
+            elif open_:
+                found.append((open_[0], open_[1]))
+            open_ = [first[-1], last[-1]]
+            found += zip(first[:-1], last[:-1], strict=True)
+            if len(found) > 1000:
+                yield pa.RecordBatch.from_pylist([{"first": a, "last": b} for a, b in found])
+                found = []
+        if open_:
+            found.append((open_[0], open_[1]))
+        if found:
+            yield pa.RecordBatch.from_pylist([{"first": a, "last": b} for a, b in found])
+
+    runs = docs.select("doc_id").mapInArrow(run, "first long, last long").limit(most + 1).collect()
+    runs = sorted((r["first"], r["last"]) for r in runs)
+    if len(runs) > most or any(a[1] >= b[0] for a, b in zip(runs, runs[1:], strict=False)) or (runs and runs[0][0] == NULL_ID):
+        return None
+    return runs
+
+
 def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary: int, block: int = BLOCK_TOKENS, image: int = IMAGE_TOKENS) -> None:
     """Encode `docs` (doc_id, text) in ascending doc_id order and write images to the table at `path`.
 
-    Rows: part, seq (together in document order), first_doc, documents, tokens, image. Texts are range-partitioned by id
-    before they are encoded, so sampling for the ranges runs no Python and each text is encoded once. A task gets about
-    `TASK_BYTES` of text, more only where the session's shuffle partitions are too few: the longer it is, the more words it knows.
+    Rows: part, seq, first_doc, documents, tokens, image; in document order by part, first_doc, seq. Where the ids, which are read
+    first on their own, turn out to lie in ascending runs that don't overlap, texts are encoded where they are read. Else they
+    are range-partitioned by id before they are encoded, so sampling for the ranges runs no Python and each text is encoded once;
+    a task gets about `TASK_BYTES` of text, more only where the session's shuffle partitions are too few.
     """
     spark = docs.sparkSession
     shared, width = spark.sparkContext.broadcast(spec), bits_for(vocabulary)
@@ -251,7 +290,7 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
         key = hash(shared.value)
         if key not in _loaded:
             _loaded[key] = CachedEncoder(shared.value)
-        encode, part, seq = _loaded[key], TaskContext.get().partitionId(), 0
+        encode, seq = _loaded[key], 0
         end = np.array([end_id], np.uint32)
         ids_of: list[int] = []
         held: list[np.ndarray] = []
@@ -259,6 +298,7 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
 
         def row() -> pa.RecordBatch:
             data = build_image(ids_of, held, width, block)
+            part = TaskContext.get().partitionId() if starts is None else bisect.bisect_right(starts.value, ids_of[0]) - 1
             values = [[part], [seq], [ids_of[0]], [len(ids_of)], [count], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["part", "seq", "first_doc", "documents", "tokens", "image"])
@@ -266,7 +306,11 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                ids_of.append(NULL_ID if doc is None else doc)
+                doc = NULL_ID if doc is None else doc
+                if ids_of and doc < ids_of[-1]:  # another run begins
+                    yield row()
+                    ids_of, held, count, seq = [], [], 0, seq + 1
+                ids_of.append(doc)
                 held.append(np.concatenate((np.frombuffer(ids, "<u4"), end)))
                 count += len(held[-1])
                 if count >= image:
@@ -276,10 +320,16 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
             yield row()
         encode.forget()  # an idle worker holds nothing
 
-    size = docs.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0
-    tasks = max(1, min(partitions(spark), math.ceil(docs.count() * size / TASK_BYTES)))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    runs = ascending_runs(rows)
+    if runs is not None:
+        starts = spark.sparkContext.broadcast([first for first, _ in runs])
+    else:
+        starts = None
+        size = rows.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0
+        tasks = max(1, min(partitions(spark), math.ceil(rows.count() * size / TASK_BYTES)))
+        rows = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
@@ -291,15 +341,15 @@ def read_documents(spark, path: str) -> DataFrame:
     totals = sorted((r["part"], r["n"]) for r in images.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     before = np.concatenate(([0], np.cumsum([n for _, n in totals], dtype=np.int64)))
     bases = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, before, strict=False)], "part int, base long")
-    own = images.select("part", "seq", "tokens")
-    upto = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    own = images.select("part", "seq", "first_doc", "tokens")
+    upto = Window.partitionBy("part").orderBy("first_doc", "seq").rowsBetween(Window.unboundedPreceding, -1)
     places = own.withColumn("within", F.coalesce(F.sum("tokens").over(upto), F.lit(0))).join(F.broadcast(bases), "part")
-    places = places.select("part", "seq", (F.col("base") + F.col("within")).alias("start"))
+    places = places.select("part", "seq", "first_doc", (F.col("base") + F.col("within")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                part, seq, data = (batch.column(c)[n].as_py() for c in range(3))
+                part, seq, first_doc, data = (batch.column(c)[n].as_py() for c in range(4))
                 im = Image(data)
                 flat = im.slice(0, im.tokens).astype("<u4").tobytes()
                 first = im.first.tolist()
@@ -307,12 +357,12 @@ def read_documents(spark, path: str) -> DataFrame:
                 docs = pa.array([None if d == NULL_ID else d for d in im.doc_ids.tolist()], pa.int64())
                 count = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * count, pa.int32()), pa.array([seq] * count, pa.int32()), docs, pa.array(im.first[:-1]), pa.array(np.diff(im.first)), pa.array(crc, pa.int64())],
-                    names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array([part] * count, pa.int32()), pa.array([seq] * count, pa.int32()), pa.array([first_doc] * count, pa.int64()), docs, pa.array(im.first[:-1]), pa.array(np.diff(im.first)), pa.array(crc, pa.int64())],
+                    names=["part", "seq", "first_doc", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = images.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(places, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = images.select("part", "seq", "first_doc", "image").mapInArrow(run, "part int, seq int, first_doc long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(places, ["part", "seq", "first_doc"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def pack_documents(docs: DataFrame, spec: str, end_id: int, vocabulary: int) -> DataFrame:
@@ -326,8 +376,8 @@ def export(spark, path: str, folder: str) -> list[str]:
     """Write every image of the table at `path` as a plain file into a folder that this process can write to, one at a time."""
     os.makedirs(folder, exist_ok=True)
     names = []
-    for r in spark.read.parquet(path).select("part", "seq", "image").orderBy("part", "seq").toLocalIterator():
-        names.append(os.path.join(folder, f"{r['part']:06d}-{r['seq']:06d}.tok"))
+    for r in spark.read.parquet(path).select("part", "seq", "first_doc", "image").orderBy("part", "first_doc", "seq").toLocalIterator():
+        names.append(os.path.join(folder, f"{len(names):09d}.tok"))
         with open(names[-1], "wb") as f:
             f.write(r["image"])
     return names
