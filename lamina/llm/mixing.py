@@ -68,7 +68,7 @@ def sainte_lague(weights: list[float], seats: int, most: list[int]) -> list[int]
     if seats <= 0 or total <= 0:
         return [0] * len(weights)
     # With divisor d, every quotient w / (2k + 1) > d is among the highest as long as there are no more of them than seats.
-    got, d = [], total / (2 * seats) if seats else 1.0
+    got, d = [], max(total / (2 * seats), 5e-324)
     for _ in range(200):
         got = [min(m, max(0, math.floor((w / d + 1) / 2 - 1e-9))) for w, m in zip(weights, most, strict=True)]
         if sum(got) <= seats:

@@ -94,10 +94,11 @@ def unpack(data: bytes, count: int, width: int) -> np.ndarray:
     return ((word >> spare) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def build_image(doc_ids: list[int], ids: list[np.ndarray], width: int, block: int = BLOCK_TOKENS) -> bytes:
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    body, offsets = pack(flat.astype(np.uint32), width, block)
+def build_image(doc_ids: list[int], ids: list[bytes], width: int, block: int = BLOCK_TOKENS) -> bytes:
+    """An image of documents, their ids given as little-endian unsigned 32-bit integers."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    body, offsets = pack(flat, width, block)
     start = _HEAD.size + 8 * len(offsets) + 8 * len(doc_ids) + 8 * (len(doc_ids) + 1)
     return b"".join([
         _HEAD.pack(MAGIC, width, block, len(flat), len(doc_ids), len(offsets) - 1), (offsets + start).astype("<u8").tobytes(),
@@ -238,41 +239,42 @@ class CachedEncoder:
 _loaded: dict[int, CachedEncoder] = {}
 
 
-def ascending_runs(docs: DataFrame) -> list[tuple[int, int]] | None:
-    """First and last id of the ascending runs in which tasks read the ids, in order; None if runs overlap, an id is null, or
-    there are more than `MAX_RUNS`, or than 4 for each task (each run begins an image)."""
-    most = min(MAX_RUNS, 4 * docs.rdd.getNumPartitions())
+def ascending_runs(rows: DataFrame) -> list[tuple[int, int]] | None:
+    """First and last id of the ascending runs of `rows` (doc_id, file) as tasks read them, each within a file, in order; None if
+    runs overlap, an id is null, or there are more than `MAX_RUNS`, or than 4 for each task and 16 (each run begins an image)."""
+    most = min(MAX_RUNS, 16 + 4 * rows.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[int] = []
-        found: list[tuple[int, int]] = []
+        first = last = file = None
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy()
             if not len(ids):
                 continue
-            cut = np.flatnonzero(ids[1:] < ids[:-1]) + 1
-            first, last = ids[np.concatenate(([0], cut))].tolist(), ids[np.concatenate((cut - 1, [len(ids) - 1]))].tolist()
-            if open_ and first[0] >= open_[1]:
-                first[0] = open_[0]
-            elif open_:
-                found.append((open_[0], open_[1]))
-            open_ = [first[-1], last[-1]]
-            found += zip(first[:-1], last[:-1], strict=True)
-            if len(found) > 1000:
-                yield pa.RecordBatch.from_pylist([{"first": a, "last": b} for a, b in found])
-                found = []
-        if open_:
-            found.append((open_[0], open_[1]))
-        if found:
-            yield pa.RecordBatch.from_pylist([{"first": a, "last": b} for a, b in found])
-
-    runs = docs.select("doc_id").mapInArrow(run, "first long, last long").limit(most + 1).collect()
+            names = batch.column(1).dictionary_encode().indices.to_numpy()
+            begins = np.flatnonzero((ids[1:] < ids[:-1]) | (names[1:] != names[:-1])) + 1
+            starts, ends = ids[[0, *begins]].tolist(), ids[[*(begins - 1), len(ids) - 1]].tolist()
+            if first is not None and batch.column(1)[0].as_py() == file and starts[0] >= last:
+                starts[0] = first
+            elif first is not None:
+                starts, ends = [first, *starts], [last, *ends]
+            if len(starts) > 1:
+                yield pa.RecordBatch.from_pydict({"first": starts[:-1], "last": ends[:-1]})
+            first, last, file = starts[-1], ends[-1], batch.column(1)[batch.num_rows - 1].as_py()
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"first": [first], "last": [last]})
+
+    runs = rows.select("doc_id", "file").mapInArrow(run, "first long, last long").limit(most + 1).collect()
     runs = sorted((r["first"], r["last"]) for r in runs)
     if len(runs) > most or any(a[1] >= b[0] for a, b in zip(runs, runs[1:], strict=False)) or (runs and runs[0][0] == NULL_ID):
         return None
     return runs
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, file): the file is empty where rows don't come straight from one."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("file"))
+
+
 def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary: int, block: int = BLOCK_TOKENS, image: int = IMAGE_TOKENS) -> None:
     """Encode `docs` (doc_id, text) in ascending doc_id order and write images to the table at `path`.
 
@@ -291,10 +293,10 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
         if key not in _loaded:
             _loaded[key] = CachedEncoder(shared.value)
         encode, seq = _loaded[key], 0
-        end = np.array([end_id], np.uint32)
+        end = np.array([end_id], "<u4").tobytes()
         ids_of: list[int] = []
-        held: list[np.ndarray] = []
-        count = 0
+        held: list[bytes] = []
+        count, file = 0, None
 
         def row() -> pa.RecordBatch:
             data = build_image(ids_of, held, width, block)
@@ -305,14 +307,15 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc, name, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode(texts), strict=True):
                 doc = NULL_ID if doc is None else doc
-                if ids_of and doc < ids_of[-1]:  # another run begins
+                if ids_of and (doc < ids_of[-1] or name != file):  # another run begins
                     yield row()
                     ids_of, held, count, seq = [], [], 0, seq + 1
+                file = name
                 ids_of.append(doc)
-                held.append(np.concatenate((np.frombuffer(ids, "<u4"), end)))
-                count += len(held[-1])
+                held.append(ids + end)
+                count += len(held[-1]) // 4
                 if count >= image:
                     yield row()
                     ids_of, held, count, seq = [], [], 0, seq + 1
@@ -320,7 +323,7 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
             yield row()
         encode.forget()  # an idle worker holds nothing
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(docs)
     runs = ascending_runs(rows)
     if runs is not None:
         starts = spark.sparkContext.broadcast([first for first, _ in runs])
@@ -328,7 +331,7 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
         starts = None
         size = rows.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0
         tasks = max(1, min(partitions(spark), math.ceil(rows.count() * size / TASK_BYTES)))
-        rows = rows.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+        rows = rows.withColumn("file", F.lit("")).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
 
 

@@ -24,7 +24,7 @@ def test_pack(width, n):
 def test_image_random_access():
     rng = random.Random(1)
     docs = [np.array([rng.randrange(50_257) for _ in range(rng.choice((0, 1, 30, 300)))], np.uint32) for _ in range(40)]
-    im = tp.Image(tp.build_image(list(range(40)), docs, tp.bits_for(50_257), 64))
+    im = tp.Image(tp.build_image(list(range(40)), [d.tobytes() for d in docs], tp.bits_for(50_257), 64))
     assert im.width == 16 and im.tokens == sum(map(len, docs))
     for n in rng.sample(range(40), 40):
         assert np.array_equal(im.document(n), docs[n])
@@ -67,15 +67,15 @@ def test_query(spark, docs):
 def test_rows_in_order_are_not_shuffled(spark, docs, tmp_path):
     rows = [(i, f"text {i} " * (i % 9)) for i in range(300)]
     ordered = docs(rows).coalesce(1)
-    assert tp.ascending_runs(ordered) == [(0, 299)]
-    assert tp.ascending_runs(docs(rows[::-1])) is None and tp.ascending_runs(docs(rows).repartition(5)) is None
-    assert tp.ascending_runs(docs([*rows, (None, "x")])) is None and tp.ascending_runs(docs([])) == []
+    assert tp.ascending_runs(tp.numbered(ordered)) == [(0, 299)]
+    assert tp.ascending_runs(tp.numbered(docs(rows[::-1]))) is None and tp.ascending_runs(tp.numbered(docs(rows).repartition(5))) is None
+    assert tp.ascending_runs(tp.numbered(docs([*rows, (None, "x")]))) is None and tp.ascending_runs(tp.numbered(docs([]))) == []
     both = [sorted(map(tuple, tp.pack_documents(d, SPEC, 2, 50_257).collect())) for d in (ordered, docs(rows).repartition(7))]
     assert both[0] == both[1]
     # Files that each hold a range, read in any order.
     docs(rows).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "ranges"))
     stored = spark.read.parquet(str(tmp_path / "ranges"))
-    assert tp.ascending_runs(stored) is not None
+    assert tp.ascending_runs(tp.numbered(stored)) is not None
     assert sorted(map(tuple, tp.pack_documents(stored, SPEC, 2, 50_257).collect())) == both[0]
 
 
