@@ -1,0 +1,75 @@
+"""Text functions, the stemmer and the Dirichlet-multinomial kernels against hand-computed values."""
+
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lamina.functions import dcm, stemmer
+from lamina.functions import text as T
+
+
+def one(spark, c):
+    return spark.range(1).select(c.alias("x")).first()["x"]
+
+
+def test_entities(spark):
+    for before, after in (("a &amp; b", "a  b"), ("x & y; z", "x  z"), ("no end & here", "no end & here"), ("", "")):
+        assert one(spark, T.strip_entities(F.lit(before))) == after
+
+
+def test_tokenizer(spark):
+    split = lambda s: one(spark, T.blank_split(T.normalize(F.lit(s))))
+    assert split('He said "don\'t", twice.') == ["he", "said", "``", "do", "n't", "''", ",", "twice", "."]
+    assert split("It's 3--4; they're (in).") == ["it", "'s", "3", "--", "4", ";", "they", "'re", "(", "in", ")", "."]
+    assert split("tab\tstays in") == ["tab\tstays", "in"]
+    assert split("   ") == []
+    assert one(spark, T.normalize(F.lit(None).cast("string"))) is None
+
+
+def test_stop_words(spark):
+    assert one(spark, T.drop_stop_words(F.array(*map(F.lit, ["a", ".", "b", ","])), T.SHORT_STOP_LIST)) == ["a", "b"]
+    assert one(spark, T.drop_stop_words(F.array(F.lit("a")), [])) == ["a"]
+
+
+@pytest.mark.parametrize(("word", "step1"), [("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agree"), ("disabled", "disable"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("sky", "sky")])
+def test_stemmer_first_step(word, step1):
+    assert stemmer.step1(word) == step1
+
+
+@pytest.mark.parametrize(("word", "stem"), [("relational", "relat"), ("conditional", "condit"), ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("hopefulness", "hope"), ("adoption", "adopt"), ("controlling", "control"), ("rate", "rate"), ("cease", "ceas"), ("at", "at"), ("is", "is"), ("roll", "roll"), ("generalizations", "gener"), ("oscillators", "oscil")])
+def test_stemmer(word, stem):
+    assert stemmer.stem(word) == stem
+
+
+def test_with_stems(spark):
+    df = spark.createDataFrame([("cats", 1), ("cats", 2), ("running", 3)], "term string, n int")
+    assert sorted((r["term"], r["n"], r["stem"]) for r in stemmer.with_stems(df).collect()) == [("cats", 1, "cat"), ("cats", 2, "cat"), ("running", 3, "run")]
+
+
+@pytest.mark.parametrize("a", [0.1, 1.0, 7.5])
+def test_rising(spark, a):
+    for c in (0, 1, 3, 40):
+        assert one(spark, dcm.rising(a, F.lit(c))) == pytest.approx(math.lgamma(a + c) - math.lgamma(a))
+    assert one(spark, dcm.digamma_rise(a, F.lit(3))) == pytest.approx(sum(1 / (a + i) for i in range(3)))
+    assert one(spark, dcm.lgamma_whole(F.lit(0))) == 0.0
+    assert one(spark, dcm.lgamma_whole(F.lit(5))) == pytest.approx(math.lgamma(5))
+
+
+def test_type_prior(spark):
+    assert one(spark, dcm.type_prior([F.lit(3), F.lit(2)], [5.0, 1.0])) == pytest.approx(-1.7917594692)
+    assert one(spark, dcm.type_prior([F.lit(2), F.lit(2)], [10.0, 0.0])) == pytest.approx(-3.2580965380)
+
+
+def test_annealing(spark):
+    t = spark.createDataFrame([(i,) for i in (0, 10, 25, 75, 90, 100)], "it int").select(dcm.anneal_temperature("it", 100).alias("t"))
+    assert [r["t"] for r in t.collect()] == pytest.approx([5, 3.4, 1, 1, 0.44, 0.04])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("abcdefghijklmnopqrstuvwxyz", max_size=14))
+def test_stems_never_grow(word):
+    s = stemmer.stem(word)
+    assert len(s) <= len(word) + 1 and (len(word) > 2 or s == word)
