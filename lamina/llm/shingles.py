@@ -40,6 +40,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def running_hash(data: np.ndarray) -> np.ndarray:
+    """Polynomial prefix hashes of bytes, for `span_hash`."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * _power(len(data))[0], out=total[1:])
+    return total
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes start .. end - 1, by content and length alone."""
+    return mix64((total[end] - total[start]) * _power(len(total))[1][start] + (end - start).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of bytes that aren't ASCII white space, A-Z lowered) of all texts, and how many each has."""
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
@@ -47,10 +59,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[data]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up, out=total[1:])
-    h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    h = span_hash(running_hash(data), start, end)
     counts = np.diff(np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths)))))
     return h, counts
 

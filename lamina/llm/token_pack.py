@@ -39,15 +39,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import byte_alphabet
+from lamina.llm.shingles import mix64, running_hash, span_hash
 from lamina.session import partitions, scratch
 
 MAGIC = b"LAMTOK01"
 BLOCK_TOKENS = 4096
 #: Tokens after which an image ends (it may run over by one document).
-IMAGE_TOKENS = 1 << 18
-#: Words of letters, and of other pieces, that a task remembers; a memory is emptied when full.
-REMEMBERED, REMEMBERED_WORDS = 500_000, 100_000
-LONG_PIECE = 64
+IMAGE_TOKENS = 1 << 16
+#: Words that a task remembers (about 50 bytes each); the memory is emptied when full.
+REMEMBERED = 900_000
+#: Characters of texts that are cut and looked up together.
+GROUP_CHARS = 1 << 19
 TASK_BYTES = 48 << 20
 #: Runs of ascending ids that the driver looks at.
 MAX_RUNS = 100_000
@@ -137,52 +139,79 @@ class Image:
 # The byte-level pattern of the tokenizer file (public), and its form for ASCII pieces without white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s"
+_MARKS = ".,;:!?"
+
+_BYTES = np.arange(256)
+_IS_END = np.isin(_BYTES, [0, 10, 32])
+_IS_MARK = np.isin(_BYTES, [ord(c) for c in _MARKS])
+_MAY_BE_LETTER = (_BYTES >= 128) | ((_BYTES | 32 >= 97) & (_BYTES | 32 <= 122))
+
+
+class _Known:
+    """Ids by a 64-bit hash: an open hash table over flat arrays, asked for many hashes at once."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.start, self.size, self.letters = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, bool)
+        self.ids = np.zeros(1 << 12, np.uint32)
+        self.count = self.used = 0
+
+    def full(self) -> bool:
+        return self.count > REMEMBERED or self.used > 16 * REMEMBERED
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1. A hash is never 0."""
+        slot, mask = self._slot(h), (1 << self.bits) - 1
+        got = self.key[slot]
+        out = np.where(got == h, self.at[slot], -1)
+        todo = np.flatnonzero((got != h) & (got != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            got = self.key[slot[todo]]
+            same = todo[got == h[todo]]
+            out[same] = self.at[slot[same]]
+            todo = todo[(got != h[todo]) & (got != 0)]
+        return out
 
-
-class _Words(dict):
-    """Ids of what the pattern cuts out, made when first asked for; long keys aren't kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
-        if len(key) <= LONG_PIECE:
-            self[key] = ids
-        return ids
-
-
-class _Pieces(dict):
-    """Ids of pieces that a space stands before. Only those of letters are kept: a mark after them is a token of its own."""
-
-    def __init__(self, encoder: CachedEncoder):
-        super().__init__()
-        self.encoder = encoder
-        self.marks = {c: encoder.word(c) for c in ".,;:!?"}
-
-    def __missing__(self, key: str) -> bytes:
-        mark = self.marks.get(key[-1:])
-        if mark is not None:
-            ids = self.get(key[:-1])
-            if ids is not None:
-                return ids + mark
-            if key[:-1].isalpha():
-                return self[key[:-1]] + mark
-        elif key.isalpha():
-            ids = self.encoder.word(" " + key)
-            if len(key) <= LONG_PIECE:
-                self[key] = ids
-            return ids
-        return self.encoder.junk[key]
+    def add(self, h: np.ndarray, ids: list[list[int]], letters: list[bool]) -> None:
+        """Entries for distinct new hashes."""
+        n, size = len(h), np.fromiter(map(len, ids), np.int64, len(ids))
+        while self.count + n > len(self.start):
+            self.start, self.size, self.letters = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.letters))
+        while self.used + int(size.sum()) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        entry = slice(self.count, self.count + n)
+        self.start[entry] = self.used + np.cumsum(size) - size
+        self.size[entry], self.letters[entry] = size, letters
+        self.ids[self.used : self.used + int(size.sum())] = [i for own in ids for i in own]
+        slot, todo, mask = self._slot(h), np.arange(n), (1 << self.bits) - 1
+        while len(todo):
+            free = todo[self.key[slot[todo]] == 0]
+            self.key[slot[free]] = h[free]  # of those that want one slot, the last stays
+            won = free[self.key[slot[free]] == h[free]]
+            self.at[slot[won]] = self.count + won
+            rest = np.ones(n, bool)
+            rest[won] = False
+            todo = todo[rest[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+        self.count += n
+        self.used += int(size.sum())
 
 
 class CachedEncoder:
     """The `tokenizers` library over whole texts, with its BPE model asked once for each word that is remembered.
 
-    The byte-level pattern never joins what stands on both sides of a single space whose neighbours aren't white space, so a
-    text is cut there, and unknown pieces are cut by the pattern itself. A text with other white space than single spaces and
-    line ends, or with a special token's opening, is given to the library as a whole.
+    The byte-level pattern never joins what stands on both sides of a single space or line end whose neighbours aren't white
+    space, nor a word of letters and one mark after it. So texts are cut there, all at once over their bytes; the words are
+    hashed (64 bits), looked up and their ids strung together without a step in Python for each. A text with other white space
+    than single spaces and line ends, or with a special token's opening, is given to the library as a whole.
     """
 
     def __init__(self, spec: str):
@@ -193,24 +222,27 @@ class CachedEncoder:
         self.model = self.tokenizer.model
         self.alphabet = {b: c for b, c in enumerate(byte_alphabet()) if chr(b) != c}
         self.cut, self.cut_ascii = regex.compile(_PATTERN).findall, re.compile(_ASCII).findall
-        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words, self.pieces = _Words(self.word), _Pieces(self)
-        self.junk = _Words(lambda piece: self.cut_up(" " + piece))
+        self.known = _Known(21)
+        (self.line_end,) = self.word("\n")
+        self.mark_id = np.zeros(256, np.uint32)
+        for c in _MARKS:
+            (self.mark_id[ord(c)],) = self.word(c)
 
     def forget(self) -> None:
-        for memory in (self.pieces, self.words, self.junk):
-            memory.clear()
+        self.known.clear()
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str) -> list[int]:
         """Ids of what the pattern has cut out."""
         if word.isascii() and word.isprintable():
             signs = word.replace(" ", "\u0120")
         else:
             signs = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-        return b"".join([self.four[t.id] for t in self.model.tokenize(signs)])
+        return [t.id for t in self.model.tokenize(signs)]
 
-    def cut_up(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, (self.cut_ascii if text.isascii() else self.cut)(text)))
+    def piece(self, text: str, letters: bool) -> list[int]:
+        if letters:
+            return self.word(text)
+        return [i for w in (self.cut_ascii if text.isascii() else self.cut)(text) for i in self.word(w)]
 
     def simple(self, text: str) -> bool:
         """Whether spaces and line ends stand alone and inside, no other white space and no special token's opening occurs."""
@@ -220,21 +252,65 @@ class CachedEncoder:
         return "<|" not in text and text.replace("\n", " ").isprintable()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for memory, most in ((self.pieces, REMEMBERED), (self.words, REMEMBERED_WORDS), (self.junk, REMEMBERED_WORDS)):
-            if len(memory) > most:
-                memory.clear()
         out: list = [None] * len(texts)
-        get, whole = self.pieces.__getitem__, []
+        whole, group, size = [], [], 0
         for i, t in enumerate(texts):
-            if self.simple(t):
-                first, *rest = t.split(" ")
-                out[i] = self.cut_up(first) + b"".join(map(get, rest))
-            else:
-                whole.append(i)
+            (group if self.simple(t) else whole).append(i)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
+        at = 0
+        for n, i in enumerate(group):
+            size += len(texts[i])
+            if size >= GROUP_CHARS or n == len(group) - 1:
+                own = group[at : n + 1]
+                for j, ids in zip(own, self._together([texts[j].encode() for j in own]), strict=True):
+                    out[j] = ids
+                at, size = n + 1, 0
         return out
 
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        if self.known.full():
+            self.known.clear()
+        raw = b"\0".join(texts) + b"\0"
+        data = np.frombuffer(raw, np.uint8)
+        end = np.flatnonzero(_IS_END[data])
+        start = np.concatenate(([0], end[:-1] + 1))
+        before = np.where(start > 0, data[start - 1], 0)  # 32: the word takes the space; 10: the line end is a token
+        mark = _IS_MARK[data[end - 1]] & (end - start > 1) & _MAY_BE_LETTER[data[end - 2]]
+        total = running_hash(data)
+        entry = np.full(len(end), -1, np.int64)
+        todo = np.arange(len(end))
+        while len(todo):
+            stop = end[todo] - mark[todo]
+            h = span_hash(total, start[todo], stop) * np.uint64(2) + (before[todo] == 32) + np.uint64(0)
+            h = mix64(h) | np.uint64(1)
+            found = self.known.find(h)
+            new, first = np.unique(h[found < 0], return_index=True)
+            if len(new):
+                where = np.flatnonzero(found < 0)[first]
+                words = [raw[a:b].decode() for a, b in zip(start[todo[where]].tolist(), stop[where].tolist(), strict=True)]
+                letters = [w.isalpha() for w in words]
+                spaced = (before[todo[where]] == 32).tolist()
+                self.known.add(new, [self.piece(" " + w if s else w, k) for w, s, k in zip(words, spaced, letters, strict=True)], letters)
+                found = self.known.find(h)
+            entry[todo] = found
+            # What isn't letters alone is cut together with its mark.
+            todo = todo[mark[todo] & ~self.known.letters[found]]
+            mark[todo] = False
+        line = before == 10
+        size = self.known.size[entry].astype(np.int64)
+        each = size + line + mark
+        upto = np.cumsum(each)
+        begin = upto - each
+        ids = np.empty(int(upto[-1]), "<u4")
+        ids[begin[line]] = self.line_end
+        ids[upto[mark] - 1] = self.mark_id[data[end[mark] - 1]]
+        shift = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        ids[np.repeat(begin + line, size) + shift] = self.known.ids[np.repeat(self.known.start[entry], size) + shift]
+        last = upto[data[end] == 0].tolist()
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in zip([0, *last], last, strict=False)]
+
 
 _loaded: dict[int, CachedEncoder] = {}
 
