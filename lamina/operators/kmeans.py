@@ -32,7 +32,7 @@ class Points:
         total = centre.sum()
         ok = (dot > 0) & (self.sum > 0) & (total > 0)
         out = np.ones(self.n)
-        out[ok] = 1 - dot[ok] / (np.sqrt(self.sum[ok]) * np.sqrt(total))
+        out[ok] = 1 - dot[ok] / np.sqrt(self.sum[ok] * total)
         return out
 
     def mean(self, members: np.ndarray) -> np.ndarray:

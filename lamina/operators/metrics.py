@@ -143,8 +143,8 @@ def corpus_scores(labels: DataFrame, clusters: DataFrame, ref: DataFrame, hyp: D
     by_doc = document_scores(labels, clusters).agg(*[F.avg(c).alias(c) for c in ("accuracy", "pk", "windowdiff", "length_ratio")])
     by_set = cluster_prf(ref, hyp).join(variation_of_information(ref, hyp, sizes), "docset").join(rand_like(ref, hyp, sizes), "docset")
     by_set = by_set.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "norm_vi", "rand_like")])
-    # Two tables of one row each.
-    return by_doc.join(by_set, F.lit(True)).withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    one = by_doc.unionByName(by_set, allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in one.columns]).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
 def report_lines(labels: DataFrame, clusters: DataFrame, ref: DataFrame, hyp: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -156,3 +156,26 @@ def report_lines(labels: DataFrame, clusters: DataFrame, ref: DataFrame, hyp: Da
     # Halves are rounded up here, whatever a double makes of them.
     half_up = [F.floor(F.col(c) * 10**n + 0.500000001) / 10**n for c, n in zip(names, [4] * 7 + [2, 4], strict=True)]
     return docs.join(sets, "docset").select("docset", F.format_string(shape, "docset", *half_up).alias("line"))
+
+
+def by_document(clusters: DataFrame) -> DataFrame:
+    """Clusters restricted to single documents, which become the sets: docset is `docset#doc_id`."""
+    return clusters.withColumn("docset", F.concat_ws("#", "docset", F.col("doc_id").cast("string")))
+
+
+def document_cluster_scores(labels: DataFrame, ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """(docset, doc_id, precision, recall, f1, norm_vi, rand_like) of each document on its own."""
+    r, h = by_document(ref), by_document(hyp)
+    n = labels.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.concat_ws("#", "docset", F.col("doc_id").cast("string")))
+    sizes = n.select(F.col("key").alias("docset"), "n")
+    scores = cluster_prf(r, h).join(variation_of_information(r, h, sizes), "docset").join(rand_like(r, h, sizes), "docset")
+    return n.select(*DOC, "key").join(scores.withColumnRenamed("docset", "key"), "key").drop("key")
+
+
+def document_report_lines(labels: DataFrame, clusters: DataFrame, ref: DataFrame, hyp: DataFrame) -> DataFrame:
+    """(docset, doc_id, line): the report of each document."""
+    rows = document_scores(labels, clusters).join(document_cluster_scores(labels, ref, hyp), DOC)
+    shape = "docName=%s\tdocid=%d\t" + "\t".join(f"{n}=%.4f" for n in ("P", "R", "F1", "VI", "RI", "Pk", "WD")) + "\tlen=%.2f\tacc=%.4f"
+    names = ("precision", "recall", "f1", "norm_vi", "rand_like", "pk", "windowdiff", "length_ratio", "accuracy")
+    half_up = [F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 10**n + 0.500000001) / 10**n for c, n in zip(names, [4] * 7 + [2, 4], strict=True)]
+    return rows.select(*DOC, F.format_string(shape, "docset", "doc_id", *half_up).alias("line"))

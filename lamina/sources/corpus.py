@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.stemmer import stem
+from lamina.functions.stemmer import with_stems
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(docset, doc_id, pos, line) of every document in `folder` whose set has a document 0; ids may have gaps."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[0-9]*").text(folder).withColumn("file", F.input_file_name())
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[0-9]*").withColumn("file", F.input_file_name())
     name = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"([^/]+)$", 1)
     docs = files.select(F.regexp_extract(name, r"^(.*)\.\d+$", 1).alias("docset"), F.regexp_extract(name, r"\.(\d+)$", 1).alias("n"), "value").where("n <> ''")
     docs = docs.withColumn("doc_id", F.col("n").cast("int"))
@@ -24,7 +24,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     """(docset, label, doc_id, start, end), both ends included, from lines `label doc::start-end ...`."""
-    files = spark.read.option("pathGlobFilter", "*.label").text(folder).withColumn("file", F.input_file_name())
+    files = spark.read.text(folder, pathGlobFilter="*.label").withColumn("file", F.input_file_name())
     docset = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"([^/]+)\.label$", 1)
     parts = F.filter(F.split(F.trim("value"), " +"), lambda p: p != "")
     rows = files.select(docset.alias("docset"), parts.alias("p")).where("size(p) > 0")
@@ -35,10 +35,10 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_stop_words(spark: SparkSession, path: str, stemmed: bool = False, skip_first: bool = True) -> DataFrame:
     """(term): the words of a list, trimmed and in lower case, without its first line as is the custom for these lists."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
     words = rows.where("n > 0" if skip_first else "true").select(F.lower(F.trim("line")).alias("term")).where("term <> ''").distinct()
     if stemmed:
-        words = words.select(F.udf(stem, "string")("term").alias("term")).distinct()
+        words = with_stems(words).select(F.col("stem").alias("term")).distinct()
     return words
 
 
@@ -53,7 +53,7 @@ def parse_config(lines: Iterable[str]) -> dict[str, str]:
 
 
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
-    return parse_config(spark.read.option("wholetext", True).text(path).first()[0].splitlines())
+    return parse_config(spark.read.text(path, wholetext=True).first()[0].splitlines())
 
 
 def with_prefix(config: dict[str, str], prefix: str) -> dict[str, str]:
@@ -69,8 +69,6 @@ def check_spans(labels: DataFrame, lines: DataFrame) -> DataFrame:
 def gold_labels(labels: DataFrame, lines: DataFrame) -> DataFrame:
     """(docset, doc_id, pos, label): gold clusters numbered from 0 by label within the docset; each stretch of sentences without
     one gets a negative label of its own."""
-    from pyspark.sql import Window
-
     rank = F.dense_rank().over(Window.partitionBy("docset").orderBy("label")) - 1
     spans = labels.withColumn("cluster", rank)
     at = lines.select("docset", "doc_id", "pos").join(spans, ["docset", "doc_id"], "left")
