@@ -22,19 +22,32 @@ TOKEN_RULES = [
     (r"n't( |$)", r" n't \1"),
     (r"'(s|m|d|re|ll|ve|S|M|D|RE|LL|VE)( |$)", r" '\1 \2"),
 ]
+#: What a line contains if the rule of the same place can apply; most lines lack most of these, and a search is cheap.
+_NEEDS = ['"', '"', None, "--", ".", "n't", "'"]
 
 
 def strip_entities(line) -> Column:
     """Delete from `&` up to the next `;`, as the source material is escaped."""
-    return F.regexp_replace(line, "&[^;]*;", "")
+    return F.when(F.contains(line, F.lit("&")), F.regexp_replace(line, "&[^;]*;", "")).otherwise(line)
 
 
 def tokenize(line) -> Column:
     """Split punctuation and contractions off words, with blanks."""
-    out = line
-    for pattern, replacement in TOKEN_RULES:
-        out = F.regexp_replace(out, pattern, replacement.replace("$", r"\$").replace("\\1", "$1").replace("\\2", "$2"))
-    return out
+    # Each step is a lambda over an array of one, so that it can name its input twice without computing it twice.
+    out = F.array(line)
+    for (pattern, replacement), needs in zip(TOKEN_RULES, _NEEDS, strict=True):
+        out = F.transform(out, _step(pattern, replacement, needs))
+    return out[0]
+
+
+def _step(pattern: str, replacement: str, needs: str | None):
+    java = replacement.replace("$", r"\$").replace("\\1", "$1").replace("\\2", "$2")
+
+    def step(v: Column) -> Column:
+        done = F.regexp_replace(v, pattern, java)
+        return done if needs is None else F.when(F.contains(v, F.lit(needs)), done).otherwise(v)
+
+    return step
 
 
 def normalize(line, tokenizer: bool = True) -> Column:

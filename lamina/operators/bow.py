@@ -30,9 +30,10 @@ def lines(documents: DataFrame) -> DataFrame:
 
 
 def tokens(lines_: DataFrame, tokenizer: bool = True, stop: list[str] | None = None) -> DataFrame:
-    """Normalised tokens of lines, in order, without those of a short stop list."""
-    made = T.blank_split(T.normalize(F.col("line"), tokenizer))
-    return lines_.select(*KEYS, F.posexplode(T.drop_stop_words(made, stop or [])).alias("tok_pos", "term"))
+    """Normalised tokens of lines, with their place among all of the line, without those of a short stop list."""
+    made = F.split(F.trim(T.normalize(F.col("line"), tokenizer)), " +")
+    rows = lines_.select(*KEYS, F.posexplode(made).alias("tok_pos", "term")).where("term <> ''")
+    return rows.where(~F.col("term").isin(*stop)) if stop else rows
 
 
 def without_stop_words(tokens_: DataFrame, stop: DataFrame) -> DataFrame:

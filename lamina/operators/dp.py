@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import spread
+
 
 def rising_table(a: float, most: int) -> np.ndarray:
     """lgamma(a + c) - lgamma(a) for c = 0 .. most."""
@@ -90,7 +92,7 @@ def segment(lines: DataFrame, bow: DataFrame, sizes: DataFrame, vocab: DataFrame
                     start = end
             yield pd.DataFrame(out, columns=["docset", "doc_id", "seg", "start", "end", "logp"])
 
-    return docs.mapInPandas(run, "docset string, doc_id long, seg int, start int, end int, logp double")
+    return spread(docs, "docset", "doc_id").mapInPandas(run, "docset string, doc_id long, seg int, start int, end int, logp double")
 
 
 def lgamma_score(counts: dict, w: int, beta: float) -> float:

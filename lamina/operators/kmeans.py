@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import spread
+
 ITERATIONS = 1_000
 
 
@@ -100,4 +102,4 @@ def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1) ->
         label = cluster(vectors_, int(pdf["k"].iloc[0]), zlib.crc32(f"{seed}/{name}".encode()))
         return pdf[["docset", "doc_id", "start", "end"]].assign(label=_labelled(label))
 
-    return rows.groupBy("docset").applyInPandas(run, "docset string, doc_id long, start int, end int, label int")
+    return spread(rows, "docset").groupBy("docset").applyInPandas(run, "docset string, doc_id long, start int, end int, label int")

@@ -206,7 +206,7 @@ def label_runs(spark, d):
 
 
 def best_cut(spark, d):
-    b = _bow(spark, d)
+    b = materialize(_bow(spark, d), "bow")
     return shown(segments.best_cut(b, _sizes(spark, d), _vocab(b), BETA))
 
 
@@ -295,12 +295,12 @@ def porter_stems(spark, d):
 
 
 def dp_segments(spark, d):
-    b, n = _bow(ship(spark), d), _sizes(spark, d)
+    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
     return shown(dp.segment(_lines(spark, d), b, n, _vocab(b), segments.default_k(F.col("n")), BETA))
 
 
 def dp_segments_free(spark, d):
-    b, n = _bow(ship(spark), d), _sizes(spark, d)
+    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
     return shown(dp.segment(_lines(spark, d), b, n, _vocab(b), None, BETA))
 
 
@@ -325,12 +325,12 @@ def _settings():
 
 
 def sampled_segments(spark, d):
-    b = _bow(ship(spark), d)
+    b = materialize(_bow(ship(spark), d), "bow")
     return shown(sampler.assignments(b, _sizes(spark, d), _vocab(b), _settings()))
 
 
 def sampler_trace(spark, d):
-    b = _bow(ship(spark), d)
+    b = materialize(_bow(ship(spark), d), "bow")
     return shown(sampler.trace(b, _sizes(spark, d), _vocab(b), _settings(), trials=1))
 
 

@@ -73,3 +73,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` to several tasks for each core: groups that are small in bytes but long in work must not be coalesced."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), 4 * spark.sparkContext.defaultParallelism), *keys)
