@@ -257,3 +257,28 @@ def test_estimated_beta_is_a_maximum(spark):
     beta = estimate.estimate_beta(v, w, "docset", "doc_id")
     ll = lambda b: likelihood.dcm(v, w, "docset", "doc_id", beta=b).agg(F.sum("logp")).first()[0]
     assert ll(beta) >= max(ll(beta * 0.9), ll(beta * 1.1))
+
+
+def test_shifts_visit_cuts_by_their_posterior():
+    """One document on two topics and no other move: cuts are visited in proportion to exp(score)."""
+    rng = random.Random(8)
+    doc = [{rng.randrange(3): 1, 3 + rng.randrange(2): 1} for _ in range(7)]
+    s = sampler.Settings(iterations=10**9, warm_up=10**9, start_global=2, global_merge=False, burn_in=0.0, cooling=0.0, max_shift=3, beta_global=0.8, seed=5)
+    chain, visits = sampler.Chain([doc], 5, s, "t"), [0] * 8
+    for _ in range(40_000):
+        chain.sweep(1)
+        visits[chain.ends[0][0]] += 1
+    score = dp.score_matrix(doc, 5, 0.8)
+    weight = [math.exp(score[0, c] + score[c, 7]) for c in range(1, 7)]
+    want = [w / sum(weight) for w in weight]
+    assert sum(abs(v / 40_000 - p) for v, p in zip(visits[1:7], want, strict=True)) / 2 < 0.02
+
+
+def test_alternation_settles(spark):
+    rng = random.Random(3)
+    data = [("x", d, p, f"t{rng.randrange(3) + 3 * (p > 3)}", rng.randint(1, 2)) for d in range(8) for p in range(8) for _ in range(3)]
+    b = spark.createDataFrame(data, "docset string, doc_id long, pos int, term string, cnt long").groupBy("docset", "doc_id", "pos", "term").agg(F.sum("cnt").alias("cnt"))
+    n = spark.createDataFrame([("x", d, 8) for d in range(8)], "docset string, doc_id long, n int")
+    w = likelihood.vocabulary_size(b)
+    beta = estimate.alternate(lambda x: dp.segment(None, b, n, w, F.lit(2), x), b, w, rounds=3)
+    assert 0.05 < beta < 50
