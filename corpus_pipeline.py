@@ -32,11 +32,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take of each document the words that the source mix takes: repeated, cut short, or not at all."""
+    """Take of each document the words that the source mix takes: repeated, in part, or not at all."""
     ship(spark)
-    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", "size", "taken").dropDuplicates(["doc_id"])
+    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", "size", "taken", "spans").dropDuplicates(["doc_id"])
     rows = docs.join(verdicts.sized(taken, "taken"), "doc_id")
-    rows = rows.withColumn("text", mixing.mixed_text(F.col("text"), F.col("size"), F.col("taken")))
+    rows = rows.withColumn("text", mixing.mixed_text(F.col("text"), F.col("size"), F.col("taken"), F.col("spans")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

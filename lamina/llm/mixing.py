@@ -8,6 +8,8 @@ The documents of a source are laid out as a stream of words, cut into shards and
 
 A shard then repeats every block `quota // blocks` times and a seeded choice of its blocks once more. No quotient beyond
 `max_repeat` times the blocks is a candidate, so no block and thus no document is taken more than `max_repeat` times.
+What is taken of a document is thus a number of whole copies and, once more, its words in the blocks of that choice: these
+are its `spans`, ranges [start, end) of its words in order, with neighbouring blocks as one.
 
 Only (doc_id, source, size) is shuffled, never a text. A shard holds at most about `shard_words` words until a source
 needs more than `max_shards` of them, so a source with a third of all rows spreads over as many tasks as its size asks
@@ -101,16 +103,18 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _take(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For one shard: lay out its documents in seeded order, choose blocks, and count the words taken of each document."""
+    """For one shard: lay out its documents in seeded order, choose blocks, and find the words taken of each document."""
     pdf = pdf.sort_values(["ord", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
     size = pdf["size"].to_numpy(np.int64)
     n, quota, total = int(pdf["blocks"].iloc[0]), int(pdf["quota"].iloc[0]), int(size.sum())
     if total == 0 or n == 0:
         pdf["taken"] = np.int64(0)
-        return pdf[["doc_id", "src", "size", "taken"]]
-    repeat = np.full(n, quota // n, np.int64)
+        pdf["start"] = pdf["end"] = [[]] * len(pdf)
+        return pdf[["doc_id", "src", "size", "taken", "start", "end"]]
+    once_more = np.zeros(n, np.int64)
     rng = np.random.default_rng([int(pdf["seed"].iloc[0]) & 0x7FFFFFFF, int(pdf["shard"].iloc[0])])
-    repeat[rng.permutation(n)[: quota % n]] += 1
+    once_more[rng.permutation(n)[: quota % n]] = 1
+    repeat = quota // n + once_more
     edge = np.arange(n + 1, dtype=np.int64) * total // n
     upto = np.concatenate(([0], np.cumsum(repeat * np.diff(edge))))
 
@@ -120,16 +124,35 @@ def _take(pdf: pd.DataFrame) -> pd.DataFrame:
 
     end = np.cumsum(size)
     pdf["taken"] = taken_before(end) - taken_before(end - size)
-    return pdf[["doc_id", "src", "size", "taken"]]
+    pdf["start"], pdf["end"] = _spans(end - size, end, edge, once_more)
+    return pdf[["doc_id", "src", "size", "taken", "start", "end"]]
+
+
+def _spans(begin: np.ndarray, end: np.ndarray, edge: np.ndarray, chosen: np.ndarray) -> tuple[list, list]:
+    """Where the words [begin, end) of each document lie in the chosen blocks: starts and ends, counted from the document's first word.
+
+    None for a document that they cover: its words are a whole copy.
+    """
+    step = np.diff(chosen, prepend=0, append=0)
+    run_start, run_end = edge[np.flatnonzero(step == 1)], edge[np.flatnonzero(step == -1)]
+    first, last = np.searchsorted(run_end, begin, side="right"), np.searchsorted(run_start, end, side="left")
+    starts, ends = [], []
+    for b, e, i, j in zip(begin.tolist(), end.tolist(), first.tolist(), last.tolist(), strict=True):
+        if b == e or (j - i == 1 and run_start[i] <= b and e <= run_end[i]):
+            j = i
+        starts.append(np.maximum(run_start[i:j], b) - b)
+        ends.append(np.minimum(run_end[i:j], e) - b)
+    return starts, ends
 
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
     max_shards: int = MAX_SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
 ) -> DataFrame:
-    """How many words of each of `docs` (doc_id, text, source) the mix takes.
+    """Which words of each of `docs` (doc_id, text, source) the mix takes, and how many.
 
-    Sources by code point, null last, weigh `weights`, repeating. Returns doc_id, size, source_size, target, taken, source.
+    Sources by code point, null last, weigh `weights`, repeating. Returns doc_id, size, source_size, target, taken, source, spans;
+    `taken` is the words of whole copies and of the spans (see above), and no span if whole copies are all.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -172,15 +195,23 @@ def mix_sources(
         placed.select("doc_id", "size", "ord", "source_no", "shard").join(shard_plan, ["source_no", "shard"])
         .select("doc_id", F.col("source_no").alias("src"), "size", "ord", "shard", "blocks", "quota", seed_no.alias("seed"))
     )
-    taken = laid.groupBy("src", "shard").applyInPandas(_take, "doc_id long, src int, size long, taken long")
+    taken = laid.groupBy("src", "shard").applyInPandas(_take, "doc_id long, src int, size long, taken long, start array<int>, end array<int>")
     named = F.broadcast(plan.withColumnRenamed("src", "source"))
-    return taken.join(named, taken["src"] == named["source_no"]).select("doc_id", "size", "source_size", "target", "taken", "source")
+    spans = F.arrays_zip("start", "end").alias("spans")
+    return taken.join(named, taken["src"] == named["source_no"]).select("doc_id", "size", "source_size", "target", "taken", "source", spans)
+
 
+def mixed_text(text, size, taken, spans=None) -> F.Column:
+    """The words that the mix takes of a text: whole copies, then `spans`, each part after a line end.
 
-def mixed_text(text, size, taken) -> F.Column:
-    """The words that the mix takes of a text: whole copies, then its first words, each part after a line end."""
+    Only without `spans`, for who has no more than a count, are the words beyond whole copies the first ones.
+    """
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     copies, rest = F.floor(taken / size).cast("int"), (taken % size).cast("int")
+    if spans is None:
+        spans = F.array(F.struct(F.lit(0).alias("start"), rest.alias("end")))
     whole = F.when(copies > 0, F.array_join(F.array_repeat(text, copies), "\n"))
-    part = F.when(rest > 0, F.array_join(F.slice(words, F.lit(1), rest), " "))
+    # As the variable of a lambda, the split text is made once, not for each span.
+    cut = lambda w: F.array_join(F.transform(spans, lambda s: F.array_join(F.slice(w, s["start"] + 1, s["end"] - s["start"]), " ")), "\n")
+    part = F.when(rest > 0, F.transform(F.array(words), cut)[0])
     return F.concat_ws("\n", whole, part)

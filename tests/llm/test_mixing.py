@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,3 +58,41 @@ def test_mixed_text(spark):
 
     df = spark.createDataFrame([("a b\tc", 3, 7), ("a b c", 3, 2), ("a b c", 3, 3)], "text string, size long, taken long")
     assert [r["t"] for r in df.select(mixing.mixed_text(F.col("text"), F.col("size"), F.col("taken")).alias("t")).collect()] == ["a b\tc\na b\tc\na", "a b", "a b c"]
+
+
+def taken_words(words, taken, spans):
+    copies = (taken - sum(e - s for s, e in spans)) // max(1, len(words))
+    return words * copies + [w for s, e in spans for w in words[s:e]]
+
+
+@pytest.mark.parametrize("quota", [0, 4, 9, 13, 26, 31])
+def test_spans_are_the_chosen_blocks(quota):
+    sizes = [0, 100, 7, 0, 250, 1, 58, 0]
+    pdf = pd.DataFrame({"doc_id": range(len(sizes)), "src": 0, "size": sizes, "ord": range(len(sizes)), "shard": 2, "blocks": 13, "quota": quota, "seed": 5})
+    out = mixing._take(pdf)
+    # Word by word: which document it is of, and how often its block is repeated.
+    chosen = set(np.random.default_rng([5, 2]).permutation(13)[: quota % 13].tolist())
+    edges = [i * sum(sizes) // 13 for i in range(14)]
+    block_of = [next(b for b in range(13) if edges[b] <= p < edges[b + 1]) for p in range(sum(sizes))]
+    at = 0
+    for r in out.itertuples():
+        spans = list(zip(r.start, r.end, strict=True))
+        want = sorted(w for w in range(r.size) for _ in range(quota // 13 + (block_of[at + w] in chosen)))
+        assert sorted(taken_words(list(range(r.size)), r.taken, spans)) == want
+        assert all(0 <= s < e <= r.size for s, e in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+        at += r.size
+
+
+def test_mixed_text_of_spans(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(1 + i * 13 % 400)), "en", f"s{i % 3}") for i in range(90)]
+    frame = docs(rows)
+    out = {r["doc_id"]: r for r in mixing.mix_sources(frame).collect()}
+    mixed = frame.drop("size", "taken").join(mixing.mix_sources(frame).drop("source"), "doc_id")
+    text = {r["doc_id"]: r["t"] for r in mixed.select("doc_id", mixing.mixed_text(F.col("text"), F.col("size"), F.col("taken"), F.col("spans")).alias("t")).collect()}
+    for i, t, _, _ in rows:
+        assert text[i].split() == taken_words(t.split(), out[i]["taken"], out[i]["spans"])
+        assert len(text[i].split()) == out[i]["taken"]
+    part = [r for r in out.values() if 0 < r["taken"] < r["size"]]
+    assert any(s["end"] == r["size"] for r in part for s in r["spans"]) and any(r["spans"][0]["start"] > 0 for r in part)

@@ -6,6 +6,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lamina.llm import bpe, lang_id, mixing, queries
@@ -44,6 +45,27 @@ def test_against_plain_python(spark):
     assert sum(n for _, n in taken.values()) == pytest.approx(sum(s for s, _ in taken.values()), rel=0.05)
 
 
+def test_pipeline_takes_the_chosen_blocks(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        table = stage(spark, table, SF)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    kept = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin(list(texts)))
+    want, parts = {}, 0
+    for r in mixing.mix_sources(kept).collect():
+        words = texts[r["doc_id"]].split()
+        copies, rest = divmod(r["taken"], max(1, r["size"]))
+        assert rest == sum(s["end"] - s["start"] for s in r["spans"])
+        if r["taken"]:
+            want[r["doc_id"]] = "\n".join([texts[r["doc_id"]]] * copies + [" ".join(words[s["start"] : s["end"]]) for s in r["spans"]])
+        parts += any(s["end"] > rest for s in r["spans"])
+    assert parts > 10
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.mix(spark, kept, SF).collect()} == want
+    own = bpe.WordBPE(queries.tokenizer_file("word_bpe_49k.json"))
+    ids = {i: hashlib.sha256(own.encode_batch([t])[0]).hexdigest() for i, t in want.items()}
+    assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, SF).collect()} == ids
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
