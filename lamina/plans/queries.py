@@ -18,7 +18,6 @@ from lamina.session import materialize, ship, table
 BETA = 0.1
 KEYS = ["docset", "doc_id", "pos"]
 DOC = ["docset", "doc_id"]
-ITERATIONS = 40
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -321,7 +320,7 @@ def clustered_sentences(spark, d):
 
 
 def _settings():
-    return sampler.Settings(iterations=ITERATIONS, warm_up=5, trace_every=10, start_global=3, type_alpha=5.0, type_beta=1.0, use_topic_prior=True, aggressive=True)
+    return sampler.Settings(start_global=3, type_alpha=5.0, type_beta=1.0, use_topic_prior=True, aggressive=True)
 
 
 def sampled_segments(spark, d):

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from lamina.operators import sampler
 from lamina.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +39,11 @@ def test_query(spark, duck, name):
         assert got == canon([d[0] for d in r.description], r.fetchall())
 
 
+def test_sampler_queries_run_every_sweep():
+    whole, own = sampler.Settings(), queries._settings()
+    assert (own.iterations, own.warm_up, own.trace_every) == (whole.iterations, whole.warm_up, whole.trace_every) == (100_000, 10_000, 1_000)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
