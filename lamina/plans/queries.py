@@ -289,7 +289,7 @@ def segmented_lines(spark, d):
 
 
 def porter_stems(spark, d):
-    terms = _tokens(ship(spark), d).where(F.col("term").rlike("^[a-z]+$")).select("term").distinct()
+    terms = _tokens(ship(spark), d).select("term").distinct()
     return stemmer.with_stems(terms)
 
 

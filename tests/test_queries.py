@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from lamina.functions import stemmer
 from lamina.operators import sampler
 from lamina.plans import oracles, queries
 
@@ -39,6 +40,12 @@ def test_query(spark, duck, name):
         assert got == canon([d[0] for d in r.description], r.fetchall())
 
 
+def test_porter_stems_has_every_term(spark):
+    stems = {r["term"]: r["stem"] for r in queries.porter_stems(spark, SF).collect()}
+    assert set(stems) == {r["term"] for r in queries.vocabulary(spark, SF).select("term").collect()}
+    assert any(not t.isascii() for t in stems) and all(stems[t] == stemmer.stem(t) for t in stems)
+
+
 def test_sampler_queries_run_every_sweep():
     whole, own = sampler.Settings(), queries._settings()
     assert (own.iterations, own.warm_up, own.trace_every) == (whole.iterations, whole.warm_up, whole.trace_every) == (100_000, 10_000, 1_000)
