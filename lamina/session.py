@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so Python workers can import it.
+    """Send this package to the executors once per application, so Python workers can import it, and set `ARROW` on the session.
 
     Goes through Spark's own file server; nothing is read from a folder that executors would have to share.
     """
@@ -45,29 +47,75 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, else a folder made for a local session.
 
-    A machine-local folder is used only where the setting is unset, which is the case in tests and `local[*]` runs.
+    A machine-local folder is used only where the setting is unset and the master is local, as in tests; on a cluster without the
+    setting this raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lamina-shared")
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex[:12]}"
+#: Paths made by `scratch`, by the scope that is to delete them; the first list holds those of no scope.
+_SCOPES: list[list[str]] = [[]]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, outer: int = 0) -> str:
+    """A fresh path below the shared folder. It belongs to the innermost scope, or to the one `outer` scopes further out."""
+    path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex[:12]}"
+    _SCOPES[max(0, len(_SCOPES) - 1 - outer)].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made inside are deleted at the end, but for those made with `outer=1`, which belong to the scope around.
+
+    What a caller returns must not read the deleted ones: write it with `materialize(..., outer=1)`.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _SCOPES.pop())
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the scratch folders of no scope: call it when the frames that queries returned are no longer needed."""
+    _delete(spark, _SCOPES[0])
+    _SCOPES[0].clear()
+
+
+def materialize(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    return _written(df, scratch(df.sparkSession, name, outer))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, name: str, outer: int = 0, most: int = 16 << 20) -> DataFrame:
+    """`df` as `materialize` gives it, with a broadcast hint if its files hold at most `most` bytes, else with a hint to merge."""
+    spark = df.sparkSession
+    path = scratch(spark, name, outer)
+    out, p = _written(df, path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    small = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() <= most
+    return out.hint("broadcast" if small else "merge")
 
 
 def partitions(spark: SparkSession) -> int:
