@@ -11,13 +11,14 @@ A shard then repeats every block `quota // blocks` times and a seeded choice of
 What is taken of a document is thus a number of whole copies and, once more, its words in the blocks of that choice: these
 are its `spans`, ranges [start, end) of its words in order, with neighbouring blocks as one.
 
-Only (doc_id, source, size) is shuffled, never a text. A shard holds at most about `shard_words` words until a source
+Only (doc_id, source, size) and the columns that the caller wants back are shuffled, never a text. A shard holds at most about `shard_words` words until a source
 needs more than `max_shards` of them, so a source with a third of all rows spreads over as many tasks as its size asks
 for. The table of sources (one row each, at most `MAX_SOURCES`) is the only thing on the driver; its bound is checked.
 
 Defined edge cases: a null text has size 0, as has one of white space only, and takes 0; a null source is a source of its
 own and comes last; an empty table gives an empty result; rows that repeat a doc_id count as rows of their own and are told
-apart by a hash of their text, so that equal rows are interchangeable; columns other than the four that are used pass by.
+apart by a hash of their text, and rows that are equal in that too by the columns `keep` or else interchangeable; other columns pass by,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -128,6 +130,19 @@ def _take(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["doc_id", "src", "size", "taken", "start", "end"]]
 
 
+#: Names of columns while the caller's own are beside them.
+_OWN = {"__doc": "doc_id", "__no": "src", "__size": "size", "__ord": "ord", "__shard": "shard", "__blocks": "blocks", "__quota": "quota", "__seed": "seed"}
+_TAKEN = "__doc long, __no int, __size long, __taken long, __start array<int>, __end array<int>"
+
+
+def _take_beside(pdf: pd.DataFrame, keep: list[str]) -> pd.DataFrame:
+    """`_take` with the columns `keep` beside, which also order rows that are equal in all else."""
+    pdf = pdf.sort_values(["__ord", "__doc", "__size", *keep], kind="stable", na_position="last").reset_index(drop=True)
+    out = _take(pdf[list(_OWN)].rename(columns=_OWN))
+    out.columns = ["__doc", "__no", "__size", "__taken", "__start", "__end"]
+    return pd.concat([out, pdf[keep]], axis=1)
+
+
 def _spans(begin: np.ndarray, end: np.ndarray, edge: np.ndarray, chosen: np.ndarray) -> tuple[list, list]:
     """Where the words [begin, end) of each document lie in the chosen blocks: starts and ends, counted from the document's first word.
 
@@ -147,67 +162,70 @@ def _spans(begin: np.ndarray, end: np.ndarray, edge: np.ndarray, chosen: np.ndar
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
-    max_shards: int = MAX_SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED,
+    max_shards: int = MAX_SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Which words of each of `docs` (doc_id, text, source) the mix takes, and how many.
 
-    Sources by code point, null last, weigh `weights`, repeating. Returns doc_id, size, source_size, target, taken, source, spans;
-    `taken` is the words of whole copies and of the spans (see above), and no span if whole copies are all.
+    Sources by code point, null last, weigh `weights`, repeating. Returns doc_id, size, source_size, target, taken, source, spans and
+    the columns `keep` (numbers or strings); `taken` is the words of whole copies and of the spans (see above), and no span if whole
+    copies are all.
     """
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, list(keep)
+    text = F.col("text")
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("source").alias("src"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("ord"),
+        F.col("doc_id").cast("long").alias("__doc"), F.col("source").alias("__src"), word_count(text).alias("__size"),
+        F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce(text, F.lit("")).cast("binary"))).alias("__ord"), *keep,
     )
     rows = materialize(rows, "mix-sizes")
-    by_source = rows.groupBy("src").agg(F.sum("size").alias("words"))
+    by_source = rows.groupBy("__src").agg(F.sum("__size").alias("words"))
     found = by_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    found = sorted(((r["src"], r["words"]) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
+    found = sorted(((r["__src"], r["words"]) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
     sizes = [w for _, w in found]
     goal = targets(sizes, list(itertools.islice(itertools.cycle(weights), len(found))), max_repeat)
     shards = [min(max_shards, max(1, math.ceil(w / shard_words))) for w in sizes]
     plan = spark.createDataFrame(
         [(i, s, int(w), float(g), k) for i, ((s, w), g, k) in enumerate(zip(found, goal, shards, strict=True))],
-        "source_no int, src string, source_size long, target double, shards int",
-    )
-    placed = rows.join(F.broadcast(plan), rows["src"].eqNullSafe(plan["src"]), "inner").drop(plan["src"])
-    placed = placed.withColumn("shard", F.pmod(F.col("ord"), F.col("shards")).cast("int"))
-    per_shard = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
-    per_shard = per_shard.withColumn(
-        "blocks", F.when(F.col("words") == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col("words") / block_words))).cast("long")
+        "__no int, __source string, __source_size long, __target double, __shards int",
     )
-    per_shard = materialize(per_shard, "mix-shards")
-    n_blocks = {r["source_no"]: r["b"] for r in per_shard.groupBy("source_no").agg(F.sum("blocks").alias("b")).collect()}
+    placed = rows.join(F.broadcast(plan), rows["__src"].eqNullSafe(plan["__source"]), "inner").drop("__src", "__source", "__source_size", "__target")
+    placed = placed.withColumn("__shard", F.pmod(F.col("__ord"), F.col("__shards")).cast("int"))
+    per_shard = placed.groupBy("__no", "__shard").agg(F.sum("__size").alias("words"))
+    blocks_of = F.when(F.col("words") == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col("words") / block_words))).cast("long")
+    per_shard = materialize(per_shard.withColumn("blocks", blocks_of), "mix-shards")
+    n_blocks = {r["__no"]: r["b"] for r in per_shard.groupBy("__no").agg(F.sum("blocks").alias("b")).collect()}
     blocks = [n_blocks.get(i, 0) or 0 for i in range(len(found))]
     wanted = [g * b / w if w else 0.0 for g, b, w in zip(goal, blocks, sizes, strict=True)]
     quota = sainte_lague(wanted, round(math.fsum(wanted)), [max_repeat * b for b in blocks])
-    quotas = spark.createDataFrame([(i, int(q), max_repeat) for i, q in enumerate(quota)], "source_no int, source_quota long, max_repeat int")
+    quotas = spark.createDataFrame([(i, int(q), max_repeat) for i, q in enumerate(quota)], "__no int, source_quota long, max_repeat int")
     shard_plan = (
-        per_shard.join(F.broadcast(quotas), "source_no")
-        .select(F.col("source_no").alias("src"), "shard", "blocks", "source_quota", "max_repeat")
+        per_shard.join(F.broadcast(quotas), "__no")
+        .select(F.col("__no").alias("src"), F.col("__shard").alias("shard"), "blocks", "source_quota", "max_repeat")
         .groupBy("src").applyInPandas(_shard_quotas, "src int, shard int, blocks long, quota long")
     )
-    shard_plan = materialize(shard_plan, "mix-quotas").withColumnRenamed("src", "source_no")
-    seed_no = F.abs(F.xxhash64(F.lit(seed), F.col("source_no"))) % F.lit(2_147_483_647)
-    laid = (
-        placed.select("doc_id", "size", "ord", "source_no", "shard").join(shard_plan, ["source_no", "shard"])
-        .select("doc_id", F.col("source_no").alias("src"), "size", "ord", "shard", "blocks", "quota", seed_no.alias("seed"))
+    shard_plan = materialize(shard_plan.toDF("__no", "__shard", "__blocks", "__quota"), "mix-quotas")
+    seed_no = F.abs(F.xxhash64(F.lit(seed), F.col("__no"))) % F.lit(2_147_483_647)
+    laid = placed.drop("__shards").join(shard_plan, ["__no", "__shard"]).withColumn("__seed", seed_no)
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    taken = laid.groupBy("__no", "__shard").applyInPandas(lambda pdf: _take_beside(pdf, keep), _TAKEN + kinds)
+    named = F.broadcast(plan.drop("__shards"))
+    return taken.join(named, "__no").select(
+        F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("__taken").alias("taken"), F.col("__source").alias("source"),
+        F.arrays_zip(F.col("__start").alias("start"), F.col("__end").alias("end")).alias("spans"), *keep,
     )
-    taken = laid.groupBy("src", "shard").applyInPandas(_take, "doc_id long, src int, size long, taken long, start array<int>, end array<int>")
-    named = F.broadcast(plan.withColumnRenamed("src", "source"))
-    spans = F.arrays_zip("start", "end").alias("spans")
-    return taken.join(named, taken["src"] == named["source_no"]).select("doc_id", "size", "source_size", "target", "taken", "source", spans)
 
 
 def mixed_text(text, size, taken, spans=None) -> F.Column:
     """The words that the mix takes of a text: whole copies, then `spans`, each part after a line end.
 
-    Only without `spans`, for who has no more than a count, are the words beyond whole copies the first ones.
+    Only without `spans`, for who has no more than a count, are the words beyond whole copies the first ones. A null text, or one that
+    nothing is taken of, gives the empty text.
     """
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    copies, rest = F.floor(taken / size).cast("int"), (taken % size).cast("int")
+    some = F.greatest(size, F.lit(1))
+    copies, rest = F.floor(taken / some).cast("int"), (taken % some).cast("int")
     if spans is None:
         spans = F.array(F.struct(F.lit(0).alias("start"), rest.alias("end")))
     whole = F.when(copies > 0, F.array_join(F.array_repeat(text, copies), "\n"))

@@ -2,9 +2,10 @@
 
 Steps, all over whole texts:
 
-1. Texts become sets of word shingles; equal sets collapse to one representative each (smallest doc_id), so copies never
-   meet each other again. A representative keeps its signature, not its set.
-2. Signatures are cut into bands; a band value shared by several representatives is a bucket. The bucket's smallest id is its
+1. Texts become sets of word shingles; equal sets collapse to one representative each (the first of their rows), so copies never
+   meet each other again. A representative keeps its signature, not its set. Representatives are named by a number of their own,
+   never by a doc_id, so null and repeated ids lose no link.
+2. Signatures are cut into bands; a band value shared by several representatives is a bucket. The bucket's smallest number is its
    centre. Every member is compared with the centre: linear in the members, whatever the size of a bucket.
 3. A comparison looks at a batch of signature positions at a time and stops as soon as the posterior probability (uniform
    prior) of a similarity at the threshold or above falls below `miss`. Survivors are confirmed on their full sets.
@@ -12,17 +13,21 @@ Steps, all over whole texts:
    compared with `CENTRES` of that component's members, drawn by hash: again linear in the members. This is done `ROUNDS`
    times, so in a large group of near copies nearly all that belong together are joined.
 5. What is still open is settled pair by pair: members outside the bucket's largest component against all that are in another
-   component, in square blocks of signatures and sets, so a task holds a bounded number of rows however large the bucket is.
-   A pair is looked at in the first band it shares only, and survivors of its signatures are confirmed in place, so only
-   links leave a block, fewer than it has rows. Nothing is capped, and what has been joined costs nothing more.
-6. All links together give the final components.
+   component, in square blocks, so a task holds a bounded number of rows and bytes however large the bucket is. A pair is looked
+   at in the first band it shares only. Blocks of signatures tell first which members have a partner that isn't pruned; only those
+   are sent once more with their sets and confirmed in place, so only links leave a block, fewer than it has rows. Nothing is
+   capped, and what has been joined costs nothing more.
+6. All links together give the final components, named by their smallest doc_id.
 
 The chance to lose a link at similarity s is that of sharing no band, (1 - s**rows) ** bands (4e-7 at 0.85 by default), plus
 that of being pruned (about `miss` for each batch).
 
 Defined edge cases: a null text, or one without words, has an empty set and is linked with nothing; fewer than `width` words
-make one shingle; repeated rows (same doc_id) count as copies; rows with a null doc_id are classified by text like any other
-but never name a component unless alone (then it is null); an empty table gives an empty result; extra columns pass by.
+make one shingle; rows are classified each by its text, so rows that share a doc_id but not their text may be in different
+components (both are then named by that id or a smaller one), and repeated rows get equal rows; rows with a null doc_id are
+classified like any other but never name a component unless all of it is without ids (then its name is null); `kept` is true for
+every row whose doc_id is its component's name, also if several share it; an empty table gives an empty result; extra columns
+pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,15 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.shingles import MinHasher, jaccard_at_least, mix64, shingle_sets
-from lamina.session import materialize
+from lamina.llm.verdicts import NAME, named
+from lamina.session import materialize, scope
 
 WIDTH, PERCENT = 5, 85
 BANDS, ROWS, SIGNATURE, BATCH = 20, 4, 128, 16
 MISS = 1e-6
 #: Members of a component that others are compared with in step 4, and how often.
 CENTRES, ROUNDS = 8, 1
-#: Rows of a side of a block in step 5.
-BLOCK = 512
+#: Rows of a side of a block in step 5, and the bytes of their sets, on average.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Ids of documents to be read again are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -102,8 +108,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = mix64(key ^ v[:, r])
             bands.append(key.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "sig", "bands"],
+            [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc_id", *NAME, "n_shingles", "digest", "sig", "bands"],
         )
 
 
@@ -136,23 +142,50 @@ def _confirmed(percent: int):
     return run
 
 
+def _asks(rows: pd.DataFrame, minor: pd.DataFrame, limits: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one block of step 5: each row of `minor`, by its place, with the places of the `rows` that it is to be confirmed with."""
+    if rows.empty or minor.empty:
+        return
+    key, centre = int(rows["key"].iloc[0]), int(rows["centre"].iloc[0])
+    ids, comp, is_minor = rows["id"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["minor"].to_numpy(bool)
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, SIGNATURE)
+    bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
+    for n, (i, c, s, own) in enumerate(zip(minor["id"].tolist(), minor["comp"], minor["sig"], minor["bands"], strict=True)):
+        if i == centre:
+            continue
+        # Between two minor rows the smaller id asks; rows of the largest component are asked by every minor row.
+        at = np.flatnonzero((comp != c) & (ids != centre) & (~is_minor | (ids > i)))
+        if len(at):
+            own = np.asarray(own, np.int64)
+            at = at[own[(bands[at] == own).argmax(1)] == key]
+            mine = np.frombuffer(s, np.uint32)
+            at = at[survivors(sig[at], np.broadcast_to(mine, (len(at), SIGNATURE)), limits)]
+        if len(at):
+            yield n, at
+
+
+def _wanted(percent: int):
+    """The rows of one block that aren't pruned by every partner, from signatures alone."""
+    limits = least_matches(percent)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, minor = pdf[~pdf["as_minor"]], pdf[pdf["as_minor"]]
+        of_rows, of_minor = np.zeros(len(rows), bool), np.zeros(len(minor), bool)
+        for n, at in _asks(rows, minor, limits):
+            of_rows[at] = of_minor[n] = True
+        return pd.concat([rows[of_rows], minor[of_minor]])[["key", "x", "y", "as_minor", "id"]]
+
+    return run
+
+
 def _blocks(percent: int):
-    """Compare the rows of one block of step 5, `minor` ones against all, unless something has joined them already; of the
-    links found, those that join anything in the block are returned."""
+    """Confirm the pairs of one block, unless something has joined them already; of the links found, those that join anything in the
+    block are returned."""
     limits = least_matches(percent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[~pdf["as_minor"]]
-        minor = pdf[pdf["as_minor"]]
-        if rows.empty or minor.empty:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        key = int(pdf["key"].iloc[0])
-        ids, comp = rows["id"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64)
-        is_minor = rows["minor"].to_numpy(bool)
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, SIGNATURE)
-        bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
-        centre = int(rows["centre"].iloc[0])
-        sets = rows["set"].tolist()
+        rows, minor = pdf[~pdf["as_minor"]], pdf[pdf["as_minor"]]
+        ids, sets, own_ids, own_sets = rows["id"].tolist(), rows["set"].tolist(), minor["id"].tolist(), minor["set"].tolist()
         links: list[tuple[int, int]] = []
         parent: dict[int, int] = {}
 
@@ -162,24 +195,12 @@ def _blocks(percent: int):
                 x = up
             return x
 
-        for i, c, s, own, own_set in zip(minor["id"].tolist(), minor["comp"], minor["sig"], minor["bands"], minor["set"], strict=True):
-            if i == centre:
-                continue
-            # Between two minor rows the smaller id asks; rows of the largest component are asked by every minor row.
-            ask = (comp != c) & (ids != centre) & (~is_minor | (ids > i))
-            at = np.flatnonzero(ask)
-            if not len(at):
-                continue
-            shared = bands[at] == np.asarray(own, np.int64)
-            first = np.asarray(own, np.int64)[shared.argmax(1)]
-            at = at[first == key]
-            mine = np.frombuffer(s, np.uint32)
-            at = at[survivors(sig[at], np.broadcast_to(mine, (len(at), SIGNATURE)), limits)]
-            words = np.frombuffer(own_set, np.uint64)
+        for n, at in _asks(rows, minor, limits):
+            i, words = own_ids[n], np.frombuffer(own_sets[n], np.uint64)
             for j in at.tolist():
-                if root(i) != root(int(ids[j])) and jaccard_at_least(words, np.frombuffer(sets[j], np.uint64), percent)[0]:
-                    links.append((min(i, int(ids[j])), max(i, int(ids[j]))))
-                    parent[root(i)] = root(int(ids[j]))
+                if root(i) != root(ids[j]) and jaccard_at_least(words, np.frombuffer(sets[j], np.uint64), percent)[0]:
+                    links.append((min(i, ids[j]), max(i, ids[j])))
+                    parent[root(i)] = root(ids[j])
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return run
@@ -217,20 +238,19 @@ def _prune(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_pruned(percent), "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
+    sets = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), places, docs)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, set) of the documents named, made again from their texts."""
-    ids = materialize(ids.distinct(), "pair-ids")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    small = ids.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"])
+def _sets_of(ids: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set) of the representatives named, made again from the texts of their rows (`places`: id and `NAME`)."""
+    rows = materialize(ids.distinct().join(places, "id"), "pair-ids")
+    small = rows.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(rows) if small else rows, NAME).select("id", "text")
     return materialize(texts.mapInArrow(_sets, "id long, set binary"), "pair-sets")
 
 
@@ -245,24 +265,50 @@ def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     return materialize(open_, "near-open")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: bool = False) -> DataFrame:
     """Classes of `docs` (doc_id, text) under links of similarity `percent` / 100 or more.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id).
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id). With `rows`, `docs` comes
+    from `verdicts.named`, and the result has its names and `class`, a number of the component, null for an empty set.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
-    base = materialize(made, "near-base")
-    reps = materialize(base.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")), "near-reps")
-    # Representatives with their signature: the row of the smallest id of each set.
-    sigs = base.select(F.col("doc_id").alias("id"), "sig", "bands").join(reps.select("id"), "id").dropDuplicates(["id"])
-    sigs = materialize(sigs, "near-sigs")
+    spark = docs.sparkSession
+    with scope(spark):
+        docs = (docs if rows else named(docs.select("doc_id", "text"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *NAME)
+        kinds = f"doc_id long, {NAME[0]} long, {NAME[1]} long, n_shingles long, digest binary, sig binary, bands array<long>"
+        base = materialize(docs.mapInArrow(_signatures, kinds).withColumn("no", F.monotonically_increasing_id()), "near-base", outer=1)
+        filled = base.where("digest IS NOT NULL")
+        reps = materialize(filled.groupBy("digest").agg(F.min("no").alias("id"), F.min("doc_id").alias("doc")), "near-reps")
+        label = _labels(docs, filled, reps, percent)
+        classes = reps.join(label, "id", "left").select("digest", "doc", "comp", F.coalesce("comp", "id").alias("class"))
+        classes = materialize(classes, "near-classes")
+        names = classes.where("comp IS NOT NULL").groupBy("class").agg(F.min("doc").alias("name"))
+        classes = classes.join(names, "class", "left").select("digest", "class", F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component_id"))
+        classes = materialize(classes, "near-named", outer=1)
+        # Copies: a set with a large share of the rows is one of few, by counting, and is broadcast; the rest is shuffled.
+        sizes = filled.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+        heavy = sizes.where(F.col("copies") > max(1, base.count() // 1000)).join(classes, "digest").select("digest", "class", "component_id")
+        heavy = materialize(heavy, "near-heavy", outer=1)
+    columns = ["doc_id", "n_shingles", "class", "component_id", *NAME]
+    plain = base.select("doc_id", "n_shingles", "digest", *NAME)
+    marked = plain.where("digest IS NOT NULL").join(F.broadcast(heavy), "digest", "left")
+    light = marked.where("class IS NULL").drop("class", "component_id").join(classes, "digest", "left").select(*columns)
+    out = marked.where("class IS NOT NULL").select(*columns).unionByName(light)
+    out = out.unionByName(plain.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"), *NAME))
+    out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out if rows else out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _labels(docs: DataFrame, filled: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(id, comp) of the representatives `reps` that have a link: steps 2 to 6."""
+    own = filled.select(F.col("no").alias("id"), "n_shingles", "sig", "bands", *NAME)
+    sigs = materialize(own.join(reps.select("id"), "id"), "near-sigs")
+    places = sigs.select("id", *NAME)
 
     keys = sigs.select("id", F.explode("bands").alias("key"))
     buckets = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1"), "near-buckets")
     members = materialize(keys.join(buckets, "key").select("key", "id", "centre", "n"), "near-members")
     star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_confirm(materialize(_prune(star, sigs, percent), "near-pairs"), docs, percent), "near-links")
+    links = materialize(_confirm(materialize(_prune(star, sigs, percent), "near-pairs"), places, docs, percent), "near-links")
     label = components(links)
 
     for _ in range(ROUNDS):
@@ -272,31 +318,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         centres = materialize(centres, "near-centres").select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
         pairs = open_.where("minor AND id <> centre").join(centres, "key").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         pairs = materialize(_prune(pairs.distinct().join(links, ["a", "b"], "left_anti"), sigs, percent), "near-pairs")
-        more = materialize(_confirm(pairs, docs, percent), "near-links")
+        more = materialize(_confirm(pairs, places, docs, percent), "near-links")
         if not more.limit(1).count():
             break
         links = materialize(links.union(more), "near-links")
         label = components(links)
 
-    open_ = _open(members, label)
-    blocks = (
-        open_.withColumn("na", F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("int")).withColumn("nb", F.ceil(F.col("rows") / BLOCK).cast("int"))
-        .withColumn("h", F.xxhash64("id"))
-    )
-    as_row = blocks.select("key", "id", "centre", "comp", "minor", F.lit(False).alias("as_minor"), F.explode(F.expr("sequence(0, na - 1)")).alias("x"), F.expr("cast(pmod(h, nb) as int)").alias("y"))
-    as_minor = blocks.where("minor").select("key", "id", "centre", "comp", "minor", F.lit(True).alias("as_minor"), F.expr("cast(pmod(h, na) as int)").alias("x"), F.explode(F.expr("sequence(0, nb - 1)")).alias("y"))
-    work = as_row.union(as_minor).join(sigs.join(_sets_of(open_.select("id"), docs), "id"), "id")
-    links2 = materialize(work.groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long"), "near-links")
-    label = components(links.union(links2)) if links2.limit(1).count() else label
-
-    classes = reps.join(label, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
-    plain = base.select("doc_id", "n_shingles", "digest")
-    out = plain.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    # Copies: a set with a large share of the rows is one of few, by counting, and is broadcast; the rest is shuffled.
-    sizes = plain.where("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    heavy = materialize(sizes.where(F.col("copies") > max(1, base.count() // 1000)).join(classes, "digest").select("digest", "component_id"), "near-heavy")
-    marked = plain.where("digest IS NOT NULL").join(F.broadcast(heavy), "digest", "left")
-    light = marked.where("component_id IS NULL").select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = out.unionByName(marked.where("component_id IS NOT NULL").select("doc_id", "n_shingles", "component_id"))
-    out = out.unionByName(light.select("doc_id", "n_shingles", "component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    work = materialize(_work(_open(members, label), sigs), "near-work")
+    data = sigs.select("id", "sig", "bands")
+    kinds = "key long, x int, y int, as_minor boolean, id long"
+    wanted = materialize(work.join(data, "id").groupBy("key", "x", "y").applyInPandas(_wanted(percent), kinds), "near-wanted")
+    sets = _sets_of(wanted.select("id"), places, docs)
+    block = work.join(wanted, ["key", "x", "y", "as_minor", "id"], "left_semi").join(data.join(sets, "id"), "id")
+    found = materialize(block.groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long"), "near-links")
+    return components(links.union(found)) if found.limit(1).count() else label
+
+
+def _work(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The members of open buckets dealt to blocks (key, x, y): each as a row of every x, minor ones also as askers of every y. There
+    are as many x and y as rows and bytes of sets ask for."""
+    sized = open_.join(sigs.select("id", "n_shingles"), "id")
+    large = sized.groupBy("key").agg(F.sum(F.col("n_shingles") * 8).alias("bytes"), F.sum(F.when(F.col("minor"), F.col("n_shingles") * 8)).alias("minor_bytes"))
+    parts = lambda rows, size: F.ceil(F.greatest(F.col(rows) / BLOCK, F.col(size) / BLOCK_BYTES)).cast("int")
+    # Written, so that both sides of the join are plain exchanges and a hot bucket is split between tasks.
+    blocks = open_.join(materialize(large, "near-large"), "key").withColumn("minors", F.col("rows") - F.col("most"))
+    blocks = blocks.withColumn("na", parts("minors", "minor_bytes")).withColumn("nb", parts("rows", "bytes")).withColumn("h", F.xxhash64("id"))
+    columns = ["key", "id", "centre", "comp", "minor"]
+    as_row = blocks.select(*columns, F.lit(False).alias("as_minor"), F.explode(F.expr("sequence(0, na - 1)")).alias("x"), F.expr("cast(pmod(h, nb) as int)").alias("y"))
+    as_minor = blocks.where("minor").select(*columns, F.lit(True).alias("as_minor"), F.expr("cast(pmod(h, na) as int)").alias("x"), F.explode(F.expr("sequence(0, nb - 1)")).alias("y"))
+    return as_row.union(as_minor)

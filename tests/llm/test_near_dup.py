@@ -116,3 +116,50 @@ def test_shingles_do_not_depend_on_neighbours():
 def test_pruning_keeps_what_it_must():
     limits = dict(near_dup.least_matches())
     assert all(limits[n] <= 0.85 * n - 3 * (0.85 * 0.15 * n) ** 0.5 for n in limits) and limits[128] > 128 * 0.65
+
+
+def brute_rows(rows, percent=85):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    parent = {n: n for n in range(len(sets))}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (n, (_, a)), (m, (_, b)) in combinations(enumerate(sets), 2):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = sorted((root(n), root(m)))
+            parent[y] = x
+    name = {}
+    for n, (i, _) in enumerate(sets):
+        r = root(n)
+        name[r] = min((x for x in (i, name.get(r)) if x is not None), default=None)
+    return sorted(((i, len(s), name[root(n)], i == name[root(n)]) for n, (i, s) in enumerate(sets)), key=str)
+
+
+def got_rows(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()), key=str)
+
+
+def test_null_and_shared_ids_lose_no_link(docs):
+    rng = random.Random(6)
+    base = [" ".join(f"{k}w{i}" for i in range(120)) for k in "abcd"]
+    texts = [t for b in base for t in family(rng, b, 6, 2)] + ["one text", "two texts", None, "", "one text"]
+    rows = [(rng.choice((None, 1, 1, 2, 9, 30 + n)), t) for n, t in enumerate(texts)]
+    rows += [(1, base[0]), (1, "no kin at all of anything else here"), (9, base[0] + " end"), (None, base[3]), (None, base[3] + " end"), (None, "alone without an id")]
+    assert got_rows(near_dup.near_duplicates(docs(rows))) == brute_rows(rows)
+
+
+def test_blocks_are_bounded_by_bytes(docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    rng = random.Random(3)
+    rows = list(enumerate(family(rng, " ".join(f"w{i}" for i in range(260)), 60, 8)))
+    assert got_rows(near_dup.near_duplicates(docs(rows))) == brute_rows(rows)
+
+
+def test_components_of_a_hub(spark):
+    star = spark.range(1, 200_001).selectExpr("0L AS a", "id AS b")
+    label = near_dup.components(star)
+    assert label.count() == 200_001 and label.where("comp <> 0").count() == 0
