@@ -18,9 +18,9 @@ Layout, all integers little-endian:
 Spark's writer and its commit protocol reach any store and survive lost or repeated tasks. `Image` opens one, also from a
 plain file that holds the same bytes (`export`).
 
-Defined edge cases: a null text is the empty text, which is the end id alone; rows with a null doc_id come first, in no
-promised order among each other, as do rows that repeat a doc_id, at its place; an empty table
-gives no image; extra columns pass by.
+Defined edge cases: a null text is the empty text, which is the end id alone; rows with a null doc_id come first; rows without an id,
+and rows that share one, are in the order of a hash of their texts, then of the texts, however the table is laid out; an empty table gives
+no image; extra columns pass by.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.bpe import byte_alphabet
 from lamina.llm.shingles import mix64, running_hash, span_hash
-from lamina.session import partitions, scratch
+from lamina.session import scratch
 
 MAGIC = b"LAMTOK01"
 BLOCK_TOKENS = 4096
@@ -148,7 +148,8 @@ _MAY_BE_LETTER = (_BYTES >= 128) | ((_BYTES | 32 >= 97) & (_BYTES | 32 <= 122))
 
 
 class _Known:
-    """Ids by a 64-bit hash: an open hash table over flat arrays, asked for many hashes at once."""
+    """Ids by a 64-bit hash: an open hash table over flat arrays, asked for many hashes at once. It keeps the words too, so that whoever
+    asks can see whether a hash stood for the word meant."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -158,10 +159,19 @@ class _Known:
         self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.start, self.size, self.letters = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, bool)
         self.ids = np.zeros(1 << 12, np.uint32)
-        self.count = self.used = 0
+        self.word_start, self.word_size, self.words = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint8)
+        self.count = self.used = self.word_bytes = 0
 
     def full(self) -> bool:
-        return self.count > REMEMBERED or self.used > 16 * REMEMBERED
+        return self.count > REMEMBERED or self.used > 16 * REMEMBERED or self.word_bytes > 32 * REMEMBERED
+
+    def holds(self, entry: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bool:
+        """Whether every entry is that of the word data[begin:end] beside it."""
+        size = end - begin
+        if (self.word_size[entry] != size).any():
+            return False
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.array_equal(data[np.repeat(begin, size) + step], self.words[np.repeat(self.word_start[entry], size) + step])
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -180,11 +190,20 @@ class _Known:
             todo = todo[(got != h[todo]) & (got != 0)]
         return out
 
-    def add(self, h: np.ndarray, ids: list[list[int]], letters: list[bool]) -> None:
+    def add(self, h: np.ndarray, words: list[bytes], ids: list[list[int]], letters: list[bool]) -> None:
         """Entries for distinct new hashes."""
         n, size = len(h), np.fromiter(map(len, ids), np.int64, len(ids))
         while self.count + n > len(self.start):
             self.start, self.size, self.letters = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.letters))
+            self.word_start, self.word_size = (np.concatenate((x, np.zeros_like(x))) for x in (self.word_start, self.word_size))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        while self.word_bytes + len(text) > len(self.words):
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)))
+        length = np.fromiter(map(len, words), np.int64, n)
+        self.word_start[self.count : self.count + n] = self.word_bytes + np.cumsum(length) - length
+        self.word_size[self.count : self.count + n] = length
+        self.words[self.word_bytes : self.word_bytes + len(text)] = text
+        self.word_bytes += len(text)
         while self.used + int(size.sum()) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         entry = slice(self.count, self.count + n)
@@ -210,8 +229,9 @@ class CachedEncoder:
 
     The byte-level pattern never joins what stands on both sides of a single space or line end whose neighbours aren't white
     space, nor a word of letters and one mark after it. So texts are cut there, all at once over their bytes; the words are
-    hashed (64 bits), looked up and their ids strung together without a step in Python for each. A text with other white space
-    than single spaces and line ends, or with a special token's opening, is given to the library as a whole.
+    hashed (64 bits), looked up, compared with the remembered words byte by byte, and their ids strung together without a step in Python
+    for each. A group of texts in which two words share a hash, and a text with other white space than single spaces and line ends, or
+    with a special token's opening, are given to the library as a whole.
     """
 
     def __init__(self, spec: str):
@@ -256,8 +276,8 @@ class CachedEncoder:
         whole, group, size = [], [], 0
         for i, t in enumerate(texts):
             (group if self.simple(t) else whole).append(i)
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
+        for i, ids in zip(whole, self.by_library([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         at = 0
         for n, i in enumerate(group):
             size += len(texts[i])
@@ -268,6 +288,9 @@ class CachedEncoder:
                 at, size = n + 1, 0
         return out
 
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _together(self, texts: list[bytes]) -> list[bytes]:
         if self.known.full():
             self.known.clear()
@@ -290,13 +313,15 @@ class CachedEncoder:
                 where = np.flatnonzero(found < 0)[first]
                 words = [raw[a:b].decode() for a, b in zip(start[todo[where]].tolist(), stop[where].tolist(), strict=True)]
                 letters = [w.isalpha() for w in words]
-                spaced = (before[todo[where]] == 32).tolist()
-                self.known.add(new, [self.piece(" " + w if s else w, k) for w, s, k in zip(words, spaced, letters, strict=True)], letters)
+                words = [" " + w if s else w for w, s in zip(words, (before[todo[where]] == 32).tolist(), strict=True)]
+                self.known.add(new, [w.encode() for w in words], [self.piece(w, k) for w, k in zip(words, letters, strict=True)], letters)
                 found = self.known.find(h)
             entry[todo] = found
             # What isn't letters alone is cut together with its mark.
             todo = todo[mark[todo] & ~self.known.letters[found]]
             mark[todo] = False
+        if not self.known.holds(entry, data, start - (before == 32), end - mark):
+            return self.by_library([t.decode() for t in texts])
         line = before == 10
         size = self.known.size[entry].astype(np.int64)
         each = size + line + mark
@@ -317,7 +342,8 @@ _loaded: dict[int, CachedEncoder] = {}
 
 def ascending_runs(rows: DataFrame) -> list[tuple[int, int]] | None:
     """First and last id of the ascending runs of `rows` (doc_id, file) as tasks read them, each within a file, in order; None if
-    runs overlap, an id is null, or there are more than `MAX_RUNS`, or than 4 for each task and 16 (each run begins an image)."""
+    runs overlap or share an id, an id is null or occurs twice, or there are more than `MAX_RUNS`, or than 4 for each task and 16 (each
+    run begins an image)."""
     most = min(MAX_RUNS, 16 + 4 * rows.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +353,9 @@ def ascending_runs(rows: DataFrame) -> list[tuple[int, int]] | None:
             if not len(ids):
                 continue
             names = batch.column(1).dictionary_encode().indices.to_numpy()
-            begins = np.flatnonzero((ids[1:] < ids[:-1]) | (names[1:] != names[:-1])) + 1
+            begins = np.flatnonzero((ids[1:] <= ids[:-1]) | (names[1:] != names[:-1])) + 1
             starts, ends = ids[[0, *begins]].tolist(), ids[[*(begins - 1), len(ids) - 1]].tolist()
-            if first is not None and batch.column(1)[0].as_py() == file and starts[0] >= last:
+            if first is not None and batch.column(1)[0].as_py() == file and starts[0] > last:
                 starts[0] = first
             elif first is not None:
                 starts, ends = [first, *starts], [last, *ends]
@@ -356,8 +382,8 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
 
     Rows: part, seq, first_doc, documents, tokens, image; in document order by part, first_doc, seq. Where the ids, which are read
     first on their own, turn out to lie in ascending runs that don't overlap, texts are encoded where they are read. Else they
-    are range-partitioned by id before they are encoded, so sampling for the ranges runs no Python and each text is encoded once;
-    a task gets about `TASK_BYTES` of text, more only where the session's shuffle partitions are too few.
+    are range-partitioned by id (and a hash of the text, as many rows may lack an id) before they are encoded, so sampling for the ranges
+    runs no Python and each text is encoded once; a task gets about `TASK_BYTES` of text.
     """
     spark = docs.sparkSession
     shared, width = spark.sparkContext.broadcast(spec), bits_for(vocabulary)
@@ -405,9 +431,9 @@ def write_images(docs: DataFrame, spec: str, end_id: int, path: str, vocabulary:
         starts = spark.sparkContext.broadcast([first for first, _ in runs])
     else:
         starts = None
-        size = rows.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0
-        tasks = max(1, min(partitions(spark), math.ceil(rows.count() * size / TASK_BYTES)))
-        rows = rows.withColumn("file", F.lit("")).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        keys = [F.col("doc_id"), F.xxhash64("text")]
+        rows = rows.withColumn("file", F.lit("")).repartitionByRange(max(1, math.ceil(size / TASK_BYTES)), *keys).sortWithinPartitions(*keys, "text")
     rows.mapInArrow(run, "part int, seq int, first_doc long, documents long, tokens long, image binary").write.parquet(path)
 
 

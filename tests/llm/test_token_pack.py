@@ -48,6 +48,19 @@ def test_encoder_is_the_library(monkeypatch):
         monkeypatch.setattr(tp, "REMEMBERED", 5)
 
 
+def test_words_that_share_a_hash(monkeypatch):
+    library, own = Tokenizer.from_str(SPEC), tp.CachedEncoder(SPEC)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé1'") for _ in range(rng.randint(1, 6))) + rng.choice(("", ",", "!")) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    monkeypatch.setattr(tp, "span_hash", lambda total, start, end: (end - start).astype(np.uint64))
+    calls = []
+    monkeypatch.setattr(own, "by_library", lambda t, f=own.by_library: calls.append(len(t)) or f(t))
+    for part in (texts[:100], texts[100:]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    assert sum(calls) == 200
+
+
 def test_query(spark, docs):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(("the", "ationing,", "x\n", "é", "")) for _ in range(rng.choice((0, 3, 50))))) for i in range(120)]
@@ -79,6 +92,17 @@ def test_rows_in_order_are_not_shuffled(spark, docs, tmp_path):
     assert sorted(map(tuple, tp.pack_documents(stored, SPEC, 2, 50_257).collect())) == both[0]
 
 
+def test_order_of_shared_ids_does_not_depend_on_the_layout(spark, docs, tmp_path):
+    rows = [(1, "first"), (2, "two words"), (2, "other words, more"), (2, "x"), (2, "x"), (3, "last")] + [(None, f"null {i} " * i) for i in range(6)]
+    tables = [docs(rows).coalesce(1), docs(rows[::-1]).coalesce(1), docs(rows).repartition(5), docs(sorted(rows, key=str)).coalesce(1)]
+    docs(rows[:6]).coalesce(1).write.parquet(str(tmp_path / "t"))
+    results = [sorted(map(tuple, tp.pack_documents(t, SPEC, 2, 50_257).collect()), key=str) for t in tables]
+    assert results[0] == results[1] == results[2] == results[3]
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert tp.ascending_runs(tp.numbered(stored)) is None
+    assert len({r[1] for r in results[0]}) == len(rows)
+
+
 def test_many_images_and_export(spark, docs, tmp_path):
     path = str(tmp_path / "images")
     tp.write_images(docs([(i, "a b c d " * 20) for i in range(50)] + [(None, "x")]), SPEC, 2, path, 50_257, block=16, image=200)
