@@ -88,13 +88,19 @@ ORACLE_SQL = {
         r AS (
             SELECT page_id * 2 AS record_id, url AS uri, hour AS ts, true AS is_full, '"' || digest || '"' AS etag, lm, digest, size FROM p WHERE page_id % 11 <> 0
             UNION ALL
-            SELECT page_id * 2 + 1, regexp_replace(url, '^https?://', 'HTTPS://WWW.') || '#again', hour + 60 * (1 + page_id % 5), false,
-                   CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 7 > 2 THEN 'W/"' || digest || '"' END, lm, NULL, 0 FROM p),
-        s AS (SELECT *, regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM r),
+            SELECT page_id * 2 + 1, regexp_replace(CASE WHEN page_id % 5 = 0 THEN replace(url, '/en/', '/x/../%65n/./') ELSE url END, '^https?://', 'HTTPS://WWW.') || '#again',
+                   hour + 60 * (1 + page_id % 5), false, CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 7 > 2 THEN 'W/"' || digest || '"' END, lm,
+                   CASE WHEN page_id % 13 = 0 THEN digest WHEN page_id % 17 = 0 THEN 'another' END, 0 FROM p),
+        s0 AS (SELECT *, string_split(regexp_replace(regexp_replace(trim(uri), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '%') AS parts FROM r),
+        s AS (SELECT *, parts[1] || array_to_string(list_transform(parts[2:], lambda x: CASE
+                WHEN NOT regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN '%' || x
+                WHEN regexp_matches(upper(x[1:2]), '^(2D|2E|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A]|7E)$') THEN chr(('0x' || x[1:2])::INTEGER) || x[3:]
+                ELSE '%' || upper(x[1:2]) || x[3:] END), '') AS rest FROM s0),
         k AS (
             SELECT *, nullif(
                 regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\d*\.', '')
-                || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+                || regexp_replace(array_to_string(list_reduce(list_transform(string_split(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/'), lambda x: [x]),
+                       lambda done, x: CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN done[:greatest(1, len(done) - 1)] ELSE list_concat(done, x) END), '/'), '/+$', '')
                 || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END, '') AS url_key
             FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
                   lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|sid|sessionid|jsessionid|phpsessid)(=|$)'))) AS q FROM s)),
@@ -104,10 +110,10 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY k.record_id ORDER BY b.ts DESC, b.record_id DESC) AS n
             FROM k LEFT JOIN f AS b ON NOT k.is_full AND b.url_key = k.url_key AND b.ts < k.ts),
         o AS (
-            SELECT *, CASE WHEN is_full THEN 'full' WHEN b_id IS NULL THEN 'no_base'
+            SELECT *, CASE WHEN is_full THEN 'full' WHEN b_id IS NULL THEN 'no_base' WHEN digest <> b_digest THEN 'mismatch'
                 WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = b_etag THEN 'resolved' ELSE 'mismatch' END
                 WHEN lm IS NOT NULL AND b_lm IS NOT NULL THEN CASE WHEN lm = b_lm THEN 'resolved' ELSE 'mismatch' END
-                ELSE 'unchecked' END AS outcome FROM j WHERE n = 1)
+                WHEN digest IS NOT NULL THEN 'resolved' ELSE 'unchecked' END AS outcome FROM j WHERE n = 1)
         SELECT record_id, url_key, ts, outcome,
                CASE WHEN is_full THEN record_id WHEN outcome IN ('resolved', 'unchecked') THEN b_id END AS base_id,
                CASE WHEN is_full THEN digest WHEN outcome IN ('resolved', 'unchecked') THEN b_digest END AS digest,

@@ -10,7 +10,8 @@ that bounds what is broadcast. The rows that move hold headers, never payloads:
 
 Defined edge cases: a record without a URL has no base (`no_base`); a full response at the very time of a revisit is not
 earlier; of full responses at one time the largest record id counts; a revisit without any validator in common with its base is
-`unchecked` and takes its URL's word; entity tags are compared weakly (W/ is ignored); null header maps are empty; repeated rows
+`unchecked` and takes its URL's word; entity tags are compared weakly (W/ is ignored) and go before dates; if both state a digest, it must
+be the same whatever the other validators say; null header maps are empty; repeated rows
 get equal rows; an empty table gives an empty result; columns other than those named pass by.
 """
 
@@ -27,14 +28,36 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 IGNORED_PARAMETERS = r"^(utm_[a-z]+|gclid|fbclid|sid|sessionid|jsessionid|phpsessid)(=|$)"
 
 
+#: Hexadecimal codes of the characters that RFC 3986 calls unreserved.
+UNRESERVED = "^(2D|2E|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A]|7E)$"
+
+
+def plain_escapes(text) -> F.Column:
+    """Percent-encodings in one form (RFC 3986, 6.2.2): unreserved characters are written out, the others' codes in upper case."""
+    code = lambda p: F.upper(F.substring(p, 1, 2))
+    shown = lambda p: F.when(code(p).rlike(UNRESERVED), F.char(F.conv(code(p), 16, 10).cast("int"))).otherwise(F.concat(F.lit("%"), code(p)))
+    one = lambda p: F.when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(shown(p), F.substring(p, 3, 1 << 30))).otherwise(F.concat(F.lit("%"), p))
+    parts = F.split(text, "%")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+
+
+def without_dots(path) -> F.Column:
+    """A path without its `.` and `..` segments (RFC 3986, 5.2.4)."""
+    none = F.array().cast("array<string>")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s)))
+    made = F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+    return F.when(F.contains(path, F.lit("/.")), made).otherwise(path)
+
+
 def canonical_url(url) -> F.Column:
-    """Host, path and query of a URL in one form: no scheme, `www`, default port, fragment, tracking parameter or closing slash;
-    host in lower case, parameters sorted. Null, empty and blank URLs give null."""
+    """Host, path and query of a URL in one form: no scheme, `www`, default port, fragment, dot segments, tracking parameter or closing
+    slash; percent-encodings by RFC 3986; host in lower case, parameters sorted. Null, empty and blank URLs give null."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    rest = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    rest = plain_escapes(F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://", ""))
     host = F.lower(F.regexp_extract(rest, "^([^/?]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, ":(80|443)$", ""), r"^www\d*\.", "")
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/+$", "")
+    path = F.regexp_replace(without_dots(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1)), "/+$", "")
     query = F.regexp_extract(rest, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(IGNORED_PARAMETERS)))
     out = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
@@ -87,7 +110,9 @@ def resolve(records: DataFrame) -> DataFrame:
     tags = F.col("etag").isNotNull() & F.col("base.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("base.last_modified").isNotNull()
     digests = F.col("digest").isNotNull() & F.col("base.digest").isNotNull()
-    same = F.when(tags, _bare_tag(F.col("etag")) == _bare_tag(F.col("base.etag"))).when(dates, F.col("last_modified") == F.col("base.last_modified")).when(digests, F.col("digest") == F.col("base.digest"))
+    same_digest = F.col("digest") == F.col("base.digest")
+    same = F.when(digests & ~same_digest, F.lit(False)).when(tags, _bare_tag(F.col("etag")) == _bare_tag(F.col("base.etag")))
+    same = same.when(dates, F.col("last_modified") == F.col("base.last_modified")).when(digests, same_digest)
     outcome = F.when(F.col("is_full"), "full").when(F.col("base").isNull(), "no_base").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("mismatch")
     found = found.withColumn("outcome", outcome)
     stands = F.col("outcome").isin("resolved", "unchecked")
@@ -112,7 +137,7 @@ def header_text(headers) -> F.Column:
 
 def captures(pages: DataFrame) -> DataFrame:
     """A capture log made from `pages` (page_id, url, html): a full response of most pages, and a later revisit of every page by
-    another spelling of its URL, some with a changed entity tag, some with none."""
+    another spelling of its URL, some with a changed entity tag, some with none, some with the digest or another one."""
     digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
     rows = pages.select("page_id", "url", digest.alias("digest"), F.length(F.coalesce("html", F.lit(""))).alias("size"))
     n = F.col("page_id")
@@ -129,9 +154,11 @@ def captures(pages: DataFrame) -> DataFrame:
     )
     later = hour + 60 * (1 + n % 5)
     tag = F.when(n % 7 == 0, F.lit('"changed"')).when(n % 7 > 2, text("W/", quoted))
+    spelled = F.when(n % 5 == 0, F.replace("url", F.lit("/en/"), F.lit("/x/../%65n/./"))).otherwise(F.col("url"))
+    stated = F.when(n % 13 == 0, F.col("digest")).when(n % 17 == 0, F.lit("another"))
     again = rows.select(
-        (n * 2 + 1).alias("record_id"), text(F.regexp_replace("url", "^https?://", "HTTPS://WWW."), "#again").alias("uri"), later.cast("long").alias("ts"), F.lit(False).alias("is_full"),
-        tag.alias("etag"), modified.alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        (n * 2 + 1).alias("record_id"), text(F.regexp_replace(spelled, "^https?://", "HTTPS://WWW."), "#again").alias("uri"), later.cast("long").alias("ts"), F.lit(False).alias("is_full"),
+        tag.alias("etag"), modified.alias("last_modified"), stated.alias("digest"),
         F.map_filter(
             F.create_map(F.lit("cache-control"), F.lit("max-age=90"), F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"), F.lit("etag"), tag), lambda k, v: v.isNotNull()
         ).alias("headers"),
