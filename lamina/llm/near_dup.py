@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.shingles import MinHasher, jaccard_at_least, mix64, shingle_sets
 from lamina.llm.verdicts import NAME, named
-from lamina.session import materialize, scope
+from lamina.session import materialize, scope, spread
 
 WIDTH, PERCENT = 5, 85
 BANDS, ROWS, SIGNATURE, BATCH = 20, 4, 128, 16
@@ -51,7 +51,7 @@ MISS = 1e-6
 #: Members of a component that others are compared with in step 4, and how often.
 CENTRES, ROUNDS = 8, 1
 #: Rows of a side of a block in step 5, and the bytes of their sets, on average.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 1_024, 8 << 20
 #: Ids of documents to be read again are broadcast up to this many (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -327,10 +327,10 @@ def _labels(docs: DataFrame, filled: DataFrame, reps: DataFrame, percent: int) -
     work = materialize(_work(_open(members, label), sigs), "near-work")
     data = sigs.select("id", "sig", "bands")
     kinds = "key long, x int, y int, as_minor boolean, id long"
-    wanted = materialize(work.join(data, "id").groupBy("key", "x", "y").applyInPandas(_wanted(percent), kinds), "near-wanted")
+    wanted = materialize(spread(work.join(data, "id"), "key", "x", "y").groupBy("key", "x", "y").applyInPandas(_wanted(percent), kinds), "near-wanted")
     sets = _sets_of(wanted.select("id"), places, docs)
     block = work.join(wanted, ["key", "x", "y", "as_minor", "id"], "left_semi").join(data.join(sets, "id"), "id")
-    found = materialize(block.groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long"), "near-links")
+    found = materialize(spread(block, "key", "x", "y").groupBy("key", "x", "y").applyInPandas(_blocks(percent), "a long, b long"), "near-links")
     return components(links.union(found)) if found.limit(1).count() else label
 
 
