@@ -99,13 +99,13 @@ def clean(spark: SparkSession) -> None:
     _SCOPES[0].clear()
 
 
-def materialize(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
+def materialize(df: DataFrame, name: str, outer: int = 0, codec: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
-    return _written(df, scratch(df.sparkSession, name, outer))
+    return _written(df, scratch(df.sparkSession, name, outer), codec)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def _written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
