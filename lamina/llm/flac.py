@@ -1,34 +1,47 @@
 """Media columns in FLAC: 8-bit mono streams, encoded and decoded many frames at a time.
 
+A text's bytes are the samples of one stream. `store` encodes them, `pcm_blocks` decodes stored streams to blocks of samples with their
+offsets, and `describe` writes both as tables, reads them back and derives digests and a feature from the blocks. `pcm_slice` and
+`decode_range` read some samples of one stream, by the offsets of blocks and by seek points.
+
 Encoder: blocks of 576 samples, each with the best of constant, verbatim, fixed predictors of order 0 to 2 and a quantised linear
 predictor of order 8 (autocorrelation, Levinson-Durbin), residuals Rice-coded in four partitions. A seek point for every frame
-gives the byte offset of every sample; frames carry CRC-8 of the header and CRC-16, the stream MD5 of the samples.
+gives the byte offset of every sample (blocks are of 4608 samples where a seek table could not name as many of 576); frames carry CRC-8 of the header and CRC-16, the stream MD5 of the samples.
 
 Decoder: the frames of many streams are read together. A running count of one bits finds the end of any unary code in one
 look-up, so each step reads one Rice code of every frame; linear predictors are undone one sample of every frame at a time.
-Both checksums of every frame and the MD5 of every stream are verified. Streams with other features (no seek points, other
+Both checksums of every frame and the MD5 of every stream are verified. A long stream is decoded some frames at a time, so memory holds
+the stream itself and about 40 bytes for each of `GROUP_SAMPLES` samples. Streams with other features (no seek points, other
 block sizes, escaped partitions, wasted bits) are decoded frame by frame by `decode_plain`; both give the same samples.
 
 Defined edge cases: null and empty texts are one run of 192 spaces; a text of any length is stored whole; a stored stream that
-is null gives nulls, a damaged one raises `ValueError` naming what failed; equal texts give equal streams, wherever they stand;
+is null gives no blocks and a description of nulls, a damaged one raises `ValueError` naming what failed; rows with null or shared ids
+are streams of their own; equal texts give equal streams, wherever they stand;
 an empty table gives an empty result; extra columns pass by.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, BLOCK, RATE = 192, 576, 8_000
+from lamina.session import materialize, scope, spread
+
+UNIT, BLOCK, LONG_BLOCK, RATE = 192, 576, 4_608, 8_000
+#: Seek points that a seek table has room for (18 bytes each, its size in 24 bits).
+MAX_POINTS = ((1 << 24) - 1) // 18
 LPC_ORDER, PRECISION, PARTITION_ORDER, MAX_RICE = 8, 12, 2, 14
 #: Samples encoded or decoded together: about 40 bytes of memory each.
 GROUP_SAMPLES = 1 << 20
+#: Samples of a PCM block, and about as many bytes in a batch of blocks.
+PCM_SAMPLES, BATCH_BYTES = 1 << 16, 4 << 20
 
 _CODES = {192: (1, 0), 576: (2, 0), 384: (7, 16)}  # block size: code, bits of the size in the header
 
@@ -144,7 +157,7 @@ def _encode_frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nd
     coded = ~(constant | verbatim)
     body = np.where(coded, body, 8 * raw)
 
-    code, extra = _CODES[length]
+    code, extra = _CODES.get(length, (7, 16))
     num, num_bits = _coded_number(number)
     header = 32 + num_bits + extra + 8
     total = (header + 8 + body + 7) // 8 + 2
@@ -199,17 +212,18 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         raise ValueError(f"payloads must have a positive multiple of {UNIT} bytes")
     joined = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8)
     start = np.cumsum(lengths) - lengths
-    per_doc = -(-lengths // BLOCK)
+    block = np.where(lengths > MAX_POINTS * BLOCK, LONG_BLOCK, BLOCK)
+    per_doc = -(-lengths // block)
     doc = np.repeat(np.arange(len(payloads)), per_doc)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
-    size = np.minimum(BLOCK, lengths[doc] - number * BLOCK)
+    size = np.minimum(block[doc], lengths[doc] - number * block[doc])
     frames: list = [b""] * len(doc)
     for length in np.unique(size).tolist():
         ids = np.flatnonzero(size == length)
         step = max(1, GROUP_SAMPLES // length)
         for a in range(0, len(ids), step):
             group = ids[a : a + step]
-            x = joined[(start[doc[group]] + number[group] * BLOCK)[:, None] + np.arange(length)].astype(np.int32)
+            x = joined[(start[doc[group]] + number[group] * block[doc[group]])[:, None] + np.arange(length)].astype(np.int32)
             data, total = _encode_frames(x, number[group])
             data, ends = data.tobytes(), np.cumsum(total).tolist()
             for f, s, e in zip(group.tolist(), [0, *ends], ends, strict=False):
@@ -218,22 +232,22 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for p, n in zip(payloads, per_doc.tolist(), strict=True):
         own = frames[at : at + n]
         at += n
-        out.append(_stream(own, joined[start[len(out)] : start[len(out)] + len(p)].tobytes()))
+        out.append(_stream(own, joined[start[len(out)] : start[len(out)] + len(p)].tobytes(), int(block[len(out)])))
     return out
 
 
-def _stream(frames: list[bytes], samples: bytes) -> bytes:
+def _stream(frames: list[bytes], samples: bytes, block: int = BLOCK) -> bytes:
     sizes = [len(f) for f in frames]
-    blocks = min(BLOCK, len(samples))
+    blocks = min(block, len(samples))
     packed = (RATE << 44) | (0 << 41) | (7 << 36) | len(samples)
     info = (
         blocks.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + packed.to_bytes(8, "big")
         + hashlib.md5(samples, usedforsecurity=False).digest()
     )
     points = np.zeros(len(frames), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")]))
-    points["sample"] = np.arange(len(frames)) * BLOCK
+    points["sample"] = np.arange(len(frames)) * block
     points["offset"] = np.cumsum([0, *sizes[:-1]])
-    points["count"] = np.minimum(BLOCK, len(samples) - points["sample"].astype(np.int64))
+    points["count"] = np.minimum(block, len(samples) - points["sample"].astype(np.int64))
     table = points.tobytes()
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(frames)
 
@@ -265,27 +279,80 @@ class Stream:
         return bool(self.channels == 1 and self.bits == 8 and len(p) and p[0, 0] == 0 and p[0, 1] == 0 and (p[1:, 0] == p[:-1, 0] + p[:-1, 2]).all() and p[-1, 0] + p[-1, 2] == self.samples)
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload bytes of 8-bit mono streams, verified against every checksum they carry."""
+    def part(self, a: int, b: int) -> Stream:
+        """Frames a .. b - 1 by the seek points, for `_decode_group`."""
+        ends = [*self.points[:, 1].tolist(), len(self.data) - self.first_frame]
+        p = object.__new__(Stream)
+        p.data, p.first_frame, p.points = self.data[self.first_frame + ends[a] : self.first_frame + ends[b]], 0, self.points[a:b] - [0, ends[a], 0]
+        return p
+
+
+def decode_parts(streams: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(place of the stream, payload bytes) of 8-bit mono streams in order, long ones in several parts, verified against every checksum
+    that they carry; the last part of a stream comes after the test of its MD5."""
     opened = [Stream(s) for s in streams]
-    out: list = [None] * len(streams)
-    fast = [i for i, s in enumerate(opened) if s.whole()]
     at = 0
-    while at < len(fast):
+    while at < len(opened):
         end, total = at, 0
-        while end < len(fast) and (end == at or total + opened[fast[end]].samples <= GROUP_SAMPLES):
-            total += opened[fast[end]].samples
+        while end < len(opened) and opened[end].whole() and (end == at or total + opened[end].samples <= GROUP_SAMPLES):
+            total += opened[end].samples
             end += 1
-        for i, samples in zip(fast[at:end], _decode_group([opened[i] for i in fast[at:end]]), strict=True):
-            out[i] = samples
-        at = end
-    for i, s in enumerate(opened):
-        if out[i] is None:
-            out[i] = decode_plain(s)
-        if hashlib.md5(out[i], usedforsecurity=False).digest() != s.md5:
-            raise ValueError("MD5 of the samples differs")
-        out[i] = (np.frombuffer(out[i], np.uint8) ^ 0x80).tobytes()
-    return out
+        if end == at:
+            found = [decode_plain(opened[at])]
+        elif total > GROUP_SAMPLES:
+            yield from ((at, samples) for samples in _long_parts(opened[at]))
+            found = []
+        else:
+            found = [p if p is not None else decode_plain(s) for s, p in zip(opened[at:end], _decode_group(opened[at:end]), strict=True)]
+        for i, samples in enumerate(found, at):
+            if hashlib.md5(samples, usedforsecurity=False).digest() != opened[i].md5:
+                raise ValueError("MD5 of the samples differs")
+            yield i, _payload(samples)
+        at = max(end, at + 1)
+
+
+def _payload(samples: bytes) -> bytes:
+    return (np.frombuffer(samples, np.uint8) ^ 0x80).tobytes()
+
+
+def _long_parts(s: Stream) -> Iterator[bytes]:
+    md5, done, held = hashlib.md5(usedforsecurity=False), 0, b""
+    step = max(1, GROUP_SAMPLES // int(s.points[:, 2].max()))
+    for a in range(0, len(s.points), step):
+        samples = _decode_group([s.part(a, min(a + step, len(s.points)))])[0]
+        if samples is None:  # a frame that uses what the fast decoder doesn't
+            samples = decode_plain(s)[done:]
+        if held:
+            yield _payload(held)
+        held, done = samples, done + len(samples)
+        md5.update(held)
+        if done == s.samples:
+            break
+    if md5.digest() != s.md5:
+        raise ValueError("MD5 of the samples differs")
+    yield _payload(held)
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload bytes of 8-bit mono streams, verified against every checksum they carry."""
+    parts: list[list[bytes]] = [[] for _ in streams]
+    for i, samples in decode_parts(streams):
+        parts[i].append(samples)
+    return [b"".join(p) for p in parts]
+
+
+def decode_range(stream: bytes, first: int, count: int) -> bytes:
+    """Payload bytes first .. first + count - 1, from the frames that hold them only; their checksums are verified, not the MD5."""
+    s = Stream(stream)
+    first, end = max(0, first), min(s.samples, first + count)
+    if first >= end:
+        return b""
+    if s.whole():
+        a, b = int(np.searchsorted(s.points[:, 0], first, "right")) - 1, int(np.searchsorted(s.points[:, 0], end, "left"))
+        samples, skip = _decode_group([s.part(a, b)])[0], int(s.points[a, 0])
+        if samples is not None:
+            return _payload(samples[first - skip : end - skip])
+    return _payload(decode_plain(s)[first:end])
 
 
 def _decode_group(streams: list[Stream]) -> list[bytes | None]:
@@ -510,13 +577,6 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (UNIT - len(data) if not data else -len(data) % UNIT), len(data)
 
 
-def feature(data: bytes) -> str:
-    """Loudness, peak and zero crossings of the samples of a payload, from whole numbers only."""
-    x = (np.frombuffer(data, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
-    cross = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"sum={int(x.sum())};squares={int((x * x).sum(dtype=np.int64))};peak={int(np.abs(x).max())};crossings={cross}"
-
-
 def store(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with their texts as media: doc_id, n_bytes, media (a FLAC stream)."""
 
@@ -530,40 +590,129 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, samples: int = 1 << 16) -> DataFrame:
-    """`media` (doc_id, media) as PCM blocks: doc_id, block, first_sample, samples, pcm (unsigned 8-bit)."""
+def pcm_blocks(media: DataFrame, samples: int = PCM_SAMPLES, keep: Sequence[str] = ()) -> DataFrame:
+    """`media` (doc_id, media) as PCM blocks: doc_id, block, first_sample, samples, pcm (unsigned 8-bit) and the columns `keep`; the
+    blocks of a stream follow each other."""
+    kinds = [media.schema[c].dataType for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            data = batch.column(1).to_pylist()
             at = [i for i, d in enumerate(data) if d is not None]
-            for i, pcm in zip(at, decode([data[i] for i in at]), strict=True):
-                first = list(range(0, len(pcm), samples))
-                blocks = [pcm[a : a + samples] for a in first]
-                columns = [pa.array([ids[i]] * len(first), pa.int64()), pa.array(range(len(first)), pa.int32()), pa.array(first, pa.int64()), pa.array(map(len, blocks), pa.int64()), pa.array(blocks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "block", "first_sample", "samples", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, first_sample long, samples long, pcm binary")
+            rows: list[tuple[int, int, int, bytes]] = []  # row of the batch, block, first sample, pcm
+            stream, held, first, block, size = -1, b"", 0, 0, 0
+            for n, part in itertools.chain(decode_parts([data[i] for i in at]), [(len(at), b"")]):
+                if n != stream:
+                    if stream >= 0:
+                        rows.append((at[stream], block, first, held))
+                        size += len(held)
+                    stream, held, first, block = n, b"", 0, 0
+                held += part
+                while len(held) > samples:
+                    rows.append((at[stream], block, first, held[:samples]))
+                    held, first, block, size = held[samples:], first + samples, block + 1, size + samples
+                if size >= BATCH_BYTES or n == len(at):
+                    yield _pcm_batch(batch, rows, keep)
+                    rows, size = [], 0
+
+    extra = "".join(f", `{c}` {k.simpleString()}" for c, k in zip(keep, kinds, strict=True))
+    return media.select("doc_id", "media", *keep).mapInArrow(run, "doc_id long, block int, first_sample long, samples long, pcm binary" + extra)
+
+
+def _pcm_batch(batch: pa.RecordBatch, rows: list[tuple[int, int, int, bytes]], keep: Sequence[str]) -> pa.RecordBatch:
+    own = pa.array([r[0] for r in rows], pa.int64())
+    columns = [
+        batch.column(0).cast(pa.int64()).take(own), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
+        pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()),
+    ]
+    columns += [batch.column(i).take(own) for i in range(2, 2 + len(keep))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "block", "first_sample", "samples", "pcm", *keep])
+
+
+def pcm_slice(blocks: DataFrame, doc_id: int, first: int, count: int) -> bytes:
+    """Samples first .. first + count - 1 of a stream, from the blocks that hold them only."""
+    hit = blocks.where((F.col("doc_id") == doc_id) & (F.col("first_sample") < first + count) & (F.col("first_sample") + F.col("samples") > first))
+    rows = hit.select("first_sample", "pcm").orderBy("first_sample").collect()
+    whole = b"".join(bytes(r["pcm"]) for r in rows)
+    return whole[first - rows[0]["first_sample"] :][:count] if rows else b""
+
+
+class _Description:
+    """What is derived from the blocks of one stream, one after the other."""
+
+    def __init__(self):
+        self.sha256, self.tail, self.size = hashlib.sha256(), b"", 0
+        self.sum = self.squares = self.peak = self.crossings = 0
+        self.below = None
+
+    def add(self, data: bytes) -> None:
+        self.sha256.update(data)
+        self.tail, self.size = (self.tail + data[-16:])[-16:], self.size + len(data)
+        x = (np.frombuffer(data, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        below = x < 0
+        self.sum, self.squares = self.sum + int(x.sum(dtype=np.int64)), self.squares + int((x * x).sum(dtype=np.int64))
+        self.peak = max(self.peak, int(np.abs(x).max(initial=0)))
+        self.crossings += int((below[1:] != below[:-1]).sum()) + int(self.below is not None and self.below != below[0])
+        self.below = bool(below[-1])
+
+    def feature(self) -> str:
+        """Loudness, peak and zero crossings of the samples, from whole numbers only."""
+        return f"sum={self.sum};squares={self.squares};peak={self.peak};crossings={self.crossings}"
 
 
-def describe(media: DataFrame) -> DataFrame:
-    """`media` (doc_id, n_bytes, media) decoded and verified: digests of what was read back, and a feature string."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.column(2).to_pylist()
-            at = {i: n for n, i in enumerate(i for i, d in enumerate(data) if d is not None)}
-            back = decode([data[i] for i in at])
-            every = lambda f, of: [f(of[at[i]]) if i in at else None for i in range(len(data))]
-            stored = [data[i] for i in at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(every(len, back), pa.int64()), pa.array(every(lambda b: hashlib.sha256(b).hexdigest(), back), pa.string()),
-                    pa.array(every(lambda b: zlib.crc32(b[-16:]), back), pa.int64()), pa.array(every(len, stored), pa.int64()),
-                    pa.array(every(lambda b: hashlib.sha256(b).hexdigest(), stored), pa.string()), pa.array(every(feature, back), pa.string()),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+def feature(data: bytes) -> str:
+    """The feature of a whole payload."""
+    d = _Description()
+    d.add(data)
+    return d.feature()
+
+
+_DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _describe_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_DESCRIBED` from blocks (stream, block, pcm, doc_id, n_bytes, media_bytes, media_sha256) in the order of streams and blocks."""
+    names = [f.split()[0] for f in _DESCRIBED.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    key = now = facts = None
+    rows: list[tuple] = []
+
+    def close() -> None:
+        doc, n_bytes, size, digest = facts
+        rows.append((doc, n_bytes, now.size, now.sha256.hexdigest(), zlib.crc32(now.tail), size, digest, now.feature()))
+
+    for batch in batches:
+        for stream, _, pcm, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if stream != key:
+                if now is not None:
+                    close()
+                key, now, facts = stream, _Description(), own
+            now.add(pcm)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows = []
+    if now is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def describe(media: DataFrame, samples: int = PCM_SAMPLES) -> DataFrame:
+    """`media` (doc_id, n_bytes, media) written, read back, decoded to PCM blocks and verified; the blocks written, read back and described:
+    digests of the payload and of the stored stream, and a feature string.
+
+    A stream of one block is described where its block is read. Blocks of longer ones are brought together by stream and sorted, and
+    each is described block by block, so no stream is held whole.
+    """
+    spark = media.sparkSession
+    with scope(spark):
+        media = materialize(media.select("doc_id", "n_bytes", "media"), "media", outer=1, codec="none")
+        facts = {"stream": F.monotonically_increasing_id(), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}
+        blocks = pcm_blocks(media.where("media IS NOT NULL").withColumns(facts), samples, ["n_bytes", *facts])
+        blocks = materialize(blocks, "pcm", outer=1, codec="zstd")
+    one = (F.col("block") == 0) & (F.col("samples") < samples)
+    columns = ["stream", "block", "pcm", "doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    long = spread(blocks.where(~one), "stream").sortWithinPartitions("stream", "block")
+    nothing = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _DESCRIBED.split(", ")[2:]]
+    out = blocks.where(one).select(*columns).mapInArrow(_describe_blocks, _DESCRIBED)
+    out = out.unionByName(long.select(*columns).mapInArrow(_describe_blocks, _DESCRIBED))
+    return out.unionByName(media.where("media IS NULL").select("doc_id", "n_bytes", *nothing))

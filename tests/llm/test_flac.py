@@ -120,3 +120,58 @@ def test_pcm_blocks(spark, docs):
     assert b"".join(bytes(b["pcm"]) for b in blocks if b["doc_id"] == 1) == flac.payload("abc" * 1000)[0]
     assert [(b["block"], b["first_sample"], b["samples"]) for b in blocks if b["doc_id"] == 1] == [(0, 0, 1000), (1, 1000, 1000), (2, 2000, 1000), (3, 3000, 72)]
     assert {b["doc_id"] for b in blocks} == {1, 2}
+
+
+def test_long_streams_in_parts(monkeypatch):
+    given = payloads()
+    streams = flac.encode(given)
+    monkeypatch.setattr(flac, "GROUP_SAMPLES", 1000)
+    assert flac.decode(streams) == given and flac.encode(given) == streams
+    parts = [i for i, _ in flac.decode_parts(streams)]
+    assert parts == sorted(parts) and len(parts) > len(given)
+    with pytest.raises(ValueError, match="MD5"):
+        flac.decode([streams[6][:30] + bytes([streams[6][30] ^ 1]) + streams[6][31:]])
+
+
+def test_more_blocks_than_a_seek_table_names(monkeypatch):
+    monkeypatch.setattr(flac, "MAX_POINTS", 8)
+    given = [bytes(int(128 + 90 * math.sin(i / 30)) for i in range(192 * k)) for k in (24, 25, 49, 100)]
+    streams = flac.encode(given)
+    assert [flac.Stream(s).block for s in streams] == [576, 4608, 4608, 4608] and all(flac.Stream(s).whole() for s in streams)
+    assert flac.decode(streams) == given
+    assert [(np.frombuffer(flac.decode_plain(flac.Stream(s)), np.uint8) ^ 0x80).tobytes() for s in streams] == given
+
+
+def test_seek():
+    rng = random.Random(5)
+    foreign = hand_made([int(50 * math.sin(i / 20)) for i in range(192)], 10, 2, seek=False)
+    for s in [*flac.encode(payloads()), foreign]:
+        p = flac.decode([s])[0]
+        for _ in range(20):
+            first, count = rng.randrange(len(p) + 5), rng.randrange(2000)
+            assert flac.decode_range(s, first, count) == p[first : first + count]
+
+
+def plain_feature(data):
+    x = [b - 128 for b in data]
+    return f"sum={sum(x)};squares={sum(v * v for v in x)};peak={max(map(abs, x))};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+
+
+@pytest.mark.parametrize("samples", [192, 1000, 1 << 16])
+def test_described_from_the_blocks(spark, docs, samples, tmp_path):
+    texts = ["hello", None, "é" * 3000, "x" * 192, "abc" * 1000, "abc" * 1000, "", "\x00\x7f" * 700]
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(0, "another under the same id")]
+    media = flac.store(docs(rows)).union(spark.createDataFrame([(77, 5, None)], "doc_id long, n_bytes long, media binary"))
+    got = sorted((tuple(r) for r in flac.describe(media, samples).collect()), key=str)
+    want = [(77, 5, *[None] * 6)]
+    for i, t in rows:
+        data = (t or "").encode()
+        padded = flac.payload(t)[0]
+        stored = flac.encode([padded])[0]
+        want.append((i, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(padded)))
+    assert got == sorted(want, key=str)
+    flac.pcm_blocks(media, samples).write.parquet(str(tmp_path / "pcm"))
+    blocks = spark.read.parquet(str(tmp_path / "pcm"))
+    whole = flac.payload("é" * 3000)[0]
+    for first, count in ((0, 10), (191, 2), (777, 3000), (5900, 1000), (9000, 5)):
+        assert flac.pcm_slice(blocks, 2, first, count) == whole[first : first + count]
