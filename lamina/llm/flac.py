@@ -1,7 +1,7 @@
 """Media columns in FLAC: 8-bit mono streams, encoded and decoded many frames at a time.
 
 A text's bytes are the samples of one stream. `store` encodes them, `pcm_blocks` decodes stored streams to blocks of samples with their
-offsets, and `describe` writes both as tables, reads them back and derives digests and a feature from the blocks. `pcm_slice` and
+offsets, and `describe` writes streams to a table, reads them back and derives digests and a feature from the blocks. `pcm_slice` and
 `decode_range` read some samples of one stream, by the offsets of blocks and by seek points.
 
 Encoder: blocks of 576 samples, each with the best of constant, verbatim, fixed predictors of order 0 to 2 and a quantised linear
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import materialize, scope, spread
+from lamina.session import materialize
 
 UNIT, BLOCK, LONG_BLOCK, RATE = 192, 576, 4_608, 8_000
 #: Seek points that a seek table has room for (18 bytes each, its size in 24 bits).
@@ -697,22 +697,14 @@ def _describe_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def describe(media: DataFrame, samples: int = PCM_SAMPLES) -> DataFrame:
-    """`media` (doc_id, n_bytes, media) written, read back, decoded to PCM blocks and verified; the blocks written, read back and described:
-    digests of the payload and of the stored stream, and a feature string.
+    """`media` (doc_id, n_bytes, media) written and read back, decoded to PCM blocks and verified, and the blocks described: digests of the
+    payload and of the stored stream, and a feature string.
 
-    A stream of one block is described where its block is read. Blocks of longer ones are brought together by stream and sorted, and
-    each is described block by block, so no stream is held whole.
+    The blocks of a stream follow each other in one task and are taken one by one, so no stream is held whole once it is decoded.
     """
-    spark = media.sparkSession
-    with scope(spark):
-        media = materialize(media.select("doc_id", "n_bytes", "media"), "media", outer=1, codec="none")
-        facts = {"stream": F.monotonically_increasing_id(), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}
-        blocks = pcm_blocks(media.where("media IS NOT NULL").withColumns(facts), samples, ["n_bytes", *facts])
-        blocks = materialize(blocks, "pcm", outer=1, codec="zstd")
-    one = (F.col("block") == 0) & (F.col("samples") < samples)
-    columns = ["stream", "block", "pcm", "doc_id", "n_bytes", "media_bytes", "media_sha256"]
-    long = spread(blocks.where(~one), "stream").sortWithinPartitions("stream", "block")
+    media = materialize(media.select("doc_id", "n_bytes", "media"), "media", codec="none")
+    facts = {"stream": F.monotonically_increasing_id(), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}
+    blocks = pcm_blocks(media.where("media IS NOT NULL").withColumns(facts), samples, ["n_bytes", *facts])
+    blocks = blocks.select("stream", "block", "pcm", "doc_id", "n_bytes", "media_bytes", "media_sha256")
     nothing = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _DESCRIBED.split(", ")[2:]]
-    out = blocks.where(one).select(*columns).mapInArrow(_describe_blocks, _DESCRIBED)
-    out = out.unionByName(long.select(*columns).mapInArrow(_describe_blocks, _DESCRIBED))
-    return out.unionByName(media.where("media IS NULL").select("doc_id", "n_bytes", *nothing))
+    return blocks.mapInArrow(_describe_blocks, _DESCRIBED).unionByName(media.where("media IS NULL").select("doc_id", "n_bytes", *nothing))
