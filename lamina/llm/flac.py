@@ -4,9 +4,9 @@ A text's bytes are the samples of one stream. `store` encodes them, `pcm_blocks`
 offsets, and `describe` writes streams to a table, reads them back and derives digests and a feature from the blocks. `pcm_slice` and
 `decode_range` read some samples of one stream, by the offsets of blocks and by seek points.
 
-Encoder: blocks of 576 samples, each with the best of constant, verbatim, fixed predictors of order 0 to 2 and a quantised linear
-predictor of order 8 (autocorrelation, Levinson-Durbin), residuals Rice-coded in four partitions. A seek point for every frame
-gives the byte offset of every sample (blocks are of 4608 samples where a seek table could not name as many of 576); frames carry CRC-8 of the header and CRC-16, the stream MD5 of the samples.
+Encoder: blocks of 2304 samples, each with the best of constant, verbatim, fixed predictors of order 0 to 2 and a quantised linear
+predictor of order 4 (autocorrelation, Levinson-Durbin), residuals Rice-coded in four partitions. A seek point for every frame
+gives the byte offset of every sample (blocks are of 4608 samples where a seek table could not name as many of 2304); frames carry CRC-8 of the header and CRC-16, the stream MD5 of the samples.
 
 Decoder: the frames of many streams are read together. A running count of one bits finds the end of any unary code in one
 look-up, so each step reads one Rice code of every frame; linear predictors are undone one sample of every frame at a time.
@@ -34,16 +34,16 @@ from pyspark.sql import functions as F
 
 from lamina.session import materialize
 
-UNIT, BLOCK, LONG_BLOCK, RATE = 192, 576, 4_608, 8_000
+UNIT, BLOCK, LONG_BLOCK, RATE = 192, 2_304, 4_608, 8_000
 #: Seek points that a seek table has room for (18 bytes each, its size in 24 bits).
 MAX_POINTS = ((1 << 24) - 1) // 18
-LPC_ORDER, PRECISION, PARTITION_ORDER, MAX_RICE = 8, 12, 2, 14
+LPC_ORDER, PRECISION, PARTITION_ORDER, MAX_RICE = 4, 10, 2, 14
 #: Samples encoded or decoded together: about 40 bytes of memory each.
 GROUP_SAMPLES = 1 << 20
 #: Samples of a PCM block, and about as many bytes in a batch of blocks.
 PCM_SAMPLES, BATCH_BYTES = 1 << 16, 4 << 20
 
-_CODES = {192: (1, 0), 576: (2, 0), 384: (7, 16)}  # block size: code, bits of the size in the header
+_CODES = {192: (1, 0), 576: (2, 0), 1152: (3, 0), 2304: (4, 0), 4608: (5, 0)}  # block size: code, bits of the size in the header; else (7, 16)
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -702,7 +702,7 @@ def describe(media: DataFrame, samples: int = PCM_SAMPLES) -> DataFrame:
 
     The blocks of a stream follow each other in one task and are taken one by one, so no stream is held whole once it is decoded.
     """
-    media = materialize(media.select("doc_id", "n_bytes", "media"), "media", codec="none")
+    media = materialize(media.select("doc_id", "n_bytes", "media"), "media", codec="zstd")
     facts = {"stream": F.monotonically_increasing_id(), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}
     blocks = pcm_blocks(media.where("media IS NOT NULL").withColumns(facts), samples, ["n_bytes", *facts])
     blocks = blocks.select("stream", "block", "pcm", "doc_id", "n_bytes", "media_bytes", "media_sha256")
