@@ -8,7 +8,7 @@ Encoder: blocks of 2304 samples, each with the best of constant, verbatim, fixed
 predictor of order 4 (autocorrelation, Levinson-Durbin), residuals Rice-coded in four partitions. A seek point for every frame
 gives the byte offset of every sample (blocks are of 4608 samples where a seek table could not name as many of 2304); frames carry CRC-8 of the header and CRC-16, the stream MD5 of the samples.
 
-Decoder: the frames of many streams are read together. A running count of one bits finds the end of any unary code in one
+Decoder: the frames of many streams are read together. A table of the next one bit finds the end of any unary code in one
 look-up, so each step reads one Rice code of every frame; linear predictors are undone one sample of every frame at a time.
 Both checksums of every frame and the MD5 of every stream are verified. A long stream is decoded some frames at a time, so memory holds
 the stream itself and about 40 bytes for each of `GROUP_SAMPLES` samples. Streams with other features (no seek points, other
@@ -40,7 +40,7 @@ MAX_POINTS = ((1 << 24) - 1) // 18
 LPC_ORDER, PRECISION, PARTITION_ORDER, MAX_RICE = 4, 10, 2, 14
 #: Samples encoded or decoded together: about 40 bytes of memory each.
 GROUP_SAMPLES = 1 << 20
-#: Samples of a PCM block, and about as many bytes in a batch of blocks.
+#: Samples of a PCM block, and about how many bytes are put together in a batch.
 PCM_SAMPLES, BATCH_BYTES = 1 << 16, 4 << 20
 
 _CODES = {192: (1, 0), 576: (2, 0), 1152: (3, 0), 2304: (4, 0), 4608: (5, 0)}  # block size: code, bits of the size in the header; else (7, 16)
@@ -423,10 +423,9 @@ def _decode_group(streams: list[Stream]) -> list[bytes | None]:
         plain[live] |= method != 0
         per = length[live] >> parts
         pos, own_order, own_length = at[live] + 6, order[live], length[live]
-        bits = np.unpackbits(data)
-        rank = np.cumsum(bits, dtype=np.int32)
-        one = np.flatnonzero(bits).astype(np.int32)
-        n_ones = len(one) - 1
+        one = np.flatnonzero(np.unpackbits(data)).astype(np.int32)
+        # For every bit the place of the next one bit, itself included.
+        next_one = np.repeat(np.append(one, one[-1]), np.diff(one, prepend=-1, append=len(data) * 8 - 1))
         k = np.zeros(len(live), np.int64)
         ends = np.zeros((longest, len(live)), np.int32)
         starts = np.zeros((longest, len(live)), np.int32)
@@ -445,12 +444,12 @@ def _decode_group(streams: list[Stream]) -> list[bytes | None]:
             if t < some:
                 on = np.flatnonzero(own_order[:n] <= t)
                 p = pos[on]
-                e = one[np.minimum(rank[p] - bits[p], n_ones)]
+                e = next_one[p]
                 starts[t, on], ends[t, on], ks[t, on] = p, e, k[on]
                 pos[on] = e + 1 + k[on]
             else:
                 p = pos[:n]
-                e = one[np.minimum(rank[p] - bits[p], n_ones)]
+                e = next_one[p]
                 starts[t, :n], ends[t, :n], ks[t, :n] = p, e, k[:n]
                 pos[:n] = e + 1 + k[:n]
         plain[live] |= (ks == 15).any(0)
@@ -577,11 +576,23 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (UNIT - len(data) if not data else -len(data) % UNIT), len(data)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until `column` holds about `BATCH_BYTES`: many streams at a time take fewer steps."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(column).nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def store(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with their texts as media: doc_id, n_bytes, media (a FLAC stream)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, 1):
             made = [payload(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(encode([p for p, _ in made]), pa.binary())], names=["doc_id", "n_bytes", "media"]
@@ -596,7 +607,7 @@ def pcm_blocks(media: DataFrame, samples: int = PCM_SAMPLES, keep: Sequence[str]
     kinds = [media.schema[c].dataType for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, 1):
             data = batch.column(1).to_pylist()
             at = [i for i, d in enumerate(data) if d is not None]
             rows: list[tuple[int, int, int, bytes]] = []  # row of the batch, block, first sample, pcm
