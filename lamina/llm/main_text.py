@@ -16,6 +16,7 @@ empty table gives an empty result; extra columns pass by.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -65,7 +66,9 @@ TOKEN_GROUPS = [
 _GROUP_OF = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 _TOKEN_OF = {t: i for i, g in enumerate(TOKEN_GROUPS) for t in g}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# What follows a tag's name, up to its end: a quote counts after an equals sign only. Nothing is ever given back.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=|["'])*+>""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*=?\s*("[^"]*"|'[^']*'|[^\s"'>]*)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -101,9 +104,92 @@ class Page:
         return len(self.tag) - 1
 
 
+class _Tags:
+    """The tags, comments and declarations of a page, found in time linear in its length whatever it holds.
+
+    What looks like a tag but isn't ended by a `>` anywhere is text. Where quotes leave a tag open up to the page's end, it and all
+    later ones end at their next `>`, in quotes or not.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.next_end, self.quotes = source, 0, True
+        self.pairs: dict[str, dict[int, int]] = {}
+
+    def end_after(self, at: int) -> int:
+        """The place of the next `>`, or -1."""
+        if 0 <= self.next_end < at or at == 0:
+            self.next_end = self.source.find(">", at)
+        return self.next_end
+
+    def find(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start, end, whether it closes, name in lower case (None if not a tag) and attributes of the next one from `at`."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            kind = source[start + 1 : start + 2]
+            if kind in ("!", "?"):
+                if source.startswith("<!--", start):
+                    end = source.find("-->", start + 4)
+                    return start, len(source) if end < 0 else end + 3, False, None, ""
+                end = self.end_after(start)
+                return start, len(source) if end < 0 else end + 1, False, None, ""
+            if self.end_after(start) < 0:
+                return None
+            m = _NAME.match(source, start + 1)
+            if m is None:
+                at = start + 1
+                continue
+            rest = _REST.match(source, m.end()) if self.quotes else None
+            self.quotes = rest is not None
+            end = rest.end() if rest else source.find(">", m.end()) + 1
+            return start, end, bool(m[1]), m[2].lower(), source[m.end() : end - 1]
+        return None
+
+    def close_of(self, start: int, name: str) -> int:
+        """The end of the element of a silent kind that begins at `start`; -1 if it is never closed."""
+        if name not in self.pairs:
+            found, open_, at = {}, [], -1
+            for m in _tags_of(name).finditer(self.source):
+                at = self.source.find(">", m.end()) if at < m.end() else at
+                if at < 0:
+                    break
+                if m[1]:
+                    if open_:
+                        found[open_.pop()] = at + 1
+                elif self.source[at - 1] != "/":
+                    open_.append(m.start())
+            self.pairs[name] = found
+        return self.pairs[name].get(start, -1)
+
+
+@functools.cache
+def _tags_of(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])", re.I)
+
+
+class _Open:
+    """The open elements, innermost last, and where in the stack those of each name are."""
+
+    def __init__(self):
+        self.ids, self.names, self.places = [0], ["html"], {}
+
+    def push(self, element: int, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.ids))
+        self.ids.append(element)
+        self.names.append(name)
+
+    def nearest(self, names) -> int:
+        """The place of the innermost open element of one of `names`, 0 if there is none."""
+        return max([self.places[n][-1] for n in names if self.places.get(n)], default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.ids) > place:
+            self.ids.pop()
+            self.places[self.names.pop()].pop()
+
+
 def parse(source: str) -> Page:
     """The page's block elements and text blocks. Inline elements only tell which text is a link."""
-    page, open_, inline = Page(), [0], []
+    page, open_, tags = Page(), _Open(), _Tags(source)
     run: list[str] = []
     link_chars = in_link = at = 0
 
@@ -112,7 +198,7 @@ def parse(source: str) -> Page:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                page.blocks.append((open_[-1], text, min(link_chars, len(text))))
+                page.blocks.append((open_.ids[-1], text, min(link_chars, len(text))))
             run.clear()
             link_chars = 0
 
@@ -125,45 +211,37 @@ def parse(source: str) -> Page:
             if in_link:
                 link_chars += len(raw)
 
-    find = _TAG.search
-    while True:
-        m = find(source, at)
-        if m is None:
-            feed(source[at:])
-            break
-        feed(source[at : m.start()])
-        at = m.end()
-        name = m[2]
+    while (tag := tags.find(at)) is not None:
+        start, end, closes, name, attributes = tag
+        feed(source[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
+        if closes:
             if name == "a":
                 in_link = 0
             elif name in INLINE or name in VOID:
                 if name == "br":
                     run.append(" ")
-            else:
-                for n in range(len(open_) - 1, 0, -1):
-                    if page.tag[open_[n]] == name:
-                        flush()
-                        del open_[n:]
-                        in_link = 0
-                        break
-            continue
-        if name == "a":
+            elif place := open_.nearest((name,)):
+                flush()
+                open_.cut(place)
+                in_link = 0
+        elif name == "a":
             in_link = 1
-            page.links[open_[-1]] += 1
+            page.links[open_.ids[-1]] += 1
         elif name in ("br", "wbr", "img", "input"):
             run.append(" ")
         elif name in INLINE:
             pass
         elif name in SILENT:
             if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-            elif not m[3].rstrip().endswith("/"):
-                at = _skip(source, at, name)
+                over = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                stop = source.find(">", over.end()) if over else -1
+                at = len(source) if stop < 0 else stop + 1
+            elif not attributes.rstrip().endswith("/"):
+                # Never closed: only the tag itself is dropped.
+                at = max(at, tags.close_of(start, name))
             run.append(" ")
         else:
             flush()
@@ -172,35 +250,19 @@ def parse(source: str) -> Page:
                 continue
             if name in CLOSES:
                 ends, upto = CLOSES[name]
-                for n in range(len(open_) - 1, 0, -1):
-                    tag = page.tag[open_[n]]
-                    if tag in ends:
-                        del open_[n:]
-                        break
-                    if tag in upto:
-                        break
+                if (place := open_.nearest(ends)) > open_.nearest(upto):
+                    open_.cut(place)
             # A block ends an open paragraph.
-            if page.tag[open_[-1]] == "p":
-                open_.pop()
-            if name in ("html", "body") and name in page.tag:
+            if open_.names[-1] == "p":
+                open_.cut(len(open_.ids) - 1)
+            if name in ("html", "body") and (name == "html" or "body" in open_.places):
                 continue
-            open_.append(page.add(name, open_[-1], m[3]))
+            open_.push(page.add(name, open_.ids[-1], attributes), name)
+    feed(source[at:])
     flush()
     return page
 
 
-def _skip(source: str, at: int, name: str) -> int:
-    """The end of an element whose content doesn't count; nested elements of its name are skipped too."""
-    depth, tags = 1, re.compile(rf"<(/?){name}\b[^>]*>", re.I)
-    while depth:
-        m = tags.search(source, at)
-        if m is None:
-            # Never closed: only the tag itself is dropped, unless nothing of it can be text.
-            return at
-        at, depth = m.end(), depth + (-1 if m[1] else 0 if m[0].endswith("/>") else 1)
-    return at
-
-
 N_FEATURES = 24 + len(TAG_GROUPS) + 3 * len(TOKEN_GROUPS)
 
 
@@ -328,13 +390,14 @@ def decode(page: Page, odds: np.ndarray) -> list[str]:
     """The main text blocks under the best consistent labelling."""
     n = len(page.tag)
     own = np.clip(odds, -4.0, 4.0)
-    # Value of a subtree if all of it is main, if none is, and if its parts may differ.
-    main, other = own.copy(), -own
+    # Value of a subtree if all of it is main, if none is, and if its parts may differ. A page as such is neither.
+    inner = np.array([t not in ("html", "body") for t in page.tag], float)
+    main, other = own * inner, -own * inner
     mixed = np.zeros(n)
     text_value = np.zeros(n)
     for node, _, _ in page.blocks:
         text_value[node] += own[node]
-    mixed += np.abs(text_value) - 0.5  # a mixed element's own text follows its own odds
+    mixed += np.abs(text_value) - 0.5 * inner  # a mixed element's own text follows its own odds
     best = np.zeros(n)
     for i in range(n - 1, -1, -1):
         best[i] = max(main[i], other[i], mixed[i])
@@ -397,11 +460,53 @@ def training_page(rng: random.Random) -> str:
         many = "".join(rng.choice((f"<p>{words(2, 60)}</p>", f'<div class="comment"><b>{words(1, 2)}</b><p>{words(2, 60)}</p></div>', f"<li>{words(2, 40)}</li>")) for _ in range(rng.randint(1, 6)))
         return box(rng.choice(("div", "section", "ul")), "comments comment disqus replies reader-comments", f"<h3>{words(1, 3)}</h3>{many}")
 
+    def entities() -> str:
+        return " ".join(rng.choice(("&amp;", "&lt;b&gt;", "&#233;t&#233;", "&nbsp;", "&quot;" + words(1, 3) + "&quot;", "&hellip;", words(1, 4))) for _ in range(rng.randint(2, 25)))
+
+    def table() -> str:
+        wide = rng.randint(1, 4)
+        row = lambda cell: "<tr>" + "".join(f"<{cell}>{_MARK}{words(1, rng.choice((2, 12)))}</{cell}>" for _ in range(wide)) + "</tr>"
+        head = rng.choice(("", f"<caption>{_MARK}{words(2, 6)}</caption>"))
+        return f"<table>{head}{rng.choice((row('th'), ''))}{''.join(row('td') for _ in range(rng.randint(1, 5)))}</table>"
+
+    def rarer() -> str:
+        kind = rng.choice(("table", "table", "pre", "figure", "dl", "entities", "details", "ol"))
+        if kind == "table":
+            return table()
+        if kind == "pre":
+            code = f"{words(1, 5)}\n  {words(1, 5)}"
+            return rng.choice((f"<pre>{_MARK}{code}</pre>", f"<pre><code>{_MARK}{code}</code></pre>"))
+        if kind == "figure":
+            return f'<figure><img src="/a.png" alt="{words(1, 4)}"><figcaption>{_MARK}{words(2, 14)}</figcaption></figure>'
+        if kind == "dl":
+            return "<dl>" + "".join(f"<dt>{_MARK}{words(1, 3)}<dd>{_MARK}{words(2, 20)}" for _ in range(rng.randint(1, 4))) + "</dl>"
+        if kind == "entities":
+            return f"<p>{_MARK}{entities()}</p>"
+        if kind == "details":
+            return f"<details><summary>{_MARK}{words(1, 5)}</summary><p>{_MARK}{words(4, 40)}</p></details>"
+        return "<ol>" + "".join(f"<li><p>{_MARK}{words(2, 30)}</p></li>" for _ in range(rng.randint(1, 4))) + "</ol>"
+
+    def short() -> str:
+        """A body that is little else than its text."""
+        text = rng.choice((words(4, 30), words(4, 12) + ". " + words(4, 12) + ".", entities()))
+        name = rng.choice(("", ' id="x"', ' class="page"', ' id="a1"', ' class="wrap"'))
+        tag = rng.choice(("div", "div", "div", "p", "section", "article", "main", "td", "body"))
+        if tag == "td":
+            return f"<table{name}><tr><td>{_MARK}{text}</td></tr></table>"
+        if tag == "body":
+            return f"{_MARK}{text}"
+        more = rng.choice(("", "", f"<p>{_MARK}{words(4, 30)}</p>", table()))
+        return f"<{tag}{name}>{_MARK}{text}</{tag}>{more}" if tag == "p" else f"<{tag}{name}>{rng.choice(('', f'<h1>{_MARK}{words(1, 5)}</h1>'))}<p>{_MARK}{text}</p>{more}</{tag}>" if rng.random() < 0.5 else f"<{tag}{name}>{_MARK}{text}{more}</{tag}>"
+
     def article() -> str:
+        if rng.random() < 0.22:
+            return short()
         parts = [f"<h1>{_MARK}{words(2, 12)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.choice((1, 2, 3, 4, 6, 9, 14))):
             r = rng.random()
-            if r < 0.6:
+            if rng.random() < 0.1:
+                parts.append(rarer())
+            elif r < 0.6:
                 parts.append(f"<p>{_MARK}{words(1, rng.choice((3, 20, 60, 150)))}</p>")
             elif r < 0.75:
                 parts.append(f"<p><b>{_MARK}{words(2, 40)}<br>")
@@ -428,10 +533,11 @@ def training_page(rng: random.Random) -> str:
         whole = box("div", "content post entry article-body main story", inside)
         return f"<main>{whole}</main>" if tag == "wrapped" else whole
 
-    before = [f() for f in (head, menu, ad, note, form, side) if rng.random() < 0.45]
-    after = [f() for f in (foot, side, ad, comments, share, note, menu) if rng.random() < 0.4]
+    bare = rng.random() < 0.08  # a page without anything around its text
+    before = [f() for f in (head, menu, ad, note, form, side) if rng.random() < 0.45 and not bare]
+    after = [f() for f in (foot, side, ad, comments, share, note, menu) if rng.random() < 0.4 and not bare]
     rng.shuffle(before)
-    if rng.random() < 0.8:
+    if rng.random() < 0.8 and not bare:
         after.append(foot())
     body = "".join(before) + article() + "".join(after)
     if rng.random() < 0.3:
@@ -439,7 +545,7 @@ def training_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>"
 
 
-TRAINING_PAGES, TRAINING_SEED = 700, 5
+TRAINING_PAGES, TRAINING_SEED = 1_000, 5
 _trained: list[Boosted] = []
 
 

@@ -82,3 +82,80 @@ def test_table_edges(spark):
     rows = [(1, None, None, "clash", 1), (2, "u", "", "clash", 1), (2, "u", "", "clash", 1)]
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in m.extract(spark.createDataFrame(rows, schema)).collect()) == [(1, "", 0), (2, "", 0), (2, "", 0)]
     assert m.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More of it</a></li></ul></nav>"
+FOOT = "<footer>&copy; someone, all rights kept.</footer>"
+
+
+@pytest.mark.parametrize("around", [("", ""), (MENU, FOOT)])
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<div id="x">This is one full sentence of the text. This is another one, a little longer.</div>', "This is one full sentence of the text. This is another one, a little longer."),
+        ("<article><p>&lt;b&gt; &amp; &quot;x&quot; &#233;&hellip;</p></article>", '<b> & "x" é…'),
+        ("<article><p>Rain is due on Monday.</p></article>", "Rain is due on Monday."),
+        ("<article><h1>Prices</h1><p>What things cost at present, by weight.</p><table><tr><th>Thing</th><th>Price</th></tr><tr><td>Bread</td><td>Two and a half</td></tr></table><p>That is all we know of it.</p></article>",
+         "Prices\n\nWhat things cost at present, by weight.\n\nThing\n\nPrice\n\nBread\n\nTwo and a half\n\nThat is all we know of it."),
+        ("<main><h2>Setting up</h2><p>Run this first, then wait.</p><pre>make all\n  make install</pre><p>It takes a minute or two.</p></main>", "Setting up\n\nRun this first, then wait.\n\nmake all make install\n\nIt takes a minute or two."),
+        ("<article><h1>The bridge</h1><figure><img src=a.png><figcaption>The old bridge, in winter.</figcaption></figure><p>The bridge was built long ago, of stone.</p></article>",
+         "The bridge\n\nThe old bridge, in winter.\n\nThe bridge was built long ago, of stone."),
+        ("<div class='post'><h1>Terms</h1><dl><dt>Lease<dd>What you sign, once a year.<dt>Rent<dd>What you pay, every month.</dl></div>", "Terms\n\nLease\n\nWhat you sign, once a year.\n\nRent\n\nWhat you pay, every month."),
+        ("<article><blockquote><p>To be, or not to be.</p></blockquote><p>So he said, and went.</p></article>", "To be, or not to be.\n\nSo he said, and went."),
+    ],
+)
+def test_layouts_written_by_hand(around, body, want):
+    assert text(f"<html><body>{around[0]}{body}{around[1]}</body></html>") == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a", "<", "</", "<a '", '<a b="', "<a b='x>", "<!", "<select>", "<object data=x>", "</script ", "<script", "<div>", "</p>", "<ul><li><div>", "<table><div><td><li>", "<p title='", "<svg", "&", "&#", '<a b="x>"', "<li></li>", "<b>x"])
+def test_time_is_linear_in_the_page(unit):
+    import time
+
+    for source in (unit * 100_000, "<ul>" + "<div>" * 20_000 + unit * 100_000, unit * 100_000 + ">", '<a b="x>"' + unit * 100_000 + "'>\">"):
+        start = time.process_time()
+        m.parse(source)
+        assert time.process_time() - start < 6, source[:20]
+
+
+def test_a_hundred_thousand_unclosed_tags_take_less_than_a_second():
+    import time
+
+    for unit in ("<a ", '<a "', "<a href='x"):
+        start = time.process_time()
+        m.parse(unit * 100_000)
+        assert time.process_time() - start < 1
+
+
+def test_odd_markup():
+    blocks = lambda source: [t for _, t, _ in m.parse(source).blocks]
+    assert blocks("1 < 2 and <b>3</b> > 2, a<b") == ["1 < 2 and 3 > 2, a<b"]
+    assert blocks('<p class="a>b" id=c>x</p><p>y') == ["x", "y"]
+    assert blocks("<p title='it is \"quoted\" > so'>x</p>") == ["x"]
+    assert blocks("<select><option>no<select>no</select>no</select>yes<select>never closed") == ["yes never closed"]
+    assert blocks("<title>no</title ><p>a</P\n><SCRIPT>if (a < b) '</p>'</SCRIPT>b") == ["a", "b"]
+    assert blocks("<ul><li>a<ul><li>b</ul><li>c</ul>d") == ["a", "b", "c", "d"]
+
+
+def test_decoding_is_the_best_of_all_labellings():
+    """Every consistent labelling of small trees, tried one by one."""
+    import itertools
+
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        p = m.Page()
+        for i in range(1, n):
+            p.add("div", rng.randrange(i), "")
+        p.blocks = [(rng.randrange(n), f"t{k}", 0) for k in range(rng.randint(0, 6))]
+        odds = np.array([rng.uniform(-3, 3) for _ in range(n)])
+        best, want = -1e9, None
+        for states in itertools.product("MOX", repeat=n):
+            if any(states[p.parent[i]] != "X" and states[i] != states[p.parent[i]] for i in range(1, n)):
+                continue
+            value = sum({"M": odds[i] * (i > 0), "O": -odds[i] * (i > 0), "X": abs(odds[i]) * sum(b == i for b, _, _ in p.blocks) - 0.5 * (i > 0)}[states[i]] for i in range(n))
+            if value > best + 1e-9:
+                best, want = value, [t for b, t, _ in p.blocks if states[b] == "M" or (states[b] == "X" and odds[b] > 0)]
+        assert m.decode(p, odds) == want
