@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The short stop list, punctuation only (its first line is skipped, as readers of such lists do).
-SHORT_STOP_LIST = ["'", "`", "-", "--", "+", ":", ";", "``", "''", "[", "]", ".", "?", "!", ","]
+#: The short stop list, punctuation only, without its first line, as readers of such lists skip it.
+SHORT_STOP_LIST = ["`", "-", "--", "+", ":", ";", "``", "''", "[", "]", ".", "?", "!", ","]
 
 #: The word tokenizer: (pattern, replacement) in order. Patterns are in the common subset of Java and RE2.
 TOKEN_RULES = [

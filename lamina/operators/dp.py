@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,60 +18,109 @@ def rising_table(a: float, most: int) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.log(a + np.arange(most))))) if most > 0 else np.zeros(1)
 
 
-def score_matrix(sentences: list[dict[int, int]], w: int, beta: float) -> np.ndarray:
-    """score[s, e]: log-likelihood of sentences s .. e - 1 as one segment; minus infinity for e <= s."""
-    n = len(sentences)
-    terms = {t: i for i, t in enumerate(dict.fromkeys(t for s in sentences for t in s))}
-    words = np.array([sum(s.values()) for s in sentences])
-    total = int(words.sum())
+def score_columns(sentences: list[dict[int, int]], w: int, beta: float) -> Iterator[np.ndarray]:
+    """For e = 1 .. n: the log-likelihoods of sentences s .. e - 1 as one segment, for s = 0 .. e - 1.
+
+    A term's count from s up to now falls by steps as s passes the sentences that have the term, so a new occurrence changes the
+    scores of whole ranges of starts: memory is that of the occurrences, not of terms times sentences.
+    """
+    words = [sum(s.values()) for s in sentences]
+    total = sum(words)
     up_table, all_table = rising_table(beta, total), rising_table(beta * w, total)
-    out = np.full((n + 1, n + 1), -np.inf)
-    count = np.zeros((len(terms), n), np.int32)  # of each term, from each start up to now
-    up, size = np.zeros(n), np.zeros(n, np.int64)
+    up, size = np.zeros(len(sentences)), np.zeros(len(sentences), np.int64)
+    where: dict = {}  # term: sentences that have it, and its count before each of them and in all
     for e, s in enumerate(sentences):
+        change = np.zeros(e + 1)  # of the score, between a start and the one before
+        ones, most = [], 0.0
         for t, c in s.items():
-            row = count[terms[t], : e + 1]
-            up[: e + 1] += up_table[row + c] - up_table[row]
-            row += c
+            got = where.get(t)
+            if got is None:
+                where[t] = [[e], [0, c]]
+                ones.append(c)
+                continue
+            at, before = np.array(got[0]), np.array(got[1])
+            left = before[-1] - before  # from after none, one, two, .. of the occurrences
+            gain = up_table[left + c] - up_table[left]
+            most += gain[0]
+            change[at + 1] += np.diff(gain)
+            got[0].append(e)
+            got[1].append(got[1][-1] + c)
+        change[0] += most + sum(up_table[c] for c in ones)
+        up[: e + 1] += np.cumsum(change)
         size[: e + 1] += words[e]
-        out[: e + 1, e + 1] = up[: e + 1] - all_table[size[: e + 1]]
+        yield up[: e + 1] - all_table[size[: e + 1]]
+
+
+def score_matrix(sentences: list[dict[int, int]], w: int, beta: float) -> np.ndarray:
+    """score[s, e]: log-likelihood of sentences s .. e - 1 as one segment; minus infinity for e <= s. For small documents and checks."""
+    n = len(sentences)
+    out = np.full((n + 1, n + 1), -np.inf)
+    for e, column in enumerate(score_columns(sentences, w, beta), start=1):
+        out[:e, e] = column
     return out
 
 
 def cut(score: np.ndarray, k: int | None) -> list[int]:
-    """Ends of the segments of the best segmentation, into exactly k (the latest of equal cuts) or as many as score best (the
-    earliest of equals)."""
+    """`cut_columns` of a score matrix."""
     n = len(score) - 1
+    return cut_columns((score[:e, e] for e in range(1, n + 1)), n, k)
+
+
+def _shown(value: np.ndarray) -> np.ndarray:
+    """Scores as they are compared: what differs by rounding only is a tie."""
+    return np.round(value, 6)
+
+
+#: Cells of the table of best scores that are looked at together.
+CELLS = 1 << 20
+
+
+def cut_columns(columns: Iterable[np.ndarray], n: int, k: int | None) -> list[int]:
+    """Ends of the segments of the best segmentation, into exactly k (the latest of equal cuts) or as many as score best (the
+    earliest of equals). Scores that agree in 6 places are equal.
+
+    Columns are used as they come. What is kept is one score for each sentence, or, with k, k scores and places for each.
+    """
     if n == 0:
         return []
     if k is None:
-        best, back = np.zeros(n + 1), np.zeros(n + 1, int)
-        for e in range(1, n + 1):
-            value = best[:e] + score[:e, e]
-            back[e] = int(value.argmax())
+        best, back = np.zeros(n + 1), np.zeros(n + 1, np.int32)
+        for e, score in enumerate(columns, start=1):
+            value = best[:e] + score
+            back[e] = int(_shown(value).argmax())
             best[e] = value[back[e]]
         ends, e = [], n
         while e:
             ends.append(e)
-            e = back[e]
+            e = int(back[e])
         return ends[::-1]
     k = max(1, min(k, n))
-    best, back = score[0].copy(), np.zeros((k + 1, n + 1), int)
-    best[0] = -np.inf
-    for j in range(2, k + 1):
-        step = np.full(n + 1, -np.inf)
-        for e in range(j, n + 1):
-            value = best[:e] + score[:e, e]
-            back[j, e] = e - 1 - int(value[::-1].argmax())
-            step[e] = value[back[j, e]]
-        best = step
+    best, back = np.full((k + 1, n + 1), -np.inf), np.zeros((k + 1, n + 1), np.int32)  # by segments used and end
+    best[0, 0] = 0.0
+    for e, score in enumerate(columns, start=1):
+        # Into j segments by e, with sentences enough for the others.
+        low, high, step = max(1, k - (n - e)), min(k, e), max(1, CELLS // e)
+        for j in range(low, high + 1, step):
+            some = np.arange(j, min(j + step, high + 1))
+            value = best[some - 1, :e] + score
+            at = e - 1 - _shown(value[:, ::-1]).argmax(1)
+            best[some, e], back[some, e] = value[np.arange(len(some)), at], at
     ends, e = [], n
     for j in range(k, 0, -1):
         ends.append(e)
-        e = back[j, e]
+        e = int(back[j, e])
     return ends[::-1]
 
 
+def segment_score(sentences: list[dict], w: int, beta: float) -> float:
+    """The log-likelihood of all `sentences` as one segment."""
+    counts: dict = {}
+    for s in sentences:
+        for t, c in s.items():
+            counts[t] = counts.get(t, 0) + c
+    return lgamma_score(counts, w, beta)
+
+
 def segment(lines: DataFrame, bow: DataFrame, sizes: DataFrame, vocab: DataFrame, k=None, beta: float = 0.1) -> DataFrame:
     """(docset, doc_id, seg, start, end, logp) for each document of `sizes` (docset, doc_id, n), cut into the column `k`
     of segments, or, where it is None, into as many as score best. `vocab` is (docset, w)."""
@@ -85,10 +135,9 @@ def segment(lines: DataFrame, bow: DataFrame, sizes: DataFrame, vocab: DataFrame
                 sentences: list[dict] = [{} for _ in range(n)]
                 for r in found if found is not None else []:
                     sentences[r["pos"]][r["term"]] = int(r["cnt"])
-                score = score_matrix(sentences, w, beta)
                 start = 0
-                for i, end in enumerate(cut(score, want or None)):
-                    out.append((docset, doc, i, start, end, float(score[start, end])))
+                for i, end in enumerate(cut_columns(score_columns(sentences, w, beta), n, want or None)):
+                    out.append((docset, doc, i, start, end, segment_score(sentences[start:end], w, beta)))
                     start = end
             yield pd.DataFrame(out, columns=["docset", "doc_id", "seg", "start", "end", "logp"])
 
@@ -96,6 +145,6 @@ def segment(lines: DataFrame, bow: DataFrame, sizes: DataFrame, vocab: DataFrame
 
 
 def lgamma_score(counts: dict, w: int, beta: float) -> float:
-    """The score of one segment straight from its formula, for checks."""
+    """The score of one segment straight from its formula."""
     n = sum(counts.values())
     return math.lgamma(beta * w) - math.lgamma(beta * w + n) + sum(math.lgamma(c + beta) - math.lgamma(beta) for c in counts.values())

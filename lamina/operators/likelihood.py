@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,17 @@ def skewed_kl(left: DataFrame, right: DataFrame, *keys: str, skew: float = 0.99)
     return both.groupBy(*keys).agg(F.sum(F.col("r") * (F.log("r") - F.log(mixed))).alias("kl"))
 
 
-def corpus_loglik(global_: DataFrame, local: DataFrame, type_counts: DataFrame, alpha: float, beta: float) -> DataFrame:
+def corpus_loglik(
+    global_: DataFrame, local: DataFrame, type_counts: DataFrame, alpha: float, beta: float, proportions: Sequence[DataFrame] = (), word_priors: Sequence[float] = (BETA, BETA),
+) -> DataFrame:
     """(docset, loglik): log-likelihoods of global topics (docset, logp), plus, for documents with local topics, those of
-    `local` (docset, doc_id, logp) and the prior of their segment types (`type_counts`: docset, doc_id, x1, x2)."""
+    `local` (docset, doc_id, logp) and the prior of their segment types (`type_counts`: docset, doc_id, x1, x2), plus the topic
+    `proportions` (docset, logp) of global scopes and of documents. A word prior of 0 makes all of it impossible."""
     priors = type_counts.where("x2 > 0").select("docset", type_prior([F.col("x1"), F.col("x2")], [alpha, beta]).alias("logp"))
     parts = global_.select("docset", "logp").unionByName(local.select("docset", "logp")).unionByName(priors)
-    return parts.groupBy("docset").agg(F.sum("logp").alias("loglik"))
+    for p in proportions:
+        parts = parts.unionByName(p.select("docset", "logp"))
+    return parts.groupBy("docset").agg(segment_logp(min(word_priors), F.sum("logp")).alias("loglik"))
 
 
 def segment_logp(beta: float, logp: Column) -> Column:

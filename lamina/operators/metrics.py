@@ -120,19 +120,25 @@ def rand_index(labels: DataFrame) -> DataFrame:
     return all_.select("docset", F.when(F.col("n") > 1, (every + 2 * F.col("both") - F.col("in_ref") - F.col("in_hyp")) / every).otherwise(1.0).alias("rand"))
 
 
-def class_f1(labels: DataFrame, classes: int) -> DataFrame:
+def class_f1(labels: DataFrame, classes: int | None = None) -> DataFrame:
     """(docset, macro_f1, micro_f1) of labels as classes 0 .. classes - 1; labels outside are one further class that isn't scored.
 
-    A class scores 2 correct / (guessed + true), 0 if it is neither. Macro: the mean over classes. Micro: weighted by true sizes.
+    A class scores 2 correct / (guessed + true), 0 if it is neither. Macro: the mean over classes. Micro: weighted by true sizes. Without
+    `classes`, each docset has as many as its largest label in `ref` or `hyp` asks for, one at least.
     """
+    if classes is None:
+        own = labels.groupBy("docset").agg(F.greatest(F.max("ref") + 1, F.max("hyp") + 1, F.lit(1)).alias("classes"))
+        labels, classes = labels.join(own, "docset"), F.col("classes")
+    else:
+        labels, classes = labels.withColumn("classes", F.lit(classes)), F.col("classes")
     inside = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < classes), F.col(c)).otherwise(classes)
-    sided = labels.select("docset", F.explode(F.array(F.struct(inside("ref").alias("class"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(inside("hyp").alias("class"), F.lit(0).alias("t"), F.lit(1).alias("g")))).alias("x"),
+    sided = labels.select("docset", "classes", F.explode(F.array(F.struct(inside("ref").alias("class"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(inside("hyp").alias("class"), F.lit(0).alias("t"), F.lit(1).alias("g")))).alias("x"),
                           (inside("ref") == inside("hyp")).cast("int").alias("hit"))
-    by_class = sided.where(F.col("x.class") < classes).groupBy("docset", F.col("x.class").alias("class")).agg(
+    by_class = sided.where(F.col("x.class") < classes).groupBy("docset", "classes", F.col("x.class").alias("class")).agg(
         F.sum("x.t").alias("t"), F.sum("x.g").alias("g"), F.sum(F.col("hit") * F.col("x.t")).alias("c")
     )
     return by_class.groupBy("docset").agg(
-        (F.sum(2.0 * F.col("c") / (F.col("t") + F.col("g"))) / classes).alias("macro_f1"),
+        (F.sum(2.0 * F.col("c") / (F.col("t") + F.col("g"))) / F.max("classes")).alias("macro_f1"),
         F.coalesce(F.sum(2.0 * F.col("c") / (F.col("t") + F.col("g")) * F.col("t")) / F.nullif(F.sum("t"), F.lit(0)), F.lit(0.0)).alias("micro_f1"),
     )
 

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from lamina.functions.text import SHORT_STOP_LIST, TOKEN_RULES
+# Written out again here, apart from what the plans use, so that the comparison notices a change of either.
+# The short stop list without its first line, and the word tokenizer as (pattern, replacement) in order.
+STOP_WORDS = ["`", "-", "--", "+", ":", ";", "``", "''", "[", "]", ".", "?", "!", ","]
+TOKEN_STEPS = [
+    (r'(^|[ (\[{<])"', r"\1`` "),
+    (r'"', r" '' "),
+    (r"([,;:@#$%&?!()\[\]{}<>*|])", r" \1 "),
+    (r"--", r" -- "),
+    (r"\.( |$)", r" . \1"),
+    (r"n't( |$)", r" n't \1"),
+    (r"'(s|m|d|re|ll|ve|S|M|D|RE|LL|VE)( |$)", r" '\1 \2"),
+]
 
 
 def _quote(s: str) -> str:
@@ -10,16 +21,16 @@ def _quote(s: str) -> str:
 
 
 def _tokenized(expr: str) -> str:
-    for pattern, replacement in TOKEN_RULES:
+    for pattern, replacement in TOKEN_STEPS:
         expr = f"regexp_replace({expr}, {_quote(pattern)}, {_quote(replacement)}, 'g')"
     return expr
 
 
-_STOP = "[" + ", ".join(_quote(w) for w in SHORT_STOP_LIST) + "]"
+_STOP = "[" + ", ".join(_quote(w) for w in STOP_WORDS) + "]"
 _R = lambda x: f"round({x}, 6) + 0.0"
 
 DOCS = r"""docs AS (SELECT coalesce(source, '') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS docset, doc_id, regexp_replace(text, '\n$', '') AS text
-        FROM documents WHERE text IS NOT NULL)"""
+        FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)"""
 LINES = f"""{DOCS},
     lines AS (SELECT docset, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT docset, doc_id, string_split(text, chr(10)) AS l FROM docs))"""
 SPLIT = f"""{LINES},
@@ -89,6 +100,32 @@ def _type_prior(xs: list[str], ps: list[float]) -> str:
     return _R(out)
 
 
+
+_BY_DOC = CLUSTERS
+for _x, _y in (("cr AS (SELECT docset,", "cr AS (SELECT docset || '#' || doc_id AS docset,"), ("ch AS (SELECT docset,", "ch AS (SELECT docset || '#' || doc_id AS docset,"),
+               ("kset AS (SELECT docset, count(DISTINCT label) AS k FROM cr GROUP BY ALL)", "kset AS (SELECT docset, count(DISTINCT label) AS k FROM runs_ref WHERE label >= 0 GROUP BY ALL)"),
+               ("nset AS (SELECT docset, count(*) AS n", "nset AS (SELECT docset || '#' || doc_id AS docset, count(*) AS n")):
+    _BY_DOC = _BY_DOC.replace(_x, _y)
+_HALF_UP = lambda c, n=4: f"printf('%.{n}f', floor(coalesce({c}, 0.0) * {10**n} + 0.500000001) / {10**n})"
+
+# up[s, e]: the words' part of the score of sentences s .. e - 1, for every range of every document.
+_RANGES = f"""{BOW}, {_SIZES}, {_K},
+    pairs AS (SELECT docset, doc_id, s, unnest(range(s + 1, n + 1)) AS e FROM (SELECT docset, doc_id, n, unnest(range(n)) AS s FROM ks)),
+    occ AS (SELECT docset, doc_id, term, pos, cnt, sum(cnt) OVER w AS upto, lead(pos) OVER w AS later FROM bow WINDOW w AS (PARTITION BY docset, doc_id, term ORDER BY pos)),
+    steps AS (SELECT b.docset, b.doc_id, a.pos AS p, b.pos AS q, sum(CASE WHEN a.pos = b.pos THEN lgamma(b.cnt + 0.1) - lgamma(0.1)
+                  ELSE lgamma(b.upto - a.upto + a.cnt + 0.1) - lgamma(b.upto - a.upto + 0.1) - lgamma(b.upto - b.cnt - a.upto + a.cnt + 0.1) + lgamma(b.upto - b.cnt - a.upto + 0.1) END) AS d
+              FROM occ AS a JOIN occ AS b ON a.docset = b.docset AND a.doc_id = b.doc_id AND a.term = b.term AND a.pos <= b.pos GROUP BY ALL),
+    grid AS (SELECT docset, doc_id, p, q, sum(coalesce(d, 0.0)) OVER (PARTITION BY docset, doc_id, p ORDER BY q) AS row_sum
+             FROM (SELECT docset, doc_id, s AS p, e - 1 AS q FROM pairs) LEFT JOIN steps USING (docset, doc_id, p, q)),
+    words AS (SELECT docset, doc_id, pos, sum(cnt) AS c FROM bow GROUP BY ALL),
+    upto AS (SELECT docset, doc_id, pos, sum(coalesce(c, 0)) OVER (PARTITION BY docset, doc_id ORDER BY pos) AS c FROM lines LEFT JOIN words USING (docset, doc_id, pos)),
+    scores AS MATERIALIZED (SELECT g.docset, g.doc_id, p AS s, q + 1 AS e, sum(row_sum) OVER (PARTITION BY g.docset, g.doc_id, q ORDER BY p DESC)
+                  - lgamma(0.1 * w + b.c - coalesce(a.c, 0)) + lgamma(0.1 * w) AS score
+               FROM grid AS g JOIN vocab USING (docset) JOIN upto AS b ON b.docset = g.docset AND b.doc_id = g.doc_id AND b.pos = q
+               LEFT JOIN upto AS a ON a.docset = g.docset AND a.doc_id = g.doc_id AND a.pos = p - 1)"""
+_PIECES = """SELECT docset, doc_id, i - 1 AS seg, CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END AS start, ends[i] AS "end"
+             FROM (SELECT docset, doc_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM {paths})"""
+
 ORACLE_SQL = {
     "best_cut": _with(f"{BOW}, {_SIZES}", f"""
         , cuts AS (SELECT docset, doc_id, n, unnest(range(1, n)) AS cut FROM sizes WHERE n > 1),
@@ -166,10 +203,11 @@ ORACLE_SQL = {
         r AS (SELECT docset, sum(x * (x - 1) / 2) AS v FROM (SELECT docset, ref, sum(c) AS x FROM c GROUP BY ALL) GROUP BY ALL), h AS (SELECT docset, sum(x * (x - 1) / 2) AS v FROM (SELECT docset, hyp, sum(c) AS x FROM c GROUP BY ALL) GROUP BY ALL)
         SELECT docset, {_R("CASE WHEN n > 1 THEN (n * (n - 1) / 2 + 2 * both_ - r.v - h.v) / (n * (n - 1) / 2) ELSE 1.0 END")} AS rand FROM b JOIN r USING (docset) JOIN h USING (docset)"""),
     "class_f1": _with(f"{LINES}, {BOTH}", f"""
-        , z AS (SELECT docset, CASE WHEN ref BETWEEN 0 AND 4 THEN ref ELSE 5 END AS r, CASE WHEN hyp BETWEEN 0 AND 4 THEN hyp ELSE 5 END AS h FROM labels),
-        u AS (SELECT docset, r AS c, 1 AS t, 0 AS g, CASE WHEN r = h THEN 1 ELSE 0 END AS ok FROM z UNION ALL SELECT docset, h, 0, 1, 0 FROM z),
-        f AS (SELECT docset, c, sum(t) AS t, 2.0 * sum(ok) / (sum(t) + sum(g)) AS f FROM u WHERE c < 5 GROUP BY ALL)
-        SELECT docset, {_R("sum(f) / 5")} AS macro_f1, {_R("coalesce(sum(f * t) / nullif(sum(t), 0), 0.0)")} AS micro_f1 FROM f GROUP BY docset"""),
+        , k AS (SELECT docset, greatest(1, max(ref) + 1, max(hyp) + 1) AS k FROM labels GROUP BY ALL),
+        z AS (SELECT docset, CASE WHEN ref >= 0 THEN ref ELSE k END AS r, CASE WHEN hyp >= 0 THEN hyp ELSE k END AS h, k FROM labels JOIN k USING (docset)),
+        u AS (SELECT docset, k, r AS c, 1 AS t, 0 AS g, CASE WHEN r = h THEN 1 ELSE 0 END AS ok FROM z UNION ALL SELECT docset, k, h, 0, 1, 0 FROM z),
+        f AS (SELECT docset, k, c, sum(t) AS t, 2.0 * sum(ok) / (sum(t) + sum(g)) AS f FROM u WHERE c < k GROUP BY ALL)
+        SELECT docset, {_R("sum(f) / any_value(k)")} AS macro_f1, {_R("coalesce(sum(f * t) / nullif(sum(t), 0), 0.0)")} AS micro_f1 FROM f GROUP BY docset"""),
     "corpus_scores": _with(f"{LINES}, {CLUSTERS}", f"""
         , a AS (SELECT avg(accuracy) AS accuracy, avg(pk) AS pk, avg(windowdiff) AS windowdiff, avg(length_ratio) AS length_ratio FROM score),
         s AS (SELECT avg(p) AS precision, avg(r) AS recall, avg(norm_vi) AS norm_vi, avg(rand_like) AS rand_like FROM prf JOIN vi USING (docset) JOIN ri USING (docset))
@@ -195,4 +233,56 @@ ORACLE_SQL = {
               UNION ALL SELECT docset, doc_id, pos, 1, CASE WHEN ruled THEN replace(line, '=====', '-----') ELSE line END FROM b
               UNION ALL SELECT docset, doc_id, pos, 2, '=====' FROM b WHERE later IS NULL)
         SELECT docset, doc_id, row_number() OVER (PARTITION BY docset, doc_id ORDER BY pos, part) - 1 AS out_pos, out FROM r"""),
+    "corpus_loglik_topics": _with(f"{BOW}, {UNIFORM}", f"""
+        , g AS (SELECT docset, {_DCM} AS logp FROM (SELECT docset, label, term, sum(cnt) AS cnt FROM bow JOIN ref USING (docset, doc_id, pos) WHERE label % 2 = 0 GROUP BY ALL) JOIN vocab USING (docset) GROUP BY docset, label),
+        l AS (SELECT docset, {_DCM} AS logp FROM (SELECT docset, doc_id, label, term, sum(cnt) AS cnt FROM bow JOIN ref USING (docset, doc_id, pos) WHERE label % 2 = 1 GROUP BY ALL) JOIN vocab USING (docset) GROUP BY docset, doc_id, label),
+        t AS (SELECT docset, doc_id, count(DISTINCT label) FILTER (label % 2 = 0) AS x1, count(DISTINCT label) FILTER (label % 2 = 1) AS x2 FROM ref GROUP BY ALL),
+        p AS (SELECT docset, {_type_prior(["x1", "x2"], [5.0, 1.0]).replace("round(", "(").replace(", 6) + 0.0", ")")} AS logp FROM t WHERE x2 > 0),
+        pg AS (SELECT docset, sum(lgamma(c + 1.0) - lgamma(1.0)) + lgamma(CAST(count(*) AS DOUBLE)) - lgamma(CAST(count(*) + sum(c) AS DOUBLE)) AS logp FROM (SELECT docset, label, count(*) AS c FROM ref WHERE label % 2 = 0 GROUP BY ALL) GROUP BY docset),
+        pl AS (SELECT docset, sum(lgamma(c + 1.0) - lgamma(1.0)) + lgamma(CAST(count(*) AS DOUBLE)) - lgamma(CAST(count(*) + sum(c) AS DOUBLE)) AS logp FROM (SELECT docset, doc_id, label, count(*) AS c FROM ref WHERE label % 2 = 1 GROUP BY ALL) GROUP BY docset, doc_id)
+        SELECT docset, {_R("sum(logp)")} AS loglik, -1.7976931348623157e308 AS without_prior
+        FROM (SELECT * FROM g UNION ALL SELECT * FROM l UNION ALL SELECT * FROM p UNION ALL SELECT * FROM pg UNION ALL SELECT * FROM pl) GROUP BY docset"""),
+    "segment_gradient": _with(f"{BOW}, {UNIFORM}", f"""SELECT docset, doc_id, seg, {_R("up - w * list_sum(list_transform(range(n), lambda i: 1 / (0.1 * w + i)))")} AS gradient
+        FROM (SELECT docset, doc_id, label AS seg, w, sum(cnt)::BIGINT AS n, sum(list_sum(list_transform(range(cnt), lambda i: 1 / (0.1 + i)))) AS up
+              FROM (SELECT docset, doc_id, label, term, sum(cnt)::BIGINT AS cnt FROM bow JOIN ref USING (docset, doc_id, pos) GROUP BY ALL) JOIN vocab USING (docset) GROUP BY ALL)"""),
+    "document_report": _with(f"{LINES}, {_BY_DOC}", f"""
+        SELECT score.docset, score.doc_id, 'docName=' || score.docset || chr(9) || 'docid=' || score.doc_id || chr(9) || 'P=' || {_HALF_UP("p")} || chr(9) || 'R=' || {_HALF_UP("r")} || chr(9) || 'F1=' || {_HALF_UP("f1")}
+               || chr(9) || 'VI=' || {_HALF_UP("norm_vi")} || chr(9) || 'RI=' || {_HALF_UP("rand_like")} || chr(9) || 'Pk=' || {_HALF_UP("pk")} || chr(9) || 'WD=' || {_HALF_UP("windowdiff")}
+               || chr(9) || 'len=' || {_HALF_UP("length_ratio", 2)} || chr(9) || 'acc=' || {_HALF_UP("accuracy")} AS line
+        FROM score JOIN prf ON prf.docset = score.docset || '#' || score.doc_id JOIN vi ON vi.docset = prf.docset JOIN ri ON ri.docset = prf.docset"""),
+    "dp_segments": "WITH RECURSIVE " + _RANGES + f""",
+        paths AS (
+            SELECT docset, doc_id, 1 AS j, e, score AS v, [e] AS ends FROM scores WHERE s = 0
+            UNION ALL
+            SELECT docset, doc_id, j, e, b.v, list_append(b.ends, e) FROM (
+                SELECT p.docset, p.doc_id, p.j + 1 AS j, c.e, arg_max({{'v': p.v + c.score, 'ends': p.ends}}, {{'r': round(p.v + c.score, 6), 's': c.s}}) AS b
+                FROM paths AS p JOIN scores AS c ON c.docset = p.docset AND c.doc_id = p.doc_id AND c.s = p.e JOIN ks ON ks.docset = p.docset AND ks.doc_id = p.doc_id WHERE p.j < ks.k
+                GROUP BY p.docset, p.doc_id, p.j, c.e)),
+        pieces AS ({_PIECES.format(paths="paths JOIN ks USING (docset, doc_id) WHERE j = k AND e = n")})
+        SELECT docset, doc_id, seg, start, "end", {_R("score")} AS logp FROM pieces JOIN scores USING (docset, doc_id) WHERE s = start AND e = "end" """,
+    "dp_segments_free": "WITH RECURSIVE " + _RANGES + f""",
+        columns_ AS MATERIALIZED (SELECT docset, doc_id, e, list(score ORDER BY s) AS col FROM scores GROUP BY ALL),
+        paths AS (
+            SELECT docset, doc_id, 0 AS e, [0.0::DOUBLE] AS best, [[]::BIGINT[]] AS ends FROM ks
+            UNION ALL
+            SELECT docset, doc_id, e, list_append(best, v[hit]), list_append(ends, list_append(ends[hit], e)) FROM (
+                SELECT *, list_position(list_transform(v, lambda x: round(x, 6)), list_max(list_transform(v, lambda x: round(x, 6)))) AS hit FROM (
+                    SELECT p.docset, p.doc_id, c.e, p.best, p.ends, list_transform(list_zip(p.best, c.col), lambda x: x[1] + x[2]) AS v
+                    FROM paths AS p JOIN columns_ AS c ON c.docset = p.docset AND c.doc_id = p.doc_id AND c.e = p.e + 1))),
+        whole AS (SELECT paths.docset, paths.doc_id, paths.ends[n + 1] AS ends FROM paths JOIN ks ON ks.docset = paths.docset AND ks.doc_id = paths.doc_id AND e = n),
+        pieces AS ({_PIECES.format(paths="whole")})
+        SELECT docset, doc_id, seg, start, "end", {_R("score")} AS logp FROM pieces JOIN scores USING (docset, doc_id) WHERE s = start AND e = "end" """,
+    "estimated_prior": "WITH RECURSIVE " + f"{BOW}, {UNIFORM}," + """
+        v AS (SELECT docset, doc_id, label, term, sum(cnt)::BIGINT AS cnt FROM bow JOIN ref USING (docset, doc_id, pos) GROUP BY ALL),
+        ups AS MATERIALIZED (SELECT cnt AS c, count(*) AS m FROM v GROUP BY ALL),
+        downs AS MATERIALIZED (SELECT w, n, count(*) AS m FROM (SELECT docset, doc_id, label, sum(cnt) AS n FROM v GROUP BY ALL) JOIN vocab USING (docset) GROUP BY ALL),
+        search AS (
+            SELECT 0 AS i, ln(1e-4) AS low, ln(10.0) AS high
+            UNION ALL
+            SELECT i + 1, CASE WHEN f1 < f2 THEN m1 ELSE low END, CASE WHEN f1 < f2 THEN high ELSE m2 END FROM (
+                SELECT i, low, high, m1, m2,
+                       (SELECT sum(m * (lgamma(c + exp(m1)) - lgamma(exp(m1)))) FROM ups) - (SELECT sum(m * (lgamma(w * exp(m1) + n) - lgamma(w * exp(m1)))) FROM downs) AS f1,
+                       (SELECT sum(m * (lgamma(c + exp(m2)) - lgamma(exp(m2)))) FROM ups) - (SELECT sum(m * (lgamma(w * exp(m2) + n) - lgamma(w * exp(m2)))) FROM downs) AS f2
+                FROM (SELECT *, low + (high - low) / 3 AS m1, high - (high - low) / 3 AS m2 FROM search WHERE i < 60)))
+        SELECT round(exp((low + high) / 2), 4) AS beta FROM search WHERE i = 60""",
 }

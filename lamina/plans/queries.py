@@ -196,6 +196,34 @@ def corpus_loglik(spark, d):
     return shown(likelihood.corpus_loglik(global_, local, types, 5.0, 1.0))
 
 
+def corpus_loglik_topics(spark, d):
+    """As `corpus_loglik`, with the proportions of the global topics and of each document's local ones."""
+    b, labels = materialize(_bow(spark, d), "bow"), _ref_labels(spark, d)
+    w = _vocab(b)
+    even, odd = labels.where("label % 2 = 0"), labels.where("label % 2 = 1")
+    global_ = likelihood.dcm(topics.topic_vectors(b, even), w, "docset", "topic")
+    local = likelihood.dcm(b.join(odd, KEYS).groupBy(*DOC, "label", "term").agg(F.sum("cnt").alias("cnt")), w, *DOC, "label")
+    types = labels.groupBy(*DOC).agg(F.count_distinct(F.when(F.col("label") % 2 == 0, F.col("label"))).cast("int").alias("x1"), F.count_distinct(F.when(F.col("label") % 2 == 1, F.col("label"))).cast("int").alias("x2"))
+    own = odd.groupBy(*DOC, "label").agg(F.count(F.lit(1)).alias("n_dish"))
+    proportions = [likelihood.topic_proportion(topics.topic_sizes(even), "docset"), likelihood.topic_proportion(own, *DOC)]
+    possible = likelihood.corpus_loglik(global_, local, types, 5.0, 1.0, proportions)
+    never = likelihood.corpus_loglik(global_, local, types, 5.0, 1.0, proportions, (0.0, BETA)).withColumnRenamed("loglik", "without_prior")
+    return shown(possible.join(never, "docset"))
+
+
+def segment_gradient(spark, d):
+    """Derivative of each segment's score by beta."""
+    b = _bow(spark, d)
+    by_segment = b.join(_ref_labels(spark, d), KEYS).groupBy(*DOC, F.col("label").alias("seg"), "term").agg(F.sum("cnt").alias("cnt"))
+    return shown(likelihood.dcm_gradient(by_segment, _vocab(b), *DOC, "seg"))
+
+
+def document_report(spark, d):
+    """The report of each document on its own."""
+    labels, ref, hyp, k, _ = _gold(spark, d)
+    return shown(metrics.document_report_lines(labels, k, ref, hyp))
+
+
 def uniform_segments(spark, d):
     return shown(_ref_labels(spark, d))
 
@@ -266,7 +294,7 @@ def rand_index(spark, d):
 
 
 def class_f1(spark, d):
-    return shown(metrics.class_f1(_labels(spark, d), 5))
+    return shown(metrics.class_f1(_labels(spark, d)))
 
 
 def corpus_scores(spark, d):
@@ -345,5 +373,5 @@ _NAMES = """best_cut lines normalized_lines tokens stop_filtered vocabulary dict
 vector_projections range_counts tf_idf dcm_sentence dcm_document dcm_gradient topic_type_prior topic_proportion topic_sizes unigram skewed_kl
 segment_logprob corpus_loglik uniform_segments label_runs anneal_schedule step_proposals move_ratios change_counts document_scores
 cluster_totals cluster_overlaps cluster_prf norm_vi rand_like rand_index class_f1 corpus_scores report topic_words segmented_lines
-porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior""".split()
+corpus_loglik_topics segment_gradient document_report porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
