@@ -98,7 +98,7 @@ def vocabulary(spark, d):
 
 
 def dictionary_round_trip(spark, d):
-    t = _tokens(spark, d)
+    t = materialize(_tokens(spark, d), "tokens")
     vocab = materialize(bow.vocabulary(t), "vocab")
     back = bow.decode(bow.encode(t, vocab), vocab)
     return shown(back.groupBy("docset").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("term").alias("terms")))
@@ -112,14 +112,24 @@ def vector_reductions(spark, d):
     return shown(bow.reductions(_bow(spark, d), *KEYS))
 
 
+def _written_bow(spark, d):
+    """Counts that a query reads several times: the text pipeline runs once."""
+    return materialize(_bow(spark, d), "bow")
+
+
+def _by_document(b):
+    return b.groupBy(*DOC, "term").agg(F.sum("cnt").alias("cnt"))
+
+
 def vector_difference(spark, d):
-    b = bow.counts(_tokens(spark, d), *DOC)
-    first = _bow(spark, d).where("pos = 0").drop("pos")
+    written = _written_bow(spark, d)
+    b, first = _by_document(written), written.where("pos = 0").drop("pos")
     return shown(bow.compact(bow.add(b, first, -1)))
 
 
 def vector_projections(spark, d):
-    t = bow.encode(_tokens(spark, d), materialize(bow.vocabulary(_tokens(spark, d)), "vocab"))
+    written = materialize(_tokens(spark, d), "tokens")
+    t = bow.encode(written, materialize(bow.vocabulary(written), "vocab"))
     vec = bow.as_map(t.groupBy(*DOC, "term_id").agg(F.count(F.lit(1)).alias("cnt")), "term_id", *DOC)
     v = F.col("vec")
     return shown(vec.select(
@@ -134,22 +144,22 @@ def range_counts(spark, d):
 
 
 def tf_idf(spark, d):
-    return shown(bow.tf_idf(_bow(spark, d)))
+    return shown(bow.tf_idf(_written_bow(spark, d)))
 
 
 def dcm_sentence(spark, d):
-    b = _bow(spark, d)
+    b = _written_bow(spark, d)
     return shown(likelihood.dcm(b, _vocab(b), *KEYS))
 
 
 def dcm_document(spark, d):
-    b = _bow(spark, d)
-    return shown(likelihood.dcm(bow.counts(_tokens(spark, d), *DOC), _vocab(b), *DOC))
+    b = _written_bow(spark, d)
+    return shown(likelihood.dcm(_by_document(b), _vocab(b), *DOC))
 
 
 def dcm_gradient(spark, d):
-    b = _bow(spark, d)
-    return shown(likelihood.dcm_gradient(bow.counts(_tokens(spark, d), *DOC), _vocab(b), *DOC))
+    b = _written_bow(spark, d)
+    return shown(likelihood.dcm_gradient(_by_document(b), _vocab(b), *DOC))
 
 
 def topic_type_prior(spark, d):
@@ -169,25 +179,26 @@ def topic_sizes(spark, d):
 
 
 def unigram(spark, d):
-    b = _bow(spark, d)
-    return shown(likelihood.unigram(bow.counts(_tokens(spark, d), *DOC), _vocab(b), *DOC))
+    b = _written_bow(spark, d)
+    return shown(likelihood.unigram(_by_document(b), _vocab(b), *DOC))
 
 
 def skewed_kl(spark, d):
-    b = _bow(spark, d).join(_sizes(spark, d), DOC)
+    written = _written_bow(spark, d)
+    b, w = written.join(_sizes(spark, d), DOC), _vocab(written)
     half = lambda cond: b.where(cond).groupBy(*DOC, "term").agg(F.sum("cnt").alias("cnt"))
-    p, r = (likelihood.unigram(half(c), _vocab(b), *DOC).select(*DOC, "term", "p") for c in ("2 * pos < n", "2 * pos >= n"))
+    p, r = (likelihood.unigram(half(c), w, *DOC).select(*DOC, "term", "p") for c in ("2 * pos < n", "2 * pos >= n"))
     return shown(likelihood.skewed_kl(p, r, *DOC))
 
 
 def segment_logprob(spark, d):
-    b = _bow(spark, d)
+    b = _written_bow(spark, d)
     by_segment = b.join(_ref_labels(spark, d), KEYS).groupBy(*DOC, F.col("label").alias("seg"), "term").agg(F.sum("cnt").alias("cnt"))
     return shown(likelihood.dcm(by_segment, _vocab(b), *DOC, "seg"))
 
 
 def corpus_loglik(spark, d):
-    b, labels = _bow(spark, d), _ref_labels(spark, d)
+    b, labels = _written_bow(spark, d), _ref_labels(spark, d)
     w = _vocab(b)
     global_ = likelihood.dcm(topics.topic_vectors(b, labels.where("label % 2 = 0")), w, "docset", "topic")
     local = b.join(labels.where("label % 2 = 1"), KEYS).groupBy(*DOC, "label", "term").agg(F.sum("cnt").alias("cnt"))
@@ -198,7 +209,7 @@ def corpus_loglik(spark, d):
 
 def corpus_loglik_topics(spark, d):
     """As `corpus_loglik`, with the proportions of the global topics and of each document's local ones."""
-    b, labels = materialize(_bow(spark, d), "bow"), _ref_labels(spark, d)
+    b, labels = _written_bow(spark, d), _ref_labels(spark, d)
     w = _vocab(b)
     even, odd = labels.where("label % 2 = 0"), labels.where("label % 2 = 1")
     global_ = likelihood.dcm(topics.topic_vectors(b, even), w, "docset", "topic")
@@ -213,7 +224,7 @@ def corpus_loglik_topics(spark, d):
 
 def segment_gradient(spark, d):
     """Derivative of each segment's score by beta."""
-    b = _bow(spark, d)
+    b = _written_bow(spark, d)
     by_segment = b.join(_ref_labels(spark, d), KEYS).groupBy(*DOC, F.col("label").alias("seg"), "term").agg(F.sum("cnt").alias("cnt"))
     return shown(likelihood.dcm_gradient(by_segment, _vocab(b), *DOC, "seg"))
 
@@ -233,7 +244,7 @@ def label_runs(spark, d):
 
 
 def best_cut(spark, d):
-    b = materialize(_bow(spark, d), "bow")
+    b = _written_bow(spark, d)
     return shown(segments.best_cut(b, _sizes(spark, d), _vocab(b), BETA))
 
 
@@ -322,18 +333,18 @@ def porter_stems(spark, d):
 
 
 def dp_segments(spark, d):
-    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
+    b, n = _written_bow(ship(spark), d), _sizes(spark, d)
     return shown(dp.segment(_lines(spark, d), b, n, _vocab(b), segments.default_k(F.col("n")), BETA))
 
 
 def dp_segments_free(spark, d):
-    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
+    b, n = _written_bow(ship(spark), d), _sizes(spark, d)
     return shown(dp.segment(_lines(spark, d), b, n, _vocab(b), None, BETA))
 
 
 def aligned_segments(spark, d):
     """Dynamic programming per document, then k-means++ over the segments of each docset."""
-    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
+    b, n = _written_bow(ship(spark), d), _sizes(spark, d)
     pieces = dp.segment(_lines(spark, d), b, n, _vocab(b), segments.default_k(F.col("n")), BETA)
     k = n.groupBy("docset").agg(F.max(segments.default_k(F.col("n"))).alias("k"))
     return shown(kmeans.align(pieces, bow.tf_idf(b), k))
@@ -341,7 +352,7 @@ def aligned_segments(spark, d):
 
 def clustered_sentences(spark, d):
     """k-means++ over single sentences; segments are runs of equal labels."""
-    b, n = materialize(_bow(ship(spark), d), "bow"), _sizes(spark, d)
+    b, n = _written_bow(ship(spark), d), _sizes(spark, d)
     each = n.select(*DOC, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start")).withColumn("end", F.col("start") + 1)
     k = n.groupBy("docset").agg(F.max(segments.default_k(F.col("n"))).alias("k"))
     return shown(kmeans.align(each, bow.tf_idf(b), k))
@@ -352,18 +363,18 @@ def _settings():
 
 
 def sampled_segments(spark, d):
-    b = materialize(_bow(ship(spark), d), "bow")
+    b = _written_bow(ship(spark), d)
     return shown(sampler.assignments(b, _sizes(spark, d), _vocab(b), _settings()))
 
 
 def sampler_trace(spark, d):
-    b = materialize(_bow(ship(spark), d), "bow")
+    b = _written_bow(ship(spark), d)
     return shown(sampler.trace(b, _sizes(spark, d), _vocab(b), _settings(), trials=1))
 
 
 def estimated_prior(spark, d):
     """Beta of the Dirichlet-multinomial over uniform segments, by L-BFGS on aggregates."""
-    b = _bow(spark, d)
+    b = _written_bow(spark, d)
     by_segment = b.join(_ref_labels(spark, d), KEYS).groupBy(*DOC, "label", "term").agg(F.sum("cnt").alias("cnt"))
     beta = estimate.estimate_beta(by_segment, _vocab(b), *DOC, "label")
     return spark.createDataFrame([(round(beta, 4),)], "beta double")

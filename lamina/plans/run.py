@@ -77,11 +77,8 @@ def segment(spark: SparkSession, config: dict[str, str], lines: DataFrame, words
     model = model_of(config.get("model.class", "multi"))
     if model == "multi":
         caps = {k.removeprefix("sampler.docset.maxGlobalCluster."): int(v) for k, v in corpus.with_prefix(config, "sampler.docset.maxGlobalCluster.").items()}
-        starts = {}
-        if flag(config, "sampler.initUniform"):
-            starts = {r["docset"]: max(1, r["k"]) for r in clusters.collect()}  # a number for each set
-        chain = sampler.assignments(words, sizes, w, base, trial, priors=document_priors(config, base), caps=caps, starts=starts)
-        return chain.where(F.col("trial") == trial).drop("trial")
+        starts = clusters if flag(config, "sampler.initUniform") else None
+        return sampler.assignments(words, sizes, w, base, [trial], starts, priors=document_priors(config, base), caps=caps).drop("trial")
     default = sizes.groupBy("docset").agg(F.max(segments.default_k(F.col("n"))).alias("d"))
     k_set = default.join(clusters, "docset", "left").select("docset", F.coalesce("k", "d").cast("int").alias("k"))
     vectors = bow.tf_idf(words)
