@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -91,6 +92,9 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _delete(spark, _SCOPES.pop())
+        # Spark's cleaner frees broadcasts and shuffles on executors when the driver collects the frames that had them.
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def clean(spark: SparkSession) -> None:
@@ -104,8 +108,12 @@ def materialize(df: DataFrame, name: str, outer: int = 0, codec: str | None = No
     return _written(df, scratch(df.sparkSession, name, outer), codec)
 
 
+#: Bytes of a row group of scratch tables: what a task's writer holds in the heap.
+ROW_GROUP = 16 << 20
+
+
 def _written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
-    df.write.parquet(path, compression=codec)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
