@@ -1,7 +1,7 @@
 """Exact deduplication against a persistent digest index.
 
 The index is two Parquet tables, bucketed and sorted by digest, beside a table of its format: `entries` (digest, keep_id, group_size,
-batch), one row for each digest as its first batch had it, and `sightings` (digest, n, batch), how many rows of each batch had it. A batch is first reduced to one row for each
+batch), one row for each digest as its first batch had it, and `sightings` (digest, n, batch), how many rows of later batches had it. A batch is first reduced to one row for each
 digest (partial aggregation, so a text that makes up a third of the rows costs one row for each map task), then anti-joined with the
 entries by sort-merge on the bucketed key (no exchange on the index side), and what is new is appended. Everything here is DataFrame
 operations.
@@ -81,12 +81,14 @@ class DigestIndex:
         """Append the digests of `batch` (doc_id, digest) that the index lacks. Within the batch the largest id wins; between
         batches the one that was ingested earlier. `batch_no` is the next one by default."""
         if batch_no is None:
-            batch_no = (self.table("sightings").agg(F.max("batch")).first()[0] or 0) + 1
+            last = self.table().select("batch").union(self.table("sightings").select("batch")).agg(F.max("batch"))
+            batch_no = (last.first()[0] or 0) + 1
         groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         # Written first: the optimizer would move the anti-join below the aggregation, where a hot digest is many rows.
         groups = materialize(groups, "batch-digests").withColumn("batch", F.lit(batch_no).cast("long"))
-        same_batch = self.table("sightings").where(F.col("batch") == batch_no)
-        self._append("sightings", groups.select("digest", "n", "batch"), same_batch)
+        earlier = self.table().where(F.col("batch") != batch_no).select("digest")
+        again = groups.hint("merge").join(earlier.hint("merge"), "digest", "left_semi").select("digest", "n", "batch")
+        self._append("sightings", again, self.table("sightings").where(F.col("batch") == batch_no))
         self._append("entries", groups.select("digest", "keep_id", F.col("n").alias("group_size"), "batch"), self.table())
 
     def _append(self, kind: str, rows: DataFrame, there: DataFrame) -> None:
@@ -96,8 +98,9 @@ class DigestIndex:
 
     def groups(self) -> DataFrame:
         """(digest, keep_id, group_size) of all digests; both tables are read bucket by bucket, without an exchange."""
-        sizes = self.table("sightings").groupBy("digest").agg(F.sum("n").alias("group_size"))
-        return self.table().select("digest", "keep_id").hint("merge").join(sizes.hint("merge"), "digest")
+        later = self.table("sightings").groupBy("digest").agg(F.sum("n").alias("__later"))
+        both = self.table().hint("merge").join(later.hint("merge"), "digest", "left")
+        return both.select("digest", "keep_id", (F.col("group_size") + F.coalesce("__later", F.lit(0))).alias("group_size"))
 
     def annotate(self, batch: DataFrame, into: str | None = None) -> DataFrame:
         """`batch` (with doc_id, digest) plus keep_id, group_size and kept, as the index has them, or a struct `into` of the three.
@@ -110,7 +113,8 @@ class DigestIndex:
             raise ValueError(f"the batch already has {sorted(clash & set(batch.columns))}; choose another name for `into`")
         found = into or "__found"
         rows = self.groups().select("digest", F.struct("keep_id", "group_size").alias(found))
-        total = self.table("sightings").agg(F.sum("n")).first()[0] or 0
+        parts = self.table().select("group_size").union(self.table("sightings").select("n"))
+        total = parts.agg(F.sum("group_size")).first()[0] or 0
         heavy_from = max(2, int(total * HEAVY_SHARE) + 1)
         here, size = F.col(f"`{found}`"), F.col(f"`{found}`.group_size")
         heavy = materialize(rows.where(size >= heavy_from), "heavy-digests", outer=1)

@@ -280,7 +280,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: bool = False)
         reps = materialize(filled.groupBy("digest").agg(F.min("no").alias("id"), F.min("doc_id").alias("doc")), "near-reps")
         label = _labels(docs, filled, reps, percent)
         classes = reps.join(label, "id", "left").select("digest", "doc", "comp", F.coalesce("comp", "id").alias("class"))
-        classes = materialize(classes, "near-classes")
         names = classes.where("comp IS NOT NULL").groupBy("class").agg(F.min("doc").alias("name"))
         classes = classes.join(names, "class", "left").select("digest", "class", F.when(F.col("comp").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component_id"))
         classes = materialize(classes, "near-named", outer=1)
