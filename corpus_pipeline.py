@@ -28,7 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of equal texts: that with the largest doc_id, any of those that share it, and any if none has one. Null is the
     empty text."""
     columns, docs = docs.columns, verdicts.named(docs)
-    return verdicts.keep_one(docs, digest_index.exact_dedup(docs, keep=verdicts.NAME), "text_sha256").select(columns)
+    found = digest_index.exact_dedup(docs, batches=1, keep=verdicts.NAME)
+    return verdicts.keep_one(docs, found, "text_sha256").select(columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
