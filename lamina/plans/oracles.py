@@ -15,6 +15,15 @@ TOKEN_STEPS = [
     (r"'(s|m|d|re|ll|ve|S|M|D|RE|LL|VE)( |$)", r" '\1 \2"),
 ]
 
+# The published stemming rules, (suffix, replacement), and the suffixes of its fourth step.
+STEM_RULES = [
+    [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"),
+     ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("alli", "al"), ("ator", "ate"), ("logi", "log"),
+     ("bli", "ble"), ("eli", "e")],
+    [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")],
+]
+STEM_ENDS = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
+
 
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -101,6 +110,38 @@ def _type_prior(xs: list[str], ps: list[float]) -> str:
 
 
 
+def _stems() -> str:
+    """CTEs st0 .. st8 of (term, w), w after each step; sh tells the letters of w apart as c or v, so that a measure counts its `vc`."""
+    vowel = "x IN ('a', 'e', 'i', 'o', 'u')"
+    shape = f"""list_reduce(list_concat([CASE WHEN regexp_matches(w, '^[aeiou]') THEN 'v' ELSE 'c' END], string_split_regex(w, '')[2:]),
+                lambda a, x: a || CASE WHEN {vowel} OR (x = 'y' AND a[-1] = 'c') THEN 'v' ELSE 'c' END)"""
+    cut = lambda k, what="w": f"left({what}, length(w) - {k})"
+    measure = lambda k: f"((length({cut(k, 'sh')}) - length(replace({cut(k, 'sh')}, 'vc', ''))) // 2)"
+    short = lambda k: f"(regexp_matches({cut(k, 'sh')}, 'cvc$') AND NOT regexp_matches({cut(k)}, '[wxy]$'))"
+    when = lambda s, yes, to: f"WHEN suffix(w, '{s}') THEN CASE WHEN {yes} THEN {to} ELSE w END"
+    replaced = lambda rules: "CASE " + " ".join(when(s, f"{measure(len(s))} > 0", f"{cut(len(s))} || '{r}'") for s, r in rules) + " ELSE w END"
+    cut_off = lambda s: f"(suffix(w, '{s}') AND NOT suffix(w, 'eed') AND contains({cut(len(s), 'sh')}, 'v'))"
+    ended = "regexp_matches({}, '[st]$')"
+    steps = [
+        f"CASE WHEN regexp_matches(w, '(sses|ies)$') THEN {cut(2)} WHEN regexp_matches(w, 's$') AND NOT suffix(w, 'ss') THEN {cut(1)} ELSE w END",
+        f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {measure(3)} > 0 THEN {cut(1)} ELSE w END WHEN {cut_off('ed')} THEN {cut(2)} || '+' WHEN {cut_off('ing')} THEN {cut(3)} || '+' ELSE w END",
+        # A word with + lost its end: the + goes, an e comes back, or one of two equal consonants goes.
+        f"""CASE WHEN NOT suffix(w, '+') OR w = term THEN w WHEN regexp_matches(w, '(at|bl|iz)[+]$') THEN {cut(1)} || 'e'
+            WHEN length(w) > 2 AND w[-2] = w[-3] AND {cut(1, "sh")}[-1] = 'c' THEN CASE WHEN w[-2] IN ('l', 's', 'z') THEN {cut(1)} ELSE {cut(2)} END
+            WHEN {measure(1)} = 1 AND {short(1)} THEN {cut(1)} || 'e' ELSE {cut(1)} END""",
+        f"CASE WHEN suffix(w, 'y') AND contains({cut(1, 'sh')}, 'v') THEN {cut(1)} || 'i' ELSE w END",
+        replaced(STEM_RULES[0]),
+        replaced(STEM_RULES[1]),
+        "CASE " + " ".join(when(s, f"{measure(len(s))} > 1" + (f" AND {ended.format(cut(3))}" if s == "ion" else ""), cut(len(s))) for s in STEM_ENDS) + " ELSE w END",
+        f"CASE WHEN suffix(w, 'e') AND ({measure(1)} > 1 OR ({measure(1)} = 1 AND NOT {short(1)})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN suffix(w, 'll') AND {measure(0)} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    out = "st0 AS (SELECT DISTINCT term, term AS w FROM tokens)"
+    for n, step in enumerate(steps):
+        out += f", st{n + 1} AS MATERIALIZED (SELECT term, CASE WHEN length(term) < 3 THEN term ELSE {step} END AS w FROM (SELECT term, w, {shape} AS sh FROM st{n}))"
+    return out + f", stems AS (SELECT term, w AS stem FROM st{len(steps)})"
+
+
 _BY_DOC = CLUSTERS
 for _x, _y in (("cr AS (SELECT docset,", "cr AS (SELECT docset || '#' || doc_id AS docset,"), ("ch AS (SELECT docset,", "ch AS (SELECT docset || '#' || doc_id AS docset,"),
                ("kset AS (SELECT docset, count(DISTINCT label) AS k FROM cr GROUP BY ALL)", "kset AS (SELECT docset, count(DISTINCT label) AS k FROM runs_ref WHERE label >= 0 GROUP BY ALL)"),
@@ -250,6 +291,15 @@ ORACLE_SQL = {
                || chr(9) || 'VI=' || {_HALF_UP("norm_vi")} || chr(9) || 'RI=' || {_HALF_UP("rand_like")} || chr(9) || 'Pk=' || {_HALF_UP("pk")} || chr(9) || 'WD=' || {_HALF_UP("windowdiff")}
                || chr(9) || 'len=' || {_HALF_UP("length_ratio", 2)} || chr(9) || 'acc=' || {_HALF_UP("accuracy")} AS line
         FROM score JOIN prf ON prf.docset = score.docset || '#' || score.doc_id JOIN vi ON vi.docset = prf.docset JOIN ri ON ri.docset = prf.docset"""),
+    "porter_stems": _with(f"{TOKENS}, {_stems()}", "SELECT term, stem FROM stems"),
+    "corpus_folder": _with(f"{TOKENS}, {UNIFORM}", f"""
+        , marked AS (SELECT docset, doc_id, pos, CASE WHEN label % 3 < 2 THEN dense_rank() OVER (PARTITION BY docset, label % 3 < 2 ORDER BY CAST(label AS VARCHAR)) - 1 END AS cluster FROM ref),
+        begun AS (SELECT *, CASE WHEN cluster IS NULL AND (pos = 0 OR lag(cluster) OVER w IS NOT NULL) THEN 1 ELSE 0 END AS b FROM marked WINDOW w AS (PARTITION BY docset, doc_id ORDER BY pos)),
+        gold AS (SELECT docset, doc_id, pos, coalesce(cluster, -sum(b) OVER (PARTITION BY docset, doc_id ORDER BY pos))::BIGINT AS label FROM begun),
+        kept AS (SELECT docset, doc_id, pos, count(*) AS kept FROM tokens GROUP BY ALL),
+        named AS (SELECT DISTINCT docset, doc_id, dense_rank() OVER (PARTITION BY docset ORDER BY doc_id) - 1 AS no FROM lines)
+        SELECT docset, no AS doc_id, pos, regexp_replace(line, '\\r$', '') AS line, label, coalesce(kept, 0) AS kept
+        FROM lines JOIN gold USING (docset, doc_id, pos) JOIN named USING (docset, doc_id) LEFT JOIN kept USING (docset, doc_id, pos)"""),
     "dp_segments": "WITH RECURSIVE " + _RANGES + f""",
         paths AS (
             SELECT docset, doc_id, 1 AS j, e, score AS v, [e] AS ends FROM scores WHERE s = 0

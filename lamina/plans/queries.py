@@ -6,14 +6,14 @@ an exact value. Whole numbers are longs and doubles are rounded to 6 places, her
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import dcm, stemmer
 from lamina.functions import text as T
 from lamina.operators import bow, dp, estimate, kmeans, likelihood, metrics, sampler, segments, topics
-from lamina.sources import sinks
-from lamina.session import materialize, ship, table
+from lamina.sources import corpus, sinks
+from lamina.session import materialize, scope, scratch, ship, table
 
 BETA = 0.1
 KEYS = ["docset", "doc_id", "pos"]
@@ -327,6 +327,30 @@ def segmented_lines(spark, d):
     return shown(sinks.segmented_lines(_lines(spark, d), _ref_labels(spark, d)))
 
 
+def corpus_folder(spark, d):
+    """Documents, gold clusters, a stop list and a configuration written as files and read back: (docset, doc_id, pos, line, label, kept).
+
+    Documents are numbered within their docset. Two of three uniform segments are clusters; `kept` counts the tokens outside the list.
+    """
+    with scope(ship(spark)):
+        folder = scratch(spark, "corpus")
+        labels = _ref_labels(spark, d).where("label % 3 < 2")
+        number = (F.dense_rank().over(Window.partitionBy("docset").orderBy("doc_id")) - 1).cast("long")
+        numbers = _sizes(spark, d).select(*DOC, number.alias("no"))
+        numbered = lambda df: df.join(numbers, DOC).withColumn("doc_id", F.col("no")).drop("no")
+        spans = metrics.spans(segments.runs(labels)).select("docset", F.col("label").cast("string").alias("label"), "doc_id", "start", F.col("end").alias("end"))
+        settings = [("stop.list", "\n".join(["this line is skipped", *T.SHORT_STOP_LIST])), ("experiment.cfg", "corpus.stopwordList = stop.list\ncorpus.stopwordList=another\n")]
+        for files in (sinks.document_files(numbered(_lines(spark, d))), sinks.label_files(numbered(spans)), spark.createDataFrame(settings, "name string, value string")):
+            sinks.write_files(files, folder)
+        stop = corpus.read_stop_words(spark, f"{folder}/{corpus.read_config(spark, f'{folder}/experiment.cfg')['corpus.stopwordList']}")
+        read = materialize(corpus.read_documents(spark, folder), "read")
+        gold = corpus.gold_labels(corpus.read_labels(spark, folder), read)
+        kept = bow.without_stop_words(bow.tokens(read), stop).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("kept"))
+        out = read.join(gold, KEYS).join(kept, KEYS, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+        out = out.withColumn("docset", F.url_decode("docset")).withColumn("doc_id", F.col("doc_id").cast("long"))
+        return materialize(shown(out), "corpus-read", outer=1)
+
+
 def porter_stems(spark, d):
     terms = _tokens(ship(spark), d).select("term").distinct()
     return stemmer.with_stems(terms)
@@ -384,5 +408,5 @@ _NAMES = """best_cut lines normalized_lines tokens stop_filtered vocabulary dict
 vector_projections range_counts tf_idf dcm_sentence dcm_document dcm_gradient topic_type_prior topic_proportion topic_sizes unigram skewed_kl
 segment_logprob corpus_loglik uniform_segments label_runs anneal_schedule step_proposals move_ratios change_counts document_scores
 cluster_totals cluster_overlaps cluster_prf norm_vi rand_like rand_index class_f1 corpus_scores report topic_words segmented_lines
-corpus_loglik_topics segment_gradient document_report porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior""".split()
+corpus_loglik_topics segment_gradient document_report corpus_folder porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

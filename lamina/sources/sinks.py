@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,41 @@ def segmented_lines(lines: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select(*DOC, (F.row_number().over(Window.partitionBy(*DOC).orderBy("pos", "part")) - 1).alias("out_pos"), "out")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write `files` (name, value), one text each, into `folder`: a path or a URI that pyarrow knows, reached by all executors. Returns
+    how many. A task that runs again writes the same files again."""
+    where = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(where)
+        store.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, value in zip(pdf["name"], pdf["value"], strict=True):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(value.encode("utf-8"))
+            yield pdf[["name"]]
+
+    return files.select("name", "value").mapInPandas(write, "name string").agg(F.count("name")).first()[0]
+
+
+def document_files(lines: DataFrame) -> DataFrame:
+    """(name, value): the files `<docset>.<doc_id>` of documents, a line end after each line. Signs that a file name can't hold are
+    percent-encoded in the docset."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    docs = lines.groupBy(*DOC).agg(rows.alias("rows"))
+    text = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    return docs.select(F.concat(F.url_encode("docset"), F.lit("."), F.col("doc_id").cast("string")).alias("name"), text.alias("value"))
+
+
+def label_files(spans: DataFrame) -> DataFrame:
+    """(name, value): the files `<docset>.label` of clusters (docset, label, doc_id, start, end), both ends included: a cluster in a line."""
+    span = F.format_string("%d::%d-%d", "doc_id", "start", "end")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "start", span.alias("span")))), lambda r: r["span"])
+    rows = spans.groupBy("docset", "label").agg(F.array_join(ordered, " ").alias("spans"))
+    listing = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("label"), F.col("spans")))), "\n")
+    return rows.groupBy("docset").agg(listing.alias("value")).select(F.concat(F.url_encode("docset"), F.lit(".label")).alias("name"), "value")
+
+
 def write_segmented(lines: DataFrame, labels: DataFrame, folder: str) -> None:
     """One text per document, in folders docset=/doc_id=."""
     out = segmented_lines(lines, labels).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("out_pos", "out"))).alias("rows"))
