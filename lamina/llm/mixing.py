@@ -13,7 +13,8 @@ are its `spans`, ranges [start, end) of its words in order, with neighbouring bl
 
 Only (doc_id, source, size) and the columns that the caller wants back are shuffled, never a text. A shard holds at most about `shard_words` words until a source
 needs more than `max_shards` of them, so a source with a third of all rows spreads over as many tasks as its size asks
-for. The table of sources (one row each, at most `MAX_SOURCES`) is the only thing on the driver; its bound is checked.
+for. The table of sources (one row each) is on the driver while it has at most `MAX_SOURCES` rows, which is checked; beyond, targets and
+quotas come from `many_sources`, with the same result, and the table is joined instead of broadcast.
 
 Defined edge cases: a null text has size 0, as has one of white space only, and takes 0; a null source is a source of its
 own and comes last; an empty table gives an empty result; rows that repeat a doc_id count as rows of their own and are told
@@ -30,9 +31,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm import many_sources
 from lamina.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -41,6 +43,8 @@ SHARD_WORDS = 1 << 17
 MAX_SHARDS = 1 << 16
 MAX_REPEAT = 3
 MAX_SOURCES = 100_000
+#: Beyond that, sources with one of so many rows are broadcast all the same: there are no more of them than this.
+HOT_SHARE = 1_000
 SEED = "mix-1"
 
 
@@ -132,6 +136,7 @@ def _take(pdf: pd.DataFrame) -> pd.DataFrame:
 
 #: Names of columns while the caller's own are beside them.
 _OWN = {"__doc": "doc_id", "__no": "src", "__size": "size", "__ord": "ord", "__shard": "shard", "__blocks": "blocks", "__quota": "quota", "__seed": "seed"}
+_PLAN = "__no int, __source string, __source_size long, __target double, __shards int"
 _TAKEN = "__doc long, __no int, __size long, __taken long, __start array<int>, __end array<int>"
 
 
@@ -160,15 +165,61 @@ def _spans(begin: np.ndarray, end: np.ndarray, edge: np.ndarray, chosen: np.ndar
     return starts, ends
 
 
+def _few_sources(spark: SparkSession, found: list, weights: tuple[float, ...], shard_words: int, max_shards: int, max_repeat: int) -> DataFrame:
+    """Number, size, target and shards of the sources `found`, worked out on the driver."""
+    found = sorted(((r["__src"], r["words"]) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
+    sizes = [w for _, w in found]
+    goal = targets(sizes, list(itertools.islice(itertools.cycle(weights), len(found))), max_repeat)
+    shards = [min(max_shards, max(1, math.ceil(w / shard_words))) for w in sizes]
+    return spark.createDataFrame([(i, s, int(w), float(g), k) for i, ((s, w), g, k) in enumerate(zip(found, goal, shards, strict=True))], _PLAN)
+
+
+def _many_sources(by_source: DataFrame, weights: tuple[float, ...], shard_words: int, max_shards: int, max_repeat: int) -> DataFrame:
+    """The same for any number of sources."""
+    sources = materialize(many_sources.numbered(by_source.withColumnRenamed("words", "size"), "__src", weights), "mix-sources")
+    shards = F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("size") / shard_words))).cast("int")
+    plan = many_sources.targets(sources, max_repeat).select("no", "__src", "size", "target", shards, "rows").toDF("__no", "__source", "__source_size", "__target", "__shards", "rows")
+    return materialize(plan, "mix-plan")
+
+
+def _few_quotas(spark: SparkSession, wanted: DataFrame, max_repeat: int) -> DataFrame:
+    """Quotas of the sources `wanted` (no, w, most), worked out on the driver."""
+    rows = sorted(wanted.collect())
+    quota = sainte_lague([r["w"] for r in rows], round(math.fsum(r["w"] for r in rows)), [r["most"] for r in rows])
+    return F.broadcast(spark.createDataFrame([(r["no"], int(q), max_repeat) for r, q in zip(rows, quota, strict=True)], "__no int, source_quota long, max_repeat int"))
+
+
+def _many_quotas(wanted: DataFrame, max_repeat: int) -> DataFrame:
+    """The same for any number of sources."""
+    # Whole numbers of 2^-20 blocks, so that the sum is the same in any order.
+    total = wanted.agg(F.sum(F.round(F.col("w") * (1 << 20)).cast("decimal(38,0)")).alias("t")).first()["t"] or 0
+    quota = many_sources.seats(wanted, round(total / (1 << 20)))
+    return quota.select(F.col("no").alias("__no"), F.col("seats").alias("source_quota"), F.lit(max_repeat).alias("max_repeat"))
+
+
+def _with_sources(rows: DataFrame, plan: DataFrame, many: bool) -> DataFrame:
+    """`rows` with `__no` and `__shards` of their source. Of many sources, those with many rows are broadcast and the rest merged."""
+    source = rows["__src"].eqNullSafe(plan["__source"])
+    if not many:
+        return rows.join(F.broadcast(plan.select("__no", "__source", "__shards")), source, "inner").drop("__src", "__source")
+    n = rows.count()
+    hot = plan.where(F.col("rows") * HOT_SHARE >= n).select("__no", "__source", "__shards")
+    found = rows.join(F.broadcast(hot), rows["__src"].eqNullSafe(hot["__source"]), "left")
+    cold = found.where("__no IS NULL").drop("__no", "__source", "__shards")
+    other = plan.where(F.col("rows") * HOT_SHARE < n).select("__no", "__source", "__shards").hint("merge")
+    merged = cold.join(other, cold["__src"].eqNullSafe(other["__source"]), "inner")
+    return found.where("__no IS NOT NULL").unionByName(merged).drop("__src", "__source")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
-    max_shards: int = MAX_SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED, keep: Sequence[str] = (),
+    max_shards: int = MAX_SHARDS, max_repeat: int = MAX_REPEAT, seed: str = SEED, keep: Sequence[str] = (), max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """Which words of each of `docs` (doc_id, text, source) the mix takes, and how many.
 
     Sources by code point, null last, weigh `weights`, repeating. Returns doc_id, size, source_size, target, taken, source, spans and
     the columns `keep` (numbers or strings); `taken` is the words of whole copies and of the spans (see above), and no span if whole
-    copies are all.
+    copies are all. With more than `max_sources` sources none of their tables is on the driver; what is taken is the same.
     """
     spark, keep = docs.sparkSession, list(keep)
     text = F.col("text")
@@ -177,40 +228,38 @@ def mix_sources(
         F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce(text, F.lit("")).cast("binary"))).alias("__ord"), *keep,
     )
     rows = materialize(rows, "mix-sizes")
-    by_source = rows.groupBy("__src").agg(F.sum("__size").alias("words"))
-    found = by_source.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    found = sorted(((r["__src"], r["words"]) for r in found), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
-    sizes = [w for _, w in found]
-    goal = targets(sizes, list(itertools.islice(itertools.cycle(weights), len(found))), max_repeat)
-    shards = [min(max_shards, max(1, math.ceil(w / shard_words))) for w in sizes]
-    plan = spark.createDataFrame(
-        [(i, s, int(w), float(g), k) for i, ((s, w), g, k) in enumerate(zip(found, goal, shards, strict=True))],
-        "__no int, __source string, __source_size long, __target double, __shards int",
-    )
-    placed = rows.join(F.broadcast(plan), rows["__src"].eqNullSafe(plan["__source"]), "inner").drop("__src", "__source", "__source_size", "__target")
+    by_source = rows.groupBy("__src").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    found = by_source.limit(max_sources + 1).collect()
+    many = len(found) > max_sources
+    cut = (weights, shard_words, max_shards, max_repeat)
+    plan = _many_sources(by_source, *cut) if many else _few_sources(spark, found, *cut)
+    placed = _with_sources(rows, plan, many)
     placed = placed.withColumn("__shard", F.pmod(F.col("__ord"), F.col("__shards")).cast("int"))
     per_shard = placed.groupBy("__no", "__shard").agg(F.sum("__size").alias("words"))
     blocks_of = F.when(F.col("words") == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col("words") / block_words))).cast("long")
     per_shard = materialize(per_shard.withColumn("blocks", blocks_of), "mix-shards")
-    n_blocks = {r["__no"]: r["b"] for r in per_shard.groupBy("__no").agg(F.sum("blocks").alias("b")).collect()}
-    blocks = [n_blocks.get(i, 0) or 0 for i in range(len(found))]
-    wanted = [g * b / w if w else 0.0 for g, b, w in zip(goal, blocks, sizes, strict=True)]
-    quota = sainte_lague(wanted, round(math.fsum(wanted)), [max_repeat * b for b in blocks])
-    quotas = spark.createDataFrame([(i, int(q), max_repeat) for i, q in enumerate(quota)], "__no int, source_quota long, max_repeat int")
+    n_blocks = per_shard.groupBy("__no").agg(F.sum("blocks").alias("b"))
+    share = F.when(F.col("__source_size") > 0, F.col("__target") * F.col("b") / F.col("__source_size")).otherwise(0.0)
+    wanted = n_blocks.join(plan, "__no").select(F.col("__no").alias("no"), share.alias("w"), (max_repeat * F.col("b")).alias("most"))
+    quotas = _many_quotas(materialize(wanted, "mix-wanted"), max_repeat) if many else _few_quotas(spark, wanted, max_repeat)
     shard_plan = (
-        per_shard.join(F.broadcast(quotas), "__no")
+        per_shard.join(quotas, "__no")
         .select(F.col("__no").alias("src"), F.col("__shard").alias("shard"), "blocks", "source_quota", "max_repeat")
         .groupBy("src").applyInPandas(_shard_quotas, "src int, shard int, blocks long, quota long")
     )
     shard_plan = materialize(shard_plan.toDF("__no", "__shard", "__blocks", "__quota"), "mix-quotas")
+    named = plan.select("__no", "__source", "__source_size", "__target")
+    if many:
+        # Rows get what is known of their source with their shard, of which none is large.
+        shard_plan = shard_plan.join(named, "__no")
+    beside = [*keep, *(["__source", "__source_size", "__target"] if many else [])]
     seed_no = F.abs(F.xxhash64(F.lit(seed), F.col("__no"))) % F.lit(2_147_483_647)
     laid = placed.drop("__shards").join(shard_plan, ["__no", "__shard"]).withColumn("__seed", seed_no)
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    taken = laid.groupBy("__no", "__shard").applyInPandas(lambda pdf: _take_beside(pdf, keep), _TAKEN + kinds)
-    named = F.broadcast(plan.drop("__shards"))
-    return taken.join(named, "__no").select(
+    kinds = "".join(f", `{c}` {laid.schema[c].dataType.simpleString()}" for c in beside)
+    taken = laid.groupBy("__no", "__shard").applyInPandas(lambda pdf: _take_beside(pdf, beside), _TAKEN + kinds)
+    if not many:
+        taken = taken.join(F.broadcast(named), "__no")
+    return taken.select(
         F.col("__doc").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         F.col("__taken").alias("taken"), F.col("__source").alias("source"),
         F.arrays_zip(F.col("__start").alias("start"), F.col("__end").alias("end")).alias("spans"), *keep,

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lamina.llm import mixing
+from lamina.llm import many_sources, mixing
 
 
 def by_quotients(weights, seats, most):
@@ -96,3 +96,37 @@ def test_mixed_text_of_spans(docs):
         assert len(text[i].split()) == out[i]["taken"]
     part = [r for r in out.values() if 0 < r["taken"] < r["size"]]
     assert any(s["end"] == r["size"] for r in part for s in r["spans"]) and any(r["spans"][0]["start"] > 0 for r in part)
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_seats_by_frame(spark, case):
+    rng = np.random.default_rng(case)
+    n = [1, 5, 40, 200][case]
+    w = [float(x) for x in (rng.integers(0, 9, n) if case % 2 else rng.random(n) * rng.integers(0, 2, n) * 50)]
+    most = [int(x) for x in rng.integers(0, 20, n)]
+    frame = spark.createDataFrame([(i, a, m) for i, (a, m) in enumerate(zip(w, most, strict=True))], "no int, w double, most long")
+    for wanted in (0, 3 * n, 100 * n):
+        got = {r["no"]: r["seats"] for r in many_sources.seats(frame, wanted).collect()}
+        assert [got[i] for i in range(n)] == by_quotients(w, wanted, most)
+
+
+def test_targets_by_frame(spark):
+    sizes = [10, 100, 190, 0, 7, 5000, 1, 1, 30, 12]
+    names = ["b", "a", "\U00010000", "\uffff", "", "z", "zz", "Z", "\u00e9", None]
+    rows = many_sources.numbered(spark.createDataFrame(list(zip(names, sizes, strict=True)), "name string, size long"), "name", (5, 2, 1))
+    got = sorted((r["no"], r["name"], r["target"]) for r in many_sources.targets(rows, 3).collect())
+    order = sorted(range(10), key=lambda i: (names[i] is None, (names[i] or "").encode()))
+    assert [g[1] for g in got] == [names[i] for i in order]
+    assert [g[2] for g in got] == mixing.targets([sizes[i] for i in order], [5, 2, 1, 5, 2, 1, 5, 2, 1, 5], 3)
+
+
+def test_many_sources_give_the_same(docs):
+    rows = [(i, "w " * (i % 70), "en", f"s{i % 90}" if i % 3 else "hot") for i in range(900)] + [(5000 + i, "x y z", "en", None) for i in range(9)]
+    rows += [(6000, None, "en", "only-null"), (6001, None, "en", None), (None, "no id", "en", "s1"), (7, "again " * 3000, "en", "s7")]
+    few, many = (mixing.mix_sources(docs(rows), block_words=8, shard_words=500, max_sources=m, keep=["key", "size"]).collect() for m in (1000, 3))
+    assert sorted(map(repr, few)) == sorted(map(repr, many)) and len(few) == len(rows)
+
+
+def test_many_sources_of_nothing(docs):
+    assert mixing.mix_sources(docs([]), max_sources=0).collect() == []
+    assert [r["taken"] for r in mixing.mix_sources(docs([(1, None)]), max_sources=0).collect()] == [0]
