@@ -18,9 +18,9 @@ TOKEN_RULES = [
     (r'"', r" '' "),
     (r"([,;:@#$%&?!()\[\]{}<>*|])", r" \1 "),
     (r"--", r" -- "),
-    (r"\.( |$)", r" . \1"),
-    (r"n't( |$)", r" n't \1"),
-    (r"'(s|m|d|re|ll|ve|S|M|D|RE|LL|VE)( |$)", r" '\1 \2"),
+    (r"\.( |\z)", r" . \1"),
+    (r"n't( |\z)", r" n't \1"),
+    (r"'(s|m|d|re|ll|ve|S|M|D|RE|LL|VE)( |\z)", r" '\1 \2"),
 ]
 #: What a line contains if the rule of the same place can apply; most lines lack most of these, and a search is cheap.
 _NEEDS = ['"', '"', None, "--", ".", "n't", "'"]

@@ -26,7 +26,7 @@ def docset_of(source, doc_id) -> Column:
 def lines(documents: DataFrame) -> DataFrame:
     """One row for each line of `documents` (doc_id, text, source); a closing line end begins no line, a null text has none. Rows
     without a doc_id are no documents of any docset and are left out."""
-    docs = documents.where("doc_id IS NOT NULL").select(docset_of(F.col("source"), F.col("doc_id")).alias("docset"), "doc_id", F.regexp_replace("text", "\n$", "").alias("text"))
+    docs = documents.where("doc_id IS NOT NULL").select(docset_of(F.col("source"), F.col("doc_id")).alias("docset"), "doc_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
     return docs.select("docset", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 

@@ -18,7 +18,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = files.select(F.regexp_extract(name, r"^(.*)\.\d+$", 1).alias("docset"), F.regexp_extract(name, r"\.(\d+)$", 1).alias("n"), "value").where("n <> ''")
     docs = docs.withColumn("doc_id", F.col("n").cast("int"))
     sets = docs.where("doc_id = 0").select("docset").distinct()
-    docs = docs.join(sets, "docset", "left_semi").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n$", ""))
+    docs = docs.join(sets, "docset", "left_semi").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"\n\z", ""))
     return docs.select("docset", "doc_id", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import text as T
 from lamina.operators import bow, dp, estimate, kmeans, likelihood, metrics, sampler, segments, topics
 from lamina.sources import sinks
 
@@ -282,3 +283,15 @@ def test_alternation_settles(spark):
     w = likelihood.vocabulary_size(b)
     beta = estimate.alternate(lambda x: dp.segment(None, b, n, w, F.lit(2), x), b, w, rounds=3)
     assert 0.05 < beta < 50
+
+
+def test_line_ends(spark):
+    texts = ["a\n", "a\n\n", "a\n\n\n", "\n", "", "a\n\r\n", "a.\r", "it's\u2028", None]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {i: [] for i in range(len(texts))}
+    for r in sorted(bow.lines(docs).collect(), key=lambda r: r["pos"]):
+        got[r["doc_id"]].append(r["line"])
+    assert list(got.values()) == [["a"], ["a", ""], ["a", "", ""], [""], [""], ["a", "\r"], ["a.\r"], ["it's\u2028"], []]
+    # A full stop or a contraction is split off before a blank or the end, not before other signs that some engines take for line ends.
+    ends = spark.createDataFrame([("a.\r",), ("it's\u2028",), ("a. it's",), ("a.",)], "line string")
+    assert [r[0] for r in ends.select(T.blank_split(T.normalize(F.col("line")))).collect()] == [["a.\r"], ["it's\u2028"], ["a", ".", "it", "'s"], ["a", "."]]

@@ -1,5 +1,7 @@
 """Readers and writers on files made here."""
 
+from pyspark.sql import functions as F
+
 from lamina.sources import corpus, sinks
 
 
@@ -49,3 +51,17 @@ def test_writers(spark, tmp_path):
     listing = sinks.topic_word_lines(words)
     assert listing.first()["value"] == "TOPIC 0\na 0.5\nb 0.25\n"
     sinks.write_lines(listing, str(tmp_path / "words"))
+
+
+def test_corpus_round_trip(spark, tmp_path):
+    rows = [("a b/c+%.1", 0, 0, "one"), ("a b/c+%.1", 0, 1, ""), ("a b/c+%.1", 2, 0, "\u00e9 two"), ("z", 0, 0, "")]
+    lines = spark.createDataFrame(rows, "docset string, doc_id long, pos int, line string")
+    spans = spark.createDataFrame([("z", "1", 0, 0, 0), ("a b/c+%.1", "x", 2, 0, 0), ("a b/c+%.1", "x", 0, 0, 1)], "docset string, label string, doc_id long, start int, end int")
+    folder = f"file:{tmp_path}/made/corpus"
+    assert sinks.write_files(sinks.document_files(lines), folder) == 3 and sinks.write_files(sinks.label_files(spans), folder) == 2
+    assert sinks.write_files(sinks.document_files(lines.limit(0)), folder) == 0
+    name = F.url_decode("docset")
+    got = corpus.read_documents(spark, folder).select(name, "doc_id", "pos", "line")
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    back = corpus.read_labels(spark, folder).select(name, "label", "doc_id", "start", "end")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spans.collect()))
