@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, revisit, token_pack
+from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, quality_rules, revisit, token_pack
 from lamina.session import ship, table
 
 
@@ -67,6 +68,37 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(ship(spark), sf_dir, "pages"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules on all `documents`."""
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumn("failed", F.array_join("failed", ","))
+
+
+def _quality_rules_sql() -> str:
+    """The twin of `op13_quality_rules`, written out from the same table of thresholds and lists."""
+    ratio = {
+        "n_words": "n_words", "repeat_words_percent": "CASE WHEN n_words > 0 THEN 100 * n_repeat_words / n_words ELSE 0 END",
+        "mean_word_length": "CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END", "symbols_per_word": "CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END",
+        "stop_word_share": f"CASE WHEN n_words >= {quality_rules.STOP_WORDS_FROM} THEN n_stop_words / n_words ELSE 1 END",
+    } | {f"{x}_line_share": f"CASE WHEN n_lines > 0 THEN n_{x}_lines / n_lines ELSE 0 END" for x in ("dup", "bullet", "ellipsis")}
+    broken = {n: " OR ".join([f"({ratio[n]}) < {low}"] * (low is not None) + [f"({ratio[n]}) > {high}"] * (high is not None)) for n, low, high in quality_rules.THRESHOLDS}
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+    named = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in broken.items())
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM win, range(5) AS r(k) WHERE n > 1 GROUP BY 1),
+        s AS (SELECT *, list_filter(CASE WHEN text IS NULL THEN [] ELSE string_split(t, chr(10)) END, lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM d),
+        c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                len(list_filter(w, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words, len(lines)::BIGINT AS n_lines,
+                len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t-\r]*[-*•·‣▪]')))::BIGINT AS n_bullet_lines,
+                len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t-\r]*$')))::BIGINT AS n_ellipsis_lines
+              FROM s LEFT JOIN rep USING (doc_id)),
+        f AS (SELECT *, list_filter([{named}], lambda x: x IS NOT NULL) AS failed FROM c)
+        SELECT * EXCLUDE (failed), {" OR ".join(broken[n] for n in quality_rules.BASE)} AS base_failed, len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed FROM f"""
+
+
 QUERIES = {
     "op1_revisits": op1_revisits,
     "op2_mix_sources": op2_mix_sources,
@@ -78,6 +110,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_main_text": op10_main_text,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -126,4 +159,5 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op13_quality_rules": _quality_rules_sql(),
 }
