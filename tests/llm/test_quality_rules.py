@@ -67,7 +67,7 @@ def test_equal_hashes_are_told_apart(spark):
         ("\n".join(f"the item{i} of{i} list{i}..." for i in range(20)), ["ellipsis_line_share"]),
         ("\n".join(["the", PROSE[:40], "the", PROSE[40:]]), []),
         ("\n".join(["so so"] * 9 + [PROSE]), ["repeat_words_percent", "dup_line_share"]),
-        (None, ["n_words"]),
+        (None, ["n_words", "mean_word_length"]),
     ],
 )
 def test_verdicts(docs, text, failed):
