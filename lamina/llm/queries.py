@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, quality_rules, revisit, token_pack
+from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, quality_rules, revisit, token_pack, word_runs
 from lamina.session import ship, table
 
 
@@ -68,6 +68,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(ship(spark), sf_dir, "pages"))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of all `documents`, of which every tenth is given a repeated tail first."""
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", word_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    return word_runs.digests(word_runs.periodic_runs(docs))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules on all `documents`."""
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -110,6 +116,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_main_text": op10_main_text,
+    "op12_word_runs": op12_word_runs,
     "op13_quality_rules": op13_quality_rules,
 }
 
