@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, quality_rules, revisit, token_pack, word_runs
+from lamina.llm import bpe, digest_index, flac, lang_id, main_text, mixing, near_dup, quality_fm, quality_rules, revisit, spelling, token_pack, word_runs
 from lamina.session import ship, table
 
 
@@ -68,6 +68,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(ship(spark), sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all `documents`, of which one in 199 loses a letter first."""
+    return spelling.variants(spelling.count_words(table(ship(spark), sf_dir, "documents"), change=spelling.planted_typo))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of words of all `documents`, of which every tenth is given a repeated tail first."""
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", word_runs.repeated_tail(F.col("text"), F.col("doc_id")).alias("text"))
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_main_text": op10_main_text,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_word_runs": op12_word_runs,
     "op13_quality_rules": op13_quality_rules,
 }
