@@ -33,6 +33,8 @@ from lamina.session import materialize, partitions, scope
 SHARD_WORDS, SHARD_LETTERS = 1 << 16, 1 << 21
 #: Tries that are broadcast at once; a single shard is less but for words of millions of letters.
 GROUP_BYTES = 32 << 20
+#: Words that a task looks up in a group of shards, about.
+TASK_WORDS = 20_000
 #: Distinct words that a task holds while it counts.
 HELD = 200_000
 
@@ -218,7 +220,7 @@ def near_words(words: DataFrame, rows: int) -> DataFrame:
             total = 0
         groups[-1].append(shard)
         total += size
-    dealt = materialize(words.repartition(max(partitions(spark), 4 * spark.sparkContext.defaultParallelism, rows // 20_000)), "dealt")
+    dealt = words.repartition(max(partitions(spark), 4 * spark.sparkContext.defaultParallelism, rows // TASK_WORDS))
     parts = []
     for group in filter(None, groups):
         between = F.col("shard").between(group[0], group[-1])
