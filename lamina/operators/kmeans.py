@@ -1,21 +1,33 @@
 """Alignment by k-means++ on TF-IDF vectors: of segments across the documents of a docset, or of single sentences.
 
 The distance is 1 - v.u / (sqrt(sum v) sqrt(sum u)) where the product is positive, else 1: square roots of sums, not of sums of
-squares. Where a sum isn't positive (TF-IDF can be negative) the distance is 1. A docset is one task; docsets are bounded.
+squares. Where a sum isn't positive (TF-IDF can be negative) the distance is 1. Distances are compared in `PLACES` places.
+
+Seeds are drawn with a probability in proportion to the squared distance from those that are there, by a race: each piece draws a number from a
+hash of its name, and the one with the least -ln(u) / distance² wins. So results depend on names and contents only, and the same seeds
+come out of both forms: `cluster`, one task for a docset, and `cluster_frames`, joins and aggregates for docsets of any size, with one round of
+jobs for each seed and each change of centres. `align` takes the second for docsets with more than `most` pieces.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import spread
+from lamina.session import materialize, scope, spread
 
-ITERATIONS = 1_000
+#: The distance is no metric and means aren't its minima, so labels may come round again; then the last of so many rounds counts.
+ITERATIONS = 100
+PLACES = 9
+#: Pieces of a docset that one task clusters.
+MOST = 50_000
+PIECE = ["docset", "doc_id", "start"]
+#: In a race: of pieces at no distance from a seed, and of seeds.
+LAST, NEVER = 1e300, 2e300
 
 
 class Points:
@@ -34,7 +46,7 @@ class Points:
         total = centre.sum()
         ok = (dot > 0) & (self.sum > 0) & (total > 0)
         out = np.ones(self.n)
-        out[ok] = 1 - dot[ok] / np.sqrt(self.sum[ok] * total)
+        out[ok] = np.round(1 - dot[ok] / np.sqrt(self.sum[ok] * total), PLACES)
         return out
 
     def mean(self, members: np.ndarray) -> np.ndarray:
@@ -42,64 +54,133 @@ class Points:
         return np.bincount(self.at[inside], self.value[inside], self.width) / max(1, int(members.sum()))
 
 
-def cluster(rows: list[dict[str, float]], k: int, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
-    """A cluster for each row: k-means++ seeding, then assignment to the nearest centre (the lowest of equals) and means,
-    until nothing moves. A cluster that loses all its rows takes the row farthest from its own centre."""
-    points, rng = Points(rows), np.random.default_rng(seed)
-    if not points.n:
-        return np.zeros(0, int)
-    k = max(1, min(k, points.n))
-    one = np.zeros(points.n, bool)
+def draw(seed: int, number: int, name: str) -> float:
+    """A number in (0, 1) for the race for seed `number`."""
+    return (int(hashlib.md5(f"{seed}/{number}/{name}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
 
-    def row(i: int) -> np.ndarray:
-        one[:] = False
-        one[i] = True
-        return points.mean(one)
 
-    chosen = [int(rng.integers(points.n))]
-    near = points.distances(row(chosen[0]))
+def cluster(rows: list[dict[str, float]], k: int, seed: int, names: list[str] | None = None, iterations: int = ITERATIONS) -> np.ndarray:
+    """A cluster for each row: seeds, then assignment to the nearest centre (the lowest of equals) and means, until nothing moves.
+    Clusters that lose all their rows take the rows farthest from their own centres, the first of equals."""
+    points = Points(rows)
+    if not points.n:
+        return np.zeros(0, int)
+    names = names or [str(i) for i in range(points.n)]
+    k, near, chosen = max(1, min(k, points.n)), np.ones(points.n), []
     while len(chosen) < k:
         weight = np.maximum(near, 0) ** 2
-        weight[chosen] = 0
-        i = int(rng.choice(points.n, p=weight / weight.sum())) if weight.sum() > 0 else next(i for i in range(points.n) if i not in chosen)
-        chosen.append(i)
-        near = np.minimum(near, points.distances(row(i)))
-    centres = [row(i) for i in chosen]
+        luck = -np.log([draw(seed, len(chosen), name) for name in names])
+        score = np.where(weight > 0, luck / np.where(weight > 0, weight, 1), LAST)
+        score[chosen] = NEVER
+        chosen.append(int(score.argmin()))
+        near = np.minimum(near, points.distances(points.mean(np.arange(points.n) == chosen[-1])))
     label = np.full(points.n, -1)
+    label[chosen] = np.arange(k)
     for _ in range(iterations):
-        d = np.stack([points.distances(c) for c in centres])
+        d = np.stack([points.distances(points.mean(label == j)) for j in range(k)])
         new = d.argmin(0)
+        own = d[new, np.arange(points.n)]
         for j in np.flatnonzero(np.bincount(new, minlength=k) == 0):
-            far = int(d[new, np.arange(points.n)].argmax())
-            d[:, far] = -1
-            new[far] = j
+            far = int(own.argmax())
+            own[far], new[far] = -np.inf, j
         if (new == label).all():
             break
         label = new
-        centres = [points.mean(label == j) for j in range(k)]
     return label
 
 
-def _labelled(label: np.ndarray) -> np.ndarray:
-    """Clusters of one member become local: -(id + 1)."""
-    size = np.bincount(label) if len(label) else np.zeros(0, int)
-    return np.where(size[label] == 1, -(label + 1), label) if len(label) else label
-
-
-def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1) -> DataFrame:
+def _distance(dot: Column, a: Column, b: Column) -> Column:
+    ok = (dot > 0) & (a > 0) & (b > 0)
+    return F.when(ok, F.round(1 - dot / F.sqrt(a * b), PLACES)).otherwise(1.0)
+
+
+def _to_centres(vectors: DataFrame, totals: DataFrame, centres: DataFrame) -> DataFrame:
+    """(PIECE, label, d): the distances of pieces from the centres (docset, label, term, c) that share a term with them."""
+    of = centres.groupBy("docset", "label").agg(F.sum("c").alias("total"))
+    dots = vectors.join(centres, ["docset", "term"]).groupBy(*PIECE, "label").agg(F.sum(F.col("v") * F.col("c")).alias("dot"))
+    return dots.join(totals, PIECE).join(of, ["docset", "label"]).select(*PIECE, "label", _distance(F.col("dot"), F.col("s"), F.col("total")).alias("d"))
+
+
+def _seeds(points: DataFrame, vectors: DataFrame, totals: DataFrame, k: DataFrame, seed: int) -> DataFrame:
+    """(PIECE, label): label is the number of the seed, null of other pieces."""
+    most = k.agg(F.max("k")).first()[0] or 0
+    state = points.select(*PIECE, F.lit(1.0).alias("near"), F.lit(None).cast("int").alias("label"))
+    for number in range(most):
+        name = F.concat_ws("/", F.lit(f"{seed}/{number}"), *PIECE)
+        u = (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+        score = F.when(F.col("label").isNotNull(), NEVER).when(F.col("near") > 0, -F.log(u) / (F.col("near") * F.col("near"))).otherwise(LAST)
+        first = state.join(k.where(F.col("k") > number).select("docset"), "docset", "left_semi").groupBy("docset").agg(F.min(F.struct(score.alias("score"), "doc_id", "start")).alias("x"))
+        pick = materialize(first.select("docset", "x.doc_id", "x.start", F.lit(number).alias("number")), "pick")
+        centres = vectors.join(pick, PIECE).select("docset", F.col("number").alias("label"), "term", F.col("v").alias("c"))
+        d = _to_centres(vectors, totals, centres).drop("label")
+        # Pieces without a common term are at distance 1, which changes nothing.
+        state = state.join(pick, PIECE, "left").join(d, PIECE, "left").select(*PIECE, F.least("near", F.coalesce("d", F.lit(1.0))).alias("near"), F.coalesce("label", "number").alias("label"))
+        state = materialize(state, "near")
+    return state.drop("near")
+
+
+def _assigned(labels: DataFrame, vectors: DataFrame, totals: DataFrame, k: DataFrame) -> DataFrame:
+    """(PIECE, label, before, d): the nearest centre of `labels` (PIECE, label), the lowest of equals, and the label so far."""
+    sizes = labels.where("label IS NOT NULL").groupBy("docset", "label").agg(F.count(F.lit(1)).alias("m"))
+    members = vectors.join(labels.where("label IS NOT NULL"), PIECE)
+    centres = members.groupBy("docset", "label", "term").agg(F.sum("v").alias("c")).join(sizes, ["docset", "label"]).select("docset", "label", "term", (F.col("c") / F.col("m")).alias("c"))
+    best = _to_centres(vectors, totals, centres).groupBy(*PIECE).agg(F.min(F.struct("d", "label")).alias("best"))
+    near = F.col("best.d") < 1  # else all centres are at distance 1
+    new = labels.withColumnRenamed("label", "before").join(best, PIECE, "left")
+    new = new.select(*PIECE, F.when(near, F.col("best.label")).otherwise(0).alias("label"), "before", F.when(near, F.col("best.d")).otherwise(1.0).alias("d"))
+    new = materialize(new, "assigned")
+    every = k.select("docset", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("label"))
+    empty = every.join(new, ["docset", "label"], "left_anti")
+    lost = empty.groupBy("docset").count().agg(F.max("count")).first()[0]
+    if not lost:
+        return new
+    takes = empty.select("docset", F.col("label").alias("takes"), F.row_number().over(Window.partitionBy("docset").orderBy("label")).alias("r"))
+    far = F.row_number().over(Window.partitionBy("docset").orderBy(F.desc("d"), "doc_id", "start"))
+    taken = new.join(takes.select("docset").distinct(), "docset", "left_semi").select(*PIECE, far.alias("r")).where(F.col("r") <= lost).join(takes, ["docset", "r"]).drop("r")
+    return materialize(new.join(taken, PIECE, "left").select(*PIECE, F.coalesce("takes", "label").alias("label"), "before", "d"), "assigned")
+
+
+def cluster_frames(points: DataFrame, vectors: DataFrame, k: DataFrame, seed: int, iterations: int = ITERATIONS) -> DataFrame:
+    """`cluster` of each docset: (PIECE, label) for `points` (PIECE), `vectors` (PIECE, term, v) and `k` (docset, k), k from 1 to the
+    number of pieces. Tables are written after each round; nothing but their greatest k and counts of changes comes to the driver."""
+    with scope(points.sparkSession):
+        vectors, k, points = materialize(vectors, "vectors"), materialize(k, "k"), materialize(points.select(*PIECE), "points")
+        totals = materialize(vectors.groupBy(*PIECE).agg(F.sum("v").alias("s")), "totals")
+        labels = _seeds(points, vectors, totals, k, seed)
+        for _ in range(iterations):
+            new = _assigned(labels, vectors, totals, k)
+            labels = new.select(*PIECE, "label")
+            if not new.where(~F.col("label").eqNullSafe(F.col("before"))).take(1):
+                break
+        return materialize(labels, "clusters", outer=1)
+
+
+def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1, most: int = MOST, iterations: int = ITERATIONS) -> DataFrame:
     """`pieces` (docset, doc_id, start, end) with `label`. `vectors` is (docset, doc_id, pos, term, tfidf); a piece is the sum of
-    its sentences. `k` (docset, k) is the number of clusters, at most the number of pieces."""
-    p = pieces.select("docset", "doc_id", "start", "end")
+    its sentences. `k` (docset, k) is the number of clusters, at most the number of pieces. Clusters of one member become local:
+    -(number + 1)."""
+    p = materialize(pieces.select("docset", "doc_id", "start", "end"), "pieces")
+    n = p.groupBy("docset").agg(F.count(F.lit(1)).alias("n"))
+    k = n.join(k, "docset").select("docset", "n", F.greatest(F.lit(1), F.least("k", "n")).cast("int").alias("k"))
     v = vectors.join(p, ["docset", "doc_id"]).where("pos >= start AND pos < end")
-    v = v.groupBy("docset", "doc_id", "start", "term").agg(F.sum("tfidf").alias("v"))
-    v = v.groupBy("docset", "doc_id", "start").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "v")))).alias("vec"))
-    rows = p.join(v, ["docset", "doc_id", "start"], "left").join(k, "docset")
+    v = v.groupBy(*PIECE, "term").agg(F.sum("tfidf").alias("v"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
-        name = pdf["docset"].iloc[0]
-        vectors_ = [dict(x) if x is not None else {} for x in pdf["vec"]]
-        label = cluster(vectors_, int(pdf["k"].iloc[0]), zlib.crc32(f"{seed}/{name}".encode()))
-        return pdf[["docset", "doc_id", "start", "end"]].assign(label=_labelled(label))
-
-    return spread(rows, "docset").groupBy("docset").applyInPandas(run, "docset string, doc_id long, start int, end int, label int")
+        vectors_ = [{r["term"]: r["v"] for r in x} if x is not None else {} for x in pdf["vec"]]
+        names = [f"{s}/{d}/{b}" for s, d, b in zip(pdf["docset"], pdf["doc_id"], pdf["start"], strict=True)]
+        label = cluster(vectors_, int(pdf["k"].iloc[0]), seed, names, iterations)
+        return pdf[["docset", "doc_id", "start", "end"]].assign(label=label)
+
+    small = k.where(F.col("n") <= most).drop("n")
+    whole = v.groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("term", "v"))).alias("vec"))
+    rows = p.join(small, "docset").join(whole.join(small.select("docset"), "docset", "left_semi"), PIECE, "left")
+    out = spread(rows, "docset").groupBy("docset").applyInPandas(run, "docset string, doc_id long, start int, end int, label int")
+    large = k.where(F.col("n") > most).drop("n")
+    if large.take(1):
+        of = lambda df: df.join(large.select("docset"), "docset", "left_semi")
+        out = out.unionByName(p.join(cluster_frames(of(p), of(v), large, seed, iterations), PIECE).select("docset", "doc_id", "start", "end", "label"))
+    out = materialize(out, "clusters")
+    single = out.groupBy("docset", "label").agg(F.count(F.lit(1)).alias("m"))
+    local = F.when(F.col("m") == 1, -(F.col("label") + 1)).otherwise(F.col("label"))
+    return out.join(single, ["docset", "label"]).select("docset", "doc_id", "start", "end", local.alias("label"))

@@ -167,6 +167,55 @@ _RANGES = f"""{BOW}, {_SIZES}, {_K},
 _PIECES = """SELECT docset, doc_id, i - 1 AS seg, CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END AS start, ends[i] AS "end"
              FROM (SELECT docset, doc_id, ends, unnest(range(1, len(ends) + 1)) AS i FROM {paths})"""
 
+
+
+def _clusters(pieces: str, seed: int = 1) -> str:
+    """k-means++ over a query of pieces (docset, doc_id, start, "end"): one recursion draws the seeds, another moves labels until none changes."""
+    return f""",
+    n_set AS (SELECT docset, count(*) AS n FROM (SELECT DISTINCT docset, doc_id, pos FROM bow) GROUP BY ALL),
+    tfidf AS (SELECT b.docset, b.doc_id, b.pos, b.term, b.cnt / t.total * ln(n / (1.0 + df)) AS x FROM bow AS b
+              JOIN (SELECT docset, doc_id, pos, sum(cnt) AS total FROM bow GROUP BY ALL) AS t USING (docset, doc_id, pos)
+              JOIN (SELECT docset, term, count(*) AS df FROM bow GROUP BY ALL) USING (docset, term) JOIN n_set USING (docset)),
+    pts AS MATERIALIZED ({pieces}),
+    vec AS MATERIALIZED (SELECT p.docset, p.doc_id, p.start, term, sum(x) AS v FROM pts AS p JOIN tfidf AS t ON t.docset = p.docset AND t.doc_id = p.doc_id AND pos >= start AND pos < "end" GROUP BY ALL),
+    tot AS MATERIALIZED (SELECT docset, doc_id, start, sum(v) AS s FROM vec GROUP BY ALL),
+    kk AS MATERIALIZED (SELECT docset, least(max(k), any_value(m)) AS k FROM ks JOIN (SELECT docset, count(*) AS m FROM pts GROUP BY ALL) USING (docset) GROUP BY docset),
+    near AS (
+        SELECT 0 AS j, docset, doc_id, start, 1.0::DOUBLE AS d, NULL::BIGINT AS label FROM pts
+        UNION ALL
+        (WITH scored AS (SELECT near.*, CASE WHEN label IS NOT NULL THEN 2e300 WHEN d > 0
+                            THEN -ln((('0x' || substr(md5(concat_ws('/', {seed}, j, docset, doc_id, start)), 1, 8))::BIGINT + 0.5) / 4294967296) / (d * d) ELSE 1e300 END AS score
+                         FROM near JOIN kk USING (docset) WHERE j < k),
+         pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docset ORDER BY score, doc_id, start) AS r FROM scored) WHERE r = 1),
+         centre AS (SELECT docset, term, v FROM vec JOIN pick USING (docset, doc_id, start)),
+         dots AS (SELECT vec.docset, vec.doc_id, vec.start, sum(vec.v * centre.v) AS dot FROM vec JOIN centre USING (docset, term) GROUP BY ALL),
+         far AS (SELECT docset, sum(v) AS total FROM centre GROUP BY ALL)
+         SELECT a.j + 1, a.docset, a.doc_id, a.start, least(a.d, CASE WHEN dot > 0 AND s > 0 AND total > 0 THEN round(1 - dot / sqrt(s * total), 9) ELSE 1.0 END),
+                CASE WHEN pick.doc_id IS NOT NULL THEN a.j ELSE a.label END
+         FROM scored AS a LEFT JOIN pick ON pick.docset = a.docset AND pick.doc_id = a.doc_id AND pick.start = a.start
+              LEFT JOIN dots ON dots.docset = a.docset AND dots.doc_id = a.doc_id AND dots.start = a.start
+              LEFT JOIN tot ON tot.docset = a.docset AND tot.doc_id = a.doc_id AND tot.start = a.start LEFT JOIN far ON far.docset = a.docset)),
+    labels_ AS (
+        SELECT 0 AS it, docset, doc_id, start, label, -1::BIGINT AS prev FROM near JOIN kk USING (docset) WHERE j = k
+        UNION ALL
+        (WITH now AS (SELECT * FROM (SELECT *, max(CASE WHEN label IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY docset) AS moved FROM labels_) WHERE moved = 1 AND it < 100),
+         m AS (SELECT docset, label, count(*) AS m FROM now WHERE label IS NOT NULL GROUP BY ALL),
+         c AS (SELECT docset, label, term, sum(v) / any_value(m) AS c FROM vec JOIN now USING (docset, doc_id, start) JOIN m USING (docset, label) GROUP BY ALL),
+         ct AS (SELECT docset, label, sum(c) AS total FROM c GROUP BY ALL),
+         dots AS (SELECT vec.docset, doc_id, start, label, sum(v * c) AS dot FROM vec JOIN c USING (docset, term) GROUP BY ALL),
+         ds AS (SELECT docset, doc_id, start, label, CASE WHEN dot > 0 AND s > 0 AND total > 0 THEN round(1 - dot / sqrt(s * total), 9) ELSE 1.0 END AS d
+                FROM dots JOIN tot USING (docset, doc_id, start) JOIN ct USING (docset, label)),
+         best AS (SELECT docset, doc_id, start, min({{'d': d, 'l': label}}) AS b FROM ds GROUP BY ALL),
+         new AS (SELECT now.it, now.docset, now.doc_id, now.start, now.label AS prev, CASE WHEN b.d < 1 THEN b.l ELSE 0 END AS label, CASE WHEN b.d < 1 THEN b.d ELSE 1.0 END AS d
+                 FROM now LEFT JOIN best ON best.docset = now.docset AND best.doc_id = now.doc_id AND best.start = now.start),
+         lost AS (SELECT docset, l AS takes, row_number() OVER (PARTITION BY docset ORDER BY l) AS r FROM (SELECT docset, unnest(range(k)) AS l FROM kk WHERE docset IN (SELECT docset FROM now)) AS e
+                  WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.docset = e.docset AND new.label = e.l)),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY docset ORDER BY d DESC, doc_id, start) AS r FROM new)
+         SELECT it + 1, ranked.docset, doc_id, start, coalesce(takes, label), prev FROM ranked LEFT JOIN lost ON lost.docset = ranked.docset AND lost.r = ranked.r)),
+    ended AS (SELECT docset, doc_id, start, label FROM labels_ WHERE (docset, it) IN (SELECT (docset, max(it)) FROM labels_ GROUP BY docset))
+    SELECT docset, doc_id, start, "end", CASE WHEN count(*) OVER (PARTITION BY docset, label) = 1 THEN -(label + 1) ELSE label END AS label FROM pts JOIN ended USING (docset, doc_id, start)"""
+
+
 ORACLE_SQL = {
     "best_cut": _with(f"{BOW}, {_SIZES}", f"""
         , cuts AS (SELECT docset, doc_id, n, unnest(range(1, n)) AS cut FROM sizes WHERE n > 1),
@@ -336,3 +385,5 @@ ORACLE_SQL = {
                 FROM (SELECT *, low + (high - low) / 3 AS m1, high - (high - low) / 3 AS m2 FROM search WHERE i < 60)))
         SELECT round(exp((low + high) / 2), 4) AS beta FROM search WHERE i = 60""",
 }
+ORACLE_SQL["aligned_segments"] = ORACLE_SQL["dp_segments"].rpartition("SELECT docset, doc_id, seg, start")[0] + _clusters('SELECT docset, doc_id, start, "end" FROM pieces').lstrip()
+ORACLE_SQL["clustered_sentences"] = f"WITH RECURSIVE {BOW}, {_SIZES}, {_K}" + _clusters('SELECT docset, doc_id, start, start + 1 AS "end" FROM (SELECT docset, doc_id, unnest(range(n)) AS start FROM sizes)')

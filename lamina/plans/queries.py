@@ -383,7 +383,8 @@ def clustered_sentences(spark, d):
 
 
 def _settings():
-    return sampler.Settings(start_global=3, type_alpha=5.0, type_beta=1.0, use_topic_prior=True, aggressive=True)
+    """2,000 sweeps in rounds of 500; the sampler's own default is 100,000."""
+    return sampler.Settings(iterations=2_000, warm_up=200, trace_every=100, round=500, start_global=3, type_alpha=5.0, type_beta=1.0, use_topic_prior=True, aggressive=True)
 
 
 def sampled_segments(spark, d):

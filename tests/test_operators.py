@@ -186,10 +186,67 @@ def test_kmeans():
     assert len(set(label[:10])) == 1 and len(set(label[10:])) == 1 and label[0] != label[-1]
     assert (kmeans.cluster(data, 2, 1) == label).all()
     assert sorted(kmeans.cluster(data[:3], 9, 1)) == [0, 1, 2] and len(kmeans.cluster([], 2, 1)) == 0
-    assert kmeans._labelled(np.array([0, 1, 1])).tolist() == [-1, 1, 1]
     assert len(kmeans.cluster([{"a": -1.0}, {}, {"b": 1.0}], 2, 3)) == 3
 
 
+def plain_kmeans(rows, k, seed, names, rounds=15):
+    """The definition with dictionaries and loops."""
+
+    def distance(a, b):
+        dot, x, y = sum(v * b.get(t, 0.0) for t, v in a.items()), sum(a.values()), sum(b.values())
+        return round(1 - dot / math.sqrt(x * y), 9) if dot > 0 and x > 0 and y > 0 else 1.0
+
+    def mean(members):
+        return {t: sum(rows[i].get(t, 0.0) for i in members) / len(members) for t in {t for i in members for t in rows[i]}} if members else {}
+
+    n, seeds = len(rows), []
+    for j in range(min(k, n)):
+        score = []
+        for i in range(n):
+            near = min([distance(rows[i], rows[s]) for s in seeds], default=1.0)
+            score.append(2e300 if i in seeds else -math.log(kmeans.draw(seed, j, names[i])) / near**2 if near > 0 else 1e300)
+        seeds.append(score.index(min(score)))
+    groups, label = [[s] for s in seeds], None
+    for _ in range(rounds):
+        centres = [mean(g) for g in groups]
+        far = [[distance(r, c) for c in centres] for r in rows]
+        new = [d.index(min(d)) for d in far]
+        own = [min(d) for d in far]
+        for j in range(len(seeds)):
+            if j not in [d.index(min(d)) for d in far]:
+                i = own.index(max(own))
+                own[i], new[i] = -9.0, j
+        if new == label:
+            return new
+        label = new
+        groups = [[i for i in range(n) if label[i] == j] for j in range(len(seeds))]
+    return label
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_kmeans_by_definition(seed):
+    rng = random.Random(seed)
+    rows = [{f"t{rng.randrange(8)}": rng.choice([-0.4, 0.3, 1.0, 2.0]) for _ in range(rng.randrange(5))} for _ in range(rng.randrange(1, 25))]
+    rows += [dict(r) for r in rows[:3]]
+    names = [str(i) for i in range(len(rows))]
+    for k in (1, 2, 5, 40):
+        assert kmeans.cluster(rows, k, seed, names, 15).tolist() == plain_kmeans(rows, k, seed, names)
+
+
+def test_kmeans_in_frames_is_that_in_a_task(spark):
+    """Sets that are too large for a task come out as they would in one: with negative weights, twins, pieces without words, k above n."""
+    rng = random.Random(6)
+    pieces = [(f"x{s}", d, 2 * i, 2 * i + 2) for s in range(4) for d in range(1 + 2 * s) for i in range(1 + (s + d) % 4)]
+    words = [(s, d, b + rng.randrange(2), f"t{rng.randrange(4) + 4 * (i % 2)}", rng.choice([-0.3, 0.5, 1.0, 2.0])) for i, (s, d, b, _) in enumerate(pieces) for _ in range(rng.randrange(5))]
+    p = spark.createDataFrame(pieces, "docset string, doc_id long, start int, end int")
+    v = spark.createDataFrame(list({x[:4]: x for x in words}.values()), "docset string, doc_id long, pos int, term string, tfidf double")
+    k = spark.createDataFrame([(f"x{s}", s + 2) for s in range(4)], "docset string, k int")
+    names = ("docset", "doc_id", "start", "end", "label")
+    one = rows(kmeans.align(p, v, k, 2, iterations=6), *names)
+    assert len(one) == len(pieces)
+    assert rows(kmeans.align(p, v, k, 2, most=5, iterations=6), *names) == one
+
+
 def toy(seed, iterations=60, **more):
     rng = random.Random(seed)
     docs = [[{rng.randrange(4) + 4 * (t > 4): rng.randint(1, 2) for _ in range(3)} for t in range(9)] for _ in range(4)] + [[]]

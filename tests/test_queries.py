@@ -46,9 +46,10 @@ def test_porter_stems_has_every_term(spark):
     assert any(not t.isascii() for t in stems) and all(stems[t] == stemmer.stem(t) for t in stems)
 
 
-def test_sampler_queries_run_every_sweep():
+def test_sampler_queries_and_defaults():
     whole, own = sampler.Settings(), queries._settings()
-    assert (own.iterations, own.warm_up, own.trace_every) == (whole.iterations, whole.warm_up, whole.trace_every) == (100_000, 10_000, 1_000)
+    assert (whole.iterations, whole.warm_up, whole.trace_every) == (100_000, 10_000, 1_000)
+    assert (own.iterations, own.warm_up, own.round) == (2_000, 200, 500)
 
 
 def test_entry(spark):
