@@ -6,8 +6,9 @@ holds the smaller of its two children, so the root names the leftmost pair of th
 O(n log n); no pair is searched for by scanning.
 
 The trees of many words are updated together: row i of every array is word i, and one step merges the root pair of each word
-that still has one. Words are grouped by the power of two that holds them, so a group's arrays stay dense, and a word of a
-hundred thousand symbols is a group of one. Words that a worker has seen lately are looked up; the memory is bounded.
+that still has one. Words are grouped by the power of two that holds them, so a group's arrays stay dense. Groups of a few words, as
+very long ones are, have their trees walked one by one. Places have 40 bits, more than a text can hold. Words that a worker has seen lately
+are looked up; the memory is bounded.
 
 `WordBPE` follows a tokenizer file whose model is BPE with an end-of-word suffix, normalised by NFC, white space and lower case,
 and cut by its pattern of letters, single digits and other signs. It gives what the `tokenizers` library gives for that file,
@@ -38,6 +39,10 @@ LONG_CHUNK = 64
 #: Symbols of a group of words whose trees are updated together.
 GROUP_SYMBOLS = 1 << 18
 
+#: Bits of a leaf for the place; the rank of the pair stands above them.
+PLACE_BITS = 40
+#: Groups of so few words are merged word by word on plain lists, which is quicker than arrays of a row each.
+FEW = 8
 _NONE = np.int64(1) << np.int64(62)
 # The tokenizer's white space, and what str.split() takes for such besides.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -55,6 +60,7 @@ class PairTable:
     """Merge ranks and results of symbol pairs: open addressing in two flat arrays, looked up for many pairs at once."""
 
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        self.pairs = pairs
         self.bits = max(10, (8 * len(pairs)).bit_length())
         size = 1 << self.bits
         self.key, self.rank, self.to = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -91,7 +97,8 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
         step = max(1, GROUP_SYMBOLS // width)
         for at in range(0, len(ids), step):
             group = ids[at : at + step]
-            got, n = _merge_group(symbols, start[group], lengths[group], width, table)
+            merge = _merge_few if len(group) <= FEW else _merge_group
+            got, n = merge(symbols, start[group], lengths[group], width, table)
             left[group] = n
             parts.append((group, got))
         width *= 2
@@ -114,7 +121,7 @@ def _merge_group(symbols, start, lengths, width: int, table: PairTable) -> tuple
     r, c = np.nonzero(inside[:, 1:])
     slot = table.find(sym[r, c], sym[r, c + 1])
     hit = slot >= 0
-    tree[r[hit], width + c[hit]] = (table.rank[slot[hit]] << np.int64(24)) | c[hit]
+    tree[r[hit], width + c[hit]] = (table.rank[slot[hit]] << np.int64(PLACE_BITS)) | c[hit]
     half = width
     while half > 1:
         tree[:, half // 2 : half] = np.minimum(tree[:, half : 2 * half : 2], tree[:, half + 1 : 2 * half : 2])
@@ -124,7 +131,7 @@ def _merge_group(symbols, start, lengths, width: int, table: PairTable) -> tuple
     levels = width.bit_length() - 1
     w = np.flatnonzero(tree[:, 1] < _NONE)
     while len(w):
-        i = tree[w, 1] & np.int64(0xFFFFFF)
+        i = tree[w, 1] & np.int64((1 << PLACE_BITS) - 1)
         j = following[w, i]
         sym[w, i] = table.to[table.find(sym[w, i], sym[w, j])]
         sym[w, j] = -1
@@ -148,9 +155,49 @@ def _merge_group(symbols, start, lengths, width: int, table: PairTable) -> tuple
     return sym[:, :width][left], left.sum(1)
 
 
+def _merge_few(symbols, start, lengths, width: int, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """As `_merge_group`, with one tree at a time."""
+    parts = [_merge_word(symbols[a : a + n].tolist(), width, table.pairs) for a, n in zip(start.tolist(), lengths.tolist(), strict=True)]
+    return np.array([s for p in parts for s in p], np.int64), np.array([len(p) for p in parts], np.int64)
+
+
+def _merge_word(word: list[int], width: int, pairs: dict) -> list[int]:
+    none, low = int(_NONE), (1 << PLACE_BITS) - 1
+    leaf = lambda i, k: (hit[0] << PLACE_BITS) | i if (hit := pairs.get((word[i], word[k]))) else none
+    tree = [none] * width + [leaf(i, i + 1) for i in range(len(word) - 1)]
+    tree += [none] * (2 * width - len(tree))
+    for node in range(width - 1, 0, -1):
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+    following, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+
+    def put(at: int, value: int) -> None:
+        node = width + at
+        while tree[node] != value:
+            tree[node] = value
+            node >>= 1
+            if not node:
+                return
+            a, b = tree[2 * node], tree[2 * node + 1]
+            value = a if a < b else b
+
+    while tree[1] != none:
+        i = tree[1] & low
+        j = following[i]
+        word[i], word[j] = pairs[word[i], word[j]][1], -1
+        k, p = following[j], before[i]
+        following[i] = k
+        put(j, none)
+        put(i, leaf(i, k) if k < len(word) else none)
+        if k < len(word):
+            before[k] = i
+        if p >= 0:
+            put(p, leaf(p, i))
+    return [s for s in word if s >= 0]
+
+
 def _leaf(table, sym, w, at, to) -> np.ndarray:
     slot = table.find(sym[w, at], sym[w, to])
-    return np.where(slot >= 0, (table.rank[slot] << np.int64(24)) | at, _NONE)
+    return np.where(slot >= 0, (table.rank[slot] << np.int64(PLACE_BITS)) | at, _NONE)
 
 
 class WordBPE:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 PIECES, PIECE_CHARS, ALL_PIECES, MAX_LANGUAGES = 400, 320, 200_000, 20_000
 PIECE, LEVEL, LEAST_MATCH = 1_024, 6, 3
 MIN_MARGIN = 0.002
+#: Bytes of a tied text up to which its matches are searched for one by one.
+SEARCHED = 2_048
 #: Margin at which the score is one half.
 HALF_MARGIN = 0.02
 UNKNOWN = "und"
@@ -49,12 +51,61 @@ def compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompresso
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+class Matches:
+    """The suffix automaton of a dictionary read backwards: how long the longest matches are that begin at each place of a text, in one
+    pass from its end, whatever the lengths of both."""
+
+    def __init__(self, content: bytes):
+        # Transitions by state * 256 + byte; of each state its suffix link and longest length.
+        step, link, size, last = {}, [-1], [0], 0
+        for byte in reversed(content):
+            state = len(size)
+            size.append(size[last] + 1)
+            link.append(0)
+            at, last = last, state
+            while at >= 0 and (at << 8 | byte) not in step:
+                step[at << 8 | byte] = state
+                at = link[at]
+            if at < 0:
+                continue
+            to = step[at << 8 | byte]
+            if size[to] != size[at] + 1:
+                copy = len(size)
+                size.append(size[at] + 1)
+                link.append(link[to])
+                for b in range(256):
+                    if (to << 8 | b) in step:
+                        step[copy << 8 | b] = step[to << 8 | b]
+                old, to = to, copy
+                link[old] = copy
+                while at >= 0 and step.get(at << 8 | byte) == old:
+                    step[at << 8 | byte] = copy
+                    at = link[at]
+            link[state] = to
+        self.step, self.link, self.size = step, link, size
+
+    def total(self, body: bytes) -> int:
+        """The sum of the lengths of at least `LEAST_MATCH`."""
+        step, link, size = self.step, self.link, self.size
+        state = length = total = 0
+        for byte in reversed(body):
+            while (to := step.get(state << 8 | byte)) is None and state:
+                state = link[state]
+                length = size[state]
+            if to is not None:
+                state, length = to, length + 1
+            if length >= LEAST_MATCH:
+                total += length
+        return total
+
+
 class Classifier:
     def __init__(self, dictionaries: list[tuple[str, bytes]]):
         """`dictionaries`: (language, content), by preference among ties."""
         self.names = [n for n, _ in dictionaries]
         self.contents = [d for _, d in dictionaries]
         self.compressors = [compressor(d) for d in self.contents]
+        self.automata: dict[int, Matches] = {}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and the margin."""
@@ -74,7 +125,12 @@ class Classifier:
         return self.names[tied[0]], (1 - best / min(rest)) if rest else 1.0
 
     def matched(self, language: int, body: bytes) -> int:
-        """The sum over positions of the longest match that begins there, which is at most one shorter than the one before."""
+        """The sum over positions of the longest match that begins there, of at least `LEAST_MATCH` bytes: searched for in short texts, by
+        an automaton, which is made once, in longer ones."""
+        if len(body) > SEARCHED:
+            if language not in self.automata:
+                self.automata[language] = Matches(self.contents[language])
+            return self.automata[language].total(body)
         content, total, size = self.contents[language], 0, 0
         for i in range(len(body)):
             size = max(size - 1, 0)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -74,6 +75,31 @@ def test_segment_tree_equals_scanning():
         assert [x.tolist() for x in np.split(flat, at)] == [plain_merge(w, pairs) for w in words]
 
 
+@pytest.mark.parametrize(("few", "bits"), [(0, 40), (10**9, 40), (0, 9), (10**9, 9)])
+def test_both_walks_and_the_width_of_places(monkeypatch, few, bits):
+    """Words taken together or one by one, with places of 40 bits and of just as many as the words need: the rank is never reached."""
+    monkeypatch.setattr(bpe, "FEW", few)
+    monkeypatch.setattr(bpe, "PLACE_BITS", bits)
+    test_segment_tree_equals_scanning()
+
+
+def test_long_words(own, library):
+    """A megabyte without a break, in seconds and as the library has it."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "ab" * 60_000, "é" * 50_000]
+    begin = time.monotonic()
+    got = own.encode_batch(texts)
+    assert time.monotonic() - begin < 60
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_null_and_shared_doc_ids(docs):
+    rows = [(None, "a b"), (None, None), (3, "c"), (3, "c")]
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in bpe.encode_decode(docs(rows), SPEC).collect()), key=str)
+    assert got == sorted([(None, 2), (None, 0), (3, 1), (3, 1)], key=str)
+
+
 def test_memory_is_bounded(own, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
     texts = [f"word{i} other{i}" for i in range(40)]

@@ -1,4 +1,6 @@
 import os
+import random
+import time
 import unicodedata
 import zlib
 
@@ -93,3 +95,28 @@ def test_accepted_rows_keep_all_columns(docs):
     d = docs([(i, text("en", i), "en") for i in range(9)] + [(i, text("de", i), "de") for i in range(9, 20)] + [(50, "..."), (51, None)])
     kept = lang_id.accepted_rows(d, lang_id.learn(d))
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+
+
+def test_automaton_is_the_search(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        letters = "abcd"[: rng.randint(1, 4)] + " "
+        content = "".join(rng.choice(letters) for _ in range(rng.randrange(300))).encode()
+        body = "".join(rng.choice(letters) for _ in range(rng.randrange(200))).encode() + content[10 : 10 + rng.randrange(80)]
+        by_search = lang_id.Classifier([("x", content)]).matched(0, body)
+        assert lang_id.Matches(content).total(body) == by_search
+        longest = [max((n for n in range(3, len(body) - a + 1) if body[a : a + n] in content), default=0) for a in range(len(body))]
+        assert by_search == sum(longest)
+
+
+def test_long_tied_texts_take_seconds():
+    """A megabyte that no dictionary knows: all sizes tie."""
+    rng = random.Random(5)
+    learnt = [(k, " ".join(text(k, i) for i in range(400)).encode()[:128_000]) for k in WORDS]
+    classify = lang_id.Classifier(learnt)
+    begin = time.monotonic()
+    for letters in ("абвгдежзиклмн", "αβγδεζηθικ", "0123456789"):
+        t = "".join(rng.choice(letters) for _ in range(1_000_000 // len(letters[0].encode()))) + "é"
+        language, margin = classify(t)
+        assert language in WORDS and 0 <= margin <= 1
+    assert time.monotonic() - begin < 30
