@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,44 +65,70 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-#: Paths made by `scratch`, by the scope that is to delete them; the first list holds those of no scope.
-_SCOPES: list[list[str]] = [[]]
+@dataclass(frozen=True)
+class _Table:
+    """A table of the catalog over scratch folders."""
+
+    name: str
+
+
+#: Of no scope: what `clean` deletes.
+_LOOSE: list[str | _Table] = []
+#: The scopes that are open where the code runs, innermost last; threads and tasks that run at once have scopes of their own.
+_OPEN: contextvars.ContextVar[tuple[list[str | _Table], ...]] = contextvars.ContextVar("lamina-scopes", default=())
+
+
+def _owner(outer: int) -> list[str | _Table]:
+    scopes = (_LOOSE, *_OPEN.get())
+    return scopes[max(0, len(scopes) - 1 - outer)]
 
 
 def scratch(spark: SparkSession, name: str, outer: int = 0) -> str:
     """A fresh path below the shared folder. It belongs to the innermost scope, or to the one `outer` scopes further out."""
     path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex[:12]}"
-    _SCOPES[max(0, len(_SCOPES) - 1 - outer)].append(path)
+    _owner(outer).append(path)
     return path
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def drop_later(*tables: str, outer: int = 0) -> None:
+    """Tables of the catalog that go, without what they are over, where a path of `scratch` would be deleted."""
+    _owner(outer).extend(map(_Table, tables))
+
+
+def _delete(spark: SparkSession, held: list[str | _Table]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    for x in sorted(held, key=lambda x: isinstance(x, str)):  # tables first
+        if isinstance(x, _Table):
+            spark.sql(f"DROP TABLE IF EXISTS {x.name}")
+        else:
+            p = jvm.org.apache.hadoop.fs.Path(x)
+            p.getFileSystem(conf).delete(p, True)
 
 
 @contextlib.contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
+def scope(spark: SparkSession, collect: bool = True) -> Iterator[None]:
     """Scratch folders made inside are deleted at the end, but for those made with `outer=1`, which belong to the scope around.
 
-    What a caller returns must not read the deleted ones: write it with `materialize(..., outer=1)`.
+    What a caller returns must not read the deleted ones: write it with `materialize(..., outer=1)`. With `collect` the driver then collects
+    its garbage, which lets Spark's cleaner free broadcasts and shuffles of frames that are gone.
     """
-    _SCOPES.append([])
+    own: list[str | _Table] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        _delete(spark, _SCOPES.pop())
-        # Spark's cleaner frees broadcasts and shuffles on executors when the driver collects the frames that had them.
-        gc.collect()
-        spark._jvm.System.gc()
+        _OPEN.reset(token)
+        _delete(spark, own)
+        if collect:
+            gc.collect()
+            spark._jvm.System.gc()
 
 
 def clean(spark: SparkSession) -> None:
     """Delete the scratch folders of no scope: call it when the frames that queries returned are no longer needed."""
-    _delete(spark, _SCOPES[0])
-    _SCOPES[0].clear()
+    held = _LOOSE.copy()
+    _LOOSE.clear()
+    _delete(spark, held)
 
 
 def materialize(df: DataFrame, name: str, outer: int = 0, codec: str | None = None) -> DataFrame:
