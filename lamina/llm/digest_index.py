@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.session import materialize, partitions, scratch
+from lamina.session import drop_later, materialize, partitions, scratch
 
 FORMAT = 1
 #: A digest that holds at least this share of the rows is joined by broadcast: at most 1 / share such digests exist.
@@ -136,6 +136,8 @@ def exact_dedup(docs: DataFrame, path: str | None = None, batches: int = 2, keep
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), *keep)
     digests = materialize(digests, "digests", outer=1)
     index = DigestIndex(spark, path or scratch(spark, "digest-index", outer=1))
+    if path is None:
+        drop_later(*index.names.values(), outer=1)
     cuts = [k / batches for k in range(batches - 1, 0, -1)]
     edges = sorted(set(digests.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cuts))) if cuts else F.lit(None)).first()[0] or []), reverse=True)
     upper = None

@@ -157,3 +157,13 @@ def test_no_exchange_on_the_index_side(spark, docs, tmp_path):
     assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2
     plan = digest_index.exact_dedup(docs([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_own_index_leaves_no_table_in_the_catalog(spark, docs):
+    from lamina.session import clean
+
+    clean(spark)
+    before = {t.name for t in spark.catalog.listTables()}
+    digest_index.exact_dedup(docs([(1, "a"), (2, "a")])).collect()
+    clean(spark)
+    assert {t.name for t in spark.catalog.listTables()} <= before
