@@ -154,12 +154,12 @@ def test_language_and_bpe_on_awkward_rows(spark):
 def test_run_leaves_one_folder(spark):
     from lamina import session
 
-    before = list(session._SCOPES[0])
+    before = list(session._LOOSE)
     frame = corpus_pipeline.run(spark, SF)
-    new = [p for p in session._SCOPES[0] if p not in before]
+    new = [p for p in session._LOOSE if p not in before]
     assert len(new) == 1 and "stage-mix_sources" in new[0] and frame.count() > 0
     session.clean(spark)
-    assert not os.path.exists(new[0]) and session._SCOPES == [[]]
+    assert not os.path.exists(new[0]) and session._LOOSE == []
 
 
 def test_stages_keep_the_columns(spark):
