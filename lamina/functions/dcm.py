@@ -1,8 +1,8 @@
 """Dirichlet-multinomial (Polya) kernels as column expressions.
 
-For whole counts, lgamma(a + c) - lgamma(a) is the rising factorial sum_{i<c} ln(a + i) and digamma(a + c) - digamma(a) is
-sum_{i<c} 1 / (a + i). Both are worked out in a fixed number of steps whatever the count: by the asymptotic series of their difference,
-which is exact to 1e-13 from `SHIFT` up, and below that by the recurrence. By convention here, lgamma(0) is 0.
+lgamma(a + c) - lgamma(a) and digamma(a + c) - digamma(a) are worked out in a fixed number of steps whatever the count, whole or not: by the
+asymptotic series of their difference, which is exact to 1e-13 from `SHIFT` up, and below that by the recurrence. For whole counts they are
+the rising factorial sum_{i<c} ln(a + i) and sum_{i<c} 1 / (a + i). By convention here, lgamma(0) is 0.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _number(a) -> Column:
 
 
 def rising(a, c) -> Column:
-    """lgamma(a + c) - lgamma(a) for a whole number c >= 0 and a > 0; 0 for null and negative c."""
+    """lgamma(a + c) - lgamma(a) for c >= 0 and a > 0; 0 for null and negative c."""
     n = F.coalesce(c, F.lit(0)).cast("double")
 
     def far(x: Column) -> Column:  # x is SHIFT or more
@@ -49,7 +49,7 @@ def rising(a, c) -> Column:
 
 
 def digamma_rise(a, c) -> Column:
-    """digamma(a + c) - digamma(a) for a whole number c >= 0 and a > 0; 0 for null and negative c."""
+    """digamma(a + c) - digamma(a) for c >= 0 and a > 0; 0 for null and negative c."""
     n, x = F.coalesce(c, F.lit(0)).cast("double"), _number(a)
 
     def far(y: Column) -> Column:
@@ -60,6 +60,22 @@ def digamma_rise(a, c) -> Column:
     return F.when(n <= 0, 0.0).when(x >= SHIFT, far(x)).otherwise(near)
 
 
+def log_gamma(x) -> Column:
+    """lgamma of any x > 0; 0 for 0, by convention, and null for null and below."""
+    x = _number(x)
+    y = x + SHIFT
+    far = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + _series(y, _LGAMMA_SERIES, True)
+    return F.when(x > 0, far - F.log(reduce(lambda p, q: p * q, [x + i for i in range(SHIFT)]))).when(x == 0, 0.0)
+
+
+def digamma(x) -> Column:
+    """digamma of any x > 0, else null."""
+    x = _number(x)
+    y = x + SHIFT
+    far = F.log(y) - F.lit(0.5) / y + _series(y, _DIGAMMA_SERIES, False)
+    return F.when(x > 0, far - reduce(lambda p, q: p + q, [F.lit(1.0) / (x + i) for i in range(SHIFT)]))
+
+
 def lgamma_whole(c) -> Column:
     """lgamma of a whole number, ln (c - 1)!; 0 for 0, by convention."""
     return rising(1.0, F.coalesce(c, F.lit(0)) - 1)

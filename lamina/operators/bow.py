@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import text as T
+from lamina.session import materialize
 
 #: Documents of one source are cut into docsets by ranges of so many ids, so a source of any size makes bounded docsets.
 DOCSET_IDS = 1_000
@@ -43,13 +44,27 @@ def without_stop_words(tokens_: DataFrame, stop: DataFrame) -> DataFrame:
 
 
 def vocabulary(tokens_: DataFrame, shared: bool = False) -> DataFrame:
-    """(docset, term, term_id): ids in the order of first occurrence within the docset (or '*' for all)."""
+    """(docset, term, term_id): ids in the order of first occurrence within the docset. With `shared`, one dictionary for all, of docset '*',
+    in the order of the first occurrences' ids: see `numbered`."""
     scope = F.lit("*") if shared else F.col("docset")
     first = tokens_.withColumn("docset", scope).groupBy("docset", "term").agg(F.min(F.struct("doc_id", "pos", "tok_pos")).alias("first"))
+    if shared:
+        return numbered(first, "term_id", "first", "term").select("docset", "term", "term_id")
     rank = F.row_number().over(Window.partitionBy("docset").orderBy("first", "term")) - 1
     return first.select("docset", "term", rank.alias("term_id"))
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """`rows` with their number from 0 in an order that tells all of them apart, for tables of any size: sorted ranges are written, each
+    row is numbered within its range, and the ranges' sizes, one row each, say where a range begins."""
+    ranges = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())
+    starts = [(k, sum(n for _, n in sizes[:i])) for i, (k, _) in enumerate(sizes)]
+    begin = rows.sparkSession.createDataFrame(starts, "__range int, __begin long")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn(name, within).join(F.broadcast(begin), "__range").withColumn(name, F.col(name) + F.col("__begin")).drop("__range", "__begin")
+
+
 def encode(tokens_: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens_.join(vocab, ["docset", "term"]).drop("term")
 

@@ -387,3 +387,48 @@ ORACLE_SQL = {
 }
 ORACLE_SQL["aligned_segments"] = ORACLE_SQL["dp_segments"].rpartition("SELECT docset, doc_id, seg, start")[0] + _clusters('SELECT docset, doc_id, start, "end" FROM pieces').lstrip()
 ORACLE_SQL["clustered_sentences"] = f"WITH RECURSIVE {BOW}, {_SIZES}, {_K}" + _clusters('SELECT docset, doc_id, start, start + 1 AS "end" FROM (SELECT docset, doc_id, unnest(range(n)) AS start FROM sizes)')
+ORACLE_SQL["shared_vocabulary"] = _with(TOKENS, """SELECT '*' AS docset, term, row_number() OVER (ORDER BY f, term) - 1 AS term_id
+    FROM (SELECT term, min({'d': doc_id, 'p': pos, 't': tok_pos}) AS f FROM tokens GROUP BY ALL)""")
+ORACLE_SQL["dcm_weighted"] = _with(BOW, f"""
+    , weighted AS (SELECT docset, doc_id, term, sum(cnt / (1 + pos)) AS cnt FROM bow GROUP BY ALL)
+    SELECT docset, doc_id, {_R(_DCM)} AS logp, {_R("lgamma(sum(cnt))")} AS log_gamma FROM weighted JOIN vocab USING (docset) GROUP BY docset, doc_id""")
+
+
+def _alternation(rounds: int) -> str:
+    """The rounds written out one after the other: scores of all ranges at a beta, the best paths, a search for the next beta."""
+    own = _RANGES[_RANGES.index("grid AS (") :]  # what depends on beta, but for `steps`
+    steps = _RANGES[_RANGES.index("steps AS (") : _RANGES.index("grid AS (")]
+    out = _RANGES[: _RANGES.index("steps AS (")] + "b0 AS (SELECT 0.1::DOUBLE AS beta)"
+    for r in range(1, rounds + 1):
+        text = (steps + own).replace("0.1", f"(SELECT beta FROM b{r - 1})")
+        for name in ("steps", "grid", "words", "upto", "scores"):
+            text = text.replace(f"{name} AS", f"{name}{r} AS").replace(f"JOIN {name} ", f"JOIN {name}{r} ").replace(f"FROM {name} ", f"FROM {name}{r} ")
+        text = text.replace("FROM grid AS", f"FROM grid{r} AS").replace("JOIN upto AS", f"JOIN upto{r} AS").replace("LEFT JOIN words USING", f"LEFT JOIN words{r} USING")
+        score = f"(SELECT sum(m * (lgamma(c + {{0}}) - lgamma({{0}}))) FROM ups{r}) - (SELECT sum(m * (lgamma(w * {{0}} + n) - lgamma(w * {{0}}))) FROM downs{r})"
+        out += f""", {text},
+        paths{r} AS (
+            SELECT docset, doc_id, 1 AS j, e, score AS v, [e] AS ends FROM scores{r} WHERE s = 0
+            UNION ALL
+            SELECT docset, doc_id, j, e, b.v, list_append(b.ends, e) FROM (
+                SELECT p.docset, p.doc_id, p.j + 1 AS j, c.e, arg_max({{'v': p.v + c.score, 'ends': p.ends}}, {{'r': round(p.v + c.score, 6), 's': c.s}}) AS b
+                FROM paths{r} AS p JOIN scores{r} AS c ON c.docset = p.docset AND c.doc_id = p.doc_id AND c.s = p.e JOIN ks ON ks.docset = p.docset AND ks.doc_id = p.doc_id WHERE p.j < ks.k
+                GROUP BY p.docset, p.doc_id, p.j, c.e)),
+        pieces{r} AS MATERIALIZED ({_PIECES.format(paths=f"paths{r} JOIN ks USING (docset, doc_id) WHERE j = k AND e = n")}),
+        v{r} AS MATERIALIZED (SELECT b.docset, b.doc_id, seg, term, sum(cnt)::BIGINT AS cnt FROM bow AS b JOIN pieces{r} AS p ON p.docset = b.docset AND p.doc_id = b.doc_id AND pos >= start AND pos < "end" GROUP BY ALL),
+        ups{r} AS MATERIALIZED (SELECT cnt AS c, count(*) AS m FROM v{r} GROUP BY ALL),
+        downs{r} AS MATERIALIZED (SELECT w, n, count(*) AS m FROM (SELECT docset, doc_id, seg, sum(cnt) AS n FROM v{r} GROUP BY ALL) JOIN vocab USING (docset) GROUP BY ALL),
+        search{r} AS (
+            SELECT 0 AS i, ln(1e-4) AS low, ln(10.0) AS high
+            UNION ALL
+            SELECT i + 1, CASE WHEN f1 < f2 THEN m1 ELSE low END, CASE WHEN f1 < f2 THEN high ELSE m2 END FROM (
+                SELECT *, {score.format("exp(m1)")} AS f1, {score.format("exp(m2)")} AS f2
+                FROM (SELECT *, low + (high - low) / 3 AS m1, high - (high - low) / 3 AS m2 FROM search{r} WHERE i < 60))),
+        b{r} AS MATERIALIZED (SELECT round(exp((low + high) / 2), 4) AS beta FROM search{r} WHERE i = 60),
+        told{r} AS (SELECT {r} AS round, (SELECT count(*) FROM pieces{r}) AS segments, round({score.format(f"(SELECT beta FROM b{r - 1})")}, 2) AS before,
+                   (SELECT beta FROM b{r}) AS beta, round({score.format(f"(SELECT beta FROM b{r})")}, 2) AS after, (SELECT beta FROM b{r - 1}) AS was)"""
+    rows = " UNION ALL ".join(f"SELECT * FROM told{r}" for r in range(1, rounds + 1))
+    return f"""WITH RECURSIVE {out}, told AS ({rows})
+        SELECT round::BIGINT AS round, segments, before + 0.0 AS before, beta, after + 0.0 AS after FROM told WHERE round <= coalesce((SELECT min(round) FROM told WHERE beta = was), {rounds})"""
+
+
+ORACLE_SQL["alternated_prior"] = _alternation(5)

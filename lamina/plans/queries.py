@@ -405,9 +405,34 @@ def estimated_prior(spark, d):
     return spark.createDataFrame([(round(beta, 4),)], "beta double")
 
 
+def alternated_prior(spark, d):
+    """Rounds of segmentation and estimation of the prior until that stays as it is: a row a round."""
+    b, n = _written_bow(ship(spark), d), _sizes(spark, d)
+    w = materialize(_vocab(b), "vocab")
+    rounds = estimate.alternation(lambda beta: dp.segment(_lines(spark, d), b, n, w, segments.default_k(F.col("n")), beta), b, w, start=BETA, rounds=ROUNDS)
+    rows = [(r["round"], r["segments"], round(r["before"], 2), r["beta"], round(r["after"], 2)) for r in rounds]
+    return shown(spark.createDataFrame(rows, "round int, segments long, before double, beta double, after double"))
+
+
+def dcm_weighted(spark, d):
+    """Scores of documents whose tokens weigh less the later their line: weights of 1 / (1 + pos), so no whole counts."""
+    b = _written_bow(spark, d)
+    weighted = b.groupBy(*DOC, "term").agg(F.sum(F.col("cnt") / (1 + F.col("pos"))).alias("cnt"))
+    total = weighted.groupBy(*DOC).agg(dcm.log_gamma(F.sum("cnt")).alias("log_gamma"))
+    return shown(likelihood.dcm(weighted, _vocab(b), *DOC).join(total, DOC))
+
+
+def shared_vocabulary(spark, d):
+    """One dictionary for all docsets."""
+    return shown(bow.vocabulary(_tokens(spark, d), shared=True))
+
+
+#: Rounds of `alternated_prior` at most; its SQL twin writes as many out.
+ROUNDS = 5
 _NAMES = """best_cut lines normalized_lines tokens stop_filtered vocabulary dictionary_round_trip sentence_bow vector_reductions vector_difference
 vector_projections range_counts tf_idf dcm_sentence dcm_document dcm_gradient topic_type_prior topic_proportion topic_sizes unigram skewed_kl
 segment_logprob corpus_loglik uniform_segments label_runs anneal_schedule step_proposals move_ratios change_counts document_scores
 cluster_totals cluster_overlaps cluster_prf norm_vi rand_like rand_index class_f1 corpus_scores report topic_words segmented_lines
-corpus_loglik_topics segment_gradient document_report corpus_folder porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior""".split()
+corpus_loglik_topics segment_gradient document_report corpus_folder porter_stems dp_segments dp_segments_free aligned_segments clustered_sentences sampled_segments sampler_trace estimated_prior
+alternated_prior dcm_weighted shared_vocabulary""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -73,3 +73,26 @@ def test_annealing(spark):
 def test_stems_never_grow(word):
     s = stemmer.stem(word)
     assert len(s) <= len(word) + 1 and (len(word) > 2 or s == word)
+
+
+def test_gamma_functions_of_any_positive_number(spark):
+    """log_gamma and digamma, and the rises of vectors with fractional weights, over fifteen magnitudes."""
+    import random
+
+    rng = random.Random(3)
+    xs = [10 ** rng.uniform(-6, 9) for _ in range(400)] + [0.5, 1.0, 2.0, 7.999999, 8.0, 1e-3]
+    cs = [10 ** rng.uniform(-3, 4) for _ in xs]
+    df = spark.createDataFrame(list(zip(xs, cs, strict=True)), "x double, c double")
+    x, c = F.col("x"), F.col("c")
+    rows = df.select("x", "c", dcm.log_gamma(x).alias("lg"), dcm.digamma(x).alias("psi"), dcm.digamma(x + 1).alias("psi1"), dcm.rising(x, c).alias("up"), dcm.digamma_rise(x, c).alias("psi_up"), dcm.digamma(x + c).alias("psi_to")).collect()
+    for r in rows:
+        assert r.lg == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-11)
+        assert r.psi1 - r.psi == pytest.approx(1 / r.x, rel=1e-9, abs=1e-9)
+        h = 1e-4 * max(r.x, 1e-3)
+        if 1e-2 < r.x < 1e5:
+            assert r.psi == pytest.approx((math.lgamma(r.x + h) - math.lgamma(r.x - h)) / (2 * h), rel=1e-4, abs=1e-4)
+        if r.x < 1e5:
+            assert r.up == pytest.approx(math.lgamma(r.x + r.c) - math.lgamma(r.x), rel=1e-9, abs=1e-8)
+            assert r.psi_up == pytest.approx(r.psi_to - r.psi, rel=1e-9, abs=1e-9)
+    edge = spark.createDataFrame([(0.0,), (-1.0,), (None,)], "x double").select(dcm.log_gamma(F.col("x")), dcm.digamma(F.col("x"))).collect()
+    assert [tuple(r) for r in edge] == [(0.0, None), (None, None), (None, None)]

@@ -40,6 +40,21 @@ def test_lines_and_counts(documents):
     assert rows(bow.decode(bow.encode(t, vocab), vocab), "doc_id", "pos", "tok_pos", "term") == rows(t, "doc_id", "pos", "tok_pos", "term")
 
 
+def test_shared_dictionary(spark):
+    """One dictionary of many terms: dense ids by first occurrence, found in ranges, without a window or a sort of all terms in one task."""
+    rng = random.Random(5)
+    data = [(f"s{rng.randrange(3)}", d, p, k, f"t{rng.randrange(400)}") for d in range(40) for p in range(3) for k in range(5)]
+    t = spark.createDataFrame(data, "docset string, doc_id long, pos int, tok_pos int, term string")
+    vocab = bow.vocabulary(t.repartition(7), shared=True)
+    first = {}
+    for _, d, p, k, term in sorted(data, key=lambda x: x[1:]):
+        first.setdefault(term, (d, p, k))
+    want = sorted(first, key=lambda term: (first[term], term))
+    assert rows(vocab, "term_id", "term", "docset") == [(i, term, "*") for i, term in enumerate(want)]
+    assert "SinglePartition" not in vocab._jdf.queryExecution().executedPlan().toString()
+    assert bow.vocabulary(t.where("false"), shared=True).count() == 0
+
+
 def test_vectors(spark, documents):
     b = bow.counts(bow.tokens(bow.lines(documents)), "docset", "doc_id")
     zero = bow.add(b, b, -1)
@@ -307,6 +322,56 @@ def test_lbfgs():
     assert estimate.lbfgs(f, np.zeros(3), eps=1e-6) == pytest.approx(target, abs=1e-4)
 
 
+def halving(at, start, t, most=30):
+    """The search that halves and doubles, to count against."""
+    low, high = 0.0, math.inf
+    for _ in range(most):
+        new = at(t)
+        if not math.isfinite(new.value) or new.value > start.value + 1e-4 * t * start.slope:
+            high = t
+        elif new.slope < 0.9 * start.slope:
+            low = t
+        else:
+            return new
+        t = (low + high) / 2 if math.isfinite(high) else 2 * low
+    return new
+
+
+OBJECTIVES = {
+    "rosenbrock": (lambda x: (float(100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2), np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2)])), [-1.2, 1.0], [1.0, 1.0]),
+    "steep": (lambda x: (float(1e4 * (np.cosh(x - 2) - 1).sum()), 1e4 * np.sinh(x - 2)), [-1.0], [2.0]),
+    "flat": (lambda x: (float(-1 / (1 + ((x - 3) ** 2).sum())), 2 * (x - 3) / (1 + ((x - 3) ** 2).sum()) ** 2), [0.0, 6.5], [3.0, 3.0]),
+    "walled": (lambda x: (math.inf if x[0] <= 0 else float(x[0] - 4 * np.log(x[0])), np.array([math.nan if x[0] <= 0 else 1 - 4 / x[0]])), [0.01], [4.0]),
+}
+
+
+@pytest.mark.parametrize("name", OBJECTIVES)
+def test_line_search_is_as_good_and_asks_less(name, monkeypatch):
+    f, start, best = OBJECTIVES[name]
+    told = []
+    assert estimate.lbfgs(f, start, eps=1e-6, report=told.append) == pytest.approx(best, abs=1e-3)
+    assert [r["iteration"] for r in told] == list(range(len(told))) and all(b["value"] < a["value"] and b["step"] > 0 for a, b in itertools.pairwise(told))
+    monkeypatch.setattr(estimate, "line_search", halving)
+    before = []
+    estimate.lbfgs(f, start, eps=1e-6, report=before.append)
+    assert told[-1]["evaluations"] <= before[-1]["evaluations"]
+
+
+def test_line_search_meets_its_conditions():
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b, c = rng.uniform(0.1, 3), rng.uniform(-4, 4), rng.uniform(0, 2)
+        f = lambda t: a * (t - b) ** 2 + c * math.sin(3 * t)  # noqa: E731, B023
+        d = lambda t: 2 * a * (t - b) + 3 * c * math.cos(3 * t)  # noqa: E731, B023
+        sign = -1.0 if d(0.0) > 0 else 1.0
+        at = lambda t: estimate.Trial(t, f(sign * t), sign * d(sign * t), np.array([d(sign * t)]))  # noqa: E731, B023
+        start = at(0.0)
+        if abs(start.slope) < 1e-6:
+            continue
+        new = estimate.line_search(at, start, 10 ** rng.uniform(-4, 3))
+        assert new.value <= start.value + 1e-4 * new.t * start.slope and abs(new.slope) <= 0.9 * abs(start.slope)
+
+
 def test_estimated_beta_is_a_maximum(spark):
     rng = random.Random(0)
     data = [("x", d, f"t{int(rng.paretovariate(1.0)) % 9}", rng.randint(1, 5)) for d in range(30) for _ in range(6)]
@@ -339,8 +404,11 @@ def test_alternation_settles(spark):
     b = spark.createDataFrame(data, "docset string, doc_id long, pos int, term string, cnt long").groupBy("docset", "doc_id", "pos", "term").agg(F.sum("cnt").alias("cnt"))
     n = spark.createDataFrame([("x", d, 8) for d in range(8)], "docset string, doc_id long, n int")
     w = likelihood.vocabulary_size(b)
-    beta = estimate.alternate(lambda x: dp.segment(None, b, n, w, F.lit(2), x), b, w, rounds=3)
-    assert 0.05 < beta < 50
+    told = estimate.alternation(lambda x: dp.segment(None, b, n, w, F.lit(2), x), b, w, rounds=4)
+    assert 0.05 < told[-1]["beta"] < 50 and [r["round"] for r in told] == list(range(1, len(told) + 1)) and all(r["segments"] == 16 for r in told)
+    assert all(r["after"] >= r["before"] - 1e-6 for r in told)
+    assert all(b["before"] >= a["after"] - 1e-6 for a, b in itertools.pairwise(told))
+    assert len(told) == 4 or told[-1]["beta"] == ([0.1] + [r["beta"] for r in told])[-2]
 
 
 def test_line_ends(spark):
