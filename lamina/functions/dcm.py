@@ -98,11 +98,8 @@ def _rise(a: float, c) -> Column:
     return rising(a, c) if a > 0 else lgamma_whole(c)
 
 
-def anneal_temperature(iteration, n: int, burn_in: float = 0.25, cooling: float = 0.25, hottest: float = 5.0) -> Column:
-    """Falls from `hottest` to 1 during burn-in, stays, and falls towards 0 while cooling."""
+def anneal_temperature(iteration, n, burn_in: float = 0.25, cooling: float = 0.25, hottest: float = 5.0) -> Column:
+    """Falls from `hottest` to 1 during burn-in, stays, and falls towards 0 while cooling; `n` iterations, a number or a column."""
+    it, n = F.col(iteration) if isinstance(iteration, str) else iteration, _number(n)
     burn, cool = n * burn_in, n - n * cooling
-    it = F.col(iteration) if isinstance(iteration, str) else iteration
-    return (
-        F.when(it < burn, 1 + (hottest - 1) * (1 - it / burn) if burn else F.lit(1.0))
-        .when(it <= cool, F.lit(1.0)).otherwise((n - it + 1) / (n - cool) if n > cool else F.lit(1.0))
-    )
+    return F.when(it < burn, 1 + (hottest - 1) * (1 - it / burn)).when(it <= cool, 1.0).otherwise((n - it + 1) / (n - cool))

@@ -71,6 +71,14 @@ def step_weights(most: int) -> Column:
     return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda s, y: s + y))
 
 
+def truncated_steps(low, high, most: int) -> Column:
+    """The proposals for a boundary that may move by low .. high: an array of (step, weight), `step_weights` cut off there and normalised anew."""
+    steps = F.sequence(F.greatest(low, F.lit(-most)), F.least(high, F.lit(most)))
+    raw = F.transform(steps, lambda i: F.struct(i.alias("step"), F.when(i == 0, 0.0).otherwise(F.pow(F.abs(i).cast("double"), F.lit(-1.0 / most**0.5))).alias("w")))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda s, y: s + y["w"])
+    return F.transform(raw, lambda x: F.struct(x["step"].alias("step"), F.when(total(raw) > 0, x["w"] / total(raw)).otherwise(0.0).alias("weight")))
+
+
 def dp_ratio(move: str, alpha: float, n1, n2, n1_new=None, n2_new=None) -> Column:
     """Log ratio of the partition prior for a split into n1 and n2, the merge of them, or a swap to n1_new and n2_new."""
     g = lambda n: lgamma_whole(F.greatest(n - 1, F.lit(0)))

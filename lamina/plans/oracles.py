@@ -274,9 +274,13 @@ ORACLE_SQL = {
         SELECT docset, {_R("sum(logp)")} AS loglik FROM (SELECT * FROM g UNION ALL SELECT * FROM l UNION ALL SELECT * FROM p) GROUP BY docset"""),
     "uniform_segments": _with(f"{LINES}, {UNIFORM}", "SELECT docset, doc_id, pos, label FROM ref"),
     "label_runs": _with(f"{LINES}, {UNIFORM}, {_RUNS.format(x='ref')}", 'SELECT docset, doc_id, seg::BIGINT AS seg, start, "end", label FROM runs_ref'),
-    "anneal_schedule": f"""SELECT it, {_R("t")} AS t, {_R("pow(0.5, 1 / t)")} AS half FROM (SELECT it, CASE WHEN it < 25 THEN 1 + 4 * (1 - it / 25.0) WHEN it <= 75 THEN 1.0 ELSE (101 - it) / 25.0 END AS t FROM range(101) AS r(it))""",
-    "step_proposals": f"""SELECT most, step, {_R("w / sum(w) OVER (PARTITION BY most)")} AS weight
-        FROM (SELECT most, step, CASE WHEN step = 0 THEN 0.0 ELSE pow(abs(step), -1 / sqrt(most)) END AS w FROM (SELECT most, unnest(range(-most, most + 1)) AS step FROM (VALUES (5::BIGINT), (20::BIGINT)) AS v(most)))""",
+    "anneal_schedule": _with(f"{LINES}, {_SIZES}", f"""SELECT docset, doc_id, it, {_R("t")} AS t, {_R("pow(0.5, 1 / t)")} AS half FROM (
+        SELECT *, CASE WHEN it < n / 4 THEN 1 + 4 * (1 - it / (n / 4)) WHEN it <= n - n / 4 THEN 1.0 ELSE (n - it + 1) / (n / 4) END AS t FROM (SELECT docset, doc_id, n, unnest(range(1, n + 1)) AS it FROM sizes))"""),
+    "step_proposals": _with(f"{LINES}, {UNIFORM}, {_RUNS.format(x='ref')}", f"""
+        , edges AS (SELECT docset, doc_id, seg, start, "end" AS at, lead("end") OVER (PARTITION BY docset, doc_id ORDER BY seg) AS later FROM runs_ref),
+        steps AS (SELECT docset, doc_id, seg, unnest(range(greatest(start + 1 - at, -5), least(later - 1 - at, 5) + 1)) AS step FROM edges WHERE later IS NOT NULL),
+        w AS (SELECT *, CASE WHEN step = 0 THEN 0.0 ELSE pow(abs(step), -1 / sqrt(5)) END AS w FROM steps)
+        SELECT docset, doc_id, seg::BIGINT AS seg, step::BIGINT AS step, {_R("coalesce(w / nullif(sum(w) OVER (PARTITION BY docset, doc_id, seg), 0), 0.0)")} AS weight FROM w"""),
     "move_ratios": _with(f"{LINES}, {_SIZES}", f"""
         , x AS (SELECT docset, doc_id, n // 2 AS a, CAST(ceil(n / 2) AS BIGINT) AS b FROM sizes WHERE n > 1),
         y AS (SELECT *, ln(0.1) + {_LG("a - 1")} + {_LG("b - 1")} - {_LG("a + b - 1")} AS s FROM x)

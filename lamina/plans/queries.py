@@ -249,15 +249,17 @@ def best_cut(spark, d):
 
 
 def anneal_schedule(spark, d):
-    its = spark.range(0, 101).withColumnRenamed("id", "it")
-    t = dcm.anneal_temperature("it", 100)
-    return shown(its.select("it", t.alias("t"), F.pow(F.lit(0.5), 1 / t).alias("half")))
+    """Temperatures of runs with as many iterations as a document has lines."""
+    its = _sizes(spark, d).withColumn("it", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    t = dcm.anneal_temperature("it", F.col("n"))
+    return shown(its.select(*DOC, "it", t.alias("t"), F.pow(F.lit(0.5), 1 / t).alias("half")))
 
 
 def step_proposals(spark, d):
-    w = spark.range(1, 31).withColumnRenamed("id", "most").select(F.col("most"))
-    arrays = [w.where(F.col("most") == m).select("most", F.posexplode(segments.step_weights(m)).alias("i", "weight")) for m in (5, 20)]
-    return shown(arrays[0].union(arrays[1]).select("most", (F.col("i") - F.col("most")).alias("step"), "weight"))
+    """Proposals of at most 5 lines' shift for each boundary between a document's segments."""
+    runs = segments.runs(_ref_labels(spark, d)).withColumn("later", F.lead("end").over(Window.partitionBy(*DOC).orderBy("seg"))).where("later IS NOT NULL")
+    steps = segments.truncated_steps(F.col("start") + 1 - F.col("end"), F.col("later") - 1 - F.col("end"), 5)
+    return shown(runs.select(*DOC, "seg", F.explode(steps).alias("s")).select(*DOC, "seg", "s.step", "s.weight"))
 
 
 def move_ratios(spark, d):

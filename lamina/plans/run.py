@@ -6,7 +6,11 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +70,60 @@ def words_of(spark: SparkSession, lines: DataFrame, config: dict[str, str]) -> D
     return materialize(bow.counts(tokens), "run-bow")
 
 
-def segment(spark: SparkSession, config: dict[str, str], lines: DataFrame, words: DataFrame, gold: DataFrame, clusters: DataFrame, trial: int) -> DataFrame:
-    """(docset, doc_id, pos, label) by the configured model. Gold numbers of clusters are used where there are any."""
+@dataclass
+class Gold:
+    """What results are compared with."""
+
+    lines: DataFrame
+    labels: DataFrame
+    spans: DataFrame
+    clusters: DataFrame
+
+    def against(self, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+        """What `metrics` asks for: labels of both, the number of gold clusters, clusters of both, sizes."""
+        both = self.labels.withColumnRenamed("label", "ref").join(found.withColumnRenamed("label", "hyp"), [*DOC, "pos"])
+        both = both.withColumns({"ref": F.greatest("ref", F.lit(-1)), "hyp": F.greatest("hyp", F.lit(-1))})
+        n = both.groupBy("docset").agg(F.count(F.lit(1)).alias("n"))
+        return both, self.clusters, self.spans, metrics.spans(segments.runs(found)), n
+
+
+def progress_line(states: DataFrame, gold: Gold, since: float) -> str:
+    """The sampler's state after a round: log-likelihood over all docsets, shares of moves accepted, scores against the gold standard, seconds."""
+    last = F.element_at("trace", -1)
+    shares = [F.avg(last[f"accepted_{k}"]).alias(k) for k in sampler.KINDS]
+    now = states.agg(F.max("iter").alias("iter"), F.sum(last["loglik"]).alias("loglik"), *shares).first()
+    scores = metrics.corpus_scores(*gold.against(sampler.labels_of(states).drop("trial", "iter"))).first()
+    moves = " ".join(f"{k}={100 * (now[k] or 0):.1f}%" for k in sampler.KINDS)
+    parts = zip(("P", "R", "F1", "Pk", "WD"), ("precision", "recall", "f1", "pk", "windowdiff"), strict=True)
+    return f"iter={now['iter']} loglik={now['loglik'] or 0:.2f} {moves} " + " ".join(f"{k}={scores[c] or 0:.4f}" for k, c in parts) + f" seconds={time.monotonic() - since:.1f}"
+
+
+@contextlib.contextmanager
+def log_sinks(config: dict[str, str]) -> Iterator[None]:
+    """Where the driver's log lines go meanwhile: to the console unless `exp.console` is false, and on to the end of the file `exp.log`."""
+    sinks_: list[logging.Handler] = [logging.StreamHandler()] if flag(config, "exp.console", True) else []
+    if config.get("exp.log"):
+        sinks_.append(logging.FileHandler(config["exp.log"], encoding="utf-8"))
+        sinks_[-1].setFormatter(logging.Formatter("[%(asctime)s] %(levelname)s %(message)s"))
+    level, through = log.level, log.propagate
+    log.setLevel(logging.INFO)
+    log.propagate = False
+    for s in sinks_:
+        log.addHandler(s)
+    try:
+        yield
+    finally:
+        log.setLevel(level)
+        log.propagate = through
+        for s in sinks_:
+            log.removeHandler(s)
+            s.close()
+
+
+def segment(spark: SparkSession, config: dict[str, str], lines: DataFrame, words: DataFrame, gold: Gold, trial: int) -> DataFrame:
+    """(docset, doc_id, pos, label) by the configured model. Gold numbers of clusters are used where there are any. The sampler's rounds
+    are its print periods; each ends with a `progress_line`."""
+    clusters = gold.clusters
     sizes = segments.lengths(lines)
     w = likelihood.vocabulary_size(words)
     if flag(config, "model.sharedDict"):
@@ -78,12 +134,15 @@ def segment(spark: SparkSession, config: dict[str, str], lines: DataFrame, words
     if model == "multi":
         caps = {k.removeprefix("sampler.docset.maxGlobalCluster."): int(v) for k, v in corpus.with_prefix(config, "sampler.docset.maxGlobalCluster.").items()}
         starts = clusters if flag(config, "sampler.initUniform") else None
-        return sampler.assignments(words, sizes, w, base, [trial], starts, priors=document_priors(config, base), caps=caps).drop("trial")
+        since = time.monotonic()
+        told = lambda states: log.info("trial %d: %s", trial, progress_line(states, gold, since))
+        base = replace(base, round=base.trace_every)
+        return sampler.assignments(words, sizes, w, base, [trial], starts, after=told, priors=document_priors(config, base), caps=caps).drop("trial")
     default = sizes.groupBy("docset").agg(F.max(segments.default_k(F.col("n"))).alias("d"))
     k_set = default.join(clusters, "docset", "left").select("docset", F.coalesce("k", "d").cast("int").alias("k"))
     vectors = bow.tf_idf(words)
     if model == "single":
-        own = gold.groupBy(*DOC).agg(F.count_distinct("label").alias("own"))
+        own = gold.labels.groupBy(*DOC).agg(F.count_distinct("label").alias("own"))
         k = sizes.join(own, DOC, "left").select(*DOC, "n", F.coalesce("own", segments.default_k(F.col("n"))).cast("int").alias("want"))
         pieces = dp.segment(lines, words, k, w, F.col("want"), base.beta_global)
     else:
@@ -99,27 +158,27 @@ def run(spark: SparkSession, config: dict[str, str]) -> DataFrame | None:
     folder = config.get("corpus.datasetDir")
     if not folder:
         return None
-    ship(spark)
+    with log_sinks(config):
+        return _trials(ship(spark), config, folder)
+
+
+def _trials(spark: SparkSession, config: dict[str, str], folder: str) -> DataFrame:
     lines = materialize(corpus.read_documents(spark, folder), "run-lines")
     labels = corpus.read_labels(spark, folder)
-    gold = corpus.gold_labels(labels, lines)
-    clusters = labels.groupBy("docset").agg(F.count_distinct("label").alias("k"))
+    inside = corpus.check_spans(labels, lines).where("inside").drop("inside")
+    gold = Gold(lines, corpus.gold_labels(labels, lines), inside, labels.groupBy("docset").agg(F.count_distinct("label").alias("k")))
     words = words_of(spark, lines, config)
     reports = None
     for trial in range(1, int(config.get("exp.trial", 1)) + 1):
-        found = materialize(segment(spark, config, lines, words, gold, clusters, trial), "run-labels")
-        both = gold.withColumnRenamed("label", "ref").join(found.withColumnRenamed("label", "hyp"), [*DOC, "pos"])
-        both = both.withColumns({"ref": F.greatest("ref", F.lit(-1)), "hyp": F.greatest("hyp", F.lit(-1))})
-        inside = corpus.check_spans(labels, lines).where("inside").drop("inside")
-        hyp = metrics.spans(segments.runs(found))
-        n = both.groupBy("docset").agg(F.count(F.lit(1)).alias("n"))
+        found = materialize(segment(spark, config, lines, words, gold, trial), "run-labels")
+        sides = gold.against(found)
         if flag(config, "exp.perDocEval"):
-            rows = metrics.document_report_lines(both, clusters, inside, hyp).select("docset", "line")
+            rows = metrics.document_report_lines(*sides[:4]).select("docset", "line")
         else:
-            rows = metrics.report_lines(both, clusters, inside, hyp, n)
+            rows = metrics.report_lines(*sides)
         rows = rows.select(F.lit(trial).alias("trial"), "docset", "line")
         reports = rows if reports is None else reports.unionByName(rows)
-        log.info("trial %d: %s", trial, metrics.corpus_scores(both, clusters, inside, hyp, n).first())
+        log.info("trial %d: %s", trial, metrics.corpus_scores(*sides).first())
         if config.get("output.outputDir"):
             out = config["output.outputDir"] + f"/trial-{trial}"
             sinks.write_segmented(lines, found, f"{out}/segments")
@@ -135,7 +194,6 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("-c", "--config", required=True)
     spark = SparkSession.builder.getOrCreate()
-    logging.basicConfig(level=logging.INFO)
     run(spark, corpus.read_config(spark, parser.parse_args().config)).show(truncate=False)
 
 

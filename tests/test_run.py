@@ -37,6 +37,7 @@ def test_experiment(spark, tmp_path, model, more):
     folder.mkdir()
     corpus(folder)
     config = BASE | {"model.class": model, "corpus.datasetDir": str(folder), "corpus.stopwordList": str(folder / "stop.list"), "output.outputDir": str(tmp_path / "out"), "exp.output": str(tmp_path / "report")} | more
+    config |= {"exp.log": str(tmp_path / "log"), "exp.console": "false", "sampler.printPeriod": "100"}
     rows = run.run(spark, config).collect()
     assert len(rows) == {"SingleModel": 4, "kmeans": 6, "multi": 2}[model.rsplit(".")[-1]]
     scores = [dict(p.split("=") for p in r["line"].split("\t")) for r in rows]
@@ -44,6 +45,15 @@ def test_experiment(spark, tmp_path, model, more):
     assert list((tmp_path / "out/trial-1/segments").glob("docset=one/doc_id=0/*.txt")) and list((tmp_path / "report").glob("part*"))
 
 
+    logged = (tmp_path / "log").read_text().splitlines()
+    assert len(logged) == {"SingleModel": 2, "kmeans": 1, "multi": 4}[model.rsplit(".")[-1]]
+    if model == "multi":
+        for i, line in enumerate(logged[:3]):
+            found = dict(p.split("=") for p in line.split("trial 1: ")[1].split())
+            assert list(found) == ["iter", "loglik", "global", "local", "shift", "P", "R", "F1", "Pk", "WD", "seconds"] and int(found["iter"]) == 100 * (i + 1) and float(found["loglik"]) < 0
+        assert 0.8 < float(found["F1"]) <= 1 and float(found["Pk"]) < 0.3
+
+
 def test_model_names():
     assert [run.model_of(n) for n in ("multi", "a.b.KMeanThing", "Single")] == ["multi", "kmeans", "single"]
     with pytest.raises(ValueError):
