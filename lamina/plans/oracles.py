@@ -277,8 +277,8 @@ ORACLE_SQL = {
     "anneal_schedule": _with(f"{LINES}, {_SIZES}", f"""SELECT docset, doc_id, it, {_R("t")} AS t, {_R("pow(0.5, 1 / t)")} AS half FROM (
         SELECT *, CASE WHEN it < n / 4 THEN 1 + 4 * (1 - it / (n / 4)) WHEN it <= n - n / 4 THEN 1.0 ELSE (n - it + 1) / (n / 4) END AS t FROM (SELECT docset, doc_id, n, unnest(range(1, n + 1)) AS it FROM sizes))"""),
     "step_proposals": _with(f"{LINES}, {UNIFORM}, {_RUNS.format(x='ref')}", f"""
-        , edges AS (SELECT docset, doc_id, seg, start, "end" AS at, lead("end") OVER (PARTITION BY docset, doc_id ORDER BY seg) AS later FROM runs_ref),
-        steps AS (SELECT docset, doc_id, seg, unnest(range(greatest(start + 1 - at, -5), least(later - 1 - at, 5) + 1)) AS step FROM edges WHERE later IS NOT NULL),
+        , edges AS (SELECT docset, doc_id, seg, start, "end" AS cut, lead("end") OVER (PARTITION BY docset, doc_id ORDER BY seg) AS later FROM runs_ref),
+        steps AS (SELECT docset, doc_id, seg, unnest(range(greatest(start + 1 - cut, -5), least(later - 1 - cut, 5) + 1)) AS step FROM edges WHERE later IS NOT NULL),
         w AS (SELECT *, CASE WHEN step = 0 THEN 0.0 ELSE pow(abs(step), -1 / sqrt(5)) END AS w FROM steps)
         SELECT docset, doc_id, seg::BIGINT AS seg, step::BIGINT AS step, {_R("coalesce(w / nullif(sum(w) OVER (PARTITION BY docset, doc_id, seg), 0), 0.0)")} AS weight FROM w"""),
     "move_ratios": _with(f"{LINES}, {_SIZES}", f"""
