@@ -20,6 +20,7 @@ import functools
 import html
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,20 +48,21 @@ TAG_GROUPS = [
         "form fieldset legend", "table tbody thead tfoot tr td th", "figure figcaption", "blockquote pre", "details summary dialog", "body html", "address",
     )
 ]
+# Names that pages give their parts, in English, German, French and Spanish, without accents.
 TOKEN_GROUPS = [
     frozenset(g.split())
     for g in (
-        "article post entry story content body text main maincontent prose",
-        "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs links",
-        "ad ads advert advertisement adsense sponsor sponsored promo banner doubleclick dfp",
-        "footer foot copyright legal colophon",
-        "header masthead topbar brand logo site",
-        "sidebar side aside related recommended more trending widget teaser rail",
-        "comment comments disqus reply replies respond discussion thread reader",
-        "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe signup warning privacy",
-        "share sharing social twitter facebook follow",
+        "article post entry story content body text main maincontent prose artikel beitrag inhalt haupttext nachricht contenu texte articulo contenido cuerpo noticia",
+        "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs links hauptmenu menue navegacion ariane migas",
+        "ad ads advert advertisement adsense sponsor sponsored promo banner doubleclick dfp werbung anzeige publicite pub annonce anuncio publicidad",
+        "footer foot copyright legal colophon fuss fusszeile impressum pied mentions pie",
+        "header masthead topbar brand logo site kopf kopfzeile entete cabecera",
+        "sidebar side aside related recommended more trending widget teaser rail seitenleiste randspalte verwandt laterale connexes lateral relacionados",
+        "comment comments disqus reply replies respond discussion thread reader kommentar kommentare leserbriefe antworten commentaire commentaires reactions comentario comentarios respuestas opiniones",
+        "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe signup warning privacy hinweis einwilligung datenschutz consentement infolettre aviso consentimiento boletin",
+        "share sharing social twitter facebook follow teilen partager compartir",
         "hidden sr skip print none",
-        "form search login contact",
+        "form search login contact suche recherche buscar",
     )
 ]
 _GROUP_OF = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
@@ -79,7 +81,7 @@ class Page:
     """Block elements in document order (0 is the root), and text blocks as (element, text, characters in links)."""
 
     def __init__(self):
-        self.tag, self.parent, self.depth, self.tokens, self.links, self.hidden = ["html"], [-1], [0], [0], [0], [False]
+        self.tag, self.parent, self.depth, self.tokens, self.links, self.times, self.hidden = ["html"], [-1], [0], [0], [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []
 
     def add(self, tag: str, parent: int, attributes: str) -> int:
@@ -92,6 +94,8 @@ class Page:
                 elif name == "style":
                     hidden |= "display:none" in value.replace(" ", "").lower()
                 else:
+                    if not value.isascii():
+                        value = "".join(c for c in unicodedata.normalize("NFD", value) if not unicodedata.combining(c))
                     for token in _TOKEN.findall(_CAMEL.sub(" ", value).lower()):
                         if (g := _TOKEN_OF.get(token)) is not None:
                             mask |= 1 << g
@@ -100,6 +104,7 @@ class Page:
         self.depth.append(self.depth[parent] + 1)
         self.tokens.append(mask)
         self.links.append(0)
+        self.times.append(0)
         self.hidden.append(hidden or self.hidden[parent])
         return len(self.tag) - 1
 
@@ -233,7 +238,7 @@ def parse(source: str) -> Page:
         elif name in ("br", "wbr", "img", "input"):
             run.append(" ")
         elif name in INLINE:
-            pass
+            page.times[open_.ids[-1]] += name == "time"
         elif name in SILENT:
             if name in RAW:
                 over = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
@@ -263,14 +268,16 @@ def parse(source: str) -> Page:
     return page
 
 
-N_FEATURES = 24 + len(TAG_GROUPS) + 3 * len(TOKEN_GROUPS)
+#: Features that are neither tags nor tokens.
+PLAIN = 29
+N_FEATURES = PLAIN + len(TAG_GROUPS) + 3 * len(TOKEN_GROUPS)
 
 
 def features(page: Page) -> np.ndarray:
     """A row for each element."""
     n = len(page.tag)
     parent = np.array(page.parent)
-    own = np.zeros((n, 6))  # characters, in links, words, marks, text blocks, links
+    own = np.zeros((n, 8))  # characters, in links, words, marks, text blocks, links, times, copyright signs
     for node, text, linked in page.blocks:
         row = own[node]
         row[0] += len(text)
@@ -278,12 +285,14 @@ def features(page: Page) -> np.ndarray:
         row[2] += text.count(" ") + 1
         row[3] += len(_MARKS.findall(text))
         row[4] += 1
+        row[7] += "©" in text
     own[:, 5] = page.links
+    own[:, 6] = page.times
     total, elements = own.copy(), np.ones(n)
     for i in range(n - 1, 0, -1):
         total[parent[i]] += total[i]
         elements[parent[i]] += elements[i]
-    chars, linked, words, marks, blocks, links = total.T
+    chars, linked, words, marks, blocks, links, times, signs = total.T
     everything = max(1.0, chars[0])
     groups = np.array([_GROUP_OF.get(t, -1) for t in page.tag])
     tokens = ((np.array(page.tokens)[:, None] >> np.arange(len(TOKEN_GROUPS))) & 1).astype(float)
@@ -310,6 +319,13 @@ def features(page: Page) -> np.ndarray:
         key = up * (len(TAG_GROUPS) + 2) + groups + 1
         _, inverse, count = np.unique(key[1:], return_inverse=True, return_counts=True)
         like[1:] = count[inverse] / siblings[1:]
+    # Neighbours of the same tag and tokens, as of entries in a list of comments or teasers, and how many times they state.
+    twins = np.ones(n)
+    if n > 1:
+        _, kind = np.unique(np.array(page.tag), return_inverse=True)
+        _, inverse, count = np.unique(np.stack((up, kind, np.array(page.tokens)), 1)[1:], axis=0, return_inverse=True, return_counts=True)
+        twins[1:] = count[inverse.ravel()]
+    stated = times / np.maximum(blocks, 1)
     beneath = np.zeros((n, 3))  # paragraphs, headings, list items
     for k, g in enumerate((0, 1, 3)):
         beneath[:, k] = groups == g
@@ -323,9 +339,10 @@ def features(page: Page) -> np.ndarray:
         np.array(page.depth), chars / everything, siblings, order / siblings, like, np.log1p(around), chars / np.maximum(around, 1), np.array(page.hidden, float),
         beneath[:, 0], beneath[:, 1], beneath[:, 2] / elements, own[:, 4] > 0, chars / elements,
         above_tags[:, 0] + above_tags[:, 1], above_tags[:, 2] + above_tags[:, 4] + above_tags[:, 5], above_tags[:, 3], above_tags[:, 6] + above_tags[:, 7],
+        stated, stated[up], np.log1p(twins), np.log1p(twins[up]), signs / np.maximum(blocks, 1),
     ]
     out[:, : len(columns)] = np.stack(columns, 1)
-    at = 24
+    at = PLAIN
     out[np.arange(n), at + np.maximum(groups, 0)] = groups >= 0
     at += len(TAG_GROUPS)
     k = len(TOKEN_GROUPS)
@@ -337,9 +354,9 @@ def features(page: Page) -> np.ndarray:
 
 
 class Boosted:
-    """Gradient-boosted trees for the log-odds of a binary label: fixed depth, histogram splits."""
+    """Gradient-boosted trees for the log-odds of a binary label: fixed depth, histogram splits, each tree on a share of the rows."""
 
-    DEPTH, TREES, RATE, BINS, LEAST, SHRINK = 4, 60, 0.2, 32, 8.0, 1.0
+    DEPTH, TREES, RATE, BINS, LEAST, SHRINK, SHARE = 5, 90, 0.2, 32, 8.0, 1.0, 0.35
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         n, f = x.shape
@@ -349,14 +366,16 @@ class Boosted:
         self.bias = float(np.log(share / (1 - share)))
         z, self.trees = np.full(n, self.bias), []
         inner = (1 << self.DEPTH) - 1
-        flat = bins + np.arange(f) * self.BINS
+        flat, draw = bins + np.arange(f) * self.BINS, np.random.default_rng(1)
         for _ in range(self.TREES):
-            p = 1 / (1 + np.exp(-z))
-            g, h = y - p, p * (1 - p)
-            column, limit, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
+            some = draw.permutation(n)[: max(1, int(self.SHARE * n))] if n > 1_000 else np.arange(n)
+            rows, rx, m = flat[some], x[some], len(some)
+            p = 1 / (1 + np.exp(-z[some]))
+            g, h = y[some] - p, p * (1 - p)
+            column, limit, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(m, np.int64)
             for level in range(self.DEPTH):
                 width, first = 1 << level, (1 << level) - 1
-                at = ((node - first)[:, None] * (f * self.BINS) + flat).ravel()
+                at = ((node - first)[:, None] * (f * self.BINS) + rows).ravel()
                 size = width * f * self.BINS
                 hg = np.bincount(at, np.repeat(g, f), size).reshape(width, f, self.BINS).cumsum(2)
                 hh = np.bincount(at, np.repeat(h, f), size).reshape(width, f, self.BINS).cumsum(2)
@@ -368,22 +387,22 @@ class Boosted:
                     j, b = divmod(int(best[k]), self.BINS)
                     if gain[k, j, b] > 1e-6 and b < len(self.edges[j]):
                         column[first + k], limit[first + k] = j, self.edges[j][b]
-                node = 2 * node + 1 + (x[np.arange(n), column[node]] > limit[node])
+                node = 2 * node + 1 + (rx[np.arange(m), column[node]] > limit[node])
             leaf = node - inner
             value = np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + self.SHRINK) * self.RATE
             self.trees.append((column, limit, value))
-            z += value[leaf]
+            z += self._leaf_values(x, self.trees[-1])
         return self
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z, rows = np.full(len(x), self.bias), np.arange(len(x))
-        inner = (1 << self.DEPTH) - 1
-        for column, limit, value in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.DEPTH):
-                node = 2 * node + 1 + (x[rows, column[node]] > limit[node])
-            z += value[node - inner]
-        return z
+        return sum((self._leaf_values(x, tree) for tree in self.trees), np.full(len(x), self.bias))
+
+    def _leaf_values(self, x: np.ndarray, tree: tuple) -> np.ndarray:
+        column, limit, value = tree
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(self.DEPTH):
+            node = 2 * node + 1 + (x[rows, column[node]] > limit[node])
+        return value[node - ((1 << self.DEPTH) - 1)]
 
 
 def decode(page: Page, odds: np.ndarray) -> list[str]:
@@ -447,18 +466,39 @@ def training_page(rng: random.Random) -> str:
     def plain(low: int = 3, high: int = 40) -> str:
         return rng.choice((words(low, high), f"<p>{words(low, high)}</p>", f"<p>{words(low, high)}</p><p>{words(low, high)}</p>"))
 
-    ad = lambda: box("div", "ad ads advert sponsored promo banner", plain())
-    menu = lambda: rng.choice((f"<nav>{links('ul', rng.randint(2, 9))}</nav>", box("div", "nav menu navbar breadcrumb", links("ul", rng.randint(2, 9)))))
+    ad = lambda: box("div", "ad ads advert sponsored promo banner werbung anzeige publicite anuncio", plain())
+    menu = lambda: rng.choice((f"<nav>{links('ul', rng.randint(2, 9))}</nav>", box("div", "nav menu navbar breadcrumb hauptmenu navegacion", links("ul", rng.randint(2, 9)))))
     head = lambda: rng.choice((f"<header>{plain(1, 8)}{menu()}</header>", box("div", "header masthead topbar", f"<h2>{words(1, 4)}</h2>")))
-    foot = lambda: rng.choice((f"<footer>&copy; {plain(2, 30)}</footer>", box("div", "footer copyright", f"<p>&copy; {words(2, 30)}</p>")))
-    side = lambda: rng.choice((f"<aside>{plain()}{links('ul', rng.randint(0, 6))}</aside>", box("div", "sidebar related widget trending", f"<h3>{words(1, 4)}</h3>{links('ul', rng.randint(2, 8))}")))
-    note = lambda: box(rng.choice(("div", "section")), "cookie consent notice newsletter popup gdpr", plain(3, 30) + "<button>OK</button>")
+    sign = lambda: rng.choice(("&copy; ", "&copy; ", ""))
+    foot_names = "footer copyright impressum fusszeile pied-page pie"
+    foot = lambda: rng.choice((f"<footer>{sign()}{plain(2, 30)}</footer>", box("div", foot_names, f"<p>{sign()}{words(2, 30)}</p>"), box("div", foot_names, words(1, 3))))
+    side = lambda: rng.choice((f"<aside>{plain()}{links('ul', rng.randint(0, 6))}</aside>", box("div", "sidebar related widget trending seitenleiste laterale lateral", f"<h3>{words(1, 4)}</h3>{links('ul', rng.randint(2, 8))}")))
+    note = lambda: box(rng.choice(("div", "section")), "cookie consent notice newsletter popup gdpr hinweis einwilligung infolettre aviso", plain(3, 30) + "<button>OK</button>")
     form = lambda: f"<form><label>{words(1, 3)}</label><input name=q><p>{words(1, 12)}</p><button>Go</button></form>"
     share = lambda: box("div", "share social", links("ul", 4))
 
     def comments() -> str:
         many = "".join(rng.choice((f"<p>{words(2, 60)}</p>", f'<div class="comment"><b>{words(1, 2)}</b><p>{words(2, 60)}</p></div>', f"<li>{words(2, 40)}</li>")) for _ in range(rng.randint(1, 6)))
-        return box(rng.choice(("div", "section", "ul")), "comments comment disqus replies reader-comments", f"<h3>{words(1, 3)}</h3>{many}")
+        names = "comments comment disqus replies reader-comments kommentare leserkommentare commentaires comentarios reactions respuestas"
+        return box(rng.choice(("div", "section", "ul")), names, f"<h3>{words(1, 3)}</h3>{many}")
+
+    def stamped() -> str:
+        """Comments of readers that are named by their form alone: a name and a time before each."""
+        tag, name = rng.choice(("div", "li", "section")), rng.choice(("", ' class="item"', ' class="row"', ' class="x1"'))
+        when = lambda: f"<time>{rng.randint(1, 28)}.{rng.randint(1, 12)}.</time>"
+        entry = lambda: rng.choice((f"<p><b>{words(1, 2)}</b> {when()}</p><p>{words(2, 50)}</p>", f"<b>{words(1, 2)}</b> {when()}<p>{words(2, 50)}</p>"))
+        return f"<div>{rng.choice(('', f'<h3>{words(1, 3)}</h3>'))}" + "".join(f"<{tag}{name}>{entry()}</{tag}>" for _ in range(rng.randint(2, 6))) + "</div>"
+
+    def listing() -> str:
+        """An article that is a list of linked items, longer than those of menus or with text of their own."""
+        tag, more = rng.choice(("ol", "ol", "ul")), rng.random() < 0.5
+        item = lambda: f'<li><a href="/x">{_MARK}{words(3, 12)}</a>{" " + words(2, 20) if more else ""}</li>'
+        return f"<{tag}>" + "".join(item() for _ in range(rng.randint(4, 12))) + f"</{tag}>"
+
+    def filed() -> str:
+        """The footer of an article."""
+        tags = "".join(f'<a href="/t">{words(1, 2)}</a> ' for _ in range(rng.randint(0, 3)))
+        return rng.choice((f"<footer>{words(2, 6)}: {tags}{words(1, 3)}</footer>", f"<footer>{words(1, 4)}: {words(1, 2)}</footer>", f"<footer><p>{words(2, 12)} {tags}</p></footer>", f"<footer><ul><li>{words(1, 3)}</li><li>{words(1, 3)}</li></ul></footer>"))
 
     def entities() -> str:
         return " ".join(rng.choice(("&amp;", "&lt;b&gt;", "&#233;t&#233;", "&nbsp;", "&quot;" + words(1, 3) + "&quot;", "&hellip;", words(1, 4))) for _ in range(rng.randint(2, 25)))
@@ -522,8 +562,15 @@ def training_page(rng: random.Random) -> str:
                 parts.append(f'<p>{_MARK}{words(5, 30)} <a href="/x">{words(1, 3)}</a> {words(5, 30)}</p>')
             if rng.random() < 0.06:
                 parts.append(rng.choice((ad, share, form, note, side))())
-        if rng.random() < 0.15:
-            parts.append(rng.choice((comments, share))())
+        if parts and parts[0].startswith("<h1>") and rng.random() < 0.08:
+            parts[0] = f"<header>{parts[0]}</header>"
+        if rng.random() < 0.08:
+            parts.insert(rng.randint(min(1, len(parts)), len(parts)), listing())
+            parts = parts[: rng.choice((2, 3, 20))] if len(parts[0]) < 200 and "<li>" in "".join(parts[:2]) else parts
+        if rng.random() < 0.22:
+            parts.append(rng.choice((comments, share, stamped))())
+        if rng.random() < 0.25:
+            parts.append(filed())
         inside = "".join(parts)
         tag = rng.choice(("article", "article", "article", "main", "content", "wrapped", "bare"))
         if tag in ("article", "main"):
@@ -535,17 +582,26 @@ def training_page(rng: random.Random) -> str:
 
     bare = rng.random() < 0.08  # a page without anything around its text
     before = [f() for f in (head, menu, ad, note, form, side) if rng.random() < 0.45 and not bare]
-    after = [f() for f in (foot, side, ad, comments, share, note, menu) if rng.random() < 0.4 and not bare]
+    after = [f() for f in (foot, side, ad, comments, stamped, share, note, menu) if rng.random() < 0.4 and not bare]
     rng.shuffle(before)
     if rng.random() < 0.8 and not bare:
         after.append(foot())
+    if rng.random() < 0.1:
+        # A page laid out as a table: parts in cells around the text's.
+        cell = lambda inside: f"<td>{inside}</td>"
+        bare_menu = lambda: "".join(f'<a href="/{i}">{words(1, 2)}</a>{rng.choice((" ", "<br>", " | "))}' for i in range(rng.randint(2, 8)))
+        around = [cell(rng.choice((bare_menu, bare_menu, menu, side, ad))()) for _ in range(rng.randint(1, 2))]
+        around.insert(rng.choice((1, len(around))), cell(article()))
+        top = rng.choice(("", f"<tr><td colspan=3>{rng.choice((bare_menu, lambda: words(1, 5)))()}</td></tr>"))
+        low = rng.choice(("", f"<tr><td colspan=3>&copy; {words(2, 8)}</td></tr>"))
+        return f"<html><body><table>{top}<tr>{''.join(around)}</tr>{low}</table></body></html>"
     body = "".join(before) + article() + "".join(after)
     if rng.random() < 0.3:
         body = f'<div class="{rng.choice(("page", "wrap", "container", "site"))}">{body}</div>'
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>"
 
 
-TRAINING_PAGES, TRAINING_SEED = 1_000, 5
+TRAINING_PAGES, TRAINING_SEED = 2_500, 5
 _trained: list[Boosted] = []
 
 
