@@ -31,6 +31,12 @@ def lines(documents: DataFrame) -> DataFrame:
     return docs.select("docset", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def line_counts(documents: DataFrame) -> DataFrame:
+    """(docset, doc_id, n): how many lines `lines` makes of each document, without making them."""
+    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(docset_of(F.col("source"), F.col("doc_id")).alias("docset"), "doc_id", F.size(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("n"))
+    return docs.groupBy("docset", "doc_id").agg(F.max("n").alias("n"))
+
+
 def tokens(lines_: DataFrame, tokenizer: bool = True, stop: list[str] | None = None) -> DataFrame:
     """Normalised tokens of lines, with their place among all of the line, without those of a short stop list."""
     made = F.split(F.trim(T.normalize(F.col("line"), tokenizer)), " +")

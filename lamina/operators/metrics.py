@@ -56,11 +56,10 @@ def totals(clusters: DataFrame) -> DataFrame:
 
 
 def overlaps(ref: DataFrame, hyp: DataFrame) -> DataFrame:
-    """(docset, ref, hyp, overlap): sentences that two clusters share; an equi-join on the document with an interval predicate."""
-    r = ref.select(*DOC, F.col("label").alias("ref"), F.col("start").alias("rs"), F.col("end").alias("re"))
-    h = hyp.select(*DOC, F.col("label").alias("hyp"), F.col("start").alias("hs"), F.col("end").alias("he"))
-    met = r.join(h, DOC).where("rs <= he AND hs <= re")
-    return met.groupBy("docset", "ref", "hyp").agg(F.sum(F.least("re", "he") - F.greatest("rs", "hs") + 1).alias("overlap"))
+    """(docset, ref, hyp, overlap): sentences that two clusters share. Spans meet sentence by sentence, so the work grows with a document's
+    sentences and not with its pairs of spans."""
+    each = lambda side, name: side.where("start <= end").select(*DOC, F.explode(F.sequence("start", "end")).alias("pos"), F.col("label").alias(name))
+    return each(ref, "ref").join(each(hyp, "hyp"), [*DOC, "pos"]).groupBy("docset", "ref", "hyp").agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def best_matches(ref: DataFrame, hyp: DataFrame) -> DataFrame:

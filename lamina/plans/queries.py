@@ -44,7 +44,7 @@ def _bow(spark, d):
 
 
 def _sizes(spark, d):
-    return segments.lengths(_lines(spark, d))
+    return bow.line_counts(table(spark, d, "documents"))
 
 
 def _vocab(b):

@@ -162,6 +162,28 @@ def test_cluster_scores(spark):
     assert metrics.rand_like(ref, hyp, n).first()["rand_like"] == pytest.approx(0.692308, abs=1e-6)
 
 
+def test_overlaps_of_many_spans(spark):
+    """A document of 4,000 spans on both sides, others that overlap within a side, by brute force; spans meet by sentence only."""
+    rng = random.Random(2)
+    ref = [("x", str(i % 7), 0, i, i) for i in range(4_000)] + [("y", str(rng.randrange(4)), d, a, a + rng.randrange(9)) for d in range(5) for a in rng.sample(range(60), 12)]
+    hyp = [("x", str(i % 5), 0, i, i) for i in range(4_000)] + [("y", str(rng.randrange(3)), d, a, a + rng.randrange(9)) for d in range(5) for a in rng.sample(range(60), 12)]
+    want = {}
+    for s, a, d, x, y in ref:
+        for t, b, e, u, v in hyp if s == "y" else [("x", str(x % 5), 0, x, x)]:
+            if (s, d) == (t, e) and x <= v and u <= y:
+                want[s, a, b] = want.get((s, a, b), 0) + min(y, v) - max(x, u) + 1
+    schema = "docset string, label string, doc_id long, start int, end int"
+    got = metrics.overlaps(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema))
+    assert rows(got, "docset", "ref", "hyp", "overlap") == sorted((*k, n) for k, n in want.items())
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1 and "pos" in joins[0] and "<=" not in joins[0]
+
+
+def test_line_counts(documents):
+    counted = bow.line_counts(documents)
+    assert rows(counted, "docset", "doc_id", "n") == rows(segments.lengths(bow.lines(documents)), "docset", "doc_id", "n")
+
+
 def test_rand_index_and_class_f1(spark):
     rng = random.Random(2)
     ref, hyp = [rng.randrange(3) for _ in range(12)], [rng.randrange(4) - 1 for _ in range(12)]
