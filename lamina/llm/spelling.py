@@ -2,8 +2,7 @@
 
 Words with at least `shortest` letters and `fewest` occurrences are cut by ranges of their order into shards of bounded size, each kept as a
 compact trie: one node for each branching, with the letters on its edge. Shards are broadcast in groups of at most `GROUP_BYTES`, one job a
-group, whatever their number. There, each word's Levenshtein automaton for distance one walks through every shard depth-first: at a node, the states
-that are alive, as four bits, say which edges to follow. Accepted words are reduced at once to their number and the best form. The form of a
+group, whatever their number. There, each word's Levenshtein automaton for distance one walks through every shard depth-first. Accepted words are reduced at once to their number and the best form. The form of a
 word is its neighbour of largest count (the smallest by code points of equals) if that is at least `times` its own; a root is what forms
 lead to in the end, found by doubling. Forms grow at least `times`-fold, so chains are short and can't come back.
 
@@ -149,36 +148,63 @@ class Trie:
     def near(self, word: bytes) -> list[int]:
         """The nodes of all words that differ from `word` by exactly one inserted, deleted or replaced letter.
 
-        States at depth d: 8, no edit yet; with one edit, 1: the word's letter d - 1 comes next (one was inserted), 2: letter d (one was
-        replaced), 4: letter d + 1 (one was deleted).
+        The automaton's states are places in the word, before and after the edit. Before it, the walk follows the word itself; each edge
+        that leaves it spends the edit, as an inserted, a replaced or, where the letter after next fits, a deleted letter; from there on
+        only what is left of the word is followed. Edits within a row of equal letters are made at its end, so each is met once.
         """
         letters, first, ends, labels, counts = self.letters, self.first, self.ends, self.labels, self.counts
-        n, q = len(word), b"\0" + word + b"\0\0\0\0"  # the letter before place d of the word is q[d]
-        found, todo = [], [(0, 0, 8)]
-        while todo:
-            v, d, alive = todo.pop()
-            low, high = first[v], first[v + 1]
-            if alive & 8:
-                follow = range(low, high)
-            else:
-                next_ = {q[d + k] for k in range(3) if alive >> k & 1}
-                follow = [c for c in (letters.find(x, low, high) for x in next_) if c >= 0]
-            for c in follow:
-                to, states = d, alive
-                for x in labels[ends[c] : ends[c + 1]]:
-                    before, here, after = q[to : to + 3] if to <= n + 1 else (0, 0, 0)
-                    new = states & ((x == before) | (x == here) << 1 | (x == after) << 2)
-                    if states & 8:
-                        new |= 1 | (8 if x == here else 2 if to < n else 0) | (x == after) << 2
-                    states = new
-                    to += 1
-                    if not states:
-                        break
-                if states:
-                    if counts[c] and (to == n + 1 and states & 1 or to == n and states & 2 or to == n - 1 and states & 12):
+        n, q, found = len(word), word + b"\0\0\0", []
+
+        def rest(c: int, at: int, i: int) -> None:
+            """From place `at` of the labels, on the edge of c, after the edit: letters i and on of the word."""
+            while True:
+                size = ends[c + 1] - at
+                if size and labels[at : at + size] != q[i : i + size]:
+                    return
+                i += size
+                if i == n:
+                    if counts[c]:
                         found.append(c)
-                    todo.append((c, to, states))
-        return found
+                    return
+                c = letters.find(q[i], first[c], first[c + 1])
+                if c < 0:
+                    return
+                at = ends[c] + 1
+                i += 1
+
+        def edited(c: int, at: int, x: int, d: int) -> None:
+            """The letter x was read in place of letter d of the word."""
+            rest(c, at, d)
+            if d < n:
+                rest(c, at, d + 1)
+                if x == q[d + 1]:
+                    rest(c, at, d + 2)
+
+        v = d = 0
+        while True:
+            if d == n - 1 and counts[v]:
+                found.append(v)
+            here, after, way = q[d], q[d + 1], -1
+            for c in range(first[v], first[v + 1]):
+                x, at = letters[c], ends[c] + 1
+                if x == here:
+                    way = c
+                elif d >= n - 2 or at < ends[c + 1] or x == after:
+                    edited(c, at, x, d)
+                else:
+                    low, high = first[c], first[c + 1]
+                    if (a := letters.find(here, low, high)) >= 0:
+                        rest(a, ends[a] + 1, d + 1)
+                    if (a := letters.find(after, low, high)) >= 0:
+                        rest(a, ends[a] + 1, d + 2)
+            if way < 0:
+                return found
+            v, d = way, d + 1
+            for at in range(ends[v] + 1, ends[v + 1]):
+                if labels[at] != q[d]:
+                    edited(v, at + 1, labels[at], d)
+                    return found
+                d += 1
 
 
 def shards(words: DataFrame, rows: int) -> DataFrame:
