@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +34,8 @@ def segmented_lines(lines: DataFrame, labels: DataFrame) -> DataFrame:
 
 def write_files(files: DataFrame, folder: str) -> int:
     """Write `files` (name, value), one text each, into `folder`: a path or a URI that pyarrow knows, reached by all executors. Returns
-    how many. A task that runs again writes the same files again."""
+    how many. A file is written under another name and then given its own, so one that is there is whole; a task that runs again writes the
+    same files again."""
     where = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,8 +43,10 @@ def write_files(files: DataFrame, folder: str) -> int:
         store.create_dir(root, recursive=True)
         for pdf in batches:
             for name, value in zip(pdf["name"], pdf["value"], strict=True):
-                with store.open_output_stream(f"{root}/{name}") as out:
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
                     out.write(value.encode("utf-8"))
+                store.move(part, f"{root}/{name}")
             yield pdf[["name"]]
 
     return files.select("name", "value").mapInPandas(write, "name string").agg(F.count("name")).first()[0]
