@@ -410,14 +410,14 @@ def test_shifts_visit_cuts_by_their_posterior():
     doc = [{rng.randrange(3): 1, 3 + rng.randrange(2): 1} for _ in range(7)]
     s = sampler.Settings(iterations=10**9, warm_up=10**9, start_global=2, global_merge=False, burn_in=0.0, cooling=0.0, max_shift=3, beta_global=0.8, seed=5)
     chain, visits = sampler.Chain([doc], 5, s, "t"), [0] * 8
-    for _ in range(40_000):
+    for _ in range(160_000):
         chain.sweep(1)
         visits[chain.ends[0][0]] += 1
     score = dp.score_matrix(doc, 5, 0.8)
     prior = lambda n: sampler.lgamma0(n - 1)
     weight = [math.exp(score[0, c] + score[c, 7] + prior(c) + prior(7 - c)) for c in range(1, 7)]
     want = [w / sum(weight) for w in weight]
-    assert sum(abs(v / 40_000 - p) for v, p in zip(visits[1:7], want, strict=True)) / 2 < 0.02
+    assert sum(abs(v / 160_000 - p) for v, p in zip(visits[1:7], want, strict=True)) / 2 < 0.02
 
 
 def test_alternation_settles(spark):
