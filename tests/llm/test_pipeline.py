@@ -185,7 +185,7 @@ def test_sql_twins(spark, name):
 
 def test_every_query_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_ids_are_little_endian():
