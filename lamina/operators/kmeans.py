@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import materialize, scope, spread
+from lamina.session import materialize, scope
 
 #: The distance is no metric and means aren't its minima, so labels may come round again; then the last of so many rounds counts.
 ITERATIONS = 100
@@ -31,16 +32,18 @@ LAST, NEVER = 1e300, 2e300
 
 
 class Points:
-    """Sparse rows."""
+    """Sparse rows: `value` at the places (`row`, `at`) of a table of n rows and `width` columns, in the order of the rows."""
 
-    def __init__(self, rows: list[dict[str, float]]):
-        terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
-        self.n, self.width = len(rows), len(terms)
-        self.at = np.array([terms[t] for r in rows for t in r], int)
-        self.value = np.array([v for r in rows for v in r.values()], float)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+    def __init__(self, n: int, width: int, row: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.n, self.width, self.row, self.at, self.value = n, width, row, at, value
         self.sum = np.bincount(self.row, self.value, self.n)
 
+    @classmethod
+    def of(cls, rows: list[dict[str, float]]) -> Points:
+        terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
+        at, value = np.array([terms[t] for r in rows for t in r], int), np.array([v for r in rows for v in r.values()], float)
+        return cls(len(rows), len(terms), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), at, value)
+
     def distances(self, centre: np.ndarray) -> np.ndarray:
         dot = np.bincount(self.row, self.value * centre[self.at], self.n)
         total = centre.sum()
@@ -62,7 +65,11 @@ def draw(seed: int, number: int, name: str) -> float:
 def cluster(rows: list[dict[str, float]], k: int, seed: int, names: list[str] | None = None, iterations: int = ITERATIONS) -> np.ndarray:
     """A cluster for each row: seeds, then assignment to the nearest centre (the lowest of equals) and means, until nothing moves.
     Clusters that lose all their rows take the rows farthest from their own centres, the first of equals."""
-    points = Points(rows)
+    return cluster_points(Points.of(rows), k, seed, names, iterations)
+
+
+def cluster_points(points: Points, k: int, seed: int, names: list[str] | None = None, iterations: int = ITERATIONS) -> np.ndarray:
+    """`cluster` of points."""
     if not points.n:
         return np.zeros(0, int)
     names = names or [str(i) for i in range(points.n)]
@@ -155,31 +162,59 @@ def cluster_frames(points: DataFrame, vectors: DataFrame, k: DataFrame, seed: in
         return materialize(labels, "clusters", outer=1)
 
 
+def _summed(words: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The places (row, term) of the vectors of a docset's pieces, which are in order, with the sums there of `words` (doc_id, pos, term,
+    tfidf), and how many terms there are."""
+    terms = words.column("term").combine_chunks().dictionary_encode()
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    rank = np.empty(len(terms.dictionary), np.int64)
+    rank[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(rank))
+    at, of, pos, value = rank[terms.indices.to_numpy()], *(words.column(c).to_numpy() for c in ("doc_id", "pos", "tfidf"))
+    docs = np.unique(doc)
+    number = np.searchsorted(docs, of)
+    known = (number < len(docs)) & (docs[np.minimum(number, len(docs) - 1)] == of)
+    # Pieces by (document, start), as one number.
+    wide = int(max(pos.max(initial=0), end.max(initial=0))) + 1
+    place = np.searchsorted(np.searchsorted(docs, doc) * wide + start, number * wide + pos, "right") - 1
+    near = np.maximum(place, 0)
+    inside = known & (place >= 0) & (doc[near] == of) & (pos < end[near])
+    row, at, value, pos = place[inside], at[inside], value[inside], pos[inside]
+    order = np.lexsort((pos, at, row))
+    row, at, value = row[order], at[order], value[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])]) if len(row) else np.zeros(0, int)
+    return row[first], at[first], np.add.reduceat(value, first) if len(row) else value, len(rank)
+
+
 def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1, most: int = MOST, iterations: int = ITERATIONS) -> DataFrame:
     """`pieces` (docset, doc_id, start, end) with `label`. `vectors` is (docset, doc_id, pos, term, tfidf); a piece is the sum of
     its sentences. `k` (docset, k) is the number of clusters, at most the number of pieces. Clusters of one member become local:
     -(number + 1)."""
-    p = materialize(pieces.select("docset", "doc_id", "start", "end"), "pieces")
+    p = materialize(pieces.select("docset", F.col("doc_id").cast("long").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), "pieces")
     n = p.groupBy("docset").agg(F.count(F.lit(1)).alias("n"))
     k = n.join(k, "docset").select("docset", "n", F.greatest(F.lit(1), F.least("k", "n")).cast("int").alias("k"))
-    v = vectors.join(p, ["docset", "doc_id"]).where("pos >= start AND pos < end")
-    v = v.groupBy(*PIECE, "term").agg(F.sum("tfidf").alias("v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
-        vectors_ = [{r["term"]: r["v"] for r in x} if x is not None else {} for x in pdf["vec"]]
-        names = [f"{s}/{d}/{b}" for s, d, b in zip(pdf["docset"], pdf["doc_id"], pdf["start"], strict=True)]
-        label = cluster(vectors_, int(pdf["k"].iloc[0]), seed, names, iterations)
-        return pdf[["docset", "doc_id", "start", "end"]].assign(label=label)
-
-    small = k.where(F.col("n") <= most).drop("n")
-    whole = v.groupBy(*PIECE).agg(F.array_sort(F.collect_list(F.struct("term", "v"))).alias("vec"))
-    rows = p.join(small, "docset").join(whole.join(small.select("docset"), "docset", "left_semi"), PIECE, "left")
-    out = spread(rows, "docset").groupBy("docset").applyInPandas(run, "docset string, doc_id long, start int, end int, label int")
+    vectors = vectors.select("docset", F.col("doc_id").cast("long").alias("doc_id"), "pos", "term", "tfidf")
+
+    def run(words: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        doc, start, end = (own.column(c).to_numpy() for c in ("doc_id", "start", "end"))
+        if not len(doc):
+            return own.select(["docset", "doc_id", "start", "end"]).append_column("label", pa.array([], pa.int32()))
+        row, at, value, width = _summed(words, doc, start, end)
+        docset = own.column("docset")[0].as_py()
+        names = [f"{docset}/{d}/{b}" for d, b in zip(doc.tolist(), start.tolist(), strict=True)]
+        label = cluster_points(Points(len(doc), width, row, at, value), own.column("k")[0].as_py(), seed, names, iterations)
+        return own.select(["docset", "doc_id", "start", "end"]).append_column("label", pa.array(label.astype(np.int32)))
+
     large = k.where(F.col("n") > most).drop("n")
-    if large.take(1):
+    some, words, rows = bool(large.take(1)), vectors, p.join(k.where(F.col("n") <= most).drop("n"), "docset")
+    if some:
+        words = words.join(large.select("docset"), "docset", "left_anti")
+    # Words that are by docset already stay where they are; the pieces go to them.
+    out = words.groupBy("docset").cogroup(rows.groupBy("docset")).applyInArrow(run, "docset string, doc_id long, start int, end int, label int")
+    if some:
         of = lambda df: df.join(large.select("docset"), "docset", "left_semi")
-        out = out.unionByName(p.join(cluster_frames(of(p), of(v), large, seed, iterations), PIECE).select("docset", "doc_id", "start", "end", "label"))
+        v = of(vectors).join(of(p), ["docset", "doc_id"]).where("pos >= start AND pos < end").groupBy(*PIECE, "term").agg(F.sum("tfidf").alias("v"))
+        out = out.unionByName(p.join(cluster_frames(of(p), v, large, seed, iterations), PIECE).select("docset", "doc_id", "start", "end", "label"))
     out = materialize(out, "clusters")
     single = out.groupBy("docset", "label").agg(F.count(F.lit(1)).alias("m"))
     local = F.when(F.col("m") == 1, -(F.col("label") + 1)).otherwise(F.col("label"))
