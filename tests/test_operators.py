@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina import session
 from lamina.functions import text as T
 from lamina.operators import bow, dp, estimate, kmeans, likelihood, metrics, sampler, segments, topics
 from lamina.sources import sinks
@@ -443,3 +444,60 @@ def test_line_ends(spark):
     # A full stop or a contraction is split off before a blank or the end, not before other signs that some engines take for line ends.
     ends = spark.createDataFrame([("a.\r",), ("it's\u2028",), ("a. it's",), ("a.",)], "line string")
     assert [r[0] for r in ends.select(T.blank_split(T.normalize(F.col("line")))).collect()] == [["a.\r"], ["it's\u2028"], ["a", ".", "it", "'s"], ["a", "."]]
+
+
+def test_line_search_ends_where_only_rounding_is_left():
+    """Sums over large tables: near the minimum all values are equal in double, so no step falls and the interval shrinks to a point."""
+    zero = np.zeros(1)
+    tried = []
+
+    def at(t):
+        tried.append(t)
+        return estimate.Trial(t, 0.0 if t == 1.0 else 10.0, 5.0, zero)
+
+    found = estimate.line_search(at, estimate.Trial(0.0, 1.0, -1.0, zero), 1.0, most=200)
+    assert found.t == 1.0 and len(tried) < 200
+
+
+def test_uniform_labels_in_whole_numbers(spark):
+    rows = [(n, k, pos) for n in range(1, 25) for k in range(0, n + 3) for pos in range(n)]
+    got = spark.createDataFrame(rows, "n int, k int, pos int").select("*", segments.uniform_label(F.col("pos"), F.col("n"), F.col("k")).alias("label")).collect()
+    for n, k, pos, label in got:
+        m = min(n, max(1, k))
+        assert label == sum(math.floor(j * n / m + 0.5) <= pos for j in range(1, m + 1))
+
+
+def test_scores_at_once_are_those_by_column():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 30):
+        sentences = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(9, rng.integers(0, 6), replace=False)} for _ in range(n)]
+        rows = sorted((t, p, c) for p, x in enumerate(sentences) for t, c in x.items())
+        term, pos, cnt = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        for pairs in (dp.PAIRS, 5):
+            dp.PAIRS, kept = pairs, dp.PAIRS
+            by_end = dp.score_rows(pos, term, cnt, n, 9, 0.1)
+            dp.PAIRS = kept
+            for e, column in enumerate(dp.score_columns(sentences, 9, 0.1), start=1):
+                assert np.allclose(by_end[e - 1, :e], column, atol=1e-9)
+        ends = sorted({n, *rng.integers(1, n + 1, 2).tolist()})
+        found = dp.segment_scores(pos, term, cnt, ends, 9, 0.1, dp.lgamma_table(0.1, int(cnt.sum())))
+        for s, e, x in zip([0, *ends], ends, found, strict=False):
+            merged = {}
+            for sentence in sentences[s:e]:
+                for t, c in sentence.items():
+                    merged[t] = merged.get(t, 0) + c
+            assert x == pytest.approx(dp.lgamma_score(merged, 9, 0.1), abs=1e-9)
+
+
+def test_what_is_by_docset_takes_no_exchange(spark):
+    """Counts that are dealt by docset: tf_idf, dynamic programming and k-means shuffle no words."""
+    docs = spark.createDataFrame([(i, f"a b c\nb d {i}\n\na", f"s{i % 3}") for i in range(30)] + [(30, "", "s0"), (31, None, "s0")], "doc_id long, text string, source string")
+    b = session.bucketed(bow.sized_counts(bow.dealt(docs, 8), ["."]), "words", 8, "docset")
+    found = b.where("term IS NOT NULL")
+    assert sorted(found.select("docset", "doc_id", "pos", "term", "cnt").collect()) == sorted(bow.counts(bow.tokens(bow.lines(docs), stop=["."])).collect())
+    assert sorted(b.select("docset", "doc_id", "n").distinct().collect()) == sorted(bow.line_counts(docs).collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    vocab = found.groupBy("docset").agg(F.count_distinct("term").alias("w"))
+    for df in (bow.tf_idf(found.select("docset", "doc_id", "pos", "term", "cnt")), vocab, dp.segment_sized(b, vocab, F.lit(2))):
+        assert "hashpartitioning" not in plan(df)
+    session.clean(spark)
