@@ -501,3 +501,31 @@ def test_what_is_by_docset_takes_no_exchange(spark):
     for df in (bow.tf_idf(found.select("docset", "doc_id", "pos", "term", "cnt")), vocab, dp.segment_sized(b, vocab, F.lit(2))):
         assert "hashpartitioning" not in plan(df)
     session.clean(spark)
+
+
+@pytest.mark.parametrize("rises", [1 << 20, 0])
+def test_sampler_gains_are_those_of_the_counts(rises, monkeypatch):
+    """Moves of one range don't build tables of changes; what they gain, kept or not, is what the changes' counts say."""
+    monkeypatch.setattr(sampler, "RISES", rises)
+    seen = []
+
+    class Watched(sampler.Chain):
+        def changes(self, moves):
+            seen.append(len(moves))
+            return super().changes(moves)
+
+        def decide_one(self, kind, d, start, end, a, b, *more):
+            changes = super().changes([(d, start, end, a, b)])
+            assert self.gain_one(d, start, end, a, -1) + self.gain_one(d, start, end, b, 1) == pytest.approx(self.gain(changes), abs=1e-9)
+            sizes = {k: self.dish(k) for k in {*self.globals(), a, b}}
+            after = {k: n + (end - start) * ((k == b) - (k == a)) for k, n in sizes.items()}
+            there, then = ([n for k, n in x.items() if k[0] == sampler.GLOBAL] for x in (sizes, after))
+            assert self.proportion_change([(a, start - end), (b, end - start)]) == pytest.approx(self.proportion(then) - self.proportion(there), abs=1e-9)
+            return super().decide_one(kind, d, start, end, a, b, *more)
+
+    for seed in range(3):
+        docs, plain = toy(seed, iterations=200, aggressive=True)
+        chain = Watched(docs, 8, plain.s, "t")
+        seen.clear()
+        assert list(chain.run()) == list(plain.run())
+        assert len(seen) < sum(chain.tried.values()) / 2 and chain.gains
