@@ -13,11 +13,15 @@ from lamina.functions.stemmer import with_stems
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(docset, doc_id, pos, line) of every document in `folder` whose set has a document 0; ids may have gaps."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[0-9]*").withColumn("file", F.input_file_name())
-    name = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"([^/]+)$", 1)
-    docs = files.select(F.regexp_extract(name, r"^(.*)\.\d+$", 1).alias("docset"), F.regexp_extract(name, r"\.(\d+)$", 1).alias("n"), "value").where("n <> ''")
-    docs = docs.withColumn("doc_id", F.col("n").cast("int"))
-    sets = docs.where("doc_id = 0").select("docset").distinct()
+
+    def named(glob: str) -> DataFrame:
+        files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob).withColumn("file", F.input_file_name())
+        name = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"([^/]+)$", 1)
+        docs = files.select(F.regexp_extract(name, r"^(.*)\.\d+$", 1).alias("docset"), F.regexp_extract(name, r"\.(\d+)$", 1).alias("n"), "value").where("n <> ''")
+        return docs.withColumn("doc_id", F.col("n").cast("int"))
+
+    docs = named("*.[0-9]*")
+    sets = named("*.0*").where("doc_id = 0").select("docset").distinct()  # of the files, only those that can be documents 0
     docs = docs.join(sets, "docset", "left_semi").withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"\n\z", ""))
     return docs.select("docset", "doc_id", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
 

@@ -61,6 +61,16 @@ def document_files(lines: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.url_encode("docset"), F.lit("."), F.col("doc_id").cast("string")).alias("name"), text.alias("value"))
 
 
+def text_files(documents: DataFrame) -> DataFrame:
+    """`document_files` of the lines of `documents` (docset, doc_id, text), made of whole texts: lines aren't parted and put together again,
+    but where several texts share an id, whose lines go by place. Null texts have no file."""
+    lines = lambda text: F.transform(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"), lambda line, pos: F.struct(pos.alias("pos"), line.alias("line")))
+    docs = documents.where("text IS NOT NULL").groupBy(*DOC).agg(F.collect_list("text").alias("texts"))
+    shared = F.array_join(F.transform(F.array_sort(F.flatten(F.transform("texts", lines))), lambda r: r["line"]), "\n")
+    text = F.when(F.size("texts") == 1, F.regexp_replace(F.col("texts")[0], r"\n\z", "")).otherwise(shared)
+    return docs.select(F.concat(F.url_encode("docset"), F.lit("."), F.col("doc_id").cast("string")).alias("name"), F.concat(text, F.lit("\n")).alias("value"))
+
+
 def label_files(spans: DataFrame) -> DataFrame:
     """(name, value): the files `<docset>.label` of clusters (docset, label, doc_id, start, end), both ends included: a cluster in a line."""
     span = F.format_string("%d::%d-%d", "doc_id", "start", "end")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lamina.operators import bow
 from lamina.sources import corpus, sinks
 
 
@@ -65,3 +66,21 @@ def test_corpus_round_trip(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(rows)
     back = corpus.read_labels(spark, folder).select(name, "label", "doc_id", "start", "end")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spans.collect()))
+
+
+def test_only_documents_0_say_which_sets_are_read(spark, tmp_path):
+    """What sets there are is looked up in the files of documents 0; no other file is opened for that."""
+    for name in ("a.0", "a.1", "a.2", "a.3", "b.00", "b.5", "c.01", "c.2", "d.1"):
+        (tmp_path / name).write_text(f"{name}\n")
+    docs = corpus.read_documents(spark, str(tmp_path))
+    assert sorted((r["docset"], r["doc_id"], r["line"]) for r in docs.collect()) == [("a", 0, "a.0"), ("a", 1, "a.1"), ("a", 2, "a.2"), ("a", 3, "a.3"), ("b", 0, "b.00"), ("b", 5, "b.5")]
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sorted(len(leaves.apply(i).relation().location().inputFiles()) for i in range(leaves.size())) == [3, 9]
+
+
+def test_files_of_whole_texts(spark):
+    """As of their lines, for shared ids, closing line ends and null texts too."""
+    texts = [(1, "b\na"), (1, "c\nd\ne\n"), (2, "x\n\n"), (3, ""), (4, None), (5, "one"), (6, "\n"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "s/é") for i, t in texts], "doc_id long, text string, source string")
+    want = sinks.document_files(bow.lines(docs)).collect()
+    assert sorted(map(tuple, sinks.text_files(bow.by_docset(docs)).collect())) == sorted(map(tuple, want)) and len(want) == 5
