@@ -529,3 +529,20 @@ def test_sampler_gains_are_those_of_the_counts(rises, monkeypatch):
         seen.clear()
         assert list(chain.run()) == list(plain.run())
         assert len(seen) < sum(chain.tried.values()) / 2 and chain.gains
+
+
+def test_estimation_reads_its_vectors_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    data = [("x", i % 7, f"t{i}", 1 + i % 3) for i in range(60)]
+    vectors = spark.createDataFrame(data, "docset string, doc_id long, term string, c long").select("docset", "doc_id", "term", seen.asNondeterministic()("c").alias("cnt"))
+    of = estimate.Likelihood(vectors, spark.createDataFrame([("x", 60)], "docset string, w long"), "docset", "doc_id")
+    totals = [sum(c for _, d, _, c in data if d == k) for k in range(7)]
+    assert sorted(map(tuple, of.table.collect())) == sorted([(1, c, 20) for c in (1, 2, 3)] + [(60, t, -totals.count(t)) for t in set(totals)])
+    assert read.value == len(data)
+    session.clean(spark)
