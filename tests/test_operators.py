@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import unicodedata
 import random
 
 import numpy as np
@@ -546,3 +547,40 @@ def test_estimation_reads_its_vectors_once(spark):
     assert sorted(map(tuple, of.table.collect())) == sorted([(1, c, 20) for c in (1, 2, 3)] + [(60, t, -totals.count(t)) for t in set(totals)])
     assert read.value == len(data)
     session.clean(spark)
+
+
+def test_lines_are_normalised_at_once_as_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    pieces = ['"', "'", "''", "--", "-", ".", ". ", "n't", "n't ", "N't", "'s", "'S ", "'re", "'RE", "'Re", "&", ";", "&amp;", "a", "B", " ", "  ", "\n", "\n\n", "\t", "(", '("', "[", "{<", "$", "|", "Σ", "ΑΣ", "İ", "\r", " "]
+    texts = ["", "\n", "\n\n", *("".join(rng.choice(pieces, rng.integers(1, 25))) for _ in range(600))]
+    texts += ["".join(chr(i) + " " for i in range(start, start + 4096) if unicodedata.category(chr(i)) not in ("Cn", "Cs")) for start in range(1, 0x20000, 4096)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = [[] for _ in texts]
+    for r in sorted(bow.lines(docs).select("doc_id", "pos", T.normalize(F.col("line")).alias("x")).collect()):
+        want[r["doc_id"]].append([t for t in r["x"].split(" ") if t])
+    assert [[[t for t in line.split(" ") if t] for line in T.normalized(t)] for t in texts] == want
+
+
+def test_counted_documents(spark):
+    """What `counted` says of documents is what grouping and windows of their tokens say, where rows share a doc_id too."""
+    rng = np.random.default_rng(6)
+    word = lambda: str(rng.choice(["a", "b", "c", ".", "d", "e", "f", "x-y"]))
+    text = lambda: "\n".join(" ".join(word() for _ in range(rng.integers(0, 6))) for _ in range(rng.integers(1, 7)))
+    data = [(int(rng.integers(0, 25)), text(), f"s{i % 2}") for i in range(40)] + [(90, None, "s0"), (91, "", "s0"), (None, "a", "s0"), (92, ".", "s2")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    by = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    doc = ["docset", "doc_id"]
+    tokens = bow.tokens(bow.lines(docs), stop=["."])
+    bags = bow.counts(tokens)
+    b = bow.counted(bow.dealt(docs, 4), ["."], running=True)
+    words = bow.entries(b)
+    assert by(words, *doc, "pos", "term", "cnt") == by(bags, *doc, "pos", "term", "cnt")
+    assert by(words.select("docset", "term", "term_id").distinct(), "docset", "term", "term_id") == by(bow.vocabulary(tokens), "docset", "term", "term_id")
+    prefix = bow.prefix_counts(bags).join(bow.counts(tokens, *doc).withColumnRenamed("cnt", "all"), [*doc, "term"])
+    assert by(words, *doc, "pos", "term", "left", "all") == by(prefix, *doc, "pos", "term", "upto", "all")
+    assert by(bow.vocabulary_sizes(b), "docset", "w") == by(bags.groupBy("docset").agg(F.count_distinct("term").alias("w")), "docset", "w")
+    assert by(b, *doc, "n") == by(bow.line_counts(docs), *doc, "n")
+    assert by(bow.tf_idf_counted(b).withColumn("x", F.round("tfidf", 9)), *doc, "pos", "term", "x") == by(bow.tf_idf(bags).withColumn("x", F.round("tfidf", 9)), *doc, "pos", "term", "x")
+    some = bow.entries(bow.counted(bow.dealt(docs, 4), ["."], lambda pos, n: F.when(pos > 0, pos % 2), lambda pos, n: 1.0 / (1 + pos)), "unit")
+    want = bags.where("pos > 0").groupBy(*doc, (F.col("pos") % 2).alias("unit"), "term").agg(F.sum("cnt").alias("cnt"), F.round(F.sum(F.col("cnt") / (1 + F.col("pos"))), 9).alias("part"))
+    assert by(some.withColumn("part", F.round("part", 9)), *doc, "unit", "term", "cnt", "part") == by(want, *doc, "unit", "term", "cnt", "part")
