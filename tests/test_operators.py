@@ -584,3 +584,13 @@ def test_counted_documents(spark):
     some = bow.entries(bow.counted(bow.dealt(docs, 4), ["."], lambda pos, n: F.when(pos > 0, pos % 2), lambda pos, n: 1.0 / (1 + pos)), "unit")
     want = bags.where("pos > 0").groupBy(*doc, (F.col("pos") % 2).alias("unit"), "term").agg(F.sum("cnt").alias("cnt"), F.round(F.sum(F.col("cnt") / (1 + F.col("pos"))), 9).alias("part"))
     assert by(some.withColumn("part", F.round("part", 9)), *doc, "unit", "term", "cnt", "part") == by(want, *doc, "unit", "term", "cnt", "part")
+
+
+def test_even_and_odd_labels_are_counted_from_sizes(spark):
+    from lamina.plans import queries
+
+    sizes = spark.createDataFrame([("s", n, n) for n in range(1, 40)], "docset string, doc_id long, n int")
+    want = {d: [0, 0] for d in range(1, 40)}
+    for r in segments.uniform(sizes, segments.default_k(F.col("n"))).select("doc_id", "label").distinct().collect():
+        want[r["doc_id"]][r["label"] % 2] += 1
+    assert {r["doc_id"]: [r["x1"], r["x2"]] for r in queries._even_and_odd(sizes).collect()} == want
