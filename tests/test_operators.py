@@ -594,3 +594,25 @@ def test_even_and_odd_labels_are_counted_from_sizes(spark):
     for r in segments.uniform(sizes, segments.default_k(F.col("n"))).select("doc_id", "label").distinct().collect():
         want[r["doc_id"]][r["label"] % 2] += 1
     assert {r["doc_id"]: [r["x1"], r["x2"]] for r in queries._even_and_odd(sizes).collect()} == want
+
+
+def test_tallied_documents(spark):
+    """`tallied` says how many of the `counted` words have the same numbers, and what is made of that is what is made of the words."""
+    rng = np.random.default_rng(8)
+    word = lambda: str(rng.choice(["a", "b", "c", ".", "d", "e", "f", "x-y"]))
+    text = lambda: "\n".join(" ".join(word() for _ in range(rng.integers(0, 6))) for _ in range(rng.integers(1, 7)))
+    data = [(int(rng.integers(0, 25)), text(), f"s{i % 2}") for i in range(40)] + [(90, None, "s0"), (91, "", "s0"), (None, "a", "s0"), (92, ".\n.", "s2"), (93, "a\n\nb", "s3")]
+    data += [(94, " ".join(f"w{i}" for i in range(500)), "s4")]
+    docs = bow.dealt(spark.createDataFrame(data, "doc_id long, text string, source string"), 4)
+    by = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    doc, numbers = ["docset", "doc_id"], ["cnt", "part", "left", "all"]
+    for unit, weight, running in ((None, None, True), (lambda pos, n: F.when(pos > 0, pos % 2), lambda pos, n: 1.0 / (1 + pos), False), (lambda pos, n: F.lit(0), None, False)):
+        t, b = bow.tallied(docs, ["."], unit, weight, running), bow.counted(docs, ["."], unit, weight, running)
+        found, words = bow.tallies(t, "unit"), bow.entries(b, "unit")
+        assert by(found, *doc, "n", "unit", *numbers, "terms") == by(words.groupBy(*doc, "n", "unit", *numbers).agg(F.count(F.lit(1)).alias("terms")), *doc, "n", "unit", *numbers, "terms")
+        assert by(t.where("w > 0").select("docset", "w").distinct(), "docset", "w") == by(bow.vocabulary_sizes(b), "docset", "w")
+        assert by(t, *doc, "total", "parts") == by(b, *doc, "total", "parts")
+        sizes, near = bow.vocabulary_sizes(b), lambda df: [(*r[:3], pytest.approx(r[3], abs=1e-9)) for r in by(df, *df.columns)]  # noqa: B023
+        for one, other in ((likelihood.dcm_tallied, likelihood.dcm), (likelihood.dcm_gradient_tallied, likelihood.dcm_gradient)):
+            assert near(one(found, *doc, "unit")) == [tuple(r) for r in by(other(words, sizes, *doc, "unit"), *doc, "unit", "logp" if other is likelihood.dcm else "gradient")]
+    assert bow.tallies(bow.tallied(docs, unit=lambda pos, n: F.lit(0)), "unit").where("doc_id = 94").count() == 1

@@ -63,3 +63,12 @@ def test_without_llm(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120)
+
+
+@pytest.mark.parametrize("name", "dcm_weighted".split())
+def test_sums_over_terms_write_no_words(spark, monkeypatch, name):
+    """What asks for sums over a document's terms neither writes nor shuffles its words: rows after the counts are fewer than terms."""
+    monkeypatch.setattr(queries, "bucketed", None)
+    df = queries.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() and "MapInArrow" in plan and "Join" not in plan and "term#" not in plan
