@@ -616,3 +616,8 @@ def test_tallied_documents(spark):
         for one, other in ((likelihood.dcm_tallied, likelihood.dcm), (likelihood.dcm_gradient_tallied, likelihood.dcm_gradient)):
             assert near(one(found, *doc, "unit")) == [tuple(r) for r in by(other(words, sizes, *doc, "unit"), *doc, "unit", "logp" if other is likelihood.dcm else "gradient")]
     assert bow.tallies(bow.tallied(docs, unit=lambda pos, n: F.lit(0)), "unit").where("doc_id = 94").count() == 1
+    b = bow.counted(docs, ["."])
+    cuts = segments.best_cut(bow.entries(b).select(*doc, "pos", "term", "cnt"), b.select(*doc, "n"), bow.vocabulary_sizes(b))
+    tallied = segments.best_cut_tallied(bow.tallies(bow.tallied(docs, ["."], running=True), "pos", places=True))
+    assert by(cuts.withColumn("logp", F.round("logp", 9)), *doc, "cut", "logp") == by(tallied.withColumn("logp", F.round("logp", 9)), *doc, "cut", "logp")
+    assert (tallied.count(), tallied.where("docset = 's2/0'").count()) == (cuts.count(), 0)
