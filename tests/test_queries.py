@@ -65,7 +65,7 @@ def test_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120)
 
 
-@pytest.mark.parametrize("name", "dcm_weighted skewed_kl segment_gradient segment_logprob best_cut dcm_gradient".split())
+@pytest.mark.parametrize("name", "dcm_weighted skewed_kl segment_gradient segment_logprob best_cut dcm_gradient dcm_document".split())
 def test_sums_over_terms_write_no_words(spark, monkeypatch, name):
     """What asks for sums over a document's terms neither writes nor shuffles its words: rows after the counts are fewer than terms."""
     monkeypatch.setattr(queries, "bucketed", None)
