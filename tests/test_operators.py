@@ -621,3 +621,26 @@ def test_tallied_documents(spark):
     tallied = segments.best_cut_tallied(bow.tallies(bow.tallied(docs, ["."], running=True), "pos", places=True))
     assert by(cuts.withColumn("logp", F.round("logp", 9)), *doc, "cut", "logp") == by(tallied.withColumn("logp", F.round("logp", 9)), *doc, "cut", "logp")
     assert (tallied.count(), tallied.where("docset = 's2/0'").count()) == (cuts.count(), 0)
+
+
+def test_documents_are_decoded_by_the_dictionary_they_carry(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: str(rng.choice(["a", "b", "c", ".", "d", "e", "f", "x-y"]))
+    text = lambda: "\n".join(" ".join(word() for _ in range(rng.integers(0, 6))) for _ in range(rng.integers(1, 7)))
+    data = [(int(rng.integers(0, 25)), text(), f"s{i % 2}") for i in range(40)] + [(90, None, "s0"), (91, "", "s0"), (None, "a", "s0"), (92, ".", "s2")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    doc, by = ["docset", "doc_id"], lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    tokens = bow.tokens(bow.lines(docs), stop=["."])
+    e = bow.encoded(bow.dealt(docs, 4), ["."])
+    vectors = e.select(*doc, F.explode(F.arrays_zip("ids", "counts")).alias("x")).select(*doc, "x.ids", "x.counts")
+    assert by(vectors, *doc, "ids", "counts") == by(bow.counts(bow.encode(tokens, bow.vocabulary(tokens)).withColumnRenamed("term_id", "term"), *doc), *doc, "term", "cnt")
+    added = e.select("docset", "known", F.posexplode("terms").alias("i", "term")).select("docset", "term", (F.col("known") + F.col("i")).alias("term_id"))
+    assert by(added, "docset", "term", "term_id") == by(bow.vocabulary(tokens), "docset", "term", "term_id")
+    assert all(r["ids"] == sorted(r["ids"]) for r in e.collect())
+    back = bow.decoded(e)
+    assert by(back.where("total > 0").groupBy("docset").agg(F.sum("total").alias("n"), F.sum("fresh").alias("w")), "docset", "n", "w") == by(
+        tokens.groupBy("docset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("term").alias("w")), "docset", "n", "w")
+    batches = lambda *known: [bow._rows([("s", i, k, [0], [2], ["a"] if k == 0 else []) for i, k in enumerate(known)], bow._ENCODED)]
+    assert [b.to_pylist() for b in bow._decode(batches(0, 1))] == [[{"docset": "s", "doc_id": 0, "total": 2, "fresh": 1}, {"docset": "s", "doc_id": 1, "total": 2, "fresh": 0}]]
+    with pytest.raises(ValueError, match="order"):
+        list(bow._decode(batches(1, 0)))

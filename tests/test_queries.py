@@ -72,3 +72,12 @@ def test_sums_over_terms_write_no_words(spark, monkeypatch, name):
     df = queries.QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() and "MapInArrow" in plan and "Join" not in plan and "term#" not in plan
+
+
+@pytest.mark.parametrize("name", ["dictionary_round_trip"])
+def test_ids_are_read_where_they_are_made(spark, monkeypatch, name):
+    """Encoded documents are neither written nor joined with a dictionary, and their arrays aren't sorted again."""
+    monkeypatch.setattr(queries, "bucketed", None)
+    df = queries.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() and "Join" not in plan and "array_sort" not in plan and "Generate" not in plan
