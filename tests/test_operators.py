@@ -644,3 +644,8 @@ def test_documents_are_decoded_by_the_dictionary_they_carry(spark):
     assert [b.to_pylist() for b in bow._decode(batches(0, 1))] == [[{"docset": "s", "doc_id": 0, "total": 2, "fresh": 1}, {"docset": "s", "doc_id": 1, "total": 2, "fresh": 0}]]
     with pytest.raises(ValueError, match="order"):
         list(bow._decode(batches(1, 0)))
+
+
+def test_dumps(spark):
+    maps = spark.createDataFrame([({0: 2, 3: 1},), ({},), ({7: 3, 8: 0, 9: -1},)], "vec map<int, long>")
+    assert [r[0] for r in maps.select(bow.dump(F.col("vec"))).collect()] == ["3 1 1 4", "0", "3 8 8 8"]

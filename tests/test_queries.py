@@ -74,7 +74,7 @@ def test_sums_over_terms_write_no_words(spark, monkeypatch, name):
     assert df.count() and "MapInArrow" in plan and "Join" not in plan and "term#" not in plan
 
 
-@pytest.mark.parametrize("name", ["dictionary_round_trip"])
+@pytest.mark.parametrize("name", ["dictionary_round_trip", "vector_projections"])
 def test_ids_are_read_where_they_are_made(spark, monkeypatch, name):
     """Encoded documents are neither written nor joined with a dictionary, and their arrays aren't sorted again."""
     monkeypatch.setattr(queries, "bucketed", None)
