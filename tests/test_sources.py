@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lamina.operators import bow
+from lamina.operators import bow, segments
 from lamina.sources import corpus, sinks
 
 
@@ -84,3 +84,37 @@ def test_files_of_whole_texts(spark):
     docs = spark.createDataFrame([(i, t, "s/é") for i, t in texts], "doc_id long, text string, source string")
     want = sinks.document_files(bow.lines(docs)).collect()
     assert sorted(map(tuple, sinks.text_files(bow.by_docset(docs)).collect())) == sorted(map(tuple, want)) and len(want) == 5
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """With Spark's own cost of opening a file a task got some 30 of them."""
+    for i in range(400):
+        (tmp_path / f"s%2F.{i}").write_text(f"text {i}\n")
+    (tmp_path / "s%2F.label").write_text("0 1::0-0\r\n1 2::0-0 3::0-0")
+    (tmp_path / "other.txt").write_text("x")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    files = corpus.read_files(spark, str(tmp_path))
+    assert files.count() == 401 and len(files.inputFiles()) <= spark.sparkContext.defaultParallelism + 1
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert {(r["docset"], r["doc_id"], r["value"]) for r in corpus.documents_of(files).collect()} == {("s%2F", i, f"text {i}") for i in range(400)}
+    assert sorted((r["label"], r["doc_id"]) for r in corpus.labels_of(files).collect()) == [("0", 1), ("1", 2), ("1", 3)]
+
+
+def test_labelled_lines(spark, tmp_path):
+    """Whole documents give the labels and counts that joins of lines give."""
+    folder = make(tmp_path)
+    (tmp_path / "A_b.2").write_text("a, b\nc--d\ne\nf\n\n")
+    (tmp_path / "A_b.label").write_text("10 2::1-1 2::3-9\n2 2::1-2 0::0-1 7::0-0\n")
+    lines, labels = corpus.read_documents(spark, folder), corpus.read_labels(spark, folder)
+    keys, stop = ["docset", "doc_id", "pos"], [",", "d"]
+    kept = bow.tokens(lines, stop=stop).groupBy(*keys).count()
+    want = lines.join(corpus.gold_labels(labels, lines), keys).join(kept, keys, "left").fillna(0, ["count"]).select(*keys, "line", "label", "count")
+    got = corpus.labelled_lines(corpus.documents_of(corpus.read_files(spark, folder)), labels, stop)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_uniform_runs(spark):
+    sizes = spark.createDataFrame([("s", n, n) for n in range(1, 40)], "docset string, doc_id long, n int")
+    for k in (F.lit(1), F.lit(7), F.col("n"), F.col("n") + 3, F.ceil(F.col("n") / 5)):
+        got, want = segments.uniform_runs(sizes, k), segments.runs(segments.uniform(sizes, k))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
