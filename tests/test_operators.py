@@ -649,3 +649,38 @@ def test_documents_are_decoded_by_the_dictionary_they_carry(spark):
 def test_dumps(spark):
     maps = spark.createDataFrame([({0: 2, 3: 1},), ({},), ({7: 3, 8: 0, 9: -1},)], "vec map<int, long>")
     assert [r[0] for r in maps.select(bow.dump(F.col("vec"))).collect()] == ["3 1 1 4", "0", "3 8 8 8"]
+
+
+def test_counted_documents_are_cut_as_their_words_are(spark):
+    """Rows of numbers, a document each, give the segments, tallies and rounds that tables of words give; of words, names aren't kept."""
+    rng = random.Random(11)
+    texts = ["\n".join(" ".join(f"t{rng.randrange(6) + 4 * (p > 5)}" for _ in range(rng.randrange(5))) for p in range(rng.choice([1, 2, 12]))) for _ in range(20)]
+    docs = spark.createDataFrame([(i * 90, t, "s") for i, t in enumerate([*texts, "", None])], "doc_id long, text string, source string")
+    counted = session.materialize(bow.counted(bow.dealt(docs, 4), ["."], named=False), "counted")
+    assert counted.select(F.inline("words")).where("term IS NOT NULL").count() == 0 and counted.count() == 21
+    words, vocab = session.materialize(bow.sized_counts(bow.dealt(docs, 4), ["."]), "words"), bow.vocabulary_sizes(counted)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    b = words.where("term IS NOT NULL").drop("n")
+    for k in (None, F.lit(1), F.lit(3), F.col("n")):
+        pieces = session.materialize(dp.segment_sized(words, vocab, k), "pieces")
+        assert rows(dp.segment_counted(counted, vocab, k)) == rows(pieces)
+        inside = b.join(pieces, ["docset", "doc_id"]).where("pos >= start AND pos < end").groupBy("docset", "doc_id", "seg", "term").agg(F.sum("cnt").alias("cnt"))
+        want = estimate.Likelihood(inside, vocab, "docset", "doc_id", "seg").table
+        tallies = dp.tallied_segments(counted, vocab, k)
+        assert rows(tallies.where("w > 0")) == rows(want) and tallies.where("w = 0").first()["m"] == pieces.count()
+    by_words = estimate.alternation(lambda x: dp.segment_sized(words, vocab, F.lit(3), x), b, vocab, rounds=2)
+    by_tallies = estimate.alternation_tallied(lambda x: dp.tallied_segments(counted, vocab, F.lit(3), x), rounds=2)
+    assert [r == pytest.approx(x) for r, x in zip(by_tallies, by_words, strict=True)] == [True, True]
+    session.clean(spark)
+
+
+def test_search_ends_where_rounding_begins(spark):
+    """A sum over many segments never has a slope of 1e-4; the search went on through what rounding makes of its values."""
+    rows = [(1, c, m) for c, m in ((1, 700), (2, 200), (3, 60), (7, 9))] + [(90, n, -m) for n, m in ((5, 40), (23, 30), (70, 9))]
+    told = []
+    betas = []
+    for times in (1, 12_345_678):
+        of = estimate.Likelihood.of_tallies(spark.createDataFrame([(w, c, m * times) for w, c, m in rows], "w long, c long, m long"))
+        betas.append(of.best())
+        told.append(len(of.known))
+    assert betas[1] == pytest.approx(betas[0], rel=1e-6) and told[1] <= told[0] + 2
