@@ -12,6 +12,7 @@ jobs for each seed and each change of centres. `align` takes the second for docs
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators import bow
 from lamina.session import materialize, scope
 
 #: The distance is no metric and means aren't its minima, so labels may come round again; then the last of so many rounds counts.
@@ -37,6 +39,7 @@ class Points:
     def __init__(self, n: int, width: int, row: np.ndarray, at: np.ndarray, value: np.ndarray):
         self.n, self.width, self.row, self.at, self.value = n, width, row, at, value
         self.sum = np.bincount(self.row, self.value, self.n)
+        self.begin = np.searchsorted(self.row, np.arange(n + 1))
 
     @classmethod
     def of(cls, rows: list[dict[str, float]]) -> Points:
@@ -53,7 +56,11 @@ class Points:
         return out
 
     def mean(self, members: np.ndarray) -> np.ndarray:
-        inside = members[self.row]
+        some = np.flatnonzero(members)
+        if 4 * len(some) <= self.n:  # a few pieces: their stretches of the table
+            inside = np.concatenate([np.arange(a, b) for a, b in zip(self.begin[some].tolist(), self.begin[some + 1].tolist(), strict=True)]) if len(some) else some
+        else:
+            inside = members[self.row]
         return np.bincount(self.at[inside], self.value[inside], self.width) / max(1, int(members.sum()))
 
 
@@ -83,15 +90,19 @@ def cluster_points(points: Points, k: int, seed: int, names: list[str] | None =
         near = np.minimum(near, points.distances(points.mean(np.arange(points.n) == chosen[-1])))
     label = np.full(points.n, -1)
     label[chosen] = np.arange(k)
+    d, moved = np.empty((k, points.n)), range(k)
     for _ in range(iterations):
-        d = np.stack([points.distances(points.mean(label == j)) for j in range(k)])
+        for j in moved:  # other clusters are as they were, and so are the distances from their centres
+            d[j] = points.distances(points.mean(label == j))
         new = d.argmin(0)
         own = d[new, np.arange(points.n)]
         for j in np.flatnonzero(np.bincount(new, minlength=k) == 0):
             far = int(own.argmax())
             own[far], new[far] = -np.inf, j
-        if (new == label).all():
+        changed = new != label
+        if not changed.any():
             break
+        moved = sorted({*label[changed].tolist(), *new[changed].tolist()} - {-1})
         label = new
     return label
 
@@ -162,14 +173,31 @@ def cluster_frames(points: DataFrame, vectors: DataFrame, k: DataFrame, seed: in
         return materialize(labels, "clusters", outer=1)
 
 
-def _summed(words: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The places (row, term) of the vectors of a docset's pieces, which are in order, with the sums there of `words` (doc_id, pos, term,
-    tfidf), and how many terms there are."""
+Words = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def _named(words: pa.Table) -> Words:
+    """A docset's words (doc_id, pos, term, tfidf) as document, place, number of the term and weight, and how many terms there are."""
     terms = words.column("term").combine_chunks().dictionary_encode()
     terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
     rank = np.empty(len(terms.dictionary), np.int64)
     rank[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(rank))
-    at, of, pos, value = rank[terms.indices.to_numpy()], *(words.column(c).to_numpy() for c in ("doc_id", "pos", "tfidf"))
+    return words.column("doc_id").to_numpy(), words.column("pos").to_numpy(), rank[terms.indices.to_numpy()], words.column("tfidf").to_numpy(), len(rank)
+
+
+def _weighed(docs: pa.Table) -> Words:
+    """`_named` of a docset's counted documents (doc_id, filled, pos, term, cnt, size), terms as numbers: with their TF-IDF, as in `bow.tf_idf_counted`."""
+    pos, term, cnt, size = (docs.column(c).combine_chunks() for c in ("pos", "term", "cnt", "size"))
+    of = np.repeat(docs.column("doc_id").to_numpy(), pos.value_lengths().to_numpy(zero_copy_only=False))
+    pos, term, cnt, size = (x.flatten().to_numpy(zero_copy_only=False) for x in (pos, term, cnt, size))
+    df, sentences = np.bincount(term), docs.column("filled").to_numpy().sum()
+    return of, pos, term, cnt / size * np.log(sentences / (1.0 + df))[term] if len(term) else np.zeros(0), len(df)
+
+
+def _summed(words: Words, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The places (row, term) of the vectors of a docset's pieces, which are in order, with the sums there of the weights of `words`, and how many
+    terms there are."""
+    of, pos, at, value, width = words
     docs = np.unique(doc)
     number = np.searchsorted(docs, of)
     known = (number < len(docs)) & (docs[np.minimum(number, len(docs) - 1)] == of)
@@ -182,24 +210,37 @@ def _summed(words: pa.Table, doc: np.ndarray, start: np.ndarray, end: np.ndarray
     order = np.lexsort((pos, at, row))
     row, at, value = row[order], at[order], value[order]
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])]) if len(row) else np.zeros(0, int)
-    return row[first], at[first], np.add.reduceat(value, first) if len(row) else value, len(rank)
+    return row[first], at[first], np.add.reduceat(value, first) if len(row) else value, width
 
 
 def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1, most: int = MOST, iterations: int = ITERATIONS) -> DataFrame:
     """`pieces` (docset, doc_id, start, end) with `label`. `vectors` is (docset, doc_id, pos, term, tfidf); a piece is the sum of
     its sentences. `k` (docset, k) is the number of clusters, at most the number of pieces. Clusters of one member become local:
     -(number + 1)."""
+    vectors = vectors.select("docset", F.col("doc_id").cast("long").alias("doc_id"), "pos", "term", "tfidf")
+    return _aligned(pieces, vectors, _named, lambda: vectors, k, seed, most, iterations)
+
+
+def align_counted(pieces: DataFrame, counted: DataFrame, k: DataFrame, seed: int = 1, most: int = MOST, iterations: int = ITERATIONS) -> DataFrame:
+    """`align` by the TF-IDF of documents counted by line (see `bow.counted`): a row a document goes to its docset's task, terms as numbers, and
+    weights are made there."""
+    field = lambda c, name: F.col(f"words.{c}").alias(name)
+    docs = counted.select("docset", F.col("doc_id").cast("long").alias("doc_id"), "filled", field("unit", "pos"), field("id", "term"), field("cnt", "cnt"), field("size", "size"))
+    return _aligned(pieces, docs, _weighed, lambda: bow.tf_idf_counted(counted, "term_id"), k, seed, most, iterations)
+
+
+def _aligned(pieces: DataFrame, vectors: DataFrame, read: Callable[[pa.Table], Words], long: Callable[[], DataFrame], k: DataFrame, seed: int, most: int, iterations: int) -> DataFrame:
+    """`align` of words by docset that a task reads with `read`, and that are `long` (docset, doc_id, pos, term, tfidf) for large docsets."""
     p = materialize(pieces.select("docset", F.col("doc_id").cast("long").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), "pieces")
     n = p.groupBy("docset").agg(F.count(F.lit(1)).alias("n"))
     k = n.join(k, "docset").select("docset", "n", F.greatest(F.lit(1), F.least("k", "n")).cast("int").alias("k"))
-    vectors = vectors.select("docset", F.col("doc_id").cast("long").alias("doc_id"), "pos", "term", "tfidf")
 
     def run(words: pa.Table, own: pa.Table) -> pa.Table:
         own = own.sort_by([("doc_id", "ascending"), ("start", "ascending")])
         doc, start, end = (own.column(c).to_numpy() for c in ("doc_id", "start", "end"))
         if not len(doc):
             return own.select(["docset", "doc_id", "start", "end"]).append_column("label", pa.array([], pa.int32()))
-        row, at, value, width = _summed(words, doc, start, end)
+        row, at, value, width = _summed(read(words), doc, start, end)
         docset = own.column("docset")[0].as_py()
         names = [f"{docset}/{d}/{b}" for d, b in zip(doc.tolist(), start.tolist(), strict=True)]
         label = cluster_points(Points(len(doc), width, row, at, value), own.column("k")[0].as_py(), seed, names, iterations)
@@ -213,7 +254,7 @@ def align(pieces: DataFrame, vectors: DataFrame, k: DataFrame, seed: int = 1, mo
     out = words.groupBy("docset").cogroup(rows.groupBy("docset")).applyInArrow(run, "docset string, doc_id long, start int, end int, label int")
     if some:
         of = lambda df: df.join(large.select("docset"), "docset", "left_semi")
-        v = of(vectors).join(of(p), ["docset", "doc_id"]).where("pos >= start AND pos < end").groupBy(*PIECE, "term").agg(F.sum("tfidf").alias("v"))
+        v = of(long()).join(of(p), ["docset", "doc_id"]).where("pos >= start AND pos < end").groupBy(*PIECE, "term").agg(F.sum("tfidf").alias("v"))
         out = out.unionByName(p.join(cluster_frames(of(p), v, large, seed, iterations), PIECE).select("docset", "doc_id", "start", "end", "label"))
     out = materialize(out, "clusters")
     single = out.groupBy("docset", "label").agg(F.count(F.lit(1)).alias("m"))

@@ -684,3 +684,36 @@ def test_search_ends_where_rounding_begins(spark):
         betas.append(of.best())
         told.append(len(of.known))
     assert betas[1] == pytest.approx(betas[0], rel=1e-6) and told[1] <= told[0] + 2
+
+
+def test_alignment_of_counted_documents(spark, monkeypatch):
+    """Rows of numbers are clustered as long tables of weighted words are, in a task and in frames."""
+    rng = random.Random(12)
+    texts = ["\n".join(" ".join(f"t{rng.randrange(5) + 5 * (p // 3 % 2)}" for _ in range(rng.randrange(6))) for p in range(rng.choice([1, 4, 9]))) for _ in range(14)]
+    docs = spark.createDataFrame([(i * 150, t, "s") for i, t in enumerate([*texts, ""])], "doc_id long, text string, source string")
+    of = lambda named: session.materialize(bow.counted(bow.dealt(docs, 4), ["."], named=named), "counted")
+    named, numbered = of(True), of(False)
+    k = named.groupBy("docset").agg((F.max("n") - 1).alias("k"))
+    pieces = dp.segment_counted(numbered, bow.vocabulary_sizes(numbered), F.ceil(F.col("n") / 3))
+    names = ("docset", "doc_id", "start", "end", "label")
+    want = rows(kmeans.align(pieces, bow.tf_idf_counted(named), k), *names)
+    monkeypatch.setattr(bow, "entries", None)  # words aren't parted where a docset fits a task
+    assert rows(kmeans.align_counted(pieces, numbered, k), *names) == want
+    monkeypatch.undo()
+    assert rows(kmeans.align_counted(pieces, numbered, k, most=5), *names) == want
+    session.clean(spark)
+
+
+def test_distances_are_kept_while_clusters_stay(monkeypatch):
+    """After the first round only centres whose clusters have changed are compared again."""
+    rng = random.Random(1)
+    data = [{f"t{rng.randrange(6) + 6 * (i % 12)}": float(rng.randint(1, 4)) for _ in range(4)} for i in range(120)]
+    made = []
+    monkeypatch.setattr(kmeans.Points, "distances", lambda self, centre, was=kmeans.Points.distances: made.append(1) or was(self, centre))
+    names = [str(i) for i in range(len(data))]
+    label = kmeans.cluster(data, 24, 1, names)
+    assert label.tolist() == plain_kmeans(data, 24, 1, names, 100)
+    rounds = next(n for n in range(1, 101) if (kmeans.cluster(data, 24, 1, names, n) == label).all()) + 1
+    made.clear()
+    kmeans.cluster(data, 24, 1, names)
+    assert rounds > 2 and len(made) < 24 + 24 * rounds
