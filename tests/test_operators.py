@@ -717,3 +717,17 @@ def test_distances_are_kept_while_clusters_stay(monkeypatch):
     made.clear()
     kmeans.cluster(data, 24, 1, names)
     assert rounds > 2 and len(made) < 24 + 24 * rounds
+
+
+def test_chains_of_counted_documents(spark):
+    """Rows of numbers make the chains that words make, up to the names of terms."""
+    rng = random.Random(13)
+    texts = ["\n".join(" ".join(f"t{rng.randrange(9)}" for _ in range(rng.randrange(6))) for _ in range(rng.choice([1, 5, 8]))) for _ in range(9)]
+    docs = spark.createDataFrame([(i * 300, t, "s") for i, t in enumerate([*texts, "", None])], "doc_id long, text string, source string")
+    counted = session.materialize(bow.counted(bow.dealt(docs, 4), ["."], named=False), "counted")
+    b = bow.counts(bow.tokens(bow.lines(docs), stop=["."]))
+    s = sampler.Settings(iterations=60, warm_up=10, trace_every=30, round=40, start_global=2, type_alpha=5.0, type_beta=1.0, use_topic_prior=True, aggressive=True)
+    names = ("docset", "trial", "doc_id", "pos", "label")
+    want = rows(sampler.assignments(b, bow.line_counts(docs), likelihood.vocabulary_size(b), s, trials=2), *names)
+    assert rows(sampler.assignments(counted, None, bow.vocabulary_sizes(counted), s, trials=2), *names) == want and len(want) > 40
+    session.clean(spark)
